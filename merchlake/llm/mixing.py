@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from merchlake.llm.common import materialize, running_total, word_count
 
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_096
 
 
 def source_budgets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
