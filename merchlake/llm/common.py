@@ -173,3 +173,61 @@ def word_count(text):
     """Column: number of [^\\x20\\x09-\\x0D]+ in text, by replacing each word with one letter (null: 0)."""
     short = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "x")
     return F.length(F.translate(short, " \t\n\x0b\f\r", "")).cast("long")
+
+
+# ---------------------------------------------------------------- rows and packed columns
+
+
+def identified(docs: DataFrame, name: str) -> DataFrame:
+    """docs(doc_id, text) with __row, unique, and __ord, which orders documents (null doc_ids last).
+
+    Both are doc_id where that is unique and never null; else the rows are written once with numbers.
+    """
+    rows = docs.select("doc_id", "text")
+    seen = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    if seen[0] == seen[1]:
+        return rows.withColumns({"__row": order, "__ord": order})
+    return materialize(rows.withColumns({"__row": F.monotonically_increasing_id(), "__ord": order}), name)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Integer columns of one length as bytes; byte planes of deltas, so that the shuffle's codec squeezes them."""
+    n = len(columns[0])
+    out = [np.array([n], np.int64).tobytes()]
+    for c in columns:
+        c = np.ascontiguousarray(c).astype(np.int64)
+        delta = np.diff(c, prepend=np.int64(0))
+        delta = (delta << 1) ^ (delta >> 63)  # small either way
+        out.append(np.ascontiguousarray(delta.view(np.uint8).reshape(n, 8).T).tobytes())
+    return b"".join(out)
+
+
+def unpack(blob: bytes, count: int) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    out = []
+    for k in range(count):
+        planes = np.frombuffer(blob, np.uint8, n * 8, 8 + k * n * 8).reshape(8, n)
+        delta = np.ascontiguousarray(planes.T).view(np.int64).ravel()
+        out.append(np.cumsum((delta >> 1 & 0x7FFFFFFFFFFFFFFF) ^ -(delta & 1)))
+    return out
+
+
+def dealt(groups: np.ndarray, n_groups: int):
+    """(group, positions) for each group that occurs; positions keep their order."""
+    kind = np.uint16 if n_groups <= 65536 else np.int64
+    groups = groups.astype(kind)
+    order = np.argsort(groups, kind="stable")
+    cuts = np.flatnonzero(np.diff(groups[order].astype(np.int64))) + 1
+    for part in np.split(order, cuts):
+        if len(part):
+            yield int(groups[part[0]]), part
+
+
+def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Equal ranges of the hash space, n of them."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
