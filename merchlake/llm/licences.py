@@ -35,6 +35,8 @@ TEMPLATES = [
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
+#: Words too common to index; key phrases are verified by the places of their other words.
+STOP = frozenset("the of is in to a and or it this that you not may with at for any as be an are if into under from".split())
 RARE_WORDS, MIN_AGREE, MIN_SHARE = 6, 2, 0.6
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,15 +50,15 @@ def licence_words(text):
 
 
 def _phrase_starts(hits, phrase: str):
-    """Column: positions where the phrase's words stand one after another, from hits in order of position."""
-    words = phrase.split()
+    """Column: positions where the phrase stands, from the indexed words' hits in order of position."""
+    words = [(j, w) for j, w in enumerate(phrase.split()) if w not in STOP]
 
     def here(k):
         at = F.get(hits, k)
-        same = F.get(hits, k)["w"] == words[0]
-        for j, w in enumerate(words[1:], 1):
-            nxt = F.get(hits, k + j)
-            same = same & (nxt["w"] == w) & (nxt["i"] == at["i"] + j)
+        same = at["w"] == words[0][1]
+        for step, (j, w) in enumerate(words[1:], 1):
+            nxt = F.get(hits, k + step)
+            same = same & (nxt["w"] == w) & (nxt["i"] == at["i"] + (j - words[0][0]))
         return F.coalesce(same, F.lit(False))
 
     # no hit: an empty array, where sequence() would count down
@@ -73,36 +75,42 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
     have no words. Rows are kept apart even if doc_ids repeat or are null; other columns are ignored.
     """
     spark = docs.sparkSession
-    vocabulary = sorted({w for _, passage, phrase in templates for w in f"{passage} {phrase}".split()} | {w for p in BASE for w in p.split()})
+    vocabulary = sorted({w for _, passage, phrase in templates for w in f"{passage} {phrase}".split() if w not in STOP} | {w for p in BASE for w in p.split()})
+    # a base phrase or a key phrase holds one of these, so a text without any has no label and needs no hits
+    strong = sorted({next(w for w in sorted(p.split(), key=len, reverse=True) if w not in STOP) for p in [*BASE, *(t[2] for t in templates)]} | {"license", "cc"})
     found = F.transform(F.col("__words"), lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("i"), w.alias("w"))))
+    none = F.array().cast("array<struct<i:int,w:string>>")
+    words = F.array(*[F.lit(w) for w in vocabulary])
     hits = materialize(
-        docs.select("doc_id", licence_words(F.col("text")).alias("__words"))
-        .select("doc_id", F.monotonically_increasing_id().alias("__row"), F.size("__words").cast("long").alias("n_words"), F.array_compact(found).alias("__hits")),
+        docs.select("doc_id", licence_words(F.col("text")).alias("__words")).select(
+            "doc_id", F.monotonically_increasing_id().alias("__row"), F.size("__words").cast("long").alias("n_words"),
+            F.array_intersect("__words", words).alias("__has"),
+            F.when(F.arrays_overlap("__words", F.array(*[F.lit(w) for w in strong])), F.array_compact(found)).otherwise(none).alias("__hits"),
+        ),
         "licence-hits",
-    )
+    )
 
     # IDF of the vocabulary over all documents: one row per template word, bounded by the templates
-    each = hits.select("__row", F.explode("__hits").alias("h")).select("__row", F.col("h.i").alias("i"), F.col("h.w").alias("w"))
-    per_doc = hits.select(F.explode(F.array_distinct(F.transform("__hits", lambda h: h["w"]))).alias("w"))
-    frequency = {r["w"]: r["n"] for r in per_doc.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    frequency = {r["w"]: r["n"] for r in hits.select(F.explode("__has").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_docs = hits.count()
     idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
     postings, totals, mandatory = [], [], []
     for t, (label, passage, phrase) in enumerate(templates):
         words = passage.split()
-        postings += [(t, p, w, idf[w]) for p, w in enumerate(words)]
-        totals.append((t, label, sum(idf[w] for w in words)))
+        postings += [(t, p, w, idf[w]) for p, w in enumerate(words) if w not in STOP]
+        totals.append((t, label, sum(idf[w] for w in words if w not in STOP)))
         mandatory.append(phrase)
     # constants of the templates, so their size is fixed by the code
     index = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, {p}, '{w}', {v!r}D)" for t, p, w, v in postings) + " AS x(t, p, w, idf)")
     labels = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, '{label}', {v!r}D)" for t, label, v in totals) + " AS x(t, label, total)")
 
     # the rarest distinct words of each document look up the index
+    some = hits.where(F.size("__hits") > 0)
+    each = some.select("__row", F.explode("__hits").alias("h")).select("__row", F.col("h.i").alias("i"), F.col("h.w").alias("w"))
     weight = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
-    distinct = F.array_distinct(F.transform("__hits", lambda h: h["w"]))
-    ranked = F.slice(F.sort_array(F.transform(distinct, lambda w: F.struct(F.element_at(weight, w).alias("v"), w.alias("w"))), asc=False), 1, rare_words)
-    rare = hits.select("__row", F.filter("__hits", lambda h: F.array_contains(F.transform(ranked, lambda r: r["w"]), h["w"])).alias("r"))
-    anchors = rare.select("__row", F.explode("r").alias("h")).select("__row", F.col("h.i").alias("i"), F.col("h.w").alias("w"))
+    ranked = F.slice(F.sort_array(F.transform("__has", lambda w: F.struct(F.element_at(weight, w).alias("v"), w.alias("w"))), asc=False), 1, rare_words)
+    rare = some.select("__row", "__hits", F.explode(ranked).alias("r"))
+    anchors = rare.select("__row", "r.w", F.explode(F.filter("__hits", lambda h: h["w"] == F.col("r.w"))).alias("h")).select("__row", F.col("h.i").alias("i"), "w")
     votes = anchors.join(F.broadcast(index), "w").groupBy("__row", "t", (F.col("i") - F.col("p")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
     candidates = votes.where(F.col("n") >= min_agree).select("__row", "t", "at")
     aligned = each.join(F.broadcast(index), "w").select("__row", "t", (F.col("i") - F.col("p")).alias("at"), "idf")
