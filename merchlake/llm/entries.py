@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from merchlake.llm import licences, mixing, sharding, substrings, toxicity
+from merchlake.llm import licences, mixing, pieces, quality, sharding, substrings, toxicity
 from merchlake.llm.common import table
 
 
@@ -20,13 +21,23 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), n_best=2)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return pieces.decode_pieces(coded).select("doc_id", "n_pieces", "score", F.get("next_scores", 0).alias("next_score"), "ids", same.alias("decodes"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"))
+
+
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op7_sharding": op7_sharding, "op10_licences": op10_licences}
+QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_pieces": op4_pieces, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op10_licences": op10_licences}
 ORACLES = {"op1_mixing": mixing.MIX_SQL}
