@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import jaccard, licences, mixing, pieces, quality, sharding, substrings, toxicity
+from merchlake.llm import embeddings, jaccard, licences, mixing, pieces, quality, sharding, substrings, toxicity
 from merchlake.llm.common import table
 
 
@@ -39,9 +39,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_pieces": op4_pieces, "op6_jaccard": op6_jaccard, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op10_licences": op10_licences}
+QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_pieces": op4_pieces, "op6_jaccard": op6_jaccard, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_embeddings": op9_embeddings, "op10_licences": op10_licences}
 ORACLES = {"op1_mixing": mixing.MIX_SQL}

@@ -20,7 +20,7 @@ from merchlake.llm import common
 
 GRAMS, BUCKETS, DIM, BLOCK = (3, 4, 5), 1 << 17, 8, 48
 #: Bounds of the training sample: documents of each class, and characters of one.
-TRAIN_PER_CLASS, TRAIN_CHARS = 2000, 200_000
+TRAIN_PER_CLASS, TRAIN_CHARS = 1500, 20_000
 _WEIGHTS = (np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, 8, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -173,9 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS,
         sample = part if sample is None else sample.unionByName(part)
     short = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("text"))
     found = short.join(F.broadcast(sample.select("doc_id", "__y")), "doc_id").select("doc_id", F.col("__y").cast("int").alias("label"), "text")
-    rows = found.mapInArrow(_bags, "doc_id long, label int, lengths binary, ids binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["ids"])))
-    return fit([(r["label"], np.frombuffer(r["lengths"], np.int32), np.frombuffer(r["ids"], np.int32)) for r in rows], share)
+    rows = found.mapInArrow(_bags, "doc_id long, label int, lengths binary, ids binary").toArrow().sort_by([("doc_id", "ascending"), ("lengths", "ascending")])
+    lengths, ids = ([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column(c)] for c in ("lengths", "ids"))
+    return fit(list(zip(rows.column("label").to_pylist(), lengths, ids)), share)
 
 
 def _scorer(shared, keep: list[str]):
