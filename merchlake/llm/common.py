@@ -178,12 +178,12 @@ def word_count(text):
 # ---------------------------------------------------------------- rows and packed columns
 
 
-def identified(docs: DataFrame, name: str) -> DataFrame:
-    """docs(doc_id, text) with __row, unique, and __ord, which orders documents (null doc_ids last).
+def identified(docs: DataFrame, name: str, keep: list[str] = []) -> DataFrame:
+    """docs(doc_id, text) with __row, unique, and __ord, which orders documents (null doc_ids last); columns `keep` as __keep_<name>.
 
     Both are doc_id where that is unique and never null; else the rows are written once with numbers.
     """
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", *[F.col(c).alias(f"__keep_{c}") for c in keep])
     seen = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     if seen[0] == seen[1]:

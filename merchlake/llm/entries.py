@@ -51,5 +51,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_pieces": op4_pieces, "op5_suffixes": op5_suffixes, "op6_jaccard": op6_jaccard, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_embeddings": op9_embeddings, "op10_licences": op10_licences}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands at the repository's top, beside the package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_pieces": op4_pieces, "op5_suffixes": op5_suffixes, "op6_jaccard": op6_jaccard, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_embeddings": op9_embeddings, "op10_licences": op10_licences, "pipeline": pipeline}
 ORACLES = {"op1_mixing": mixing.MIX_SQL}

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchlake.llm import common
@@ -241,3 +241,16 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = 90, den: int = 10
     joined = signed.drop("signs").join(named, (F.col("node") == F.col("__node")) & (F.col("n_shingles") > 0), "left")
     alone = F.col("first").isNull()
     return joined.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc")).alias("component_id"), "__row", (alone | (F.col("__row") == F.col("first.row"))).alias("__first"))
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The row of each component of jaccard_components(docs) that comes first; columns as in docs."""
+    rows = jaccard_components(docs, **options)
+    kept = rows.where("__first").groupBy(F.col("doc_id").alias("__doc")).agg(F.count(F.lit(1)).alias("__n"), F.max("n_shingles").alias("__size"))
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")))
+    # rows that share a doc_id: as many of them stay as came first
+    same = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
+    repeated = docs.agg(F.count(F.lit(1)) - F.count_distinct("doc_id")).first()[0]
+    if repeated:
+        joined = joined.withColumn("__nth", F.row_number().over(same)).where("__nth <= __n")
+    return joined.select(*docs.columns)

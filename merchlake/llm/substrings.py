@@ -146,15 +146,13 @@ def _compact(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c).cast(t) for c, t in zip((r[first], p[first], length, s[first], a[first]), _PATH.types)], schema=_PATH)
 
 
-_DONE = "doc_id long, n_words long, n_removed long, kept_sha256 string, {text} checks array<struct<src:bigint,at:int,n:int,digest:binary>>"
-
-
 def _remove(k: int, with_text: bool):
     """Words not covered by a path, and digests of the words of every path at both its ends."""
 
     def run(batches):
         for batch in common.slices(batches):
             out = []
+            others = batch.columns[3:]
             for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = (text or "").encode().split()
                 gone, checks = [], []
@@ -174,8 +172,8 @@ def _remove(k: int, with_text: bool):
                 row = [doc, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest()]
                 out.append((*row, *([left.decode() if gone else text] if with_text else []), checks))
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []), "checks"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.string()] if with_text else []), pa.list_(pa.struct([("src", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), *([pa.string()] if with_text else []), pa.list_(pa.struct([("src", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out), kinds)), *others], names=[*names, *batch.schema.names[3:]])
 
     return run
 
@@ -193,26 +191,46 @@ def repeated_paths(rows: DataFrame, k: int = K, seed: int = 1) -> DataFrame:
     return materialize(met.groupBy("part").applyInArrow(_compact, "row long, start int, n int, src long, at int"), "paths")
 
 
-def dedup_substrings(docs: DataFrame, k: int = K, with_text: bool = False, attempts: int = 3) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = K, with_text: bool = False, attempts: int = 3, keep: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, if with_text) for every row of docs(doc_id, text).
 
     Words are [^\\x20\\x09-\\x0D]+ (null or empty text: none). A word goes if a window of k words that covers it
     also starts in a row of smaller doc_id (null: after all others); rows of equal doc_id don't
     remove from one another. kept is the text as it is where nothing goes, else the kept words joined by spaces.
     If a path's words differ from its source's, two windows share a 64-bit hash; then all is done
-    again with another hash. Other columns are ignored; an empty table gives no rows.
+    again with another hash. Columns named in `keep` come along as __keep_<name>, others are ignored; an empty
+    table gives no rows.
     """
-    rows = identified(docs, "substring-rows")
+    rows = identified(docs, "substring-rows", keep or [])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    more = [f"__keep_{c}" for c in keep or []]
+    types = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in more)
+    kept = "kept string," if with_text else ""
+    done_type = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, {kept} checks array<struct<src:bigint,at:int,n:int,digest:binary>>{types}"
     for seed in range(1, attempts + 1):
         paths = repeated_paths(rows, k, seed)
         ends = paths.select(F.col("row").alias("__r"), F.struct(F.lit(True).alias("target"), "start", "n", "src", "at").alias("s"))
         # a source is asked once for each of its intervals, however many documents copy it
         origin = paths.select(F.col("src").alias("__r"), F.struct(F.lit(False).alias("target"), F.lit(0).alias("start"), "n", "src", "at").alias("s")).distinct()
         spans = ends.unionByName(origin).groupBy("__r").agg(F.collect_list("s").alias("spans"))
-        joined = rows.join(spans, rows["__row"] == spans["__r"], "left").select("doc_id", "text", "spans")
-        done = materialize(joined.mapInArrow(_remove(k, with_text), _DONE.format(text="kept string," if with_text else "")), "substring-kept")
+        joined = rows.join(spans, rows["__row"] == spans["__r"], "left").select("doc_id", "text", "spans", *more)
+        done = materialize(joined.mapInArrow(_remove(k, with_text), done_type), "substring-kept")
         checks = done.select(F.explode("checks").alias("c")).groupBy("c.src", "c.at", "c.n")
         wrong = checks.agg((F.min("c.digest") != F.max("c.digest")).alias("differ")).where("differ").limit(1)
         if not wrong.count():
             return done.drop("checks")
     raise RuntimeError(f"windows collide under {attempts} hash functions")
+
+
+def strip_repeats(docs: DataFrame, **options) -> DataFrame:
+    """docs(doc_id, text, ...) without their repeated words, columns as they are; n_chars, if there, follows the text.
+
+    A row that loses all of its words goes; one that loses none is left as it is.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    done = dedup_substrings(docs, with_text=True, keep=others, **options)
+    left = done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    columns = {c: F.col(f"__keep_{c}") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return left.select(*[columns[c].alias(c) for c in docs.columns])
