@@ -22,9 +22,8 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), n_best=2)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return pieces.decode_pieces(coded).select("doc_id", "n_pieces", "score", F.get("next_scores", 0).alias("next_score"), "ids", same.alias("decodes"))
+    coded = pieces.encode_pieces(table(spark, sf_dir, "documents"), n_best=2, verify=True, keep=["doc_id"])
+    return coded.select("doc_id", "n_pieces", "score", F.get("next_scores", 0).alias("next_score"), "ids", "decodes")
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
