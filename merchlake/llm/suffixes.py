@@ -1,7 +1,7 @@
 """Suffix-array dedup of byte strings.
 
 Which suffixes must be sorted together: of the hashes of all ANCHOR-byte strings in a window of `width` bytes the least is
-the window's anchor, so equal windows have equal anchors. Consecutive windows with one anchor are a piece of text.
+the window's anchor, so equal windows have equal anchors (least hashes are small, so buckets go by a second hash). Consecutive windows with one anchor are a piece of text.
 Pieces meet by anchor in a shuffle (a task first drops its repeats of a piece); equal pieces are one string from there on,
 all but the first occurrence being removed whole. The pieces of an anchor that has several different ones
 then go to a task by anchor, as bytes, and their suffixes are sorted in two stages: those smaller than their successor
@@ -88,7 +88,7 @@ def _emit(width: int, k: int, buckets: int):
             if len(again):
                 made.append((serial * 7919 % buckets, GONE, pack(row[again], start[again], count[again])))
             keep = np.flatnonzero(first)
-            for b, at in dealt(bucket_of(anchor[keep], buckets), buckets):
+            for b, at in dealt(bucket_of(common.mix(anchor[keep]), buckets), buckets):
                 at = keep[at]
                 made.append((b, PIECES, anchor[at].tobytes() + piece[at].tobytes() + pack(order[at], row[at] - order[at], start[at], count[at], far[at])))
             serial += 1
@@ -200,7 +200,7 @@ def _cut(width: int, buckets: int):
             row = np.asarray(batch.column(batch.schema.get_field_index("__row")), np.int64)[owner]
             raw, begin = data.tobytes(), off[owner] + a
             made = []
-            for b, at in dealt(bucket_of(key.view(np.uint64), buckets), buckets):
+            for b, at in dealt(bucket_of(common.mix(key.view(np.uint64)), buckets), buckets):
                 body = pack(order[at], row[at], a[at].astype(np.int64), n[at].astype(np.int64))
                 made.append((b, body, b"".join(raw[begin[i] : begin[i] + n[i] + width - 1] for i in at)))
             if made:
