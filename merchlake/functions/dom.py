@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -119,9 +118,13 @@ def parse(html: str) -> Node:
 _TOKEN = re.compile(r'(?P<tag>^[\w-]+|\*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[*^]?=)"(?P<value>[^"]*)")?\]|:not\(\.(?P<nocls>[\w-]+)\)|:(?P<place>first-child|last-child)')
 
 
-@lru_cache(maxsize=1024)
+_compiled: dict[str, list] = {}
+
+
 def _compile(selector: str):
-    groups = []
+    if selector in _compiled:
+        return _compiled[selector]
+    groups = _compiled[selector] = []
     for part in selector.split(","):
         steps = []
         for combined in re.findall(r'(\+)?\s*((?:[^\s+\["]|\[[^\]]*\])+)', part.strip()):

@@ -42,11 +42,14 @@ def condition(text: Column) -> Column:
 
 def fulfillment(shipper: Column, seller: Column, own_names) -> Column:
     """Who fulfils: the market itself (AMZ), the market for a seller (FBA), the seller (FBM)."""
-    own = [F.coalesce(F.exists(F.array(*[F.lit(n) for n in own_names]), lambda n, c=c: F.contains(F.lower(c), F.lower(n))), F.lit(False)) for c in (shipper, seller)]
+
+    def ours(name):
+        return F.coalesce(first_label(name, own_names).isNotNull(), F.lit(False))
+
     return (
         F.when(shipper.isNull() & seller.isNull(), "UNKNOWN")
-        .when(own[1], "AMZ")
-        .when(own[0], "FBA")
+        .when(ours(seller), "AMZ")
+        .when(ours(shipper), "FBA")
         .otherwise("FBM")
     )
 

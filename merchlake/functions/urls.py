@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.functions.markets import MARKETS
@@ -29,32 +29,38 @@ def _query(url: Column, key: str) -> Column:
     return F.try_url_decode(F.replace(F.try_parse_url(url, F.lit("QUERY"), F.lit(key)), F.lit("+"), F.lit(" ")))
 
 
-def classify_url(url: Column, hosts: dict[str, str] | None = None) -> Column:
-    """struct(type, market, item, keyword, node, seller, reason) of a URL; reason is set where type is null.
+def classify_urls(rows: DataFrame, url: str, hosts: dict[str, str] | None = None, to: str = "url_class") -> DataFrame:
+    """rows with a struct(type, market, item, keyword, node, seller, reason) of a URL column; reason is set where type is null.
 
     Precedence: identifier in the query, identifier in the path, seller, best sellers, keyword, category.
-    hosts maps host names to markets (default: the markets' own, with or without www).
+    hosts maps host names to markets (default: the markets' own, with or without www). Parts that several rules read
+    are made once, in a projection of their own.
     """
     hosts = hosts or {h: m.code for m in MARKETS.values() for h in (m.host, m.host.removeprefix("www."))}
-    url = F.trim(url)
-    scheme, host, path = (F.try_parse_url(url, F.lit(p)) for p in ("PROTOCOL", "HOST", "PATH"))
+    text = F.trim(F.col(url))
+    scheme, host, path = (F.try_parse_url(text, F.lit(p)) for p in ("PROTOCOL", "HOST", "PATH"))
     market = F.element_at(F.create_map(*[F.lit(x) for kv in hosts.items() for x in kv]), F.lower(host))
-    in_query = item_id(_query(url, "asin"))
-    in_path = F.coalesce(*[item_id(F.nullif(F.regexp_extract(path, f"(?i){p}([A-Z0-9]{{10}})(?:[/?#]|$)", 1), F.lit(""))) for p in ID_PATHS])
-    item, low = F.coalesce(in_query, in_path), F.lower(F.coalesce(path, F.lit("")))
-    seller, keyword, node = F.coalesce(_query(url, "seller"), _query(url, "me")), _query(url, "k"), _query(url, "node")
-    is_seller = seller.isNotNull() & (seller != "") | F.contains(low, F.lit("/stores/")) | (low == "/sp") | F.startswith(low, F.lit("/sp/"))
+    parts = {"__web": F.coalesce(F.lower(scheme).isin("http", "https"), F.lit(False)), "__market": market, "__path": F.coalesce(path, F.lit(""))}
+    parts |= {f"__{k}": _query(text, k) for k in ("asin", "seller", "me", "k", "node", "rh")}
+    rows = rows.withColumns(parts)
+    in_path = F.coalesce(*[item_id(F.nullif(F.regexp_extract("__path", f"(?i){p}([A-Z0-9]{{10}})(?:[/?#]|$)", 1), F.lit(""))) for p in ID_PATHS])
+    low = F.lower("__path")
+    seller, keyword, node = F.coalesce("__seller", "__me"), F.col("__k"), F.col("__node")
+    is_seller = (seller.isNotNull() & (seller != "")) | F.contains(low, F.lit("/stores/")) | (low == "/sp") | F.startswith(low, F.lit("/sp/"))
     best = F.contains(low, F.lit("/bestsellers")) | F.contains(low, F.lit("/zgbs"))
     search = (low == "/s") | F.startswith(low, F.lit("/s/")) | keyword.isNotNull()
     category = node.isNotNull() | F.contains(low, F.lit("/b/")) | F.contains(low, F.lit("/gp/browse"))
-    known = F.coalesce(F.lower(scheme).isin("http", "https"), F.lit(False)) & market.isNotNull()
-    kind = F.when(known, F.when(item.isNotNull(), "url").when(is_seller, "seller").when(best, "bestsellers").when(search, "keyword").when(category, "category"))
-    reason = F.when(~F.coalesce(F.lower(scheme).isin("http", "https"), F.lit(False)), "URL_UNSUPPORTED").when(market.isNull(), "MARKETPLACE_UNSUPPORTED").when(kind.isNull(), "URL_NO_ASIN")
-    return F.struct(
-        kind.alias("type"), market.alias("market"), F.when(kind == "url", item).alias("item"), F.when(kind == "keyword", keyword).alias("keyword"),
-        F.when(kind.isin("keyword", "bestsellers", "category"), F.coalesce(F.when(kind == "keyword", _query(url, "rh")), node)).alias("node"),
+    rows = rows.withColumn("__item", F.coalesce(item_id(F.col("__asin")), in_path))
+    kind = F.when(F.col("__item").isNotNull(), "url").when(is_seller, "seller").when(best, "bestsellers").when(search, "keyword").when(category, "category")
+    rows = rows.withColumn("__kind", F.when(F.col("__web") & F.col("__market").isNotNull(), kind))
+    kind = F.col("__kind")
+    reason = F.when(~F.col("__web"), "URL_UNSUPPORTED").when(F.col("__market").isNull(), "MARKETPLACE_UNSUPPORTED").when(kind.isNull(), "URL_NO_ASIN")
+    found = F.struct(
+        kind.alias("type"), F.col("__market").alias("market"), F.when(kind == "url", F.col("__item")).alias("item"), F.when(kind == "keyword", keyword).alias("keyword"),
+        F.when(kind.isin("keyword", "bestsellers", "category"), F.coalesce(F.when(kind == "keyword", F.col("__rh")), node)).alias("node"),
         F.when(kind == "seller", seller).alias("seller"), reason.alias("reason"),
     )
+    return rows.withColumn(to, found).drop("__item", "__kind", *parts)
 
 
 def product_url(host: Column, item: Column) -> Column:

@@ -1,6 +1,8 @@
-"""The registered queries over the driver's tables."""
+"""All registered queries over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from merchlake.plans import queries_pages, queries_relational, queries_scalar  # noqa: F401  they register themselves
+from merchlake.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
