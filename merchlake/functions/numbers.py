@@ -42,7 +42,7 @@ def localized_number(text: Column, market: Market) -> Column:
 
 
 def half_up(value: Column, places: int = 0) -> Column:
-    """Rounded to places, halves towards plus infinity, after a nudge of one part in 2**52; double."""
+    """Rounded to places, halves towards plus infinity, after a nudge away from zero of one part in 2**52; double."""
     scale = float(10**places)
     nudged = value.cast("double") * F.lit(1.0 + 2.0**-52)
     return F.floor(nudged * scale + 0.5).cast("double") / scale

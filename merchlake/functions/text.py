@@ -57,7 +57,7 @@ def fulfillment(shipper: Column, seller: Column, own_names) -> Column:
 def delivery_date(text: Column) -> Column:
     """The dated part of a delivery text, kept as text: weekday, day and month in either order."""
     days = "(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day|Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag"
-    found = F.regexp_extract(text, f"((?:{days}),?\\s+(?:\\p{{L}}+\\s+)?[0-9]{{1,2}}\\.?(?:st|nd|rd|th)?(?:\\s+\\p{{L}}+)?)", 1)
+    found = F.regexp_extract(text, f"((?:{days}),?\\s+(?:\\p{{L}}+\\s+[0-9]{{1,2}}(?:st|nd|rd|th)?|[0-9]{{1,2}}\\.?(?:st|nd|rd|th)?(?:\\s+\\p{{L}}+)?))", 1)
     return F.nullif(F.trim(found), F.lit(""))
 
 
