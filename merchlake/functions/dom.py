@@ -174,17 +174,23 @@ def _matches(node: Node, steps) -> bool:
     return False
 
 
-def json_blob(html: str, key: str, most: int = 500_000):
-    """The JSON object or array that follows a quoted key and a colon in a script; None if it isn't whole or wrong."""
-    found = re.search(r"""["']?""" + re.escape(key) + r"""["']?\s*[:=]\s*(?=[\[{])""", html)
+def json_slice(html: str, key: str, most: int = 500_000) -> str | None:
+    """Text of the JSON object or array that follows a quoted key in a script; None if it isn't whole or wrong."""
+    found = re.search(r"""["']?\b""" + re.escape(key) + r"""["']?\s*[:=]\s*(?=[\[{])""", html)
     if not found:
         return None
+    text = html[found.end() : found.end() + most]
     try:
-        return json.JSONDecoder().raw_decode(html[found.end() : found.end() + most])[0]
+        return text[: json.JSONDecoder().raw_decode(text)[1]]
     except ValueError:
         return None
 
 
+def json_blob(html: str, key: str, most: int = 500_000):
+    text = json_slice(html, key, most)
+    return None if text is None else json.loads(text)
+
+
 def json_ld(root: Node) -> list[dict]:
     """Objects of all application/ld+json scripts, arrays opened; malformed ones are left out."""
     out = []

@@ -51,8 +51,8 @@ CARD_FIELDS = {
 
 
 def _field(node, selectors, attribute):
-    if selectors is None:
-        return (node.attrs.get(attribute) or "").strip() or None
+    if selectors is None:  # of the node itself
+        return (node.attrs.get(attribute) or "").strip() or None if attribute else dom.squeeze(node.text())
     return node.first_attr(attribute, *selectors) if attribute else node.first_text(*selectors)
 
 
@@ -64,31 +64,34 @@ def _list(root, selectors, attribute):
     return []
 
 
-def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | None = None, html: str = "html") -> DataFrame:
+def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | None = None, maps: dict | None = None, blobs: dict | None = None, html: str = "html") -> DataFrame:
     """pages without html, with a string column a field, an array column a list, and parse_error (null: parsed).
 
-    Unwanted fields are simply not asked for, so they cost nothing.
+    maps (name -> selectors) gives key and value tables as map columns; blobs (name -> key) the JSON text behind a key of
+    an inline script. Unwanted fields are simply not asked for, so they cost nothing.
     """
-    lists = lists or {}
+    lists, maps, blobs = lists or {}, maps or {}, blobs or {}
     kept = [c for c in pages.columns if c != html]
 
     def run(batches):
         for batch in batches:
-            made = {c: [] for c in [*fields, *lists, "parse_error"]}
+            made = {c: [] for c in [*fields, *blobs, *lists, *maps, "parse_error"]}
             for page in batch.column(batch.schema.get_field_index(html)):
                 error, values = None, {}
                 try:
                     root = dom.parse(page.as_py() or "")
                     values = {k: _field(root, *v) for k, v in fields.items()} | {k: _list(root, *v) for k, v in lists.items()}
+                    values |= {k: list(dom.key_values(root, *v).items()) for k, v in maps.items()} | {k: dom.json_slice(page.as_py() or "", v) for k, v in blobs.items()}
                 except Exception as e:  # a page that breaks the parser becomes a row that says so
                     error = f"PARSER_THREW:{type(e).__name__}"
                 for c in made:
                     made[c].append(error if c == "parse_error" else values.get(c))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            columns += [pa.array(v, pa.list_(pa.string()) if c in lists else pa.string()) for c, v in made.items()]
+            kinds = {c: pa.list_(pa.string()) for c in lists} | {c: pa.map_(pa.string(), pa.string()) for c in maps}
+            columns += [pa.array(v, kinds.get(c, pa.string())) for c, v in made.items()]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + [f"`{c}` string" for c in fields] + [f"`{c}` array<string>" for c in lists] + ["parse_error string"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + [f"`{c}` string" for c in [*fields, *blobs]] + [f"`{c}` array<string>" for c in lists] + [f"`{c}` map<string,string>" for c in maps] + ["parse_error string"])
     return pages.mapInArrow(run, schema)
 
 
