@@ -103,3 +103,11 @@ def sanitize_html(html: Column, patterns: list[tuple[str, str]]) -> Column:
     for pattern, replacement in patterns:
         html = F.regexp_replace(html, pattern, replacement)
     return html
+
+
+def location_verified(indicator: Column, postal: Column) -> Column:
+    """Whether a page's place text holds the postal code, or its first five digits if it has four at least; null without a text."""
+    digits = F.substring(F.regexp_replace(postal, "[^0-9]", ""), 1, 5)
+    plain = F.lower(F.regexp_replace(indicator, "\\s+", ""))
+    code = F.lower(F.regexp_replace(postal, "\\s+", ""))
+    return F.when(indicator.isNotNull(), F.contains(plain, code) | ((F.length(digits) >= 4) & F.contains(plain, digits)))
