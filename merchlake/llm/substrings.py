@@ -4,7 +4,8 @@ Each window of k words is an edge between its first and its last k-1 words. Edge
 shuffle, an edge seen in a smaller document gets that document's position as its source, and only such
 repeated edges go on. In a shuffle by document consecutive edges whose sources are consecutive too
 are compacted into one path (a path ends where the graph branches, since there the source changes).
-Every path is then held against its source's coordinates, word by word, in the join with the texts.
+Every path is then held against its source's coordinates, word by word, in the join with the texts; windows of a path
+that differs from its source (two windows share a 64-bit hash) are looked up by their words in all texts.
 
 What is sent: for each edge 8 bytes of hash and two or so of coordinates, packed by task and bucket. A task
 first combines its own edges, so an edge that half the corpus holds is sent once by each task.
@@ -13,6 +14,7 @@ first combines its own edges, so an edge that half the corpus holds is sent once
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,10 @@ from merchlake.llm import common
 from merchlake.llm.common import bucket_of, dealt, identified, materialize, pack, shuffle_width, unpack
 
 K = 13
-FLUSH_WINDOWS = 1_000_000
+FLUSH_WINDOWS = 500_000
+SLICE_BYTES = 1 << 20
+#: Hashes of unsettled windows that go to all tasks at a time.
+LOOKUP_HASHES = 500_000
 EDGES, PATHS = 0, 1
 _PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("body", pa.binary())])
 
@@ -50,9 +55,19 @@ def _sources(hashes, order, row, pos):
     return order > order[source], source
 
 
-def _emit(seed: int, k: int, buckets: int):
-    salt = np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+def _windows(batch: pa.RecordBatch, k: int, bits: int):
+    """Hash, row of the batch and place of each window of k words of one text; column 2 holds the texts."""
+    data, off = common.utf8(batch.column(2))
+    starts, ends, first = common.word_bounds(data, off)
+    hashes = common.window_hashes(common.span_hashes(data, starts, ends), k)
+    if not len(hashes):
+        return hashes, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of = common.row_of(first)
+    whole = np.flatnonzero(of[: len(hashes)] == of[k - 1 :])
+    return hashes[whole] & np.uint64(2**64 - 2 ** (64 - bits)), of[whole], whole - first[of[whole]]
 
+
+def _emit(k: int, buckets: int, bits: int):
     def run(batches):
         held, n, serial = [], 0, 0
 
@@ -77,17 +92,12 @@ def _emit(seed: int, k: int, buckets: int):
             serial += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), _PARTS.types)], schema=_PARTS)
 
-        for batch in common.slices(batches):
-            data, off = common.utf8(batch.column(2))
-            starts, ends, first = common.word_bounds(data, off)
-            windows = common.window_hashes(common.span_hashes(data, starts, ends) ^ salt, k)
-            if len(windows):
-                of = common.row_of(first)
-                whole = np.flatnonzero(of[: len(windows)] == of[k - 1 :])
-                of = of[whole]
+        for batch in common.slices(batches, most=SLICE_BYTES):
+            hashes, of, pos = _windows(batch, k, bits)
+            if len(hashes):
                 rows, orders = (np.asarray(batch.column(i), np.int64) for i in (0, 1))
-                held.append((windows[whole], orders[of], rows[of], whole - first[of]))
-                n += len(whole)
+                held.append((hashes, orders[of], rows[of], pos))
+                n += len(hashes)
             if n >= FLUSH_WINDOWS:
                 yield flush()
                 held, n = [], 0
@@ -146,21 +156,28 @@ def _compact(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c).cast(t) for c, t in zip((r[first], p[first], length, s[first], a[first]), _PATH.types)], schema=_PATH)
 
 
+_CHECK = pa.struct([("row", pa.int64()), ("start", pa.int32()), ("src", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())])
+_CHECK_SQL = "array<struct<row:bigint,start:int,src:bigint,at:int,n:int,digest:binary>>"
+
+
+def _digest(words) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def _remove(k: int, with_text: bool):
-    """Words not covered by a path, and digests of the words of every path at both its ends."""
+    """Words not covered by a path, and digests of the words of every path at both its ends. Columns: row, doc_id, text, spans, others."""
 
     def run(batches):
         for batch in common.slices(batches):
             out = []
-            others = batch.columns[3:]
-            for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for row, doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 words = (text or "").encode().split()
                 gone, checks = [], []
                 for s in spans or ():
                     # as a target the path stands at start, as a source at its own coordinates
                     here = s["start"] if s["target"] else s["at"]
-                    digest = hashlib.blake2b(b" ".join(words[here : here + s["n"] + k - 1]), digest_size=12).digest()
-                    checks.append({"src": s["src"], "at": s["at"], "n": s["n"], "digest": digest})
+                    if s["src"] is not None:
+                        checks.append({**{c: s[c] for c in ("src", "at", "n")}, "row": row if s["target"] else None, "start": s["start"], "digest": _digest(words[here : here + s["n"] + k - 1])})
                     if s["target"]:
                         gone.append((here, here + s["n"] + k - 1))
                 kept, at = [], 0
@@ -169,57 +186,116 @@ def _remove(k: int, with_text: bool):
                     at = max(at, b)
                 kept += words[at:]
                 left = b" ".join(kept)
-                row = [doc, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest()]
-                out.append((*row, *([left.decode() if gone else text] if with_text else []), checks))
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []), "checks"]
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), *([pa.string()] if with_text else []), pa.list_(pa.struct([("src", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out), kinds)), *others], names=[*names, *batch.schema.names[3:]])
+                out.append((row, doc, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), *([left.decode() if gone else text] if with_text else []), checks))
+            names = ["__row", "doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []), "checks"]
+            kinds = [pa.int64(), batch.schema.field(1).type, pa.int64(), pa.int64(), pa.string(), *([pa.string()] if with_text else []), pa.list_(_CHECK)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out), kinds)), *batch.columns[4:]], names=[*names, *batch.schema.names[4:]])
+
+    return run
+
+
+def _spell(k: int, bits: int):
+    """Hash and digest of each window of the unsettled paths. Columns: row, ord, text, spans."""
+
+    def run(batches):
+        for batch in common.slices(batches):
+            hashes, of, pos = _windows(batch, k, bits)
+            by = {(int(r), int(p)): int(h) for h, r, p in zip(hashes.view(np.int64), of, pos)}
+            out = []
+            for i, (row, order, text, spans) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                words = (text or "").encode().split()
+                out += [(row, order, p, by[i, p], _digest(words[p : p + k])) for s in spans for p in range(s["start"], s["start"] + s["n"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["row", "ord", "pos", "hash", "digest"])
+
+    return run
+
+
+def _find(shared, k: int, bits: int):
+    """Digest and order of every window whose hash is asked for. Columns: row, ord, text."""
+
+    def run(batches):
+        wanted = np.sort(np.array(shared.value, np.int64))
+        for batch in common.slices(batches):
+            hashes, of, pos = _windows(batch, k, bits)
+            hit = np.flatnonzero(np.isin(hashes.view(np.int64), wanted))
+            text, orders, words = batch.column(2), batch.column(1).to_pylist(), {}
+            out = []
+            for i, p in zip(of[hit].tolist(), pos[hit].tolist()):
+                if i not in words:
+                    words = {i: text[i].as_py().encode().split()}  # hits come row by row
+                out.append((_digest(words[i][p : p + k]), orders[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 2, (pa.binary(), pa.int64()))], names=["digest", "ord"])
 
     return run
 
 
-def repeated_paths(rows: DataFrame, k: int = K, seed: int = 1) -> DataFrame:
+def repeated_paths(rows: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
     """Compacted paths of rows(__row, __ord, text): row, start, n edges, src row, at (its position there).
 
-    Every edge of a path also starts in a row of smaller __ord.
+    Every edge of a path also starts, by its hash, in a row of smaller __ord.
     """
-    spark = rows.sparkSession
-    width = shuffle_width(spark)
+    width = shuffle_width(rows.sparkSession)
     parts = "part int, kind byte, body binary"
-    edges = rows.select("__row", "__ord", "text").mapInArrow(_emit(seed, k, 4 * width), parts)
+    edges = rows.select("__row", "__ord", "text").mapInArrow(_emit(k, 4 * width, bits), parts)
     met = materialize(edges.groupBy("part").applyInArrow(_meet(width), parts), "path-edges")
     return materialize(met.groupBy("part").applyInArrow(_compact, "row long, start int, n int, src long, at int"), "paths")
 
 
-def dedup_substrings(docs: DataFrame, k: int = K, with_text: bool = False, attempts: int = 3, keep: list[str] | None = None) -> DataFrame:
+def _settle_by_words(rows: DataFrame, unsettled: DataFrame, k: int, bits: int) -> DataFrame:
+    """(row, start, n = 1) of the windows of unsettled(row, start, n) that start in a row of smaller __ord, by their words."""
+    spark = rows.sparkSession
+    asked = unsettled.groupBy(F.col("row").alias("__r")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    texts = rows.join(asked, rows["__row"] == asked["__r"]).select("__row", "__ord", "text", "spans")
+    windows = materialize(texts.mapInArrow(_spell(k, bits), "row long, ord long, pos int, hash long, digest binary"), "unsettled-windows")
+    hashes = windows.select("hash").distinct()
+    blocks = -(-hashes.count() // LOOKUP_HASHES)
+    found = []
+    for b in range(blocks):  # hashes that collide are few; in blocks they may be any number
+        some = [r[0] for r in hashes.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b).collect()]
+        shared = spark.sparkContext.broadcast(some)
+        first = rows.select("__row", "__ord", "text").mapInArrow(_find(shared, k, bits), "digest binary, ord long").groupBy("digest").agg(F.min("ord").alias("first"))
+        found.append(materialize(windows.join(first, "digest").where("ord > first").select("row", F.col("pos").alias("start"), F.lit(1).alias("n")), "settled-windows"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def dedup_substrings(docs: DataFrame, k: int = K, with_text: bool = False, keep: list[str] | None = None, bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, if with_text) for every row of docs(doc_id, text).
 
     Words are [^\\x20\\x09-\\x0D]+ (null or empty text: none). A word goes if a window of k words that covers it
     also starts in a row of smaller doc_id (null: after all others); rows of equal doc_id don't
     remove from one another. kept is the text as it is where nothing goes, else the kept words joined by spaces.
-    If a path's words differ from its source's, two windows share a 64-bit hash; then all is done
-    again with another hash. Columns named in `keep` come along as __keep_<name>, others are ignored; an empty
-    table gives no rows.
+    Columns named in `keep` come along as __keep_<name>, others are ignored; an empty table gives no rows. bits: of a
+    window's hash; with fewer, more windows are settled by their words.
     """
     rows = identified(docs, "substring-rows", keep or [])
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = [f"__keep_{c}" for c in keep or []]
     types = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in more)
-    kept = "kept string," if with_text else ""
-    done_type = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, {kept} checks array<struct<src:bigint,at:int,n:int,digest:binary>>{types}"
-    for seed in range(1, attempts + 1):
-        paths = repeated_paths(rows, k, seed)
-        ends = paths.select(F.col("row").alias("__r"), F.struct(F.lit(True).alias("target"), "start", "n", "src", "at").alias("s"))
-        # a source is asked once for each of its intervals, however many documents copy it
-        origin = paths.select(F.col("src").alias("__r"), F.struct(F.lit(False).alias("target"), F.lit(0).alias("start"), "n", "src", "at").alias("s")).distinct()
-        spans = ends.unionByName(origin).groupBy("__r").agg(F.collect_list("s").alias("spans"))
-        joined = rows.join(spans, rows["__row"] == spans["__r"], "left").select("doc_id", "text", "spans", *more)
-        done = materialize(joined.mapInArrow(_remove(k, with_text), done_type), "substring-kept")
-        checks = done.select(F.explode("checks").alias("c")).groupBy("c.src", "c.at", "c.n")
-        wrong = checks.agg((F.min("c.digest") != F.max("c.digest")).alias("differ")).where("differ").limit(1)
-        if not wrong.count():
-            return done.drop("checks")
-    raise RuntimeError(f"windows collide under {attempts} hash functions")
+    kind = f"__row long, doc_id {kind}, n_words long, n_removed long, kept_sha256 string, {'kept string,' if with_text else ''} checks {_CHECK_SQL}{types}"
+
+    def removed(rows: DataFrame, spans: DataFrame) -> DataFrame:
+        listed = spans.groupBy("__r").agg(F.collect_list("s").alias("spans"))
+        joined = rows.join(listed, rows["__row"] == listed["__r"], "left").select("__row", "doc_id", "text", "spans", *more)
+        return joined.mapInArrow(_remove(k, with_text), kind)
+
+    paths = repeated_paths(rows, k, bits)
+    ends = paths.select(F.col("row").alias("__r"), F.struct(F.lit(True).alias("target"), "start", "n", "src", "at").alias("s"))
+    # a source is asked once for each of its intervals, however many documents copy it
+    origin = paths.select(F.col("src").alias("__r"), F.struct(F.lit(False).alias("target"), F.lit(0).alias("start"), "n", "src", "at").alias("s")).distinct()
+    done = materialize(removed(rows, ends.unionByName(origin)), "substring-kept")
+    checks = done.select(F.explode("checks").alias("c")).select("c.*")
+    differ = checks.groupBy("src", "at", "n").agg((F.min("digest") != F.max("digest")).alias("differ")).where("differ")
+    if differ.limit(1).count():
+        source = checks.where("row IS NULL").select("src", "at", "n", F.col("digest").alias("own"))
+        unsettled = materialize(checks.where("row IS NOT NULL").join(source, ["src", "at", "n"]).where("digest <> own").select("row", "start", "n"), "unsettled")
+        again = unsettled.select("row").distinct()
+        good = paths.select("row", "start", "n").join(again, "row", "left_semi").join(unsettled, ["row", "start", "n"], "left_anti")
+        spans = good.unionByName(_settle_by_words(rows, unsettled, k, bits))
+        nothing = [F.lit(None).cast("long").alias("src"), F.lit(None).cast("int").alias("at")]
+        spans = spans.select(F.col("row").alias("__r"), F.struct(F.lit(True).alias("target"), "start", "n", *nothing).alias("s"))
+        mended = removed(rows.join(again.withColumnRenamed("row", "__row"), "__row", "left_semi"), spans)
+        done = done.join(again.withColumnRenamed("row", "__row"), "__row", "left_anti").unionByName(mended)
+    return done.drop("__row", "checks")
 
 
 def strip_repeats(docs: DataFrame, **options) -> DataFrame:

@@ -256,3 +256,10 @@ def test_empty_tables(spark, empty):
     assert licences.scan_licences(empty).count() == 0
     assert pieces.encode_pieces(empty, n_best=2).count() == 0
     assert toxicity.detect_toxicity(empty, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_substrings_settle_collisions_by_words(documents, odd):
+    for docs, bits in ((documents, 14), (odd, 6)):
+        docs = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 30_000)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(docs, bits=bits).collect()}
+        assert got == brute.substrings(pairs(docs))
