@@ -92,5 +92,5 @@ def stop_reason(aborted: Column, done: Column, ceiling: int, capped: Column, sta
 def run_summary(records: DataFrame, attempts: DataFrame) -> DataFrame:
     """One row from records(status) and attempts(blocked_attempts): counts of every status, of attempts and blocks, and their rate."""
     counts = records.agg(F.count(F.lit(1)).alias("settled"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES])
-    fetches = attempts.agg(F.count(F.lit(1)).alias("attempts"), F.count_if("blocked_attempts").alias("blocked_attempts"))
-    return counts.crossJoin(fetches).withColumn("block_rate", rate(F.col("blocked_attempts"), F.col("attempts")))  # one row each
+    seen, blocked = attempts.agg(F.count(F.lit(1))).scalar(), attempts.agg(F.count_if("blocked_attempts")).scalar()
+    return counts.withColumns({"attempts": seen, "blocked_attempts": blocked}).withColumn("block_rate", rate(F.col("blocked_attempts"), F.col("attempts")))

@@ -136,6 +136,5 @@ def merge_provenance(rows: DataFrame, key: str, seq: str, what: list[str]) -> Da
 
 def cut_at_capacity(rows: DataFrame, seq: str, cap: int) -> DataFrame:
     """status SELECTED for the first `cap` rows by seq (unique), RUN_ABORTED for the rest. No global sort of all rows."""
-    edge = rows.select(seq).orderBy(seq).limit(cap).agg(F.max(seq).alias("__edge"))  # one row
-    inside = F.coalesce(F.col(seq) <= F.col("__edge"), F.lit(False))
-    return rows.crossJoin(F.broadcast(edge)).withColumn("status", F.when(inside, "SELECTED").otherwise("RUN_ABORTED")).drop("__edge")
+    edge = rows.select(seq).orderBy(seq).limit(cap).agg(F.max(seq)).scalar()
+    return rows.withColumn("status", F.when(F.coalesce(F.col(seq) <= edge, F.lit(False)), "SELECTED").otherwise("RUN_ABORTED"))

@@ -46,9 +46,8 @@ def html_page_class(spark, sf):
   SELECT status, count(*) AS items, (SELECT count(*) FROM s) = (SELECT count(*) FROM pages) AS settled FROM s GROUP BY status""")
 def page_status_ledger(spark, sf):
     counts = ledger.status_counts(classified(spark, sf))
-    work = table(spark, sf, "pages").agg(F.count(F.lit(1)).alias("work"))
-    total = counts.agg(F.sum("items").alias("total")).crossJoin(work).select((F.col("total") == F.col("work")).alias("settled"))  # one row each
-    return counts.crossJoin(F.broadcast(total))
+    work = table(spark, sf, "pages").agg(F.count(F.lit(1))).scalar()
+    return counts.withColumn("settled", counts.agg(F.sum("items")).scalar() == work)
 
 
 @query("html_link_cards", """WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links FROM pages)
