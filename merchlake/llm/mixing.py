@@ -30,14 +30,15 @@ def source_budgets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     ranked = ranked.withColumn("__weight", F.element_at(F.array(*[F.lit(int(w)).cast("long") for w in weights]), turn + 1))
     ranked = ranked.withColumns({"__cap": F.lit(max_repeats).cast("long") * F.col("source_size"), "__fill": F.lit(max_repeats).cast("double") * F.col("source_size") / F.col("__weight")})
     filled = running_total(ranked, ["__fill", "__rank"], {"__caps": "__cap", "__weights": "__weight"}, "mix-fill")
-    whole = filled.agg(F.sum("source_size").alias("__all"), F.sum("__weight").alias("__w"))
-    level = (F.col("__all") - (F.col("__caps") - F.col("__cap"))).cast("double") / (F.col("__w") - (F.col("__weights") - F.col("__weight"))).cast("double")
-    filled = filled.crossJoin(F.broadcast(whole)).withColumn("__level", level)  # one row of totals
+    everything, all_weights = filled.agg(F.sum("source_size")).scalar(), filled.agg(F.sum("__weight")).scalar()
+    level = (everything - (F.col("__caps") - F.col("__cap"))).cast("double") / (all_weights - (F.col("__weights") - F.col("__weight"))).cast("double")
+    filled = filled.withColumn("__level", level)
     open_ = F.col("__cap") > F.col("__weight") * F.col("__level")
-    first = filled.agg(F.min(F.when(open_, F.struct("__fill", "__rank", "__level"))).alias("__first"))
-    capped = F.col("__first").isNull() | (F.struct("__fill", "__rank") < F.struct(F.col("__first")["__fill"].alias("__fill"), F.col("__first")["__rank"].alias("__rank")))
-    target = F.when(capped, F.col("__cap").cast("double")).otherwise(F.col("__weight") * F.col("__first")["__level"])
-    out = filled.crossJoin(F.broadcast(first)).withColumn("target", target)  # one row again
+    # the first source that its share doesn't fill sets the level of all after it
+    first = filled.agg(F.min(F.when(open_, F.struct("__fill", "__rank", "__level")))).scalar()
+    filled = filled.withColumn("__first", first)
+    capped = F.col("__first").isNull() | (F.col("__fill") < F.col("__first.__fill")) | ((F.col("__fill") == F.col("__first.__fill")) & (F.col("__rank") < F.col("__first.__rank")))
+    out = filled.withColumn("target", F.when(capped, F.col("__cap").cast("double")).otherwise(F.col("__weight") * F.col("__first.__level")))
     budget = F.least(F.col("__cap"), F.floor(F.col("target") + 0.5).cast("long"))
     return out.select("source", "n_rows", "source_size", "target", budget.alias("budget"))
 
