@@ -27,12 +27,12 @@ def plan_union(spark, sf):
     return plan.union_sources([asked, known], "key", "seq")
 
 
-@query("dataset_ingest", """WITH f AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'https://www.amazon.com/dp/B000000001' WHEN 1 THEN ' c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') WHEN 2 THEN 'bad' WHEN 3 THEN NULL ELSE ' ' END AS v FROM customer)
+@query("dataset_ingest", """WITH f AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'https://shop.example.org/dp/B000000001' WHEN 1 THEN ' c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') WHEN 2 THEN 'bad' WHEN 3 THEN NULL ELSE ' ' END AS v FROM customer)
   SELECT c_custkey AS row, trim(v) AS value, CASE c_custkey % 5 WHEN 0 THEN 'url' WHEN 1 THEN 'asin' END AS kind,
   CASE c_custkey % 5 WHEN 2 THEN 'ASIN_MALFORMED' WHEN 3 THEN 'DATASET_FIELD_MISSING' WHEN 4 THEN 'DATASET_FIELD_MISSING' END AS reason, 'ds#' || c_custkey || ':asin' AS ref FROM f""")
 def dataset_ingest(spark, sf):
     k = F.col("c_custkey")
-    value = F.when(k % 5 == 0, F.lit("https://www.amazon.com/dp/B000000001")).when(k % 5 == 1, F.concat(F.lit(" c"), F.lpad(k.cast("string"), 9, "0"))).when(k % 5 == 2, "bad").when(k % 5 == 4, " ")
+    value = F.when(k % 5 == 0, F.lit("https://shop.example.org/dp/B000000001")).when(k % 5 == 1, F.concat(F.lit(" c"), F.lpad(k.cast("string"), 9, "0"))).when(k % 5 == 2, "bad").when(k % 5 == 4, " ")
     return plan.ingest(table(spark, sf, "customer").select("c_custkey", value.alias("asin")), "asin", "c_custkey", "ds")
 
 

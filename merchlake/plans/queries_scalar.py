@@ -149,7 +149,7 @@ def page_url_next(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.with_page(F.col("url"), F.lit(7)).alias("next_url"))
 
 
-@query("url_build", f"""SELECT p_partkey, 'https://www.amazon.de/dp/' || {_ID} AS product, 'https://www.amazon.de/s?k=' || p_type || CASE WHEN p_size % 3 + 1 > 1 THEN '&page=' || CAST(p_size % 3 + 1 AS VARCHAR) ELSE '' END AS search FROM part""")
+@query("url_build", f"""SELECT p_partkey, 'https://{MARKETS["DE"].host}/dp/' || {_ID} AS product, 'https://{MARKETS["DE"].host}/s?k=' || p_type || CASE WHEN p_size % 3 + 1 > 1 THEN '&page=' || CAST(p_size % 3 + 1 AS VARCHAR) ELSE '' END AS search FROM part""")
 def url_build(spark, sf):
     item, host = F.concat(F.lit("B"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")), F.lit(MARKETS["DE"].host)
     return table(spark, sf, "part").select("p_partkey", urls.product_url(host, item).alias("product"), urls.search_url(host, F.col("p_type"), F.col("p_size") % 3 + 1).alias("search"))
