@@ -94,7 +94,10 @@ def coupon(text: Column) -> Column:
 
 def lookup_label(table: Column, labels) -> Column:
     """Value of the first label (then the first key) of a map whose key holds it, in any case."""
-    found = [F.get(F.filter(F.map_entries(table), lambda e, label=label: F.contains(F.lower(e["key"]), F.lit(label.lower()))), 0)["value"] for label in labels]
+    def value(label):
+        return F.get(F.filter(F.map_entries(table), lambda e: F.contains(F.lower(e["key"]), F.lit(label.lower()))), 0)["value"]
+
+    found = [value(label) for label in labels]
     return F.coalesce(*found)
 
 

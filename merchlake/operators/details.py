@@ -50,6 +50,10 @@ BUSINESS_ADDRESS = ("business address", "adresse commerciale", "geschäftsadress
 LEGAL = "(?i)vat|ust-id|iva|tva|partita|registro|register|siret|nif|cif"
 FEEDBACK = {"positive": "positiv|positif", "neutral": "neutr", "negative": "negativ|négatif"}
 MAIN_IMAGE = ("#landingImage", "#imgTagWrapperId img", "#imgBlkFront")
+VARIANT_FIELDS = {"variant_parent": (("#twister", "#twister-plus-inline-twister", '[id^="variation_"]'), "id")}
+MEDIA_FIELDS = {"sizes": (MAIN_IMAGE, "data-a-dynamic-image"), "src": (MAIN_IMAGE, "src")}
+MEDIA_LISTS = {"thumbs": (("#altImages li img", "#imageBlockThumbs img"), "src")}
+MEDIA_BLOBS = {"gallery": "colorImages", "films": "videos"}
 VARIANT_BLOBS = {"matrix": "dimensionValuesDisplayData", "display": "dimensionsDisplay", "labels": "variationDisplayLabels", "dimensions": "dimensions"}
 
 
@@ -134,25 +138,35 @@ def variants(pages: DataFrame, key: str, mode: str = "discover", most: int = 50)
     if mode == "none":
         empty = F.array().cast("array<struct<item:string,options:map<string,string>>>")
         return pages.select(key, F.array().cast("array<string>").alias("dimensions"), empty.alias("items"), F.lit(False).alias("truncated"), F.lit("NOT_APPLICABLE").alias("status"))
-    found = extract.extract_fields(pages.select(key, "html"), {"parent": (("#twister", "#twister-plus-inline-twister", '[id^="variation_"]'), "id")}, blobs=VARIANT_BLOBS)
+    found = extract.extract_fields(pages.select(key, "html"), VARIANT_FIELDS, blobs=VARIANT_BLOBS)
+    return variants_block(found, most).select(key, "variants.*")
+
+
+def variants_block(found: DataFrame, most: int = 50) -> DataFrame:
+    """found (with VARIANT_FIELDS and VARIANT_BLOBS) and a variants struct."""
     matrix = F.from_json("matrix", "map<string,array<string>>")
     rows = F.filter(F.map_entries(matrix), lambda e: e["key"].rlike("^[A-Z0-9]{10}$") & (F.size(e["value"]) > 0))
     raw = F.transform(F.from_json("dimensions", "array<string>"), lambda d: F.initcap(F.replace(F.regexp_replace(d, "_name$", ""), F.lit("_"), F.lit(" "))))
     named = F.coalesce(F.from_json("display", "array<string>"), F.when(F.startswith("labels", F.lit("[")), F.from_json("labels", "array<string>")), F.map_values(F.from_json("labels", "map<string,string>")), raw)
-    found = found.withColumns({"rows": F.array_sort(rows), "named": F.coalesce(named, F.array().cast("array<string>"))})
-    found = found.withColumn("width", F.array_max(F.transform("rows", lambda e: F.size(e["value"]))))
-    label = F.transform(F.sequence(F.lit(1), F.greatest("width", F.lit(1))), lambda i: F.coalesce(F.get(F.col("named"), i - 1), F.concat(F.lit("Option "), i.cast("string"))))
-    found = found.withColumn("dims", F.when(F.col("width").isNull(), F.array().cast("array<string>")).when(F.size("named") == F.col("width"), F.col("named")).otherwise(label))
-    items = F.transform(F.slice("rows", 1, most), lambda e: F.struct(e["key"].alias("item"), F.map_from_arrays(F.slice(F.col("dims"), F.lit(1), F.size(e["value"])), e["value"]).alias("options")))
-    some = F.coalesce(F.size("rows"), F.lit(0)) > 0
-    status = F.when(some, "EXTRACTED").when(F.col("parent").isNotNull(), "PARSER_MISS").otherwise("NOT_PRESENT")
-    return found.select(key, F.col("dims").alias("dimensions"), F.when(some, items).otherwise(F.array()).alias("items"), (some & (F.size("rows") > most)).alias("truncated"), status.alias("status"))
+    found = found.withColumns({"__rows": F.array_sort(rows), "__named": F.coalesce(named, F.array().cast("array<string>"))})
+    found = found.withColumn("__width", F.array_max(F.transform("__rows", lambda e: F.size(e["value"]))))
+    label = F.transform(F.sequence(F.lit(1), F.greatest("__width", F.lit(1))), lambda i: F.coalesce(F.get(F.col("__named"), i - 1), F.concat(F.lit("Option "), i.cast("string"))))
+    found = found.withColumn("__dims", F.when(F.col("__width").isNull(), F.array().cast("array<string>")).when(F.size("__named") == F.col("__width"), F.col("__named")).otherwise(label))
+    items = F.transform(F.slice("__rows", 1, most), lambda e: F.struct(e["key"].alias("item"), F.map_from_arrays(F.slice(F.col("__dims"), F.lit(1), F.size(e["value"])), e["value"]).alias("options")))
+    some = F.coalesce(F.size("__rows"), F.lit(0)) > 0
+    status = F.when(some, "EXTRACTED").when(F.col("variant_parent").isNotNull(), "PARSER_MISS").otherwise("NOT_PRESENT")
+    block = F.struct(F.col("__dims").alias("dimensions"), F.when(some, items).otherwise(F.array()).alias("items"), (some & (F.size("__rows") > most)).alias("truncated"), status.alias("status"))
+    return found.withColumn("variants", block).drop("__rows", "__named", "__width", "__dims")
 
 
 def media(pages: DataFrame, key: str) -> DataFrame:
     """key, mainImage, images, videos, status: the gallery's JSON, else the main image's sizes (widest first), its source, thumbnails."""
-    fields = {"sizes": (MAIN_IMAGE, "data-a-dynamic-image"), "src": (MAIN_IMAGE, "src")}
-    found = extract.extract_fields(pages.select(key, "html"), fields, {"thumbs": (("#altImages li img", "#imageBlockThumbs img"), "src")}, blobs={"gallery": "colorImages", "films": "videos"})
+    found = extract.extract_fields(pages.select(key, "html"), MEDIA_FIELDS, MEDIA_LISTS, blobs=MEDIA_BLOBS)
+    return media_block(found).select(key, "media.*")
+
+
+def media_block(found: DataFrame) -> DataFrame:
+    """found (with MEDIA_FIELDS, MEDIA_LISTS and MEDIA_BLOBS) and a media struct."""
     initial = F.from_json("gallery", "struct<initial:array<struct<hiRes:string,large:string,thumb:string>>>")["initial"]
     gallery = F.transform(initial, lambda e: F.coalesce(e["hiRes"], e["large"], e["thumb"]))
     sizes = F.map_entries(F.from_json("sizes", "map<string,array<int>>"))
@@ -162,4 +176,4 @@ def media(pages: DataFrame, key: str) -> DataFrame:
     every = F.concat(first, web(F.array("src")), web(F.coalesce("thumbs", F.array())))
     images = F.array_distinct(F.transform(F.array_compact(every), max_resolution))
     films = F.array_distinct(F.coalesce(web(F.transform(F.from_json("films", "array<struct<url:string>>"), lambda v: v["url"])), F.array()))
-    return found.select(key, F.get(images, 0).alias("mainImage"), images.alias("images"), films.alias("videos"), F.when(F.size(images) > 0, "EXTRACTED").otherwise("PARSER_MISS").alias("status"))
+    return found.withColumn("media", F.struct(F.get(images, 0).alias("mainImage"), images.alias("images"), films.alias("videos"), F.when(F.size(images) > 0, "EXTRACTED").otherwise("PARSER_MISS").alias("status")))

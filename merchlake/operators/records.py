@@ -78,7 +78,9 @@ def empty_block(name: str, status: str | None = None) -> Column:
 
 
 def _shaped(column: Column, given: T.DataType, wanted: T.DataType) -> Column:
-    """column brought to the fields of a wanted struct: known ones cast, missing ones null."""
+    """column brought to the fields of a wanted struct (or array of structs): known ones cast, missing ones null."""
+    if isinstance(wanted, T.ArrayType) and isinstance(given, T.ArrayType) and isinstance(wanted.elementType, T.StructType):
+        return F.transform(column, lambda e: _shaped(e, given.elementType, wanted.elementType))
     if not isinstance(wanted, T.StructType) or not isinstance(given, T.StructType):
         return column.cast(wanted)
     names = set(given.names)

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.functions.markets import MARKETS, Market
-from merchlake.functions.numbers import count, demand, first_money, rating
+from merchlake.functions.numbers import count, demand, discount_percent, first_money, rating
 from merchlake.functions.urls import dedupe_key
-from merchlake.operators import compare, discover, extract, ledger, quality
+from merchlake.functions.text import delivery_date, lookup_label, rank_lines, strip_label
+from merchlake.operators import compare, details, discover, extract, ledger, quality, records
 from merchlake.operators.plan import Options
 
 
@@ -56,6 +57,64 @@ def product_records(work: DataFrame, captures: DataFrame, options: Options, stub
     return rows.select("key", "item", "merged", "status", "title", "brand", "pricing", "stock", "ratings", "bullets", "completeness", "missing", "parse_error")
 
 
+def _money(minor: Column, market: Market, raw: Column) -> Column:
+    return F.when(minor.isNotNull(), F.struct((minor / 100).cast("decimal(18,2)").alias("amount"), F.lit(market.currency).alias("currency"), raw.alias("raw")))
+
+
+def full_records(captures: DataFrame, options: Options, own_names: tuple[str, ...] = ()) -> DataFrame:
+    """The last capture of each product as a record of 27 columns, with the blocks of options; others are NOT_APPLICABLE.
+
+    One page function finds the texts of all blocks that are asked for, and of no others.
+    """
+    market = MARKETS[options.market]
+    wanted = set(options.blocks)
+    fields = {k: v for k, v in extract.PRODUCT_FIELDS.items() if k != "item"}
+    lists, maps, blobs = {}, {}, {}
+    if "product" in wanted:
+        lists |= {k: extract.PRODUCT_LISTS[k] for k in ("bullets", "breadcrumb")}
+        maps |= {"specs": ("#productDetails_techSpec_section_1", "#productOverview_feature_div", "#detailBullets_feature_div")}
+    if "buyBox" in wanted:
+        fields |= details.BUYBOX_FIELDS
+    if "variants" in wanted:
+        fields, blobs = fields | details.VARIANT_FIELDS, blobs | details.VARIANT_BLOBS
+    if "media" in wanted:
+        fields, lists, blobs = fields | details.MEDIA_FIELDS, lists | details.MEDIA_LISTS, blobs | details.MEDIA_BLOBS
+    pages = captures.where((F.col("label") == "PRODUCT") & (F.col("market") == options.market) & F.col("ok"))
+    last = compare.latest(pages.select("lookup_key", "seq", "received_at", "html"), ["lookup_key"], ["seq"])
+    found = extract.extract_fields(last, fields, lists, maps, blobs)
+    rows = extract.product_blocks(found, market)
+    now, listed = F.col("pricing.currentPrice"), F.col("pricing.listPrice")
+    seller = strip_label(F.col("seller"), ("Sold by", "Ships from and sold by"))
+    made = {
+        "scrapedAt": F.col("received_at"), "marketplace": F.lit(options.market), "item": F.col("lookup_key"), "input": F.struct(F.lit("item").alias("type"), F.col("lookup_key").alias("value")),
+        "canonicalUrl": F.concat(F.lit(f"https://{market.host}/dp/"), F.col("lookup_key")),
+        "retrieval": F.struct(F.lit(options.profile).alias("profile"), F.array(*[F.lit(b) for b in options.blocks]).cast("array<string>").alias("requestedBlocks"), F.lit(ledger.select_event(options.mode, options.blocks)).alias("billingEvent")),
+        "pricing": F.struct(_money(now, market, F.col("price")).alias("currentPrice"), _money(listed, market, F.col("list_price")).alias("listPrice"), _money(listed - now, market, F.lit(None).cast("string")).alias("discountAmount"),
+                            discount_percent(now, listed).alias("discountPercent"), F.col("pricing.status").alias("status")),
+        "availability": F.struct(F.col("stock.state").alias("state"), F.col("stock.inStock").alias("inStock"), F.col("stock.text").alias("availabilityText"), delivery_date(F.col("availability")).alias("deliveryDate"), seller.alias("soldBy"), F.col("stock.status").alias("status")),
+        "quality": F.struct(F.array_compact(F.array(F.col("parse_error"))).alias("warnings"), F.lit("1").alias("parserVersion")),
+    }
+    lines = rank_lines(F.col("ranks"), market.rank_join)
+    if "rankings" in wanted:
+        made["rankings"] = F.struct(F.get(lines, 0)["rank"].alias("mainBSR"), F.get(lines, 0)["category"].alias("mainBSRCategory"), lines.alias("all"),
+                                    F.when(F.size(lines) > 0, "EXTRACTED").when(F.col("ranks").isNotNull(), "PARSER_MISS").otherwise("NOT_PRESENT").alias("status"))
+    if "product" in wanted:
+        some = (F.size("bullets") > 0) | F.col("description").isNotNull() | (F.size("specs") > 0)
+        made["product"] = F.struct("bullets", "description", F.col("specs").alias("specifications"), lookup_label(F.col("specs"), ("manufacturer", "hersteller", "fabricant", "produttore", "fabricante")).alias("manufacturer"),
+                                   lookup_label(F.col("specs"), ("model", "modell", "modèle", "modello", "modelo")).alias("model"), "breadcrumb", F.when(some, "EXTRACTED").otherwise("PARSER_MISS").alias("status"))
+    if "buyBox" in wanted:
+        rows = details.buybox(rows, market, own_names)
+        b = F.col("buybox")
+        made["buyBox"] = F.struct(b["present"].alias("present"), b["seller"].alias("seller"), b["sellerId"].alias("sellerId"), _money(b["price"], market, F.col("box_price")).alias("price"), b["shipsFrom"].alias("shipsFrom"),
+                                  b["fulfillment"].alias("fulfillment"), (b["fulfillment"] == "AMZ").alias("marketIsSeller"), b["status"].alias("status"))
+    if "variants" in wanted:
+        rows = details.variants_block(rows, options.numbers.get("max_variants", 50))
+    if "media" in wanted:
+        rows = details.media_block(rows)
+    kept = [c for c in ("title", "brand", "ratings", "variants", "media") if c in rows.columns and c not in made]
+    return records.product_records(rows.select(*kept, *[v.alias(k) for k, v in made.items()]), options.blocks)
+
+
 def discover_items(captures: DataFrame, options: Options) -> DataFrame:
     """Cards of the captured search pages, typed, placed and judged by the filters; matches tells which go on."""
     market = MARKETS[options.market]

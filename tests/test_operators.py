@@ -44,6 +44,19 @@ def test_listing_settles_every_input(spark):
     records.unpersist()
 
 
+def test_full_records(spark):
+    html = product().replace("</body>", '<div id="buybox"></div><div id="merchant-info"><a href="/x?seller=ABCDEFGHIJ">Sold by Shop</a></div><div id="SalesRank">#12 in Toys (See Top 100)</div>'
+                             '<script>x = {"dimensionValuesDisplayData": {"B000000002": ["Red"]}, "dimensionsDisplay": ["Color"], "colorImages": {"initial": [{"hiRes": "https://i/a.jpg"}]}};</script></body>')
+    caps = captures(spark, [{"seq": 1, "lookup_key": "B000000001", "html": html}])
+    out = listing.full_records(caps, plan.check_options({"profile": "catalog"}), ("store",))
+    assert len(out.columns) == 27
+    r = out.first()
+    assert (str(r.pricing.currentPrice.amount), r.availability.state, r.rankings.mainBSR, r.rankings.mainBSRCategory, r.buyBox.seller, r.buyBox.fulfillment) == ("24.99", "IN_STOCK", 12, "Toys", "Shop", "FBM")
+    assert r.variants["items"][0].options == {"Color": "Red"} and r.media.mainImage == "https://i/a.jpg" and r.product.bullets == ["a", "b"] and r.offers.status == "NOT_APPLICABLE"
+    short = listing.full_records(caps, plan.check_options({"profile": "essential"})).first()
+    assert short.media.status == short.variants.status == "NOT_APPLICABLE" and short.pricing.status == "EXTRACTED" and short.retrieval.billingEvent == "product-essential"
+
+
 def test_discovery(spark):
     def card(item, price, sponsored=False):
         return f'<div class="s-result-item" data-asin="{item}"><h2>T</h2><span class="a-price"><span class="a-offscreen">{price}</span></span>{"<span class=puis-sponsored-label-text>Sponsored</span>" if sponsored else ""}</div>'
