@@ -12,13 +12,14 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """edges(a, b) between longs: one row (node, root) for each node of an edge, root the least node reachable.
 
     Every round replaces a node's edges by edges to its least neighbour, so edges never outnumber the input and
-    a node of many edges meets only partial minima; rounds grow with the logarithm of a component's diameter.
+    a node of many edges meets only partial minima in the grouping and is split in the join; rounds grow with the logarithm of a component's diameter.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         # large: both ends look, and move their greater neighbours; small: the greater end moves its lesser ones
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # written, so that the join reads two plain shuffles, whose skewed partitions Spark can split
+        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), f"{name}-least")
         joined = both.join(least, "a")
         if large:
             return joined.where("b > a").select("m", F.col("b").alias("x"))
