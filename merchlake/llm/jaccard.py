@@ -112,10 +112,9 @@ def _sets(n: int, seed: int):
     def run(batches):
         for batch in common.slices(batches):
             h, first = shingle_sets(batch.column(batch.schema.get_field_index("text")), n, seed)
-            raw = h.tobytes()
-            sets = [raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
             k = batch.schema.get_field_index("text")
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != k), pa.array(sets, pa.binary())], names=[*(x for x in batch.schema.names if x != "text"), "grams"])
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != k), sets], names=[*(x for x in batch.schema.names if x != "text"), "grams"])
 
     return run
 
@@ -171,15 +170,37 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+def _lists(column) -> list[np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, cuts = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _star(num: int, den: int):
+    """Links of nodes to their cluster's pivot. Columns: node, grams, pivot, pivot_grams."""
+
+    def run(batches):
+        for batch in batches:
+            node, pivot = (batch.column(k).to_numpy() for k in (0, 2))
+            near = []
+            for i, (own, other) in enumerate(zip(_lists(batch.column(1)), _lists(batch.column(3)))):
+                both = int(np.isin(own, other, assume_unique=True).sum())
+                if node[i] != pivot[i] and den * both >= num * (len(own) + len(other) - both):
+                    near.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(node[near]), pa.array(pivot[near])], names=["a", "b"])
+
+    return run
+
+
 def _product(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         cluster, side, node = (table.column(c).to_numpy() for c in ("cluster", "side", "node"))
-        grams = table.column("grams").to_pylist()
+        grams = _lists(table.column("grams"))
         order = np.lexsort((node, side, cluster))
         made = [], []
         for part in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
             halves = [part[side[part] == s] for s in (0, 1)]
-            sets = [[np.frombuffer(grams[k], np.uint64) for k in half] for half in halves]
+            sets = [[grams[k] for k in half] for half in halves]
             if len(halves[1]):
                 i, j = overlaps(*sets, num, den)
                 j = j + len(halves[0])
@@ -195,6 +216,40 @@ def _product(num: int, den: int):
     return run
 
 
+def _large_tasks(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of sets(cluster, node, grams) the rows of the products that are needed (task, cluster, side, node, grams), and the links to pivots."""
+    held = sets.select("cluster", "node", F.explode("grams").alias("g")).groupBy("cluster", "g").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
+    alone = held.where("c = 1").groupBy("cluster", "node").agg(F.count(F.lit(1)).alias("alone"))
+    known = sets.select("cluster", "node", F.size("grams").alias("n")).join(alone, ["cluster", "node"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    known = materialize(known, "jaccard-known")
+    pivots = known.groupBy("cluster").agg(F.min_by("node", F.struct("alone", "node")).alias("pivot"), F.min("n").alias("smallest"))
+    # the least overlap that links to the smallest partner there may be
+    able = (num + den) * (F.col("n") - F.col("alone")) >= num * (F.col("n") + F.greatest(F.col("smallest"), F.ceil(F.col("n") * num / den)))
+    left = known.join(pivots, "cluster").where(able).select("cluster", "node", "pivot")
+    center = pivots.join(sets.select(F.col("node").alias("pivot"), F.col("grams").alias("pivot_grams")), "pivot").select("pivot", "pivot_grams")
+    kept = materialize(left.join(sets.select("node", "grams"), "node").select("cluster", "node", "grams", "pivot"), "jaccard-kept")
+    star = materialize(kept.join(center, "pivot").select("node", "grams", "pivot", "pivot_grams").mapInArrow(_star(num, den), "a long, b long"), "jaccard-star")
+    joined = kept.join(star.select(F.col("a").alias("node"), F.lit(True).alias("near")), "node", "left")
+    joined = joined.withColumn("near", F.coalesce("near", F.col("node") == F.col("pivot")))
+    counts = joined.groupBy("cluster").agg(F.ceil(F.count_if("near") / BLOCK_ROWS).cast("int").alias("nears"), F.ceil(F.count_if(~F.col("near")) / BLOCK_ROWS).cast("int").alias("fars"))
+    blocks = joined.join(counts, "cluster").where("fars > 0")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("near"), F.col("nears")).otherwise(F.col("fars"))).cast("int")
+    blocks = blocks.withColumn("own", own)
+
+    def upto(n):
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def pair(i, j, kind, side):
+        return F.struct(F.xxhash64(F.lit(kind), F.col("cluster"), i, j).alias("task"), side.alias("side"))
+
+    mine = F.col("own")
+    far_near = F.transform(upto(F.col("nears")), lambda j: pair(mine, j, "near", F.lit(0)))
+    far_far = F.transform(upto(F.col("fars")), lambda j: pair(F.least(mine, j), F.greatest(mine, j), "far", F.when(mine <= j, 0).otherwise(1)))
+    near_far = F.transform(upto(F.col("fars")), lambda i: pair(i, mine, "near", F.lit(1)))
+    tasks = blocks.withColumn("t", F.explode(F.when(F.col("near"), near_far).otherwise(F.concat(far_near, far_far))))
+    return tasks.select("t.task", "cluster", "t.side", "node", "grams"), star
+
+
 def jaccard_components(docs: DataFrame, n: int = N, num: int = 90, den: int = 100, attempts: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text), and __row, __first (the row that stays).
 
@@ -221,19 +276,16 @@ def jaccard_components(docs: DataFrame, n: int = N, num: int = 90, den: int = 10
     pivots = lists.groupBy("sign").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sign", "b")
     near = lists.join(pivots, "sign").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     clusters = materialize(connected_components(materialize(near, "jaccard-near"), "jaccard-clusters"), "jaccard-clusters")
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
-    placed = clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumn("large", F.col("size") > BLOCK_ROWS)
+    placed = clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), "large")
     wanted = placed.join(nodes.select("node", F.col("least.row").alias("__row")), "node")
-    texts = rows.select("__row", "text").join(wanted, "__row").select("cluster", "blocks", "block", "node", "text")
-    sets = texts.mapInArrow(_sets(n, seed), "cluster long, blocks int, block int, node long, grams binary")
-    # small clusters share a task; of large ones each pair of blocks is one, a block's rows going to all of its pairs
-    pair = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.withColumn("other", F.explode(pair))
-    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(16 * width))).otherwise(
-        F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))
-    )
-    dealt = dealt.select(key.alias("task"), "cluster", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "grams")
-    links = materialize(dealt.groupBy("task").applyInArrow(_product(num, den), "a long, b long"), "jaccard-links")
+    texts = rows.select("__row", "text").join(wanted, "__row").select("cluster", "large", "node", "text")
+    sets = materialize(texts.mapInArrow(_sets(n, seed), "cluster long, large boolean, node long, grams array<bigint>"), "jaccard-sets")
+    # small clusters share a task
+    small = sets.where("not large").select(F.pmod(F.xxhash64("cluster"), F.lit(16 * width)).alias("task"), "cluster", F.lit(0).alias("side"), "node", "grams")
+    tasks, star = _large_tasks(sets.where("large").drop("large"), num, den)
+    links = small.unionByName(tasks).groupBy("task").applyInArrow(_product(num, den), "a long, b long").unionByName(star)
+    links = materialize(links, "jaccard-links")
     found = connected_components(links, "jaccard-links")
     named = nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     first = named.groupBy("root").agg(F.min("least").alias("first"))

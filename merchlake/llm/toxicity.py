@@ -1,7 +1,8 @@
 """Toxicity by a subword-bag classifier.
 
 A word is the bag of its character n-grams (bytes, with its borders) and itself, hashed to buckets; a bucket has
-an embedding; a block of words is the average of its embeddings, and a linear softmax reads it. Embeddings
+an embedding; a block of words is the average of its embeddings (a word counts once in a block, short blocks are padded
+with nothing, so neither repetition nor a text's last few words weigh more), and a linear softmax reads it. Embeddings
 and softmax are trained jointly in numpy on a bounded sample of labelled documents, so a misspelling that
 was never seen shares most vectors with the word it comes from. Since a toxic document is mostly clean words, a document
 counts as its most toxic block, in training (multiple-instance learning) as in scoring.
@@ -19,15 +20,28 @@ from pyspark.sql import functions as F
 from merchlake.llm import common
 
 GRAMS, BUCKETS, DIM, BLOCK = (3, 4, 5), 1 << 17, 8, 48
+#: A block averages over this many features at least.
+PAD = 512
 #: Bounds of the training sample: documents of each class, and characters of one.
 TRAIN_PER_CLASS, TRAIN_CHARS = 1500, 20_000
 _WEIGHTS = (np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, 8, dtype=np.uint64)) | np.uint64(1)
 
 
 def _features(data: np.ndarray, off: np.ndarray):
-    """Yields (buckets, word index) for texts that are padded with a space at both ends; first: each text's first word."""
+    """Block of each word, each text's first block (one more at the end), and a generator of (buckets, word index).
+
+    Texts are padded with a space at both ends. A block is BLOCK words of one text; of a word that it holds
+    several times only the first yields buckets.
+    """
     data = common.LOWER[data]
     starts, ends, first = common.word_bounds(data, off)
+    counts = np.diff(first)
+    first_block = np.concatenate([[0], np.cumsum(-(-counts // BLOCK))])
+    row = common.row_of(first)
+    block = first_block[row] + (np.arange(len(row)) - first[row]) // BLOCK
+    whole = common.span_hashes(data, starts, ends)
+    once = np.zeros(len(whole), bool)
+    once[np.unique(common.mix(whole + block.astype(np.uint64) * common._P), return_index=True)[1]] = True
     sep = common._SEP[data]
     data = np.where(sep, np.uint8(32), data).astype(np.uint64)
     seps = np.zeros(len(data) + 1, np.int32)
@@ -38,36 +52,30 @@ def _features(data: np.ndarray, off: np.ndarray):
     shift = np.uint64(64 - 17)
 
     def grams():
-        yield common.span_hashes(data.astype(np.uint8), starts, ends) >> shift, np.arange(len(starts), dtype=np.int32)
+        at = np.flatnonzero(once)
+        yield whole[at] >> shift, at
         for n in GRAMS:
             m = len(data) - n + 1
             if m <= 0:
                 continue
             at = np.flatnonzero(seps[n - 1 : n - 1 + m] == seps[1 : 1 + m])  # no border inside
+            of = word[at + 1]
+            keep = once[of]
+            at, of = at[keep], of[keep]
             h = np.full(len(at), n, np.uint64)
             for j in range(n):
                 h += data[at + j] * _WEIGHTS[j]
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
-            yield h >> shift, word[at + 1]
+            yield h >> shift, of
 
-    return first, grams
-
-
-def _blocks(first: np.ndarray):
-    """The block of each word, and each text's first block: BLOCK words of one text each."""
-    counts = np.diff(first)
-    blocks = -(-counts // BLOCK)
-    first_block = np.concatenate([[0], np.cumsum(blocks)])
-    row = common.row_of(first)
-    return first_block[row] + (np.arange(len(row)) - first[row]) // BLOCK, first_block
+    return block, first_block, grams
 
 
 def _bags(batches):
     """doc_id, label and the blocks of each training text: sorted buckets with repeats."""
     for batch in common.slices(batches):
-        first, grams = _features(*common.utf8(batch.column(2)))
-        block, first_block = _blocks(first)
+        block, first_block, grams = _features(*common.utf8(batch.column(2)))
         parts = [(b.astype(np.int32), block[w]) for b, w in grams()]
         ids, of = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(of, kind="stable")
@@ -87,19 +95,19 @@ class Model:
 
 
 def _segment_means(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, cuts[:-1], axis=0) / np.diff(cuts).reshape(-1, *[1] * (values.ndim - 1))
+    return np.add.reduceat(values, cuts[:-1], axis=0) / np.maximum(np.diff(cuts), PAD).reshape(-1, *[1] * (values.ndim - 1))
+
 
+def fit(labels: np.ndarray, lengths: list[np.ndarray], ids: np.ndarray, share: float = 0.5, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> Model:
+    """Of each text its label and its blocks' lengths, of all blocks the bucket ids end to end; share: of toxic texts, as they come.
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], share: float = 0.5, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> Model:
-    """bags: (label, block lengths, bucket ids) of each text; share: of toxic texts, as they come. With one class only, all scores are that class's share."""
-    bags = [b for b in bags if len(b[1])]
-    labels = np.array([b[0] for b in bags])
+    Texts have a block at least. With one class only, all scores are that class's share.
+    """
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 4.0 if len(labels) and labels[0] else -4.0)
     rng = np.random.default_rng(seed)
-    ids = np.concatenate([b[2] for b in bags])
-    cuts = np.concatenate([[0], np.cumsum(np.concatenate([b[1] for b in bags]))])
-    of = np.concatenate([[0], np.cumsum([len(b[1]) for b in bags])])  # text -> first block
+    cuts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+    of = np.concatenate([[0], np.cumsum([len(x) for x in lengths])])  # text -> first block
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -115,13 +123,20 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], share: float = 0.5, epoc
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(want)), want] -= 1
         p *= (weight / weight.sum())[:, None]
-        back = (p @ soft.T) / lengths[:, None]
+        back = (p @ soft.T) / np.maximum(lengths, PAD)[:, None]
         spread = np.repeat(back, lengths, axis=0)
         grad = np.stack([np.bincount(inside, spread[:, d], len(used)) for d in range(DIM)], 1)
         for x, s, g, rows in ((embed, sums[0], grad, used), (soft, sums[1], mean.T @ p, slice(None)), (bias, sums[2], p.sum(0), slice(None))):
             s[rows] += g * g
             x[rows] -= rate * g / np.sqrt(s[rows])
 
+    # every fifth text only calibrates: texts that were learnt from stand further apart than others
+    learn = np.flatnonzero(np.arange(len(labels)) % 5 != 4)
+    if len(set(labels[learn].tolist())) < 2 or len(set(np.delete(labels, learn).tolist())) < 2:
+        learn = np.arange(len(labels))
+    apart = np.setdiff1d(np.arange(len(labels)), learn) if len(learn) < len(labels) else learn
+    known = labels[learn]
+
     def block_logits():
         folded = embed @ (soft[:, 1] - soft[:, 0])
         return _segment_means(folded[ids], cuts) + (bias[1] - bias[0])
@@ -131,18 +146,17 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], share: float = 0.5, epoc
         return top, np.array([a + int(np.argmax(logits[a:b])) for a, b in zip(of[:-1], of[1:])])
 
     for epoch in range(epochs):
+        other = (of[:-1] + (rng.random(len(labels)) * np.diff(of)).astype(int))[learn]
         if epoch < 2:  # no idea yet which blocks are toxic: any block bears its text's label
-            blocks = of[:-1] + (rng.random(len(bags)) * np.diff(of)).astype(int)
-            want = labels
+            blocks, want = other, known
         else:
-            _, top = best(block_logits())
-            other = of[:-1] + (rng.random(len(bags)) * np.diff(of)).astype(int)
-            blocks = np.concatenate([top, other[labels == 0]])
-            want = np.concatenate([labels, np.zeros((labels == 0).sum(), int)])
+            top = best(block_logits())[1][learn]
+            blocks = np.concatenate([top, other[known == 0]])
+            want = np.concatenate([known, np.zeros((known == 0).sum(), int)])
         weight = np.where(want == 1, 0.5 / max(1, (want == 1).sum()), 0.5 / max(1, (want == 0).sum()))
         for part in np.array_split(rng.permutation(len(blocks)), max(1, len(blocks) // 64)):
             step(blocks[part], want[part], weight[part])
-    top, _ = best(block_logits())
+    top, labels = best(block_logits())[0][apart], labels[apart]
     # a logistic fit of the label on the best block, classes weighed as they come
     weight = np.where(labels == 1, share / (labels == 1).sum(), (1 - share) / (labels == 0).sum())
     a, b = 1.0, 0.0
@@ -173,22 +187,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS,
         sample = part if sample is None else sample.unionByName(part)
     short = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("text"))
     found = short.join(F.broadcast(sample.select("doc_id", "__y")), "doc_id").select("doc_id", F.col("__y").cast("int").alias("label"), "text")
-    rows = found.mapInArrow(_bags, "doc_id long, label int, lengths binary, ids binary").toArrow().sort_by([("doc_id", "ascending"), ("lengths", "ascending")])
-    lengths, ids = ([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column(c)] for c in ("lengths", "ids"))
-    return fit(list(zip(rows.column("label").to_pylist(), lengths, ids)), share)
+    rows = found.mapInArrow(_bags, "doc_id long, label int, lengths binary, ids binary").where("length(lengths) > 0").toArrow().sort_by([("doc_id", "ascending"), ("lengths", "ascending")])
+    lengths = [np.frombuffer(x.as_buffer(), np.int32).copy() for x in rows.column("lengths")]
+    ids = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("ids"))])
+    labels = rows.column("label").to_numpy()
+    del rows  # the copies suffice
+    return fit(labels, lengths, ids, share)
 
 
 def _scorer(shared, keep: list[str]):
     def run(batches):
         weights, bias, scale, shift = shared.value
         for batch in common.slices(batches, "__padded"):
-            first, grams = _features(*common.utf8(batch.column(batch.schema.get_field_index("__padded"))))
-            block, first_block = _blocks(first)
+            block, first_block, grams = _features(*common.utf8(batch.column(batch.schema.get_field_index("__padded"))))
             total, count = np.zeros(first_block[-1]), np.zeros(first_block[-1])
             for b, w in grams():
                 total += np.bincount(block[w], weights[b], len(total))
                 count += np.bincount(block[w], minlength=len(total))
-            logits = total / np.maximum(count, 1) + bias
+            logits = total / np.maximum(count, PAD) + bias
             top = np.full(batch.num_rows, bias)
             full = np.flatnonzero(np.diff(first_block))
             if len(full):
