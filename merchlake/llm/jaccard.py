@@ -306,3 +306,23 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     if repeated:
         joined = joined.withColumn("__nth", F.row_number().over(same)).where("__nth <= __n")
     return joined.select(*docs.columns)
+
+
+#: The same rows in DuckDB: overlaps by a join on shingles, reachability by recursion.
+JACCARD_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END AS grams
+  FROM texts),
+grams AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 190 * count(*) >= 90 * (a.n + b.n)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(r.least, s.doc_id)) AS component_id
+FROM sets s LEFT JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON r.a = s.doc_id
+"""
