@@ -1,9 +1,10 @@
 """Licence scan: a positional index of rare licence words, with DataFrame functions only.
 
 Templates are short licence passages. A document is reduced to its hits: (position, word) for words of
-the templates' vocabulary. Its words of highest IDF look up their postings (template, position in the
-template); postings that agree on the relative position make a candidate, whose share of the template's
-IDF is then summed over all hits at that alignment, and whose mandatory key phrase must stand in
+the templates' vocabulary. Each template's words of highest IDF are indexed with their postings (template, position
+in the template), so many of them that no alignment of share `min_share` can have fewer than `min_agree` of them, and
+every hit of such a word votes. Postings that agree on the relative position make a candidate, whose share of the
+template's IDF is then summed over all hits at that alignment, and whose mandatory key phrase must stand in
 the text. Only hits leave the scan of the texts, never the texts.
 """
 
@@ -66,12 +67,30 @@ def _phrase_starts(hits, phrase: str):
     return F.transform(F.filter(index, here), lambda k: F.get(hits, k)["i"])
 
 
+def rare_postings(places: list[tuple[int, str, float]], least: int, min_agree: int, min_share: float) -> set[str]:
+    """The words of highest IDF of a template's (position, word, idf): `least` at least, and more until none can be missed.
+
+    An alignment with fewer than min_agree of them has at most the IDF of all other places and of the min_agree - 1 highest.
+    """
+    ranked = sorted({(v, w) for _, w, v in places}, reverse=True)
+    total = sum(v for _, _, v in places)
+    missed = sum(sorted((v for _, _, v in places), reverse=True)[: min_agree - 1])
+    chosen: set[str] = set()
+    for _, word in ranked:
+        left = sum(v for _, w, v in places if w not in chosen)
+        if len(chosen) >= least and left + missed < (min_share - 1e-6) * total:
+            break
+        chosen.add(word)
+    return chosen
+
+
 def scan_licences(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, rare_words: int = RARE_WORDS, min_agree: int = MIN_AGREE, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs(doc_id, text).
 
     n_base counts all places of the base phrases; first_word and last_word are their smallest and largest start
     (null without any). base_labels and labels are distinct, sorted, joined by commas (empty string: none).
-    score is the largest share of a template's IDF found at one alignment, 0 without a candidate. Null and empty texts
+    score is the largest share of a template's IDF found at one alignment, 0 without a candidate; a label needs a share of
+    min_share, min_agree words at that alignment and the key phrase, whatever else the text holds. Null and empty texts
     have no words. Rows are kept apart even if doc_ids repeat or are null; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -97,21 +116,19 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
     postings, totals, mandatory = [], [], []
     for t, (label, passage, phrase) in enumerate(templates):
         words = passage.split()
-        postings += [(t, p, w, idf[w]) for p, w in enumerate(words) if w not in STOP]
+        places = [(p, w, idf[w]) for p, w in enumerate(words) if w not in STOP]
+        rare = rare_postings(places, rare_words, min_agree, min_share)
+        postings += [(t, p, w, v, w in rare) for p, w, v in places]
         totals.append((t, label, sum(idf[w] for w in words if w not in STOP)))
         mandatory.append(phrase)
     # constants of the templates, so their size is fixed by the code
-    index = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, {p}, '{w}', {v!r}D)" for t, p, w, v in postings) + " AS x(t, p, w, idf)")
+    index = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, {p}, '{w}', {v!r}D, {rare})" for t, p, w, v, rare in postings) + " AS x(t, p, w, idf, rare)")
     labels = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, '{label}', {v!r}D)" for t, label, v in totals) + " AS x(t, label, total)")
 
-    # the rarest distinct words of each document look up the index
+    # every hit of a template's rare words votes for that template
     some = hits.where(F.size("__hits") > 0)
     each = some.select("__row", F.explode("__hits").alias("h")).select("__row", F.col("h.i").alias("i"), F.col("h.w").alias("w"))
-    weight = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
-    ranked = F.slice(F.sort_array(F.transform("__has", lambda w: F.struct(F.element_at(weight, w).alias("v"), w.alias("w"))), asc=False), 1, rare_words)
-    rare = some.select("__row", "__hits", F.explode(ranked).alias("r"))
-    anchors = rare.select("__row", "r.w", F.explode(F.filter("__hits", lambda h: h["w"] == F.col("r.w"))).alias("h")).select("__row", F.col("h.i").alias("i"), "w")
-    votes = anchors.join(F.broadcast(index), "w").groupBy("__row", "t", (F.col("i") - F.col("p")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    votes = each.join(F.broadcast(index.where("rare")), "w").groupBy("__row", "t", (F.col("i") - F.col("p")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
     candidates = votes.where(F.col("n") >= min_agree).select("__row", "t", "at")
     aligned = each.join(F.broadcast(index), "w").select("__row", "t", (F.col("i") - F.col("p")).alias("at"), "idf")
     shares = candidates.join(aligned, ["__row", "t", "at"]).groupBy("__row", "t", "at").agg(F.sum("idf").alias("s"))
