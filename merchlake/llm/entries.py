@@ -23,7 +23,7 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_pieces(table(spark, sf_dir, "documents"), n_best=2, verify=True, keep=["doc_id"])
-    return coded.select("doc_id", "n_pieces", "score", F.get("next_scores", 0).alias("next_score"), "ids", "decodes")
+    return coded.select("doc_id", "n_pieces", "score", F.get("next_scores", 0).alias("next_score"), "ids", F.get("next_ids", 0).alias("next_ids"), "decodes")
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ The lattice of a text falls into units: where two neighbouring bytes stand toget
 reaches over. Over a unit a forward Viterbi pass gives every node the score of its best prefix; the backward
 A* search starts at the unit's end and uses those scores as its heuristic. They are exact, so paths come out in order of
 their score, no node off the best path is opened before that path is out, and the best bound then left
-in the queue is the runner-up's score. For two best the search therefore runs in numpy over many units in step; for more
+in the queue is the runner-up's score. For two best the search therefore runs in numpy over many units in step: the runner-up
+leaves the best path by the edge of that bound and goes on by the edges of best prefixes. For more
 each unit has its own heap. A unit is searched once by a task, and what was found is kept by hash. The
-N best of a text are the N best sums over its units.
+N best of a text are the N best sums over its units, and the ids of each are put together from its units' paths.
 
 Pieces and scores come from a public model file whose path is a parameter; spaces stand for the model's
 word mark. A character that no piece is gives its bytes, each a byte piece, so decoding returns the text exactly.
@@ -130,11 +131,16 @@ class Lattice:
 
     def best_two(self, data, first, lengths):
         """Ids of the best path of each unit (with their number), its score and the runner-up's loss (inf: none)."""
+        return self.two_paths(data, first, lengths)[:4]
+
+    def two_paths(self, data, first, lengths):
+        """As best_two, then ids of the runner-up of each unit and their number (0: none)."""
         u, a, b, i, score, base, best, start, end = self._forward(data, first, lengths)
         edge_of = np.searchsorted(end, np.arange(len(best) + 1))  # edges into a node
         n = len(lengths)
         goal = best[base + lengths]
         node, way, left = base + lengths, np.zeros(n), np.full(n, -np.inf)
+        leave, after = np.full(n, -1), np.zeros(n, np.int64)  # the runner-up's edge off the best path, and the steps before it
         active, steps = np.arange(n), []
         while len(active):
             into = node[active]
@@ -148,7 +154,12 @@ class Lattice:
             is_top = np.flatnonzero(bound == top[lane])
             pick = is_top[np.unique(lane[is_top], return_index=True)[1]]
             bound[pick] = -np.inf
-            left[active] = np.maximum(left[active], np.maximum.reduceat(bound, at))
+            second = np.maximum.reduceat(bound, at)
+            better = second > left[active]
+            is_second = np.flatnonzero((bound == second[lane]) & better[lane])
+            lanes, where = np.unique(lane[is_second], return_index=True)
+            leave[active[lanes]], after[active[lanes]] = e[is_second[where]], len(steps)
+            left[active] = np.maximum(left[active], second)
             steps.append((active, i[e[pick]]))
             way[active] += score[e[pick]]
             node[active] = start[e[pick]]
@@ -156,7 +167,28 @@ class Lattice:
         unit = np.concatenate([x for x, _ in steps])
         number = np.concatenate([np.full(len(x), k) for k, (x, _) in enumerate(steps)])
         order = np.lexsort((-number, unit))
-        return np.concatenate([x for _, x in steps])[order], np.bincount(unit, minlength=n), goal, goal - left
+        ids = np.concatenate([x for _, x in steps])
+        # the runner-up: the best path's steps up to its edge, that edge, and edges of best prefixes from there
+        shared = number < after[unit]
+        shared &= leave[unit] >= 0
+        active = np.flatnonzero(leave >= 0)
+        walk = [(unit[shared], number[shared], ids[shared]), (active, after[active], i[leave[active]])]
+        node[active] = start[leave[active]]
+        k = 0
+        while len(active := active[node[active] != base[active]]):
+            into = node[active]
+            count = edge_of[into + 1] - edge_of[into]
+            at = np.cumsum(count) - count
+            lane = np.repeat(np.arange(len(active)), count)
+            e = np.arange(count.sum()) - np.repeat(at, count) + np.repeat(edge_of[into], count)
+            bound = score[e] + best[start[e]]
+            is_top = np.flatnonzero(bound == np.maximum.reduceat(bound, at)[lane])
+            e = e[is_top[np.unique(lane[is_top], return_index=True)[1]]]
+            k += 1
+            walk.append((active, after[active] + k, i[e]))
+            node[active] = start[e]
+        of, number, other = (np.concatenate(x) for x in zip(*walk))
+        return ids[order], np.bincount(unit, minlength=n), goal, goal - left, other[np.lexsort((-number, of))], np.bincount(of, minlength=n)
 
     def segment(self, units: list[bytes]) -> list[list[tuple[float, list[int]]]]:
         """The n_best segmentations (score, ids) of each unit, best first."""
@@ -197,12 +229,22 @@ class _Known:
         self.ids, self.begin, self.count, self.score = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0)
         self.gap: np.ndarray = np.zeros(0)  # the least loss, inf without a second segmentation
         self.gaps: dict[int, list[float]] = {}  # all of them, where more than one is wanted
+        self.paths: dict[int, list[np.ndarray]] = {}  # and the ids of each
+        self.next_ids, self.next_begin, self.next_count = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(2))  # of the second segmentation
 
     def losses(self, k: int) -> list[float]:
         return self.gaps[k] if k in self.gaps else [self.gap[k]] if self.gap[k] < np.inf else []
 
-    def add(self, hashes, ids, counts, scores, gap, gaps=()):
+    def path(self, k: int, nth: int) -> np.ndarray:
+        """Ids of a unit's nth segmentation after the best."""
+        return self.paths[k][nth] if k in self.paths else self.next_ids[self.next_begin[k] : self.next_begin[k] + self.next_count[k]]
+
+    def add(self, hashes, ids, counts, scores, gap, next_ids=np.zeros(0, np.int32), next_counts=None, gaps=(), paths=()):
+        next_counts = np.zeros(len(counts), np.int64) if next_counts is None else next_counts
         self.gaps.update(enumerate(gaps, len(self.count)))
+        self.paths.update(enumerate(paths, len(self.count)))
+        self.next_begin = np.concatenate([self.next_begin, len(self.next_ids) + np.cumsum(next_counts) - next_counts])
+        self.next_ids, self.next_count = np.concatenate([self.next_ids, next_ids.astype(np.int32)]), np.concatenate([self.next_count, next_counts])
         self.gap = np.concatenate([self.gap, gap])
         self.number.update(zip(hashes, range(len(self.count), len(self.count) + len(hashes))))
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(counts) - counts])
@@ -243,14 +285,13 @@ def _encode(shared, n_best: int, verify: bool = False):
                 raw = data[np.repeat(starts[where[new]] - at, lengths) + np.arange(lengths.sum())]
                 hashes = [keys[k] for k in new]
                 if n_best <= 2:
-                    ids, counts, scores, gaps = lattice.best_two(raw, at, lengths)
-                    known.add(hashes, ids, counts, scores, gaps)
+                    known.add(hashes, *(lattice.two_paths if n_best == 2 else lattice.best_two)(raw, at, lengths))
                 else:
                     text = raw.tobytes()
                     paths = lattice.segment([text[a : a + n] for a, n in zip(at, lengths)])
                     counts = np.array([len(p[0][1]) for p in paths])
                     losses = [[p[0][0] - q[0] for q in p[1:]] for p in paths]
-                    known.add(hashes, np.concatenate([p[0][1] for p in paths]), counts, np.array([p[0][0] for p in paths]), np.array([min(x, default=np.inf) for x in losses]), losses)
+                    known.add(hashes, np.concatenate([p[0][1] for p in paths]), counts, np.array([p[0][0] for p in paths]), np.array([min(x, default=np.inf) for x in losses]), gaps=losses, paths=[[np.array(q[1], np.int32) for q in p[1:]] for p in paths])
             slot = np.array([known.number[h] for h in keys], np.int64)
             count = known.count[slot][inverse]
             total = np.concatenate([[0], np.cumsum(count)])
@@ -261,48 +302,68 @@ def _encode(shared, n_best: int, verify: bool = False):
             out = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(known.ids[at])), pa.array(np.diff(offsets)), pa.array(scores)]
             names = [*batch.schema.names[:-1], "ids", "n_pieces", "score"]
             if n_best > 1:
-                near = known.gap[slot][inverse]
-                nth = []
-                for a, b, s in zip(first[:-1].tolist(), first[1:].tolist(), scores.tolist()):
+                near, ids = known.gap[slot][inverse], known.ids[at]
+                nth, others, owner, of_text = [], [], [], np.zeros(batch.num_rows + 1, np.int64)
+                for r, (a, b, s) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), scores.tolist())):
                     most = near[a:b]
                     own = np.argpartition(most, n_best - 2)[: n_best - 1] if len(most) >= n_best else np.arange(len(most))
-                    nth.append([s - g for g in _text_gaps([known.losses(int(slot[k])) for k in inverse[a + own]], n_best)])
-                out.append(pa.array(nth, pa.list_(pa.float64())))
-                names.append("next_scores")
+                    own = a + np.sort(own)
+                    found = _text_choices([known.losses(int(slot[inverse[u]])) for u in own], n_best)
+                    nth.append([s - g for g, _ in found])
+                    for _, choice in found:
+                        path, done = [], total[a]
+                        for u, which in zip(own.tolist(), choice):
+                            if which:
+                                path += [ids[done : total[u]], known.path(int(slot[inverse[u]]), which - 1)]
+                                done = total[u + 1]
+                        others.append(np.concatenate([*path, ids[done : total[b]]]))
+                        owner.append(r)
+                    of_text[r + 1] = len(others)
+                flat = np.concatenate(others) if others else np.zeros(0, np.int32)
+                other_ends = np.concatenate([[0], np.cumsum([len(x) for x in others])]).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(other_ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                out += [pa.array(nth, pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(of_text.astype(np.int32)), lists)]
+                names += ["next_scores", "next_ids"]
             if verify:
                 spelt, total = _spell(texts, known.ids[at])
                 ends = total[offsets]
                 same = np.array_equal(ends, off) and np.array_equal(spelt, data)
-                out.append(pa.array(np.full(batch.num_rows, True) if same else [bytes(spelt[a:b]) == bytes(data[c:d]) for a, b, c, d in zip(ends, ends[1:], off, off[1:])]))
+                good = np.full(batch.num_rows, True) if same else np.array([bytes(spelt[a:b]) == bytes(data[c:d]) for a, b, c, d in zip(ends, ends[1:], off, off[1:])])
+                if n_best > 1:  # the others too
+                    spelt, ends = _spell(texts, flat)
+                    ends = ends[other_ends]
+                    for r, a, b in zip(owner, ends.tolist(), ends[1:].tolist()):
+                        good[r] &= np.array_equal(spelt[a:b], data[off[r] : off[r + 1]])
+                out.append(pa.array(good))
                 names.append("decodes")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run
 
 
-def _text_gaps(unit_gaps: list[list[float]], n_best: int) -> list[float]:
-    """Least n_best - 1 losses against the best text: sums of one loss (or none) for each unit."""
-    sums = [0.0]
+def _text_choices(unit_gaps: list[list[float]], n_best: int) -> list[tuple[float, tuple[int, ...]]]:
+    """Least n_best - 1 losses against the best text, with the segmentation that each unit has there (0: its best)."""
+    sums: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
     for gaps in unit_gaps:
-        sums = heapq.nsmallest(n_best, [s + g for s in sums for g in [0.0, *gaps]])
+        sums = heapq.nsmallest(n_best, [(s + g, (*c, k)) for s, c in sums for k, g in enumerate([0.0, *gaps])])
     return sums[1:]
 
 
 def encode_pieces(docs: DataFrame, n_best: int = 1, model: str = MODEL, verify: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """All columns of docs (or those named in keep), with ids array<int>, n_pieces long, score double; with n_best > 1 next_scores array<double>.
+    """All columns of docs (or those named in keep), with ids array<int>, n_pieces long, score double; with n_best > 1 next_scores array<double>, next_ids array<array<int>>.
 
-    verify adds decodes: whether the ids spell the text again, compared where they are made.
+    verify adds decodes: whether the ids (and all next_ids) spell the text again, compared where they are made.
 
-    ids segment the whole text best; next_scores are the scores of the segmentations after it (fewer if the lattice has
-    fewer). A space stands before the text, as the model wants it. Null and empty texts have no pieces and score 0.
+    ids segment the whole text best; next_scores and next_ids are the scores and ids of the segmentations after it (fewer if
+    the lattice has fewer). A space stands before the text, as the model wants it. Null and empty texts have no pieces and score 0.
     Rows are kept as they are, repeated ones too; columns of docs with these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model))  # the model's vocabulary
-    kept = (docs if keep is None else docs.select(*keep)).drop("ids", "n_pieces", "score", "next_scores", "decodes")
+    kept = (docs if keep is None else docs.select(*keep)).drop("ids", "n_pieces", "score", "next_scores", "next_ids", "decodes")
     names = kept.columns
     rows = docs.withColumn("__marked", F.when(F.length("text") > 0, F.concat(F.lit(" "), F.col("text"))).otherwise(F.lit(""))).select(*names, "__marked")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    more = ", next_scores array<double>" if n_best > 1 else ""
+    more = ", next_scores array<double>, next_ids array<array<int>>" if n_best > 1 else ""
     more += ", decodes boolean" if verify else ""
     return rows.mapInArrow(_encode(shared, n_best, verify), f"{schema}, ids array<int>, n_pieces long, score double{more}")
 
