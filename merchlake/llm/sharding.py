@@ -1,7 +1,7 @@
 """Sharding by histogram sort.
 
 Keys are hash-random but keep equal texts side by side: the high bits hash the text, the low bits the
-doc_id. Splitters between shards are found by counting exact bytes below candidate boundaries: each
+doc_id. A splitter does not part a group of equal texts, unless that group alone is a large share of a shard. Splitters between shards are found by counting exact bytes below candidate boundaries: each
 round splits only the key ranges that hold a splitter into finer ones and sums the bytes of each, until
 every splitter is within tolerance. Then the rows go to their shards in one exchange.
 """
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from merchlake.llm.common import materialize
 
 KEY_BITS, FIRST_BITS, NEXT_BITS = 63, 10, 7
+#: Low bits of a key, which tell the rows of one text apart; a group of equal texts above this share of a shard's bytes is parted.
+ROW_BITS, GROUP_SHARE = 32, 0.1
 SLOT_ROWS = 50_000
 
 
@@ -21,18 +23,18 @@ def shard_key(text, doc_id):
     """Column: 31 bits of the text's hash above 32 bits of the doc_id's."""
     high = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0x7FFFFFFF)
     low = F.xxhash64(doc_id).bitwiseAND(0xFFFFFFFF)
-    return F.shiftleft(high, 32).bitwiseOR(low)
+    return F.shiftleft(high, ROW_BITS).bitwiseOR(low)
 
 
-def splitters(keyed: DataFrame, n_shards: int, tolerance: float) -> list[int]:
+def splitters(keyed: DataFrame, n_shards: int, tolerance: float, group_share: float = GROUP_SHARE) -> list[int]:
     """Keys that cut keyed(__key, size) into n_shards ranges of near equal bytes (first keys of shards 1..).
 
-    A boundary is refined until its bytes are off by no more than tolerance of a shard, or its range is
-    one key. Only sums come to the driver: (n_shards - 1) * 2**NEXT_BITS rows a round at most.
+    A boundary is refined until its bytes are off by no more than tolerance of a shard, or its range is one text of
+    no more than group_share of a shard (it then goes to the nearer side), or one key. Only sums come to the driver: (n_shards - 1) * 2**NEXT_BITS rows a round at most.
     """
     total = keyed.agg(F.sum("size")).first()[0] or 0
     targets = [total * j / n_shards for j in range(1, n_shards)]
-    slack = tolerance * total / n_shards
+    slack, group = tolerance * total / n_shards, group_share * total / n_shards
     #: open ranges: prefix of the key at the present shift -> bytes below it
     found, ranges, shift = {}, {0: 0}, KEY_BITS
     waiting = {j: 0 for j in range(len(targets))}
@@ -49,7 +51,7 @@ def splitters(keyed: DataFrame, n_shards: int, tolerance: float) -> list[int]:
             for p, b in by[at]:
                 if low + b >= targets[j] or p == by[at][-1][0]:
                     near, far = targets[j] - low, low + b - targets[j]
-                    if min(near, far) <= slack or finer == 0:
+                    if min(near, far) <= slack or finer == 0 or (finer == ROW_BITS and b <= group):
                         found[j] = (p if near <= far else p + 1) << finer
                         del waiting[j]
                     else:
@@ -70,9 +72,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, tolerance: float = 0.00
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs(doc_id, text).
 
     size is the UTF-8 bytes of the text (null: none) plus 8. Shards have near equal bytes (law `bytes`); equal
-    texts are neighbours in key order, so they share a shard unless a boundary falls into their group.
-    Slots count from 0 without gaps in each shard. Rows with equal doc_id and text may be swapped;
-    null doc_ids hash as null. An empty table gives no rows; other columns are ignored.
+    texts share a shard, unless their group holds more than GROUP_SHARE of a shard's bytes, and then neighbouring shards.
+    Slots count from 0 without gaps in each shard. Rows with equal doc_id and text may be swapped, and are neighbours;
+    null doc_ids hash as null, null and empty texts are one group. An empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = materialize(
