@@ -5,7 +5,7 @@ the templates' vocabulary. Each template's words of highest IDF are indexed with
 in the template), so many of them that no alignment of share `min_share` can have fewer than `min_agree` of them, and
 every hit of such a word votes. Postings that agree on the relative position make a candidate, whose share of the
 template's IDF is then summed over all hits at that alignment, and whose mandatory key phrase must stand in
-the text. Only hits leave the scan of the texts, never the texts.
+the text, word by word. Only hits leave the scan of the texts, never the texts.
 """
 
 from __future__ import annotations
@@ -34,9 +34,20 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "unless required by applicable law or agreed to in writing"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gnu general public license"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "held liable for any damages arising from the use of this software"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
-#: Words too common to index; key phrases are verified by the places of their other words.
+#: Words too common to index; they only count where a key phrase is verified.
 STOP = frozenset("the of is in to a and or it this that you not may with at for any as be an are if into under from".split())
 RARE_WORDS, MIN_AGREE, MIN_SHARE = 6, 2, 0.6
 
@@ -51,15 +62,15 @@ def licence_words(text):
 
 
 def _phrase_starts(hits, phrase: str):
-    """Column: positions where the phrase stands, from the indexed words' hits in order of position."""
-    words = [(j, w) for j, w in enumerate(phrase.split()) if w not in STOP]
+    """Column: positions where the phrase stands, from the hits in order of position; each of its words is among the words that hit."""
+    words = phrase.split()
 
     def here(k):
         at = F.get(hits, k)
-        same = at["w"] == words[0][1]
-        for step, (j, w) in enumerate(words[1:], 1):
+        same = at["w"] == words[0]
+        for step, word in enumerate(words[1:], 1):
             nxt = F.get(hits, k + step)
-            same = same & (nxt["w"] == w) & (nxt["i"] == at["i"] + (j - words[0][0]))
+            same = same & (nxt["w"] == word) & (nxt["i"] == at["i"] + step)
         return F.coalesce(same, F.lit(False))
 
     # no hit: an empty array, where sequence() would count down
@@ -90,14 +101,16 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
     n_base counts all places of the base phrases; first_word and last_word are their smallest and largest start
     (null without any). base_labels and labels are distinct, sorted, joined by commas (empty string: none).
     score is the largest share of a template's IDF found at one alignment, 0 without a candidate; a label needs a share of
-    min_share, min_agree words at that alignment and the key phrase, whatever else the text holds. Null and empty texts
-    have no words. Rows are kept apart even if doc_ids repeat or are null; other columns are ignored.
+    min_share, min_agree words at that alignment and the whole key phrase, whatever else the text holds. Of alignments that tie
+    any gives the same share. Null and empty texts
+    have no words; texts of any length are read whole. An empty table gives no rows. Rows are kept apart even if doc_ids repeat or are null; other columns are ignored.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for _, passage, phrase in templates for w in f"{passage} {phrase}".split() if w not in STOP} | {w for p in BASE for w in p.split()})
     # a base phrase or a key phrase holds one of these, so a text without any has no label and needs no hits
     strong = sorted({next(w for w in sorted(p.split(), key=len, reverse=True) if w not in STOP) for p in [*BASE, *(t[2] for t in templates)]} | {"license", "cc"})
-    found = F.transform(F.col("__words"), lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("i"), w.alias("w"))))
+    told = sorted({*vocabulary, *(w for t in templates for w in t[2].split())})
+    found = F.transform(F.col("__words"), lambda w, i: F.when(w.isin(told), F.struct(i.alias("i"), w.alias("w"))))
     none = F.array().cast("array<struct<i:int,w:string>>")
     words = F.array(*[F.lit(w) for w in vocabulary])
     hits = materialize(
@@ -127,7 +140,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
 
     # every hit of a template's rare words votes for that template
     some = hits.where(F.size("__hits") > 0)
-    each = some.select("__row", F.explode("__hits").alias("h")).select("__row", F.col("h.i").alias("i"), F.col("h.w").alias("w"))
+    each = some.select("__row", F.explode(F.filter("__hits", lambda h: h["w"].isin(vocabulary))).alias("h")).select("__row", F.col("h.i").alias("i"), F.col("h.w").alias("w"))
     votes = each.join(F.broadcast(index.where("rare")), "w").groupBy("__row", "t", (F.col("i") - F.col("p")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
     candidates = votes.where(F.col("n") >= min_agree).select("__row", "t", "at")
     aligned = each.join(F.broadcast(index), "w").select("__row", "t", (F.col("i") - F.col("p")).alias("at"), "idf")

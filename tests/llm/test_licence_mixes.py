@@ -29,7 +29,7 @@ def plain(texts):
                         agree[i - p] += 1
             best = max((s for at, s in sums.items() if agree[at] >= licences.MIN_AGREE), default=0.0)
             share, key = min(1.0, round(best / sum(weight(w) for _, w in own), 9)), phrase.split()
-            if share >= licences.MIN_SHARE and any(all(words[i + j : i + j + 1] == [w] for j, w in enumerate(key) if w not in licences.STOP) for i in range(len(words))):
+            if share >= licences.MIN_SHARE and any(words[i : i + len(key)] == key for i in range(len(words))):
                 found.add(label)
                 score = max(score, share)
         out.append((",".join(sorted(found)), score))
@@ -48,3 +48,14 @@ def test_several_licences_in_a_file(spark):
         assert got[k][0] == labels and abs(got[k][1] - score) < 1e-6, texts[k]
     gpl, bsd = next(p for label, p, _ in licences.TEMPLATES if label == "gpl"), next(p for label, p, _ in licences.TEMPLATES if label == "bsd")
     assert {"gpl", "bsd"} <= set(got[texts.index(f"{gpl}\n\nfiller words between\n\n{bsd}")][0].split(","))
+
+
+def test_every_word_of_a_key_phrase_counts(spark):
+    texts = ["permission xx use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+             "you may not use this file except in compliance zz qq license you may obtain a copy of the license at http www apache org licenses license 2 0"]
+    docs = spark.createDataFrame([*enumerate(texts), *((9 + i, "other text") for i in range(50))], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licences.scan_licences(docs).collect()}
+    assert got[0] == "" and got[1] == ""
+    whole = spark.createDataFrame([(0, texts[0].replace("xx", "to")), (1, texts[1].replace("zz qq", "with the")), *((9 + i, "other text") for i in range(50))], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licences.scan_licences(whole).collect()}
+    assert got[0] == "isc" and got[1] == "apache-2.0"
