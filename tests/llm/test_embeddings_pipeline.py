@@ -7,8 +7,7 @@ from merchlake.llm.components import connected_components
 from merchlake.llm.entries import ORACLES, QUERIES
 
 
-def test_near_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "LEAF", 60)
+def test_near_duplicates(spark):
     rng = np.random.default_rng(4)
     rows = []
     for i in range(600):
@@ -34,6 +33,32 @@ def test_near_duplicates(spark, monkeypatch):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_recall_of_deep_forests(spark):
+    """Eight levels and more in two rounds, pairs just above the threshold, a cluster larger than a leaf, vectors that no split parts."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=base.shape)
+    off -= (off * base).sum(1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    near = 0.935 * base[:300] + np.sqrt(1 - 0.935**2) * off[:300]
+    tight = base[500] + rng.normal(size=(120, 32)) * 0.02
+    scaled = base[600] * np.arange(1, 101)[:, None]
+    every = np.concatenate([base, near, tight, scaled]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(every)], "vec_id long, embedding array<float>, label string")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table, leaf=24).collect()}
+    unit = every.astype(float) / np.linalg.norm(every.astype(float), axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.93
+    np.fill_diagonal(close, False)
+    links = close.sum(1)
+    assert all(got[i].n_links <= n for i, n in enumerate(links))
+    assert sum(got[3000 + i].n_links > 0 for i in range(300)) >= 0.9 * 300
+    assert sum(r.n_links for r in got.values()) >= 0.9 * links.sum()
+    leaves = embeddings.forest_leaves(table.where("vec_id < 3300").selectExpr("vec_id AS node", "0L AS gid", "embedding"), 0.93, leaf=24)
+    sizes = [r["count"] for r in leaves.groupBy("key").count().collect()]
+    assert max(sizes) <= 24 and sum(n * n for n in sizes) < 0.5 * 3300**2
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 10), (7, 7), (20, 4)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
