@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker looks at at once (more only for one longer text).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to a Python worker at once.
+BATCH_BYTES = 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_scratch: str | None = None
 
@@ -22,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The shared folder in spark.checkpoint.dir; a temporary one of our own only on a single machine where that is unset."""
     global _own_scratch
     if folder := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     _own_scratch = _own_scratch or tempfile.mkdtemp(prefix="merchlake-")
     return _own_scratch
 
@@ -33,7 +38,7 @@ def scratch(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: one pass, lineage cut, its shuffle files freed.
 
-    A lost executor costs only a reread of the written files.
+    A lost executor costs only a reread of the written files. `discard` deletes them.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
@@ -43,7 +48,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._merchlake_path = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the folders of tables that materialize wrote, once nothing reads them any more."""
+    for table in tables:
+        if path := getattr(table, "_merchlake_path", None):
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+            table._merchlake_path = None
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow, with batches of bounded bytes, as rows may hold long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
 
 
 def running_total(df: DataFrame, order: list[str], values: dict[str, str], name: str) -> DataFrame:
@@ -72,27 +95,12 @@ def running_total(df: DataFrame, order: list[str], values: dict[str, str], name:
 
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
-_TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_TAIL = np.array([0xFFFFFFFFFFFFFFFF >> (64 - 8 * k) if k else 0 for k in range(9)], np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
-    global _powers
-    if len(_powers[0]) < n:
-        made = []
-        for base in (_P, _P_INV):
-            a = np.full(int(n * 1.25) + 1, base, np.uint64)
-            a[0] = 1
-            made.append(np.cumprod(a, dtype=np.uint64))
-        _powers = tuple(made)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = h ^ (h >> np.uint64(30))
@@ -143,13 +151,43 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number (zeros behind the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans data[starts:ends], equal for equal bytes wherever they stand."""
-    n = len(data)
-    power, inverse = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * power[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+    """64-bit hashes of the byte spans data[starts:ends], equal for equal bytes wherever they stand.
+
+    Blocks of eight bytes are scrambled together with their place in the span and added up, so no arrangement of
+    blocks is alike by construction, as it would be in a polynomial.
+    """
+    view, length = eights(data), ends - starts
+    if len(length) and int(length.max()) > 8:
+        blocks = np.maximum(1, -(-length // 8))
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        left = np.minimum(np.repeat(length, blocks) - 8 * place, 8)
+        h = mix((view[np.repeat(starts, blocks) + 8 * place] & _TAIL[left]) + place.astype(np.uint64) * _P)
+        h = np.add.reduceat(h, first)
+    else:
+        h = mix(view[starts] & _TAIL[length])
+    return mix(h + length.astype(np.uint64) * _P)
+
+
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-byte strings data[i:i+k]; k is a multiple of 8, 64 at most."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    block = mix(eights(data).copy())
+    h = block[:n].copy()
+    for j in range(8, k, 8):
+        h *= _P
+        h += block[j : j + n]
+    return mix(h)
 
 
 def window_hashes(items: np.ndarray, k: int) -> np.ndarray:
@@ -158,7 +196,7 @@ def window_hashes(items: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(k):  # few items, each scrambled already
         h *= _P
         h += items[j : j + n]
     return mix(h)

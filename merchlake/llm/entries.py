@@ -26,6 +26,12 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_pieces", "score", F.get("next_scores", 0).alias("next_score"), "ids", F.get("next_ids", 0).alias("next_ids"), "decodes")
 
 
+def op4_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The round trip: texts are encoded, and the digest is that of what the ids alone decode to."""
+    coded = pieces.encode_pieces(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "ids")
+    return pieces.decode_pieces(coded).select("doc_id", F.octet_length("decoded").cast("long").alias("n_bytes"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_suffixes(table(spark, sf_dir, "documents"))
 
@@ -56,5 +62,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_pieces": op4_pieces, "op5_suffixes": op5_suffixes, "op6_jaccard": op6_jaccard, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_embeddings": op9_embeddings, "op10_licences": op10_licences, "pipeline": pipeline}
-ORACLES = {"op1_mixing": mixing.MIX_SQL, "op3_substrings": substrings.SUBSTRINGS_SQL, "op6_jaccard": jaccard.JACCARD_SQL, "op9_embeddings": embeddings.EMBEDDINGS_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_pieces": op4_pieces, "op4_decoded": op4_decoded, "op5_suffixes": op5_suffixes, "op6_jaccard": op6_jaccard, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_embeddings": op9_embeddings, "op10_licences": op10_licences, "pipeline": pipeline}
+ORACLES = {"op1_mixing": mixing.MIX_SQL, "op3_substrings": substrings.SUBSTRINGS_SQL, "op4_decoded": pieces.DECODED_SQL, "op6_jaccard": jaccard.JACCARD_SQL, "op9_embeddings": embeddings.EMBEDDINGS_SQL}

@@ -3,10 +3,9 @@
 The lattice of a text falls into units: where two neighbouring bytes stand together in no piece, no piece
 reaches over. Over a unit a forward Viterbi pass gives every node the score of its best prefix; the backward
 A* search starts at the unit's end and uses those scores as its heuristic. They are exact, so paths come out in order of
-their score, no node off the best path is opened before that path is out, and the best bound then left
-in the queue is the runner-up's score. For two best the search therefore runs in numpy over many units in step: the runner-up
-leaves the best path by the edge of that bound and goes on by the edges of best prefixes. For more
-each unit has its own heap. A unit is searched once by a task, and what was found is kept by hash. The
+their score and no node off the best path is opened before that path is out. The search runs over many units in step: each has
+its queue, and every step opens the best node of each; units of thousands of bytes have a heap of their own. A unit is searched
+once by a task and known by its bytes afterwards. The
 N best of a text are the N best sums over its units, and the ids of each are put together from its units' paths.
 
 Pieces and scores come from a public model file whose path is a parameter; spaces stand for the model's
@@ -26,6 +25,8 @@ from merchlake.llm import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 KEPT_UNITS = 200_000
+#: Longer units are searched with a heap; of the others so many queue places are held at a time.
+HEAP_BYTES, QUEUE_PLACES = 1024, 1 << 20
 #: Bytes of text in a step; the lattice takes some hundred times the bytes of its new units.
 SLICE_BYTES = 1 << 20
 FALLBACK = 10.0
@@ -129,74 +130,86 @@ class Lattice:
             best[to[new]] = np.maximum.reduceat(way, new)
         return u, a, b, i, score, base, best, start, end
 
-    def best_two(self, data, first, lengths):
-        """Ids of the best path of each unit (with their number), its score and the runner-up's loss (inf: none)."""
-        return self.two_paths(data, first, lengths)[:4]
-
-    def two_paths(self, data, first, lengths):
-        """As best_two, then ids of the runner-up of each unit and their number (0: none)."""
+    def search(self, data, first, lengths):
+        """The n_best paths of each unit, best first: how many each unit has, their scores, their numbers of ids, the ids end to end."""
         u, a, b, i, score, base, best, start, end = self._forward(data, first, lengths)
         edge_of = np.searchsorted(end, np.arange(len(best) + 1))  # edges into a node
-        n = len(lengths)
-        goal = best[base + lengths]
-        node, way, left = base + lengths, np.zeros(n), np.full(n, -np.inf)
-        leave, after = np.full(n, -1), np.zeros(n, np.int64)  # the runner-up's edge off the best path, and the steps before it
-        active, steps = np.arange(n), []
+        found = []  # of paths: unit, score, number of ids, ids
+        short = np.flatnonzero(lengths <= HEAP_BYTES)
+        short = short[np.argsort(lengths[short], kind="stable")]
+        room = np.cumsum(8 * lengths[short] * self.n_best)
+        for part in np.split(short, np.flatnonzero(np.diff(room // QUEUE_PLACES)) + 1):
+            if len(part):
+                found.append(self._in_step(part, lengths, i, score, base, best, start, edge_of))
+        cut = np.searchsorted(u, np.arange(len(lengths) + 1))
+        for k in np.flatnonzero(lengths > HEAP_BYTES).tolist():
+            p, q, at = cut[k], cut[k + 1], base[k]
+            paths = self._backward(int(lengths[k]), *(x[p:q].tolist() for x in (a, b, i, score)), best[at : at + lengths[k] + 1].tolist())
+            found.append((np.full(len(paths), k), np.array([s for s, _ in paths]), np.array([len(ids) for _, ids in paths]), np.concatenate([np.array(ids, np.int64) for _, ids in paths])))
+        unit, scores, count, ids = (np.concatenate(x) for x in zip(*found))
+        begin = np.cumsum(count) - count
+        order = np.argsort(unit, kind="stable")
+        unit, scores, count = unit[order], scores[order], count[order]
+        to = np.cumsum(count) - count
+        ids = ids[np.arange(count.sum()) + np.repeat(begin[order] - to, count)]
+        return np.bincount(unit, minlength=len(lengths)), scores, count, ids
+
+    def _in_step(self, units, lengths, ids, score, base, best, start, edge_of):
+        """A* over all units in step; each step takes the best open node of every unit, the one that was put in first if several are."""
+        n = len(units)
+        goal = base[units] + lengths[units]
+        # what was ever put into a queue: its node, the score of the way to it, the entry it came from, the edge taken
+        node, way, parent, edge = goal, np.zeros(n), np.full(n, -1), np.full(n, -1)
+        queue, entry = np.full((n, 8), -np.inf), np.zeros((n, 8), np.int64)
+        queue[:, 0], entry[:, 0] = best[goal], np.arange(n)
+        fill, got = np.ones(n, np.int64), np.zeros(n, np.int64)
+        active, out = np.arange(n), []
         while len(active):
-            into = node[active]
-            count = edge_of[into + 1] - edge_of[into]
-            lane = np.repeat(np.arange(len(active)), count)
-            e = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(edge_of[into], count)
-            bound = way[active][lane] + score[e] + best[start[e]]
-            at = np.cumsum(count) - count
-            top = np.maximum.reduceat(bound, at)
-            # of equal bounds the edge that comes first is opened, the others wait
-            is_top = np.flatnonzero(bound == top[lane])
-            pick = is_top[np.unique(lane[is_top], return_index=True)[1]]
-            bound[pick] = -np.inf
-            second = np.maximum.reduceat(bound, at)
-            better = second > left[active]
-            is_second = np.flatnonzero((bound == second[lane]) & better[lane])
-            lanes, where = np.unique(lane[is_second], return_index=True)
-            leave[active[lanes]], after[active[lanes]] = e[is_second[where]], len(steps)
-            left[active] = np.maximum(left[active], second)
-            steps.append((active, i[e[pick]]))
-            way[active] += score[e[pick]]
-            node[active] = start[e[pick]]
-            active = active[node[active] != base[active]]
-        unit = np.concatenate([x for x, _ in steps])
-        number = np.concatenate([np.full(len(x), k) for k, (x, _) in enumerate(steps)])
-        order = np.lexsort((-number, unit))
-        ids = np.concatenate([x for _, x in steps])
-        # the runner-up: the best path's steps up to its edge, that edge, and edges of best prefixes from there
-        shared = number < after[unit]
-        shared &= leave[unit] >= 0
-        active = np.flatnonzero(leave >= 0)
-        walk = [(unit[shared], number[shared], ids[shared]), (active, after[active], i[leave[active]])]
-        node[active] = start[leave[active]]
-        k = 0
-        while len(active := active[node[active] != base[active]]):
-            into = node[active]
-            count = edge_of[into + 1] - edge_of[into]
+            slot = np.argmax(queue[active], axis=1)
+            bound = queue[active, slot]
+            open_ = bound > -np.inf
+            active, slot, bound = active[open_], slot[open_], bound[open_]
+            taken = entry[active, slot]
+            queue[active, slot] = -np.inf
+            done = node[taken] == base[units[active]]
+            if done.any():
+                out.append((active[done], bound[done], taken[done]))
+                got[active[done]] += 1
+            on, taken = active[~done], taken[~done]
+            count = edge_of[node[taken] + 1] - edge_of[node[taken]]
             at = np.cumsum(count) - count
-            lane = np.repeat(np.arange(len(active)), count)
-            e = np.arange(count.sum()) - np.repeat(at, count) + np.repeat(edge_of[into], count)
-            bound = score[e] + best[start[e]]
-            is_top = np.flatnonzero(bound == np.maximum.reduceat(bound, at)[lane])
-            e = e[is_top[np.unique(lane[is_top], return_index=True)[1]]]
-            k += 1
-            walk.append((active, after[active] + k, i[e]))
-            node[active] = start[e]
-        of, number, other = (np.concatenate(x) for x in zip(*walk))
-        return ids[order], np.bincount(unit, minlength=n), goal, goal - left, other[np.lexsort((-number, of))], np.bincount(of, minlength=n)
+            of = np.repeat(np.arange(len(on)), count)
+            e = np.arange(count.sum()) + np.repeat(edge_of[node[taken]] - at, count)
+            far = way[taken][of] + score[e]
+            most = int((fill[on] + count).max(initial=0))
+            if most > queue.shape[1]:
+                wider = max(most, 2 * queue.shape[1]) - queue.shape[1]
+                queue, entry = np.pad(queue, ((0, 0), (0, wider)), constant_values=-np.inf), np.pad(entry, ((0, 0), (0, wider)))
+            place = fill[on][of] + np.arange(len(e)) - at[of]
+            queue[on[of], place] = far + best[start[e]]
+            entry[on[of], place] = len(node) + np.arange(len(e))
+            fill[on] += count
+            node, way, parent, edge = (np.concatenate(x) for x in ((node, start[e]), (way, far), (parent, taken[of]), (edge, e)))
+            active = active[got[active] < self.n_best]
+        who, scores, last = (np.concatenate(x) for x in zip(*out))
+        # the ids of a path, from its start: an entry's edge stands in front of its parent's
+        walk, at = [], np.arange(len(last))
+        while len(at):
+            some = parent[last] >= 0
+            at, last = at[some], last[some]
+            walk.append((at, ids[edge[last]]))
+            last = parent[last]
+        path = np.concatenate([x for x, _ in walk])
+        step = np.concatenate([np.full(len(x), k) for k, (x, _) in enumerate(walk)])
+        return units[who], scores, np.bincount(path, minlength=len(who)), np.concatenate([x for _, x in walk])[np.lexsort((step, path))]
 
     def segment(self, units: list[bytes]) -> list[list[tuple[float, list[int]]]]:
         """The n_best segmentations (score, ids) of each unit, best first."""
         lengths = np.array([len(x) for x in units])
-        u, a, b, i, score, base, best, _, _ = self._forward(np.frombuffer(b"".join(units), np.uint8), np.cumsum(lengths) - lengths, lengths)
-        cut = np.searchsorted(u, np.arange(len(units) + 1)).tolist()
-        a, b, i, score, best, base = a.tolist(), b.tolist(), i.tolist(), score.tolist(), best.tolist(), base.tolist()
-        return [self._backward(len(x), a[p:q], b[p:q], i[p:q], score[p:q], best[s : s + len(x) + 1]) for x, p, q, s in zip(units, cut, cut[1:], base)]
+        paths, scores, counts, ids = self.search(np.frombuffer(b"".join(units), np.uint8), np.cumsum(lengths) - lengths, lengths)
+        each = list(zip(scores.tolist(), (x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1]))))
+        cut = np.concatenate([[0], np.cumsum(paths)]).tolist()
+        return [each[a:b] for a, b in zip(cut, cut[1:])]
 
     def _backward(self, length, starts, ends, ids, scores, best):
         """A* from the end of a unit: the way so far plus the exact score of what is left in front."""
@@ -222,33 +235,40 @@ class Lattice:
 
 
 class _Known:
-    """Units seen by a task: hash to number; by number the ids (end to end), best score and losses of the next."""
+    """Units seen by a task: bytes to number; by number the paths, best first; by path its score and its ids."""
 
     def __init__(self):
-        self.number: dict[int, int] = {}
-        self.ids, self.begin, self.count, self.score = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0)
-        self.gap: np.ndarray = np.zeros(0)  # the least loss, inf without a second segmentation
-        self.gaps: dict[int, list[float]] = {}  # all of them, where more than one is wanted
-        self.paths: dict[int, list[np.ndarray]] = {}  # and the ids of each
-        self.next_ids, self.next_begin, self.next_count = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(2))  # of the second segmentation
+        self.number: dict[bytes, int] = {}
+        self.first, self.paths, self.begin, self.count = (np.zeros(0, np.int64) for _ in range(4))
+        self.score, self.ids = np.zeros(0), np.zeros(0, np.int32)
+
+    def add(self, units: list[bytes], paths, scores, counts, ids):
+        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units))))
+        self.first = np.concatenate([self.first, len(self.score) + np.cumsum(paths) - paths])
+        self.paths = np.concatenate([self.paths, paths])
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(counts) - counts])
+        self.count, self.score, self.ids = np.concatenate([self.count, counts]), np.concatenate([self.score, scores]), np.concatenate([self.ids, ids.astype(np.int32)])
 
     def losses(self, k: int) -> list[float]:
-        return self.gaps[k] if k in self.gaps else [self.gap[k]] if self.gap[k] < np.inf else []
+        """By how much each path of a unit after the best falls short of it."""
+        a, n = self.first[k], self.paths[k]
+        return (self.score[a] - self.score[a + 1 : a + n]).tolist()
 
     def path(self, k: int, nth: int) -> np.ndarray:
-        """Ids of a unit's nth segmentation after the best."""
-        return self.paths[k][nth] if k in self.paths else self.next_ids[self.next_begin[k] : self.next_begin[k] + self.next_count[k]]
-
-    def add(self, hashes, ids, counts, scores, gap, next_ids=np.zeros(0, np.int32), next_counts=None, gaps=(), paths=()):
-        next_counts = np.zeros(len(counts), np.int64) if next_counts is None else next_counts
-        self.gaps.update(enumerate(gaps, len(self.count)))
-        self.paths.update(enumerate(paths, len(self.count)))
-        self.next_begin = np.concatenate([self.next_begin, len(self.next_ids) + np.cumsum(next_counts) - next_counts])
-        self.next_ids, self.next_count = np.concatenate([self.next_ids, next_ids.astype(np.int32)]), np.concatenate([self.next_count, next_counts])
-        self.gap = np.concatenate([self.gap, gap])
-        self.number.update(zip(hashes, range(len(self.count), len(self.count) + len(hashes))))
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(counts) - counts])
-        self.ids, self.count, self.score = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.count, counts]), np.concatenate([self.score, scores])
+        p = self.first[k] + nth
+        return self.ids[self.begin[p] : self.begin[p] + self.count[p]]
+
+
+def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An index of each distinct unit and the number of every unit among those. Units stand end to end; hashes only propose, bytes decide."""
+    _, where, inverse = np.unique(common.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    lengths, like = ends - starts, where[inverse]
+    if np.array_equal(lengths, lengths[like]) and np.array_equal(data[np.arange(len(data)) + np.repeat(starts[like] - starts, lengths)], data):
+        return where, inverse
+    raw, seen, number = data.tobytes(), {}, []
+    for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+        number.append(seen.setdefault(raw[a:b], (len(seen), k))[0])
+    return np.array([k for _, k in seen.values()]), np.array(number)
 
 
 def _texts_of(pieces, by_byte) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,33 +296,28 @@ def _encode(shared, n_best: int, verify: bool = False):
             starts, ends, first = lattice.split(data, off)
             if len(known.number) > KEPT_UNITS:
                 known = _Known()
-            distinct, where, inverse = np.unique(common.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            keys = distinct.tolist()
-            new = np.array([k for k, h in enumerate(keys) if h not in known.number], np.int64)
-            if len(new):
-                lengths = (ends - starts)[where[new]]
-                at = np.cumsum(lengths) - lengths
-                raw = data[np.repeat(starts[where[new]] - at, lengths) + np.arange(lengths.sum())]
-                hashes = [keys[k] for k in new]
-                if n_best <= 2:
-                    known.add(hashes, *(lattice.two_paths if n_best == 2 else lattice.best_two)(raw, at, lengths))
-                else:
-                    text = raw.tobytes()
-                    paths = lattice.segment([text[a : a + n] for a, n in zip(at, lengths)])
-                    counts = np.array([len(p[0][1]) for p in paths])
-                    losses = [[p[0][0] - q[0] for q in p[1:]] for p in paths]
-                    known.add(hashes, np.concatenate([p[0][1] for p in paths]), counts, np.array([p[0][0] for p in paths]), np.array([min(x, default=np.inf) for x in losses]), gaps=losses, paths=[[np.array(q[1], np.int32) for q in p[1:]] for p in paths])
-            slot = np.array([known.number[h] for h in keys], np.int64)
-            count = known.count[slot][inverse]
+            where, inverse = _distinct(data, starts, ends)
+            raw = data.tobytes()
+            keys = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+            new = [x for x in keys if x not in known.number]
+            if new:
+                lengths = np.array([len(x) for x in new])
+                known.add(new, *lattice.search(np.frombuffer(b"".join(new), np.uint8), np.cumsum(lengths) - lengths, lengths))
+            slot = np.array([known.number[x] for x in keys], np.int64)
+            top = known.first[slot]  # each unit's best path
+            count = known.count[top][inverse]
             total = np.concatenate([[0], np.cumsum(count)])
-            at = np.arange(total[-1]) + np.repeat(known.begin[slot][inverse] - total[:-1], count)
+            at = np.arange(total[-1]) + np.repeat(known.begin[top][inverse] - total[:-1], count)
             offsets = total[first]
-            best = np.concatenate([[0.0], np.cumsum(known.score[slot][inverse])])
+            best = np.concatenate([[0.0], np.cumsum(known.score[top][inverse])])
             scores = best[first[1:]] - best[first[:-1]]
             out = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(known.ids[at])), pa.array(np.diff(offsets)), pa.array(scores)]
             names = [*batch.schema.names[:-1], "ids", "n_pieces", "score"]
             if n_best > 1:
-                near, ids = known.gap[slot][inverse], known.ids[at]
+                more = known.paths[slot] > 1
+                near = np.full(len(slot), np.inf)
+                near[more] = known.score[top[more]] - known.score[top[more] + 1]
+                near, ids = near[inverse], known.ids[at]
                 nth, others, owner, of_text = [], [], [], np.zeros(batch.num_rows + 1, np.int64)
                 for r, (a, b, s) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), scores.tolist())):
                     most = near[a:b]
@@ -314,7 +329,7 @@ def _encode(shared, n_best: int, verify: bool = False):
                         path, done = [], total[a]
                         for u, which in zip(own.tolist(), choice):
                             if which:
-                                path += [ids[done : total[u]], known.path(int(slot[inverse[u]]), which - 1)]
+                                path += [ids[done : total[u]], known.path(int(slot[inverse[u]]), which)]
                                 done = total[u + 1]
                         others.append(np.concatenate([*path, ids[done : total[b]]]))
                         owner.append(r)
@@ -355,8 +370,9 @@ def encode_pieces(docs: DataFrame, n_best: int = 1, model: str = MODEL, verify:
     verify adds decodes: whether the ids (and all next_ids) spell the text again, compared where they are made.
 
     ids segment the whole text best; next_scores and next_ids are the scores and ids of the segmentations after it (fewer if
-    the lattice has fewer). A space stands before the text, as the model wants it. Null and empty texts have no pieces and score 0.
-    Rows are kept as they are, repeated ones too; columns of docs with these names are replaced.
+    the lattice has fewer). A space stands before the text, as the model wants it. Null and empty texts have no pieces and score 0,
+    texts of any length are encoded whole. Of paths of equal scores the one found first comes first, alike in every run.
+    Rows are kept as they are, repeated ones too; columns of docs with these names are replaced. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model))  # the model's vocabulary
     kept = (docs if keep is None else docs.select(*keep)).drop("ids", "n_pieces", "score", "next_scores", "next_ids", "decodes")
@@ -365,7 +381,7 @@ def encode_pieces(docs: DataFrame, n_best: int = 1, model: str = MODEL, verify:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     more = ", next_scores array<double>, next_ids array<array<int>>" if n_best > 1 else ""
     more += ", decodes boolean" if verify else ""
-    return rows.mapInArrow(_encode(shared, n_best, verify), f"{schema}, ids array<int>, n_pieces long, score double{more}")
+    return common.in_arrow(rows, _encode(shared, n_best, verify), f"{schema}, ids array<int>, n_pieces long, score double{more}")
 
 
 def _decode(shared):
@@ -389,4 +405,11 @@ def decode_pieces(coded: DataFrame, model: str = MODEL) -> DataFrame:
     shared = coded.sparkSession.sparkContext.broadcast(load_pieces(model))
     kept = coded.drop("decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(_decode(shared), f"{schema}, decoded string")
+    return common.in_arrow(kept, _decode(shared), f"{schema}, decoded string")
+
+
+#: What a lossless round trip returns.
+DECODED_SQL = """
+SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS decoded_sha256
+FROM documents
+"""
