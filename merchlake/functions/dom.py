@@ -6,6 +6,7 @@ Built on the standard library's tokenizer, which tolerates malformed pages. Sele
 
 from __future__ import annotations
 
+import html
 import json
 import re
 from html.parser import HTMLParser
@@ -36,6 +37,12 @@ class Node:
             return ""
         return "".join(c if isinstance(c, str) else c.text() for c in self.children)
 
+    def markup(self) -> str:
+        """The node written as HTML again."""
+        inside = "".join(c.markup() if isinstance(c, Node) else c if self.tag in ("script", "style") else html.escape(c) for c in self.children)
+        attrs = "".join(f' {k}="{html.escape(v or "")}"' for k, v in self.attrs.items())
+        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{inside}</{self.tag}>")
+
     def siblings(self):
         return [c for c in self.parent.children if isinstance(c, Node)] if self.parent else [self]
 
@@ -108,9 +115,9 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
 
-def parse(html: str) -> Node:
+def parse(page: str) -> Node:
     builder = _Builder()
-    builder.feed(html or "")
+    builder.feed(page or "")
     builder.close()
     return builder.root
 
@@ -186,6 +193,12 @@ def json_slice(html: str, key: str, most: int = 500_000) -> str | None:
         return None
 
 
+def js_string(page: str, key: str) -> str | None:
+    """The quoted text after a key of a script, as in parentItem = "B0..." or "parentItem": "B0..."."""
+    found = re.search(r"""["']?\b""" + re.escape(key) + r"""["']?\s*[:=]\s*(["'])(.*?)\1""", page)
+    return found.group(2) if found else None
+
+
 def json_blob(html: str, key: str, most: int = 500_000):
     text = json_slice(html, key, most)
     return None if text is None else json.loads(text)

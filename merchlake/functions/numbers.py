@@ -54,14 +54,29 @@ def money(text: Column, market: Market) -> Column:
     return F.when(minor.isNotNull(), F.struct(minor.alias("minor"), F.lit(market.currency).alias("currency"), F.trim(text).alias("raw")))
 
 
+def whole_money(minor: Column, currency: Column) -> Column:
+    """struct(minor, currency) of a count of minor units; null for what is no whole number."""
+    return F.when(minor == F.floor(minor), F.struct(minor.cast("long").alias("minor"), currency.alias("currency")))
+
+
+def money_difference(a: Column, b: Column) -> Column:
+    """Minor units of a - b of two money structs; null where the currencies differ."""
+    return F.when(a["currency"] == b["currency"], a["minor"] - b["minor"])
+
+
 def first_money(text: Column, market: Market) -> Column:
     """minor units of the first readable price in a longer text; a token with digits or separators left over is refused."""
     plain = F.regexp_replace(F.regexp_replace(text, BIDI, ""), "[\\u00a0\\u2007\\u2009\\u202f]", " ")
     for symbol in sorted(market.symbols, key=len, reverse=True):
         plain = F.replace(plain, F.lit(symbol), F.lit("|"))
-    token = "[0-9]{1,3}(?: [0-9]{3})+(?:,[0-9]+)?|[0-9][0-9.,]*" if market.thousands == " " else "[0-9][0-9.,]*"
-    found = F.transform(F.regexp_extract_all(plain, F.lit(f"({token})"), F.lit(1)), lambda t: F.floor(localized_number(F.rtrim(t), market) * 100 + F.lit(0.5).cast("decimal(2,1)")).cast("long"))
-    return F.get(F.filter(found, lambda v: v.isNotNull()), 0)
+    d, t = re.escape(market.decimal), re.escape(market.thousands)
+    grouped = f"[0-9]{{1,3}}(?:{t}[0-9]{{3}})+(?:{d}[0-9]*)?"
+    whole = f"[0-9]+(?:{d}(?:[0-9]{{4,}}|[0-9]{{0,2}}))?"
+    # the first token that has the market's shape from its first digit to the last digit or separator that touches it
+    edge = "0-9.,"
+    token = F.regexp_extract(plain, f"(?<![{edge}])({grouped}|{whole})(?![{edge}])", 1)
+    digits = F.translate(F.replace(token, F.lit(market.thousands), F.lit("")), market.decimal, ".").try_cast(NUMBER)
+    return F.floor(digits * 100 + F.lit(0.5).cast("decimal(2,1)")).cast("long")
 
 
 def count(text: Column, market: Market) -> Column:
@@ -72,13 +87,12 @@ def count(text: Column, market: Market) -> Column:
     factor = F.lit(None).cast("long")
     for w, f in reversed(market.magnitudes):
         factor = F.when(word == w.lower(), F.lit(f).cast("long")).otherwise(factor)
-    compact = localized_number(head, market) * factor
-    compact = F.when((compact >= 0) & (compact == F.floor(compact)), compact.cast("long"))
+    # one number is read: the part before a magnitude word, else all digits and separators
     kept = F.regexp_replace(text, "[^0-9.,\\u00a0 ]", "")
-    whole = localized_number(kept, market)
-    digits = F.regexp_replace(text, "[^0-9]", "").try_cast("long")
-    decimal = kept.rlike(re.escape(market.decimal))
-    return F.when(word != "", compact).when(whole.isNotNull() & (whole == F.floor(whole)), whole.cast("long")).when(~decimal, digits)
+    value = localized_number(F.when(word != "", head).otherwise(kept), market) * F.when(word != "", factor).otherwise(1)
+    plain = F.when((word == "") & ~kept.rlike(re.escape(market.decimal)), F.regexp_replace(text, "[^0-9]", "").try_cast("long"))
+    exact = F.transform(F.array(value), lambda v: F.when((v >= 0) & (v == F.floor(v)), v.cast("long")))
+    return F.coalesce(F.get(exact, 0), plain)
 
 
 def rating(text: Column, market: Market) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from merchlake.functions.markets import Market
-from merchlake.functions.numbers import SPACES
+from merchlake.functions.numbers import SPACES, first_money
 
 
 def clean_text(text: Column) -> Column:
@@ -17,7 +17,7 @@ def clean_text(text: Column) -> Column:
 def first_label(text: Column, labels) -> Column:
     """The first of the labels that the text holds, in any case of letters."""
     low = F.lower(text)
-    return F.coalesce(*[F.when(F.contains(low, F.lit(label.lower())), F.lit(label)) for label in labels])
+    return F.coalesce(*[F.when(F.contains(low, F.lit(label.lower())), F.lit(label)) for label in labels], F.lit(None).cast("string"))
 
 
 def availability_state(text: Column, market: Market) -> Column:
@@ -85,11 +85,23 @@ def strip_label(text: Column, labels) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, f"^(?i)\\s*(?:{alternatives})\\s*[:\\uff1a]?\\s*", "")), F.lit(""))
 
 
-def coupon(text: Column) -> Column:
-    """struct(type, percent): PERCENT with its number, AMOUNT for other numbers, UNKNOWN for the rest; null text null."""
+def coupon(text: Column, market: Market) -> Column:
+    """struct(text, type, percent, minor): PERCENT with its number, AMOUNT with a readable price, UNKNOWN for the rest; null text null."""
     share = F.regexp_extract(text, "([0-9]{1,3})\\s*%", 1).try_cast("int")
-    kind = F.when(share.isNotNull(), "PERCENT").when(text.rlike("[0-9]"), "AMOUNT").otherwise("UNKNOWN")
-    return F.when(text.isNotNull(), F.struct(kind.alias("type"), share.alias("percent")))
+    minor = F.when(share.isNull(), first_money(text, market))
+    kind = F.when(share.isNotNull(), "PERCENT").when(minor.isNotNull(), "AMOUNT").otherwise("UNKNOWN")
+    return F.when(text.isNotNull(), F.struct(text.alias("text"), kind.alias("type"), share.alias("percent"), minor.alias("minor")))
+
+
+#: What a byline puts around a brand's name.
+BYLINE_BEFORE, BYLINE_AFTER = ("visit the ", "brand:", "marke:", "besuche den ", "shop "), (" store", " shop", "-store")
+
+
+def brand_name(byline: Column) -> Column:
+    """The name in a byline such as "Visit the Acme Store" or "Brand: Acme"."""
+    before = "|".join(f"\\Q{w.strip()}\\E{'\\s+' if w.endswith(' ') else '\\s*'}" for w in BYLINE_BEFORE)
+    after = "|".join(f"{'\\s+' if w.startswith(' ') else ''}\\Q{w.strip()}\\E" for w in BYLINE_AFTER)
+    return clean_text(F.regexp_replace(F.regexp_replace(clean_text(byline), f"^(?i)(?:{before})", ""), f"(?i)(?:{after})$", ""))
 
 
 def lookup_label(table: Column, labels) -> Column:
@@ -108,6 +120,29 @@ def sanitize_html(html: Column, patterns: list[tuple[str, str]]) -> Column:
     return html
 
 
+#: Where pages carry the token of a form, keys of an answer that tell whether a place was taken.
+TOKENS = (r"""(?i)csrfToken\s*=\s*["']([^"']+)["']""", r"""CSRF_TOKEN\s*:\s*["']([^"']+)["']""", r"""name=["']anti-csrftoken-a2z["'][^>]*value=["']([^"']+)["']""", r'''"anti-csrftoken-a2z"\s*:\s*"([^"]+)"''')
+ANSWERS = ("sembuUpdated", "success", "isValidAddress")
+
+
+def csrf_token(html: Column) -> Column:
+    return F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in TOKENS])
+
+
+def location_accepted(status: Column, body: Column) -> Column:
+    """Whether an answer takes the place: 2xx or 3xx, and the first of ANSWERS that it holds is not false."""
+    told = F.coalesce(*[F.when(v.isin("true", "1"), True).when(v.isin("false", "0"), False) for v in (F.get_json_object(body, f"$.{k}") for k in ANSWERS)])
+    return (status >= 200) & (status < 400) & F.coalesce(told, F.lit(True))
+
+
+def location_payload(postal: Column, country: Column) -> Column:
+    """The form of a place, as a map."""
+    fixed = {"locationType": "LOCATION_INPUT", "storeContext": "generic", "deviceType": "web", "pageType": "Detail", "actionSource": "glow"}
+    base = F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv], F.lit("zipCode"), postal)
+    code = F.nullif(F.upper(F.trim(country)), F.lit(""))
+    return F.when(code.isNotNull(), F.map_concat(base, F.create_map(F.lit("countryCode"), code))).otherwise(base)
+
+
 def location_verified(indicator: Column, postal: Column) -> Column:
     """Whether a page's place text holds the postal code, or its first five digits if it has four at least; null without a text."""
     digits = F.substring(F.regexp_replace(postal, "[^0-9]", ""), 1, 5)

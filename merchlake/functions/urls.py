@@ -85,6 +85,11 @@ def seller_url(host: Column, seller: Column) -> Column:
     return F.concat(F.lit("https://"), host, F.lit("/sp?seller="), seller)
 
 
+def offers_url(host: Column, item: Column) -> Column:
+    """The page of all offers of an item."""
+    return F.concat(F.lit("https://"), host, F.lit("/gp/product/ajax/ref=dp_aod_ALL_mbc?asin="), item, F.lit("&m=&qid=&smid=&sourcecustomerorglistid=&sourcecustomerorglistitemid=&sr=&pc=dp&experienceId=aodAjaxMain"))
+
+
 def storefront_url(host: Column, seller: Column) -> Column:
     """The listing of a seller's items, which a seller profile stands for when items are wanted."""
     return F.concat(F.lit("https://"), host, F.lit("/s?me="), seller)

@@ -39,12 +39,10 @@ def snapshot_join(current: DataFrame, previous: DataFrame, keys: list[str]) -> D
 
 
 def suppression(block: str, now: Column, before: Column) -> Column:
-    """Why a block isn't compared (null: it is): the current status first, then the previous one."""
-    return (
-        F.when(~F.coalesce(now.isin(*TRUSTED[block]), F.lit(False)), F.concat(F.lit(f"{block.upper()}_CURRENT_"), F.coalesce(now, F.lit("MISSING"))))
-        .when(before.isNull(), F.lit(f"{block.upper()}_PREVIOUS_STATUS_MISSING"))
-        .when(~before.isin(*TRUSTED[block]), F.concat(F.lit(f"{block.upper()}_PREVIOUS_"), before))
-    )
+    """Why a block isn't compared (null: it is): the current status, then the previous one."""
+    current = F.when(~F.coalesce(now.isin(*TRUSTED[block]), F.lit(False)), F.concat(F.lit("CURRENT_"), F.coalesce(now, F.lit("MISSING"))))
+    previous = F.when(before.isNull(), "PREVIOUS_STATUS_MISSING").when(~before.isin(*TRUSTED[block]), F.concat(F.lit("PREVIOUS_"), before))
+    return F.when(current.isNotNull() | previous.isNotNull(), F.concat(F.lit(f"COMPARISON_SUPPRESSED:{block}:"), F.concat_ws(",", current, previous)))
 
 
 def value_change(kind: str, field: str, before: Column, after: Column, allowed: Column | None = None) -> Column:
@@ -63,6 +61,47 @@ def coupon_change(before: Column, after: Column) -> Column:
     return F.when(before.isNull() & after.isNotNull(), "COUPON_ADDED").when(before.isNotNull() & after.isNull(), "COUPON_REMOVED").when(before != after, "DISCOUNT_CHANGED")
 
 
+def product_changes(now, before, compared: Column) -> tuple[Column, Column]:
+    """(changes, warnings) of a record against the one before it. now and before give the column of a block's field, as in now("pricing.status").
+
+    A block counts if both of its statuses may be trusted. Prices in unequal currencies are not compared; the buy box is known by its
+    seller's identifier, else by its name; seller counts only where both runs asked for offers.
+    """
+    why = {b: suppression(b, now(f"{b}.status"), before(f"{b}.status")) for b in TRUSTED}
+    asked = F.coalesce(now("offers.requested") & before("offers.requested"), F.lit(False))
+    why["offers"] = F.when(asked, why["offers"])
+    fair = {b: compared & w.isNull() for b, w in why.items()}
+    fair["offers"] = fair["offers"] & asked
+    amounts = [side("pricing.currentPrice.amount") for side in (before, now)]
+    currencies = [side("pricing.currentPrice.currency") for side in (before, now)]
+    mismatch = fair["pricing"] & amounts[0].isNotNull() & amounts[1].isNotNull() & ~currencies[0].eqNullSafe(currencies[1])
+
+    def moved(kind, field, block, allowed=None, numeric=True, sides=None):
+        old, new = sides or (before(field), now(field))
+        out = value_change(kind, field, old, new, fair[block] if allowed is None else fair[block] & allowed)
+        return out if numeric else F.when(out.isNotNull(), out.withField("percent", F.lit(None).cast("double")))
+
+    coupons = [F.to_json(side("pricing.coupon")) for side in (before, now)]
+    states = [side("availability.state") for side in (before, now)]
+    sellers = [F.coalesce(side("buyBox.sellerId"), side("buyBox.seller")) for side in (before, now)]
+    counts = [F.coalesce(side("offers.totalCount"), F.size(side("offers.items")).cast("long")) for side in (before, now)]
+    coupon, stock = coupon_change(*coupons), stock_change(*states)
+    as_change = lambda kind, field, old, new: F.when(kind.isNotNull(), F.struct(kind.alias("type"), F.lit(field).alias("field"), old.alias("before"), new.alias("after"), F.lit(None).cast("double").alias("percent")))
+    found = changes(
+        moved("PRICE_CHANGED", "pricing.currentPrice.amount", "pricing", ~mismatch),
+        moved("DISCOUNT_CHANGED", "pricing.discountPercent", "pricing"),
+        F.when(fair["pricing"], as_change(coupon, "pricing.coupon", *coupons)),
+        F.when(fair["availability"], as_change(stock, "availability.state", *states)),
+        moved("BUY_BOX_CHANGED", "buyBox.seller", "buyBox", numeric=False, sides=sellers),
+        moved("SELLER_COUNT_CHANGED", "offers.totalCount", "offers", sides=counts),
+        moved("BSR_CHANGED", "rankings.mainBSR", "rankings"),
+        moved("RATING_CHANGED", "ratings.rating", "ratings"),
+        moved("REVIEW_COUNT_CHANGED", "ratings.reviewCount", "ratings"),
+    )
+    warned = F.array_compact(F.array(why["pricing"], F.when(mismatch, "COMPARISON_SUPPRESSED:pricing.currentPrice:CURRENCY_MISMATCH"), *[w for b, w in why.items() if b != "pricing"]))
+    return F.when(compared, found).otherwise(F.array()), F.when(compared, warned).otherwise(F.array(F.lit("COMPARISON_NOT_AVAILABLE:NO_MATCHING_PREVIOUS_OBSERVATION")))
+
+
 def changes(*found: Column) -> Column:
     """The changes that there are, in the order given."""
     return F.array_compact(F.array(*found))

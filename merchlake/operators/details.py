@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from merchlake.functions.markets import Market
 from merchlake.functions.numbers import count, first_money, landed_price, percent
-from merchlake.functions.text import condition, fulfillment, max_resolution, strip_label
-from merchlake.functions.urls import seller_id
+from merchlake.functions.text import condition, fulfillment, humanize_dimension, max_resolution, strip_label
+from merchlake.functions.urls import item_id, seller_id
 from merchlake.operators import extract
+from merchlake.operators.extract import MARKUP
 
 #: Identifiers of the detail layouts, labels in several languages.
 OFFER = '#aod-pinned-offer, #aod-offer, .aod-information-block, [data-csa-c-content-id="aod-offer"]'
@@ -50,6 +51,9 @@ BUSINESS_ADDRESS = ("business address", "adresse commerciale", "geschäftsadress
 LEGAL = "(?i)vat|ust-id|iva|tva|partita|registro|register|siret|nif|cif"
 FEEDBACK = {"positive": "positiv|positif", "neutral": "neutr", "negative": "negativ|négatif"}
 MAIN_IMAGE = ("#landingImage", "#imgTagWrapperId img", "#imgBlkFront")
+#: A swatch of a twister: its item, its value, and the dimension it belongs to.
+SWATCH = 'li[data-defaultasin], li[data-dp-url]'
+SWATCH_FIELDS = {"child": (None, "data-defaultasin"), "link": (None, "data-dp-url"), "value": ((".a-button-text", ".swatch-title-text"), None), "hint": (None, "title")}
 VARIANT_FIELDS = {"variant_parent": (("#twister", "#twister-plus-inline-twister", '[id^="variation_"]'), "id")}
 MEDIA_FIELDS = {"sizes": (MAIN_IMAGE, "data-a-dynamic-image"), "src": (MAIN_IMAGE, "src")}
 MEDIA_LISTS = {"thumbs": (("#altImages li img", "#imageBlockThumbs img"), "src")}
@@ -63,7 +67,8 @@ def offers(pages: DataFrame, market: Market, key: str, most: int, own_names) ->
     Wrappers without a price and a seller are left out; of offers of one seller and price the first counts. An empty
     page is NOT_PRESENT if its container is known, else PARSER_MISS.
     """
-    found = extract.extract_cards(pages.select(key, "html"), OFFER, OFFER_FIELDS, unique=None)
+    every = extract.extract_cards(pages.select(key, "html"), OFFER, OFFER_FIELDS, unique=None, heads=OFFER_PAGE)
+    found = every.where("place IS NOT NULL")
     price, shipping = first_money(F.col("price"), market), first_money(F.col("shipping"), market)
     typed = found.select(key, "place", price.alias("price"), F.coalesce(shipping, F.when(F.col("whole").rlike(FREE) & price.isNotNull(), 0)).cast("long").alias("shipping"), "seller", seller_id(F.col("link")).alias("seller_id"),
                          condition(F.col("heading")).alias("condition"), fulfillment(F.col("shipper"), F.col("seller"), own_names).alias("fulfillment"), F.col("whole").rlike("(?i)prime").alias("prime"),
@@ -74,8 +79,8 @@ def offers(pages: DataFrame, market: Market, key: str, most: int, own_names) ->
     once = once.select(key, "seller_id", "seller", "price", "o.*")
     ranked = once.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("place")))
     listed = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("__found"), F.sort_array(F.collect_list(F.when(F.col("__n") <= most, F.struct("__n", *fields)))).alias("__items"))
-    heads = extract.extract_fields(pages.select(key, "html"), OFFER_PAGE).select(key, "total", "container")
-    joined = heads.join(listed, key, "left")
+    # a page stands on one row at least, so its own fields come from the same pass
+    joined = every.groupBy(key).agg(F.max("total").alias("total"), F.max("container").alias("container")).join(listed, key, "left")
     items = F.transform(F.coalesce("__items", F.array()), lambda o: F.struct(*[o[f].alias(f) for f in fields]))
     total = F.coalesce(count(F.col("total"), market), F.col("__found"))
     status = F.when(F.col("__found") > 0, "EXTRACTED").when(F.col("container").isNotNull(), "NOT_PRESENT").otherwise("PARSER_MISS")
@@ -159,6 +164,30 @@ def variants_block(found: DataFrame, most: int = 50) -> DataFrame:
     return found.withColumn("variants", block).drop("__rows", "__named", "__width", "__dims")
 
 
+def swatch_variants(pages: DataFrame, key: str, most: int = 50) -> DataFrame:
+    """key, dimensions, items, truncated of twisters drawn as swatches, for layouts without the JSON matrix; a row only for pages that have some.
+
+    A row of the twister is a dimension; its label stands before the swatches, else its identifier names it.
+    """
+    rows = extract.extract_cards(pages.select(key, "html"), '#twister .a-row, #twister-plus-inline-twister .a-row, [id^="variation_"]', {"ident": (None, "id"), "label": ((".a-form-label", ".twisterTextDiv", ".inline-twister-dim-title-value"), None), "markup": (None, MARKUP)}, unique=None)
+    named = F.coalesce(F.regexp_replace("label", "[:\\uff1a]\\s*$", ""), F.when(F.startswith("ident", F.lit("variation_")), humanize_dimension(F.regexp_replace("ident", "^variation_", ""))))
+    rows = rows.withColumn("dimension", named).where("dimension IS NOT NULL")
+    swatches = extract.extract_cards(rows.select(key, "place", "dimension", "markup").withColumnRenamed("place", "row"), SWATCH, SWATCH_FIELDS, html="markup", unique=None)
+    item = F.coalesce(item_id(F.col("child")), item_id(F.regexp_extract("link", "/dp/([A-Za-z0-9]{10})", 1)))
+    value = F.regexp_replace(F.coalesce("value", "hint"), "^(?i)Click to select\\s*", "")
+    found = swatches.select(key, "row", "dimension", item.alias("item"), value.alias("value")).where("item IS NOT NULL AND value IS NOT NULL")
+    # of several values of a dimension the last holds, as for its swatches in page order
+    each = found.groupBy(key, "item", "dimension").agg(F.max_by("value", "row").alias("value"), F.min("row").alias("row"))
+    items = each.groupBy(key, "item").agg(F.sort_array(F.collect_list(F.struct("row", "dimension", "value"))).alias("o"))
+    options = F.map_from_entries(F.transform("o", lambda x: F.struct(x["dimension"], x["value"])))
+    ranked = items.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("item")))
+    # maps have no order, so the list is put in order by number alone
+    numbered = F.collect_list(F.when(F.col("__n") <= most, F.struct("__n", "item", options.alias("options"))))
+    listed = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("__all"), F.array_sort(numbered, lambda a, b: a["__n"] - b["__n"]).alias("__items"))
+    dims = each.groupBy(key, "dimension").agg(F.min("row").alias("row")).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "dimension"))), lambda x: x["dimension"]).alias("dimensions"))
+    return dims.join(listed, key).select(key, "dimensions", F.transform("__items", lambda x: F.struct(x["item"].alias("item"), x["options"].alias("options"))).alias("items"), (F.col("__all") > most).alias("truncated"))
+
+
 def media(pages: DataFrame, key: str) -> DataFrame:
     """key, mainImage, images, videos, status: the gallery's JSON, else the main image's sizes (widest first), its source, thumbnails."""
     found = extract.extract_fields(pages.select(key, "html"), MEDIA_FIELDS, MEDIA_LISTS, blobs=MEDIA_BLOBS)

@@ -76,6 +76,20 @@ def pages_read(pages: DataFrame, source: str, page: str, limit: int, has_next: C
     return pages.withColumn("__stops", F.coalesce(F.sum(stop).over(before), F.lit(0))).where((F.col("__stops") == 0) & (F.col(page) <= limit)).drop("__stops")
 
 
+def fixed_position(page: Column, place: Column, per_page: int = 16) -> Column:
+    """Position of a card if every page before it were full."""
+    return (place + (page - 1) * per_page).cast("long")
+
+
+def direct_cards(cards: DataFrame, wanted: DataFrame, source: str, item: str) -> DataFrame:
+    """judged cards of exact lookups: of a source in wanted(source, item) only the card of that item stays, and no filter rejects it."""
+    asked = wanted.select(source, F.col(item).alias("__asked"))
+    joined = cards.join(asked, source, "left")
+    direct = F.col("__asked").isNotNull()
+    kept = joined.where(~direct | (F.col(item) == F.col("__asked")))
+    return kept.withColumns({"matches": direct | F.col("matches"), "reasons": F.when(direct, F.array().cast("array<string>")).otherwise(F.col("reasons"))}).drop("__asked")
+
+
 def card_discount(price: Column, listed: Column, currency: Column, list_currency: Column) -> Column:
     return F.when(currency == list_currency, discount_percent(price, listed))
 

@@ -6,6 +6,8 @@ it by Column expressions. Selectors are data, so other layouts need no code.
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,18 +15,38 @@ from pyspark.sql import functions as F
 from merchlake.functions import dom
 from merchlake.functions.markets import Market
 from merchlake.functions.numbers import count, first_money, rating
-from merchlake.functions.text import availability_state, clean_text
+from merchlake.functions.text import availability_state, brand_name, clean_text, coupon
+from merchlake.functions.urls import item_id
 
+#: In place of an attribute: whether there is such an element ("1" or null).
+EXISTS = "?"
+#: In place of an attribute of the node itself: its own markup.
+MARKUP = "<>"
 #: Field -> (selectors in order, attribute or None for text). Identifiers of the listing layout.
 PRODUCT_FIELDS = {
-    "title": (("#productTitle", "#title", "h1"), None),
-    "item": (('input[name="ASIN"]', "#ASIN"), "value"),
-    "brand": (("#bylineInfo", "#brand"), None),
-    "price": ((".priceToPay .a-offscreen", "#corePrice_feature_div .a-offscreen", "#priceblock_ourprice", "#price_inside_buybox"), None),
-    "list_price": ((".basisPrice .a-offscreen", ".a-text-price .a-offscreen"), None),
+    "title": (("#productTitle", "#title span", "h1#title", "#title", "h1"), None),
+    "item": (("input#ASIN", 'input[name="ASIN"]', 'input[name="asin"]'), "value"),
+    "item_data": (("#averageCustomerReviews[data-asin]",), "data-asin"),
+    "parent_input": (("input#parentAsin", 'input[name="parentAsin"]'), "value"),
+    "brand": (("#bylineInfo", "#brand", ".po-brand .po-break-word"), None),
+    "price": (("#corePriceDisplay_desktop_feature_div .priceToPay .a-offscreen", "#corePriceDisplay_desktop_feature_div span.aok-offscreen", "#corePriceDisplay_mobile_feature_div .priceToPay .a-offscreen",
+               "#corePrice_feature_div .priceToPay .a-offscreen", "#corePrice_feature_div .a-price .a-offscreen", "#apex_desktop .priceToPay .a-offscreen", "#apex_desktop .a-price .a-offscreen",
+               ".priceToPay .a-offscreen", "#corePrice_feature_div .a-offscreen"), None),
+    "deal_price": (("#priceblock_dealprice", "#priceblock_saleprice", "#dealprice_feature_div .a-offscreen"), None),
+    "buybox_price": (("#price_inside_buybox", "#newBuyBoxPrice", "#buybox .a-price .a-offscreen", "#priceblock_ourprice", "#tp_price_block_total_price_ww .a-offscreen"), None),
+    "list_price": (("#corePriceDisplay_desktop_feature_div .basisPrice .a-offscreen", '#corePriceDisplay_desktop_feature_div span[data-a-strike="true"] .a-offscreen', "#corePrice_feature_div .basisPrice .a-offscreen",
+                    '#apex_desktop span[data-a-strike="true"] .a-offscreen', '.a-price.a-text-price[data-a-strike="true"] .a-offscreen', "#listPrice", "#priceblock_listprice",
+                    ".basisPrice .a-offscreen", ".a-text-price .a-offscreen"), None),
+    "subscribe": (("#sns-base-price", "#snsPrice .a-offscreen", "#sns-tiered-price .a-offscreen"), None),
+    "unit_price": (("#corePriceDisplay_desktop_feature_div .pricePerUnit", "#corePrice_feature_div .pricePerUnit", ".a-price + .a-size-small.a-color-price", "#per-unit-price"), None),
+    "deal_badge": (("#dealBadge", ".dealBadge", "#deal_badge_inner_div", ".a-badge-label-inner .a-badge-text"), None),
+    "coupon": (("#promoPriceBlockMessage .couponLabelText", "#couponTextpctch", "#couponBadgeRegularVpc", "#vpcButton .a-color-success", ".promoPriceBlockMessage .a-color-success", 'label[id^="couponText"]'), None),
     "availability": (("#availability span", "#availability", "#outOfStock"), None),
+    "sold_out_mark": (("#outOfStock",), "id"),
     "rating": (("#acrPopover",), "title"),
-    "reviews": (("#acrCustomerReviewText",), None),
+    "rating_text": (("#acrPopover .a-size-base.a-color-base", 'span[data-hook="rating-out-of-text"]', "#averageCustomerReviews .a-icon-alt", "#acrPopover .a-icon-alt", ".reviewCountTextLinkedHistogram .a-icon-alt"), None),
+    "reviews": (("#acrCustomerReviewText", '[data-hook="total-review-count"]', "#reviewsMedley .a-size-base"), None),
+    "review_section": (("#averageCustomerReviews", "#acrPopover", "#reviewsMedley"), "id"),
     "ranks": (("#SalesRank", "#detailBulletsWrapper_feature_div", "#productDetails_detailBullets_sections1"), None),
     "seller": (("#sellerProfileTriggerId", "#merchant-info a"), None),
     "seller_link": (("#sellerProfileTriggerId", "#merchant-info a"), "href"),
@@ -36,8 +58,12 @@ PRODUCT_LISTS = {
     "breadcrumb": (("#wayfinding-breadcrumbs_feature_div a",), None),
     "images": (("#altImages img",), "src"),
 }
+#: Rows of the star histogram, such as "5 star 61%"; strings of scripts.
+STARS = {"stars": (("#histogramTable tr", '[data-hook="histogram-row"]', ".a-histogram-row"), None)}
+IDENTITY_STRINGS = {"item_script": "currentAsin", "parent_script": "parentAsin"}
 PAGE_FIELDS = {"title": (("title",), None), "heading": (("h1",), None), "language": (("html",), "lang")}
 CARD = 'div[data-component-type="s-search-result"], .s-result-item[data-asin]'
+SEARCH_PAGE = {"next": (("a.s-pagination-next:not(.s-pagination-disabled)", ".s-pagination-item.s-pagination-next:not(.s-pagination-disabled)"), EXISTS)}
 CARD_FIELDS = {
     "item": (None, "data-asin"),
     "title": (("h2",), None),
@@ -45,14 +71,22 @@ CARD_FIELDS = {
     "list_price": ((".a-text-price .a-offscreen",), None),
     "rating": ((".a-icon-alt",), None),
     "reviews": ((".s-underline-text",), None),
-    "sponsored": ((".puis-sponsored-label-text", ".s-sponsored-label-text"), None),
+    "sponsored": ((".puis-sponsored-label-text", ".s-sponsored-label-text", '[data-component-type="sp-sponsored-result"]'), EXISTS),
+    "prime": ((".a-icon-prime", '[aria-label="Prime"]'), EXISTS),
+    "badge": ((".a-badge-text",), None),
+    "thumbnail": (("img.s-image",), "src"),
+    "delivery": (('[data-cy="delivery-recipe"]', ".udm-primary-delivery-message"), None),
     "demand": ((".a-row .a-color-secondary",), None),
 }
 
 
 def _field(node, selectors, attribute):
+    if attribute == MARKUP:
+        return node.markup()
     if selectors is None:  # of the node itself
         return (node.attrs.get(attribute) or "").strip() or None if attribute else dom.squeeze(node.text())
+    if attribute == EXISTS:
+        return "1" if any(node.select(s) for s in selectors) else None
     return node.first_attr(attribute, *selectors) if attribute else node.first_text(*selectors)
 
 
@@ -64,111 +98,183 @@ def _list(root, selectors, attribute):
     return []
 
 
-def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | None = None, maps: dict | None = None, blobs: dict | None = None, html: str = "html") -> DataFrame:
+#: Pages whose fields a worker holds at a time.
+PAGES_AT_ONCE = 64
+
+
+def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | None = None, maps: dict | None = None, blobs: dict | None = None, html: str = "html", strings: dict | None = None, linked: str | None = None) -> DataFrame:
     """pages without html, with a string column a field, an array column a list, and parse_error (null: parsed).
 
     maps (name -> selectors) gives key and value tables as map columns; blobs (name -> key) the JSON text behind a key of
-    an inline script. Unwanted fields are simply not asked for, so they cost nothing.
+    an inline script, strings (name -> key) the quoted text behind one; linked names a column for the page's linked-data
+    objects, as the text of a JSON array. Unwanted fields are simply not asked for, so they cost nothing.
     """
-    lists, maps, blobs = lists or {}, maps or {}, blobs or {}
+    lists, maps, blobs, strings = lists or {}, maps or {}, blobs or {}, strings or {}
     kept = [c for c in pages.columns if c != html]
+    texts = [*fields, *blobs, *strings, *([linked] if linked else [])]
+
+    def read(page: str) -> dict:
+        root = dom.parse(page)
+        values = {k: _field(root, *v) for k, v in fields.items()} | {k: _list(root, *v) for k, v in lists.items()}
+        values |= {k: list(dom.key_values(root, *v).items()) for k, v in maps.items()} | {k: dom.json_slice(page, v) for k, v in blobs.items()}
+        values |= {k: dom.js_string(page, v) for k, v in strings.items()}
+        return values | ({linked: json.dumps(dom.json_ld(root))} if linked else {})
 
     def run(batches):
-        for batch in batches:
-            made = {c: [] for c in [*fields, *blobs, *lists, *maps, "parse_error"]}
-            for page in batch.column(batch.schema.get_field_index(html)):
-                error, values = None, {}
-                try:
-                    root = dom.parse(page.as_py() or "")
-                    values = {k: _field(root, *v) for k, v in fields.items()} | {k: _list(root, *v) for k, v in lists.items()}
-                    values |= {k: list(dom.key_values(root, *v).items()) for k, v in maps.items()} | {k: dom.json_slice(page.as_py() or "", v) for k, v in blobs.items()}
-                except Exception as e:  # a page that breaks the parser becomes a row that says so
-                    error = f"PARSER_THREW:{type(e).__name__}"
-                for c in made:
-                    made[c].append(error if c == "parse_error" else values.get(c))
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            kinds = {c: pa.list_(pa.string()) for c in lists} | {c: pa.map_(pa.string(), pa.string()) for c in maps}
-            columns += [pa.array(v, kinds.get(c, pa.string())) for c, v in made.items()]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + [f"`{c}` string" for c in [*fields, *blobs]] + [f"`{c}` array<string>" for c in lists] + [f"`{c}` map<string,string>" for c in maps] + ["parse_error string"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAGES_AT_ONCE):
+                batch = whole.slice(at, PAGES_AT_ONCE)
+                made = {c: [] for c in [*texts, *lists, *maps, "parse_error"]}
+                for page in batch.column(batch.schema.get_field_index(html)):
+                    error, values = None, {}
+                    try:
+                        values = read(page.as_py() or "")
+                    except Exception as e:  # a page that breaks the parser becomes a row that says so
+                        error = f"PARSER_THREW:{type(e).__name__}"
+                    for c in made:
+                        made[c].append(error if c == "parse_error" else values.get(c))
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+                kinds = {c: pa.list_(pa.string()) for c in lists} | {c: pa.map_(pa.string(), pa.string()) for c in maps}
+                columns += [pa.array(v, kinds.get(c, pa.string())) for c, v in made.items()]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + [f"`{c}` string" for c in texts] + [f"`{c}` array<string>" for c in lists] + [f"`{c}` map<string,string>" for c in maps] + ["parse_error string"])
     return pages.mapInArrow(run, schema)
 
 
-def extract_cards(pages: DataFrame, card: str = CARD, fields: dict = CARD_FIELDS, html: str = "html", unique: str | None = "item") -> DataFrame:
-    """A row for each card of each page: its place in the page (from 1) and its fields; cards of a page that share `unique` count once."""
+def extract_cards(pages: DataFrame, card: str = CARD, fields: dict = CARD_FIELDS, html: str = "html", unique: str | None = "item", heads: dict | None = None) -> DataFrame:
+    """A row for each card of each page: its place in the page (from 1) and its fields; cards of a page that share `unique` count once.
+
+    heads are fields of the page itself, on each of its rows; with them a page without cards has a row too, of no place.
+    """
+    heads = heads or {}
     kept = [c for c in pages.columns if c != html]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                source, place, made = [], [], {c: [] for c in fields}
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                part = batch.slice(at, PAGES_AT_ONCE)
+                source, place, made = [], [], {c: [] for c in [*fields, *heads]}
+
+                def put(r, n, values):
+                    source.append(r)
+                    place.append(n)
+                    for c in made:
+                        made[c].append(values.get(c))
+
                 for r, page in enumerate(part.column(part.schema.get_field_index(html))):
+                    root = dom.parse(page.as_py() or "")
+                    own = {k: _field(root, *v) for k, v in heads.items()}
                     seen, n = set(), 0
-                    for node in dom.parse(page.as_py() or "").select(card):
+                    for node in root.select(card):
                         values = {k: _field(node, *v) for k, v in fields.items()}
                         if unique and (values[unique] is None or values[unique] in seen):
                             continue
                         seen.add(values.get(unique))
                         n += 1
-                        source.append(r)
-                        place.append(n)
-                        for c in fields:
-                            made[c].append(values[c])
+                        put(r, n, values | own)
+                    if heads and not n:
+                        put(r, None, own)
                 take = pa.array(source, pa.int32())
                 columns = [part.column(part.schema.get_field_index(c)).take(take) for c in kept] + [pa.array(place, pa.int32())] + [pa.array(v, pa.string()) for v in made.values()]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "place", *fields])
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "place", *made])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + ["place int"] + [f"`{c}` string" for c in fields])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + ["place int"] + [f"`{c}` string" for c in [*fields, *heads]])
     return pages.mapInArrow(run, schema)
 
 
-def page_class(html: Column, status: Column, challenge=(), not_found=(), product: Column | None = None, search: Column | None = None, stub: int = 8000) -> Column:
-    """Class of a page: text and status rules in order, then the anchors that the page function found.
-
-    CHALLENGE, NOT_FOUND, BLOCKED, ERROR, EMPTY_TEMPLATE, SEARCH, STANDARD, UNAVAILABLE.
-    """
+def page_marks(html: Column, challenge=(), not_found=()) -> Column:
+    """struct(challenge, not_found, chars) of a page's text, made before the page function so that the text goes through it once."""
     low = F.lower(html)
 
     def holds(words):
         out = F.lit(False)
         for w in words:
-            out = out | F.contains(low, F.lit(w))
+            out = out | F.coalesce(F.contains(low, F.lit(w)), F.lit(False))
         return out
 
+    return F.struct(holds(challenge).alias("challenge"), holds(not_found).alias("not_found"), F.coalesce(F.length(html), F.lit(0)).alias("chars"))
+
+
+def page_class(marks: Column, status: Column, product: Column | None = None, search: Column | None = None, stub: int = 8000) -> Column:
+    """Class of a page: text and status rules in order, then the anchors that the page function found.
+
+    CHALLENGE, NOT_FOUND, BLOCKED, ERROR, EMPTY_TEMPLATE, SEARCH, STANDARD, UNAVAILABLE. marks: see page_marks.
+    """
     product = F.lit(False) if product is None else product
     search = F.lit(False) if search is None else search
     return (
-        F.when(holds(challenge), "CHALLENGE")
-        .when(holds(not_found) | (status == 404), "NOT_FOUND")
+        F.when(marks["challenge"], "CHALLENGE")
+        .when(marks["not_found"] | (status == 404), "NOT_FOUND")
         .when(status.isin(401, 403, 407, 429, 451) | (status >= 500), "BLOCKED")
         .when(status >= 400, "ERROR")
-        .when(F.coalesce(F.length(html), F.lit(0)) < stub, "EMPTY_TEMPLATE")
+        .when(marks["chars"] < stub, "EMPTY_TEMPLATE")
         .when(search, "SEARCH")
         .when(product, "STANDARD")
         .otherwise("UNAVAILABLE")
     )
 
 
+def linked_price(linked: Column, market: Market) -> Column:
+    """Minor units of the first offer of a page's linked data in the market's currency; such numbers have a decimal point in every market."""
+    objects = F.from_json(linked, "array<struct<offers:string>>")
+    offer = "struct<price:string,lowPrice:string,priceCurrency:string>"
+    each = F.flatten(F.transform(F.filter(objects, lambda o: o["offers"].isNotNull()), lambda o: F.when(F.startswith(o["offers"], F.lit("[")), F.from_json(o["offers"], f"array<{offer}>")).otherwise(F.array(F.from_json(o["offers"], offer)))))
+    own = F.filter(each, lambda o: F.coalesce(o["priceCurrency"], F.lit(market.currency)) == market.currency)
+    minor = F.transform(own, lambda o: F.floor(F.replace(F.coalesce(o["price"], o["lowPrice"]), F.lit(","), F.lit("")).try_cast("decimal(30,6)") * 100 + F.lit(0.5).cast("decimal(2,1)")).cast("long"))
+    return F.get(F.filter(minor, lambda v: v.isNotNull()), 0)
+
+
+def star_shares(rows: Column) -> Column:
+    """Star to percent from the texts of a histogram's rows, null without any; of rows for one star the last counts."""
+    read = F.transform(rows, lambda t: F.struct(F.regexp_extract(t, "([1-5])", 1).alias("star"), F.regexp_extract(t, "([0-9]{1,3})\\s*%", 1).try_cast("long").alias("share")))
+    good = F.filter(read, lambda x: (x["star"] != "") & x["share"].between(0, 100))
+    last = F.transform(F.array(*[F.lit(str(k)) for k in range(1, 6)]), lambda star: F.element_at(F.concat(F.array(F.lit(None).cast("struct<star:string,share:bigint>")), F.filter(good, lambda x: x["star"] == star)), -1))
+    return F.when(F.size(good) > 0, F.map_from_entries(F.filter(last, lambda x: x.isNotNull())))
+
+
+def identity(found: DataFrame, html: str | None = None) -> DataFrame:
+    """found (with the identity fields and IDENTITY_STRINGS) with item_id, parent_item (null if the item itself) and brand's bare name."""
+    item = F.coalesce(*[item_id(F.col(c)) for c in ("item", "item_script", "item_data") if c in found.columns])
+    parent = F.coalesce(*[item_id(F.col(c)) for c in ("parent_script", "parent_input") if c in found.columns])
+    found = found.withColumns({"item_id": item, "parent_item": parent, "brand": brand_name(F.col("brand"))})
+    return found.withColumn("parent_item", F.when(~F.col("parent_item").eqNullSafe(F.col("item_id")), F.col("parent_item")))
+
+
 def product_blocks(found: DataFrame, market: Market) -> DataFrame:
-    """Typed blocks from the texts of PRODUCT_FIELDS, each with its status.
+    """Typed blocks from the texts of PRODUCT_FIELDS (also stars and linked, where they were asked for), each with its status.
 
-    Pricing is OUT_OF_STOCK if the page says so, PARSER_MISS if no price can be read; a list price counts only above the
-    price. An unknown availability text is PARSER_MISS, none at all NOT_PRESENT.
+    The price is the first that can be read of the displayed, the deal's, the buy box's and the linked data's one, and
+    priceSource names it. Without any, pricing is OUT_OF_STOCK if the page says so, else PARSER_MISS; a list price counts only above the
+    price. An unknown availability text is PARSER_MISS, none at all NOT_PRESENT. Ratings without a number are
+    PARSER_MISS where the page has a section for them.
     """
-    price, listed = first_money(F.col("price"), market), first_money(F.col("list_price"), market)
-    state = availability_state(F.col("availability"), market)
+    sources = {"CORE_PRICE_DISPLAY": "price", "DEAL_PRICE": "deal_price", "BUY_BOX": "buybox_price"}
+    there = set(found.columns)
+    texts = {"__listed": "list_price", "__subscribe": "subscribe"} | {f"__{k}": v for k, v in sources.items()}
+    found = found.withColumns({k: first_money(F.col(v), market) if v in there else F.lit(None).cast("long") for k, v in texts.items()} | {
+        "__JSON_LD": linked_price(F.col("linked"), market) if "linked" in there else F.lit(None).cast("long"),
+        "__state": availability_state(F.col("availability"), market),
+        "__scored": rating(F.coalesce(F.col("rating"), F.col("rating_text")) if "rating_text" in there else F.col("rating"), market), "__counted": count(F.col("reviews"), market),
+    })
+    names = [*sources, "JSON_LD"]
+    found = found.withColumn("__hit", F.coalesce(*[F.when(F.col(f"__{n}").isNotNull(), F.struct(F.col(f"__{n}").alias("minor"), F.lit(n).alias("source"))) for n in names]))
+    price, listed, state = F.col("__hit.minor"), F.col("__listed"), F.col("__state")
     above = F.when(listed > price, listed)
-    scored, counted = rating(F.col("rating"), market), count(F.col("reviews"), market)
+    own = lambda c, kind="string": F.col(c) if c in there else F.lit(None).cast(kind)
+    sold_out = (state == "OUT_OF_STOCK") | own("sold_out_mark").isNotNull()
+    section = F.coalesce(own("review_section"), F.col("rating")).isNotNull()
+    scored, counted = F.col("__scored"), F.col("__counted")
     return found.withColumns({
         "title": clean_text(F.col("title")),
         "pricing": F.struct(
-            price.alias("currentPrice"), above.alias("listPrice"), (above - price).alias("discountAmount"), F.lit(market.currency).alias("currency"),
-            F.when(price.isNotNull(), "EXTRACTED").when(state == "OUT_OF_STOCK", "OUT_OF_STOCK").otherwise("PARSER_MISS").alias("status"),
+            price.alias("currentPrice"), F.coalesce(above, F.when(price.isNull(), listed)).alias("listPrice"), (above - price).alias("discountAmount"), F.lit(market.currency).alias("currency"),
+            F.when(F.col("__hit.source") == "DEAL_PRICE", price).alias("dealPrice"), F.col("__subscribe").alias("subscribeAndSave"), own("deal_badge").alias("dealType"), own("unit_price").alias("unitPrice"),
+            F.col("__hit.source").alias("priceSource"), coupon(own("coupon"), market).alias("coupon"),
+            F.when(price.isNotNull(), "EXTRACTED").when(sold_out, "OUT_OF_STOCK").otherwise("PARSER_MISS").alias("status"),
         ),
         "stock": F.struct(state.alias("state"), (state == "IN_STOCK").alias("inStock"), F.col("availability").alias("text"),
                           F.when(state.isNotNull(), "EXTRACTED").when(F.col("availability").isNotNull(), "PARSER_MISS").otherwise("NOT_PRESENT").alias("status")),
-        "ratings": F.struct(scored.alias("rating"), counted.alias("reviewCount"),
-                            F.when(scored.isNotNull() | counted.isNotNull(), "EXTRACTED").when(F.col("rating").isNotNull(), "PARSER_MISS").otherwise("NOT_PRESENT").alias("status")),
-    })
+        "ratings": F.struct(scored.alias("rating"), counted.alias("reviewCount"), (star_shares(F.col("stars")) if "stars" in there else F.lit(None).cast("map<string,bigint>")).alias("starDistribution"),
+                            F.when(scored.isNotNull() | counted.isNotNull(), "EXTRACTED").when(section, "PARSER_MISS").otherwise("NOT_PRESENT").alias("status")),
+    }).drop("__hit", "__listed", "__subscribe", "__state", "__scored", "__counted", *[f"__{n}" for n in names])

@@ -29,22 +29,75 @@ def pending(work: DataFrame, settled: DataFrame, key: str) -> DataFrame:
     return work.join(settled.select(key), key, "left_anti").withColumn("status", F.lit("RUN_ABORTED"))
 
 
-def trailing_health(outcomes: DataFrame, run: str, order: list[str], blocked: Column, limit: int = 8) -> DataFrame:
-    """outcomes with block_rate over the last 50 of the run, the state it means, and the workers then allowed."""
-    window = Window.partitionBy(run).orderBy(*order).rowsBetween(1 - WINDOW, 0)
+#: Rows of a run that are put in order together.
+RANGE_ROWS = 100_000
+
+
+def _ranges(rows: DataFrame, run: str, order: str) -> DataFrame:
+    """rows with __range: consecutive pieces of each run in order, of about RANGE_ROWS rows, so that a long run is no single task.
+
+    Borders are approximate quantiles of the order, which only say where a run is cut.
+    """
+    counts = rows.groupBy(run).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(order, [k / 256 for k in range(1, 256)], 2000).alias("__q"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(256 * RANGE_ROWS) / F.col("__n"))).cast("int")
+    borders = F.when(F.col("__n") > RANGE_ROWS, F.filter("__q", lambda x, i: (i + 1) % step == 0)).otherwise(F.slice("__q", 1, 0))
+    cut = counts.select(F.col(run).alias("__of"), borders.alias("__borders"))
+    joined = rows.join(cut, rows[run].eqNullSafe(cut["__of"]))
+    return joined.withColumn("__range", F.size(F.filter("__borders", lambda x: x < F.col(order)))).drop("__of", "__borders")
+
+
+def running_before(rows: DataFrame, run: str, order: str, values: dict[str, Column]) -> DataFrame:
+    """rows with, for each name, the sum of its value over the rows of the run before this one (order is unique within a run)."""
+    cut = _ranges(rows.withColumns({f"__v_{k}": v for k, v in values.items()}), run, order)
+    sums = cut.groupBy(run, "__range").agg(*[F.sum(f"__v_{k}").alias(f"__s_{k}") for k in values])
+    ahead = Window.partitionBy(run).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = sums.select(F.col(run).alias("__r"), F.col("__range").alias("__k"), *[F.coalesce(F.sum(f"__s_{k}").over(ahead), F.lit(0)).alias(f"__o_{k}") for k in values])
+    inside = Window.partitionBy(run, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = cut.withColumns({f"__i_{k}": F.coalesce(F.sum(f"__v_{k}").over(inside), F.lit(0)) for k in values})
+    joined = own.join(offsets, own[run].eqNullSafe(offsets["__r"]) & (own["__range"] == offsets["__k"]))
+    return joined.withColumns({k: F.col(f"__o_{k}") + F.col(f"__i_{k}") for k in values}).drop("__range", "__r", "__k", *[f"__{x}_{k}" for k in values for x in "vio"])
+
+
+def trailing_health(outcomes: DataFrame, run: str, order: str, blocked: Column, limit: int = 8) -> DataFrame:
+    """outcomes with block_rate over the last WINDOW of the run, the state it means, and the workers then allowed.
+
+    A range of a run needs only the WINDOW - 1 rows before it, which the range before hands over.
+    """
+    cut = _ranges(outcomes.withColumn("__b", F.when(blocked, 1).otherwise(0)), run, order)
+    back = F.row_number().over(Window.partitionBy(run, "__range").orderBy(F.col(order).desc()))
+    # borders are hundreds of rows apart at least, so no window reaches over a whole range
+    tails = cut.withColumn("__back", back).where(F.col("__back") < WINDOW).select(run, "__range", order, "__b")
+    handed = tails.withColumns({"__range": F.col("__range") + 1, "__own": F.lit(False)})
+    rows = cut.withColumn("__own", F.lit(True)).unionByName(handed, allowMissingColumns=True)
+    window = Window.partitionBy(run, "__range").orderBy(order).rowsBetween(1 - WINDOW, 0)
     seen = F.count(F.lit(1)).over(window)
-    share = F.sum(F.when(blocked, 1).otherwise(0)).over(window) / seen
-    rows = outcomes.withColumns({"seen": seen, "block_rate": share})
+    rows = rows.withColumns({"seen": seen, "block_rate": F.sum("__b").over(window) / seen}).where("__own").drop("__own", "__b", "__range")
     state = F.when(F.col("seen") < LEAST_OUTCOMES, "HEALTHY").when(F.col("block_rate") >= ABORT_RATE, "ABORT").when(F.col("block_rate") >= DEGRADED_RATE, "DEGRADED").otherwise("HEALTHY")
     allowed = F.when(F.col("state") == "ABORT", 0).when(F.col("state") == "DEGRADED", max(1, limit // 2)).otherwise(limit)
     return rows.withColumn("state", state).withColumn("allowed", allowed)
 
 
-def charge_with_cap(charges: DataFrame, run: str, order: list[str], units: str, cap: int) -> DataFrame:
-    """charges with `charged`: units accepted in order until the run's cap, partly at the border; and the outcome."""
-    before = F.coalesce(F.sum(units).over(Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = charges.withColumn("charged", F.greatest(F.lit(0), F.least(F.col(units), F.lit(cap) - before)).cast("long"))
-    return rows.withColumn("outcome", F.when(F.col("charged") == F.col(units), "CHARGED").when(F.col("charged") > 0, "PARTIAL").otherwise("CAP_REACHED"))
+def charge_with_cap(charges: DataFrame, run: str, order: str, units: str, cap: int, status: str | None = None, failed: Column | None = None) -> DataFrame:
+    """charges with `charged`: units accepted in order until the run's cap, partly at the border; and the outcome.
+
+    With a status, rows that are not billable ask for nothing (NOT_BILLABLE_STATUS); rows whose backend failed are not charged (BACKEND_ERROR).
+    """
+    billable = F.lit(True) if status is None else F.coalesce(F.col(status) == "SUCCESS", F.lit(False))
+    sound = F.lit(True) if failed is None else ~F.coalesce(failed, F.lit(False))
+    asked = F.when(billable & sound, F.col(units)).otherwise(0)
+    rows = running_before(charges, run, order, {"__before": asked}).withColumn("charged", F.greatest(F.lit(0), F.least(asked, F.lit(cap) - F.col("__before"))).cast("long")).drop("__before")
+    return rows.withColumn("outcome", F.when(~billable, "NOT_BILLABLE_STATUS").when(~sound, "BACKEND_ERROR").when(F.col("charged") == F.col(units), "CHARGED").when(F.col("charged") > 0, "PARTIAL").otherwise("CAP_REACHED"))
+
+
+#: The metered events.
+EVENTS = ("product-basic", "product-essential", "product-detail", "variant-detail", "offer", "seller-detail", "product-check")
+
+
+def charge_event(rows: DataFrame, event: str, units: Column | None = None) -> DataFrame:
+    """rows(status) as charges of one of EVENTS: event, and units (1 by default; nothing for other statuses than SUCCESS)."""
+    if event not in EVENTS:
+        raise ValueError(f"unknown event {event}")
+    return rows.withColumns({"event": F.lit(event), "units": F.when(F.col("status") == "SUCCESS", F.lit(1) if units is None else units).otherwise(0).cast("long")})
 
 
 def event_totals(charges: DataFrame, event: str, units: str) -> DataFrame:
@@ -60,6 +113,12 @@ def select_event(mode: str, blocks) -> str:
     return "product-essential" if set(blocks) <= {"pricing", "availability", "ratings", "offers", "sellerProfiles"} else "product-detail"
 
 
+def event_of(mode: Column, blocks: Column) -> Column:
+    """The metered event by row: see select_event."""
+    essential = F.array(*[F.lit(b) for b in ("pricing", "availability", "ratings", "offers", "sellerProfiles")])
+    return F.when(mode == "fast", "product-basic").when(mode == "monitor", "product-check").when(F.size(F.array_except(blocks, essential)) == 0, "product-essential").otherwise("product-detail")
+
+
 def budget_allows(used: Column, requests: Column, ratio: float) -> Column:
     return used < F.greatest(F.lit(1), F.ceil(requests * F.lit(ratio)))
 
@@ -89,8 +148,52 @@ def stop_reason(aborted: Column, done: Column, ceiling: int, capped: Column, sta
     return F.when(aborted, "RUN_ABORTED").when(done >= ceiling, "MAX_PRODUCTS_REACHED").when(capped, "CHARGE_LIMIT_REACHED").when(state == "ABORT", "BLOCK_RATE_ABORT")
 
 
+def peak_concurrency(spans: DataFrame, start: str, end: str, run: str) -> DataFrame:
+    """run and the most spans open at once (a span that ends when another begins is closed by then)."""
+    edges = spans.select(run, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))).alias("e")).select(run, "e.*")
+    steps = edges.groupBy(run, "at").agg(F.sum("step").alias("step"))
+    open_ = running_before(steps, run, "at", {"__open": F.col("step")})
+    return open_.groupBy(run).agg(F.max(F.col("__open") + F.col("step")).alias("peak"))
+
+
+def settled_inputs(records: DataFrame, searches: DataFrame) -> DataFrame:
+    """key, status of all inputs: products by their record, searches by their outcome, which settle without a record."""
+    return records.select("key", "status").unionByName(searches.select("key", "status"))
+
+
 def run_summary(records: DataFrame, attempts: DataFrame) -> DataFrame:
     """One row from records(status) and attempts(blocked_attempts): counts of every status, of attempts and blocks, and their rate."""
     counts = records.agg(F.count(F.lit(1)).alias("settled"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES])
     seen, blocked = attempts.agg(F.count(F.lit(1))).scalar(), attempts.agg(F.count_if("blocked_attempts")).scalar()
     return counts.withColumns({"attempts": seen, "blocked_attempts": blocked}).withColumn("block_rate", rate(F.col("blocked_attempts"), F.col("attempts")))
+
+
+#: Names of the counted statuses in a summary.
+COUNTED = {"success": "SUCCESS", "productNotFound": "PRODUCT_NOT_FOUND", "blocked": "BLOCKED", "fetchFailed": "FETCH_FAILED", "parserError": "PARSER_ERROR", "geoRestricted": "GEO_RESTRICTED", "invalidInput": "INVALID_INPUT", "requiresLocation": "REQUIRES_LOCATION", "runAborted": "RUN_ABORTED"}
+
+
+def whole_summary(work: DataFrame, settled: DataFrame, cards: DataFrame, monitored: DataFrame, attempts: DataFrame, charges: DataFrame, mode: str, started: str, finished: str, warnings: tuple[str, ...] = ()) -> DataFrame:
+    """The one row of a run's summary, of 37 fields.
+
+    work(key, merged, market), settled(key, status), cards(reasons, matches, page) of the searches, monitored(compared, changed), attempts(kind: PRODUCT,
+    SEARCH or PRIMING, blocked, residential, start, end), charges(charged, outcome). Every part is one aggregation of its table.
+    """
+    out = settled.agg(*[F.count_if(F.col("status") == s).alias(n) for n, s in COUNTED.items()], F.count(F.lit(1)).alias("accountedFor"))
+    asked = work.agg(F.sum("merged").alias("requested"), F.count(F.lit(1)).alias("uniqueInputs"), F.sort_array(F.collect_set("market")).alias("marketplaces"))
+    reasons = cards.select(F.explode("reasons").alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("r", "n")))).alias("filterRejections"))
+    found = cards.agg(F.count_if(~F.col("matches")).alias("filteredOut"), F.count_if("matches").alias("discoveredProducts"))
+    watched = monitored.agg(F.count(F.lit(1)).alias("monitoringChecked"), F.count_if("compared").alias("monitoringCompared"), F.count_if("changed").alias("monitoringChanged"))
+    kinds = {k: F.col("kind") == k for k in ("PRODUCT", "SEARCH", "PRIMING")}
+    fetched = attempts.agg(
+        F.count_if(kinds["SEARCH"] & ~F.col("blocked")).alias("searchPagesFetched"), F.count_if(kinds["PRIMING"]).alias("primingRequests"), F.count_if("residential").alias("residentialEscalations"),
+        rate(F.count_if(kinds["PRODUCT"] & F.col("blocked")), F.count_if(kinds["PRODUCT"])).alias("blockRateProductPages"), rate(F.count_if(kinds["SEARCH"] & F.col("blocked")), F.count_if(kinds["SEARCH"])).alias("blockRateSearchPages"),
+    )
+    peak = peak_concurrency(attempts.withColumn("__run", F.lit(1)), "start", "end", "__run").agg(F.max("peak").alias("peakConcurrency"))
+    paid = charges.agg(F.coalesce(F.sum("charged"), F.lit(0)).alias("successfulPaidEvents"), F.count_if(F.col("outcome") == "BACKEND_ERROR").alias("failedPaidEvents"), F.coalesce(F.bool_or(F.col("outcome").isin("CAP_REACHED", "PARTIAL")), F.lit(False)).alias("chargeCapReached"))
+    for part in (asked, reasons, found, watched, fetched, peak, paid):  # one row each
+        out = out.withColumns({c: part.select(c).scalar() for c in part.columns})
+    truncated = F.lit(False) if "truncated" not in cards.columns else F.coalesce(cards.agg(F.bool_or("truncated")).scalar(), F.lit(False))
+    return out.withColumns({
+        "schemaVersion": F.lit("1.5"), "runStartedAt": F.lit(started), "runFinishedAt": F.lit(finished), "mode": F.lit(mode), "accountingInvariantHolds": F.col("accountedFor") == F.col("uniqueInputs"),
+        "duplicatesMerged": F.col("requested") - F.col("uniqueInputs"), "discoveryTruncated": truncated, "warnings": F.array(*[F.lit(w) for w in dict.fromkeys(warnings)]).cast("array<string>"), "parserVersion": F.lit("1"),
+    })

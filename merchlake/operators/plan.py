@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchlake.functions.markets import MARKETS
-from merchlake.functions.urls import item_id
+from merchlake.functions.urls import item_id, product_url, search_url
 
 #: Blocks in canonical order, profiles, blocks of the fast mode, bounds of the numeric options.
 BLOCKS = ("pricing", "availability", "ratings", "rankings", "buyBox", "variants", "product", "media", "offers", "sellerProfiles")
@@ -34,6 +34,26 @@ class Options:
     warnings: tuple[str, ...] = ()
 
 
+def clamped(value: Column, name: str) -> Column:
+    """struct(value, warned) of a numeric option by row: the default where it is missing, whole, within its bounds."""
+    default, low, high = BOUNDS[name]
+    whole = F.coalesce(value.cast("long"), F.lit(default).cast("long"))
+    kept = F.least(F.greatest(whole, F.lit(low)), F.lit(high))
+    return F.struct(kept.alias("value"), (kept != whole).alias("warned"))
+
+
+def filter_error(value: Column, name: str) -> Column:
+    """What is wrong with a numeric filter by row (null: nothing, or not given)."""
+    low, high = FILTER_BOUNDS[name]
+    wrong = F.when(~value.between(low, high), f"{name} must be between {low} and {high}")
+    return wrong.when(value != F.floor(value), f"{name} must be a whole number") if name in ("min_reviews", "min_demand") else wrong
+
+
+def ordered_blocks(wanted: Column) -> Column:
+    """The known blocks of a list, each once, in canonical order."""
+    return F.filter(F.array(*[F.lit(b) for b in BLOCKS]), lambda b: F.array_contains(wanted, b))
+
+
 def resolve_blocks(profile: str, custom=(), offers: bool = False, sellers: bool = False) -> tuple[str, ...]:
     """Blocks of a profile (or the caller's own) in canonical order; flags add offers and sellers."""
     wanted = set(custom if profile == "custom" else PROFILES[profile])
@@ -95,6 +115,39 @@ def inline_items(text: Column, keywords: bool = False) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
+def object_items(rows: DataFrame, field: str, market: str) -> DataFrame:
+    """rows with kind, value and reason of a JSON item: a string, or an object with just one of asin, url and keyword.
+
+    Strings are URLs if they begin as such, else identifiers. An object may name another market: its identifier or keyword is then
+    a URL of that market. kind is null where reason says why the item was rejected.
+    """
+    text = F.trim(F.col(field))
+    is_object = F.startswith(text, F.lit("{"))
+    fields = {k: F.nullif(F.trim(F.get_json_object(text, f"$.{k}")), F.lit("")) for k in ("asin", "url", "keyword")}
+    rows = rows.withColumns({f"__{k}": F.when(is_object, v) for k, v in fields.items()} | {"__market": F.when(is_object, F.coalesce(F.upper(F.get_json_object(text, "$.marketplace")), F.lit(market))).otherwise(F.lit(market)), "__plain": F.when(~is_object, F.regexp_replace(text, '^"|"$', ""))})
+    asin, url, keyword, plain = (F.col(f"__{k}") for k in ("asin", "url", "keyword", "plain"))
+    given = F.size(F.array_compact(F.array(asin, url, keyword)))
+    hosts = F.create_map(*[F.lit(x) for m in MARKETS.values() for x in (m.code, m.host)])
+    host, own = F.element_at(hosts, F.col("__market")), F.col("__market") == market
+    web = plain.rlike("(?i)^https?://")
+    reason = (
+        F.when(plain.isNotNull(), F.when(~web & item_id(plain).isNull(), "ASIN_MALFORMED"))
+        .when(is_object & (given != 1) | F.coalesce(text, F.lit("")).isin("", "null") | F.startswith(text, F.lit("[")), "URL_UNSUPPORTED")
+        .when(host.isNull(), "MARKETPLACE_UNSUPPORTED")
+        .when(asin.isNotNull() & item_id(asin).isNull(), "ASIN_MALFORMED")
+    )
+    value = (
+        F.when(plain.isNotNull(), F.when(web, plain).otherwise(item_id(plain)))
+        .when(url.isNotNull(), url)
+        .when(keyword.isNotNull(), F.when(own, keyword).otherwise(search_url(host, keyword, F.lit(1))))
+        .otherwise(F.when(own, item_id(asin)).otherwise(product_url(host, item_id(asin))))
+    )
+    kind = F.when(web | url.isNotNull() | (plain.isNull() & ~own), "url").when(keyword.isNotNull(), "keyword").otherwise("asin")
+    rows = rows.withColumn("reason", reason)
+    ok = F.col("reason").isNull()
+    return rows.withColumns({"kind": F.when(ok, kind), "value": F.when(ok, value)}).drop("__asin", "__url", "__keyword", "__market", "__plain")
+
+
 def ingest(rows: DataFrame, field: str, seq: str, dataset: str, limit: int | None = None) -> DataFrame:
     """Items of a stored dataset: value, kind (url or asin; null: rejected), reason, ref, row index by seq.
 

@@ -54,6 +54,57 @@ def gate(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFram
     return judged.where(F.size("violations") == 0).drop("violations"), bad
 
 
+#: Statuses of a failure record, statuses of a block.
+FAILURES = ("INVALID_INPUT", "PRODUCT_NOT_FOUND", "BLOCKED", "FETCH_FAILED", "PARSER_ERROR", "GEO_RESTRICTED", "REQUIRES_LOCATION", "RUN_ABORTED")
+BLOCK_STATUSES = ("EXTRACTED", "NOT_PRESENT", "NOT_APPLICABLE", "PARSER_MISS", "OUT_OF_STOCK", "GEO_RESTRICTED", "REQUIRES_LOCATION")
+
+
+def record_violations(rows: DataFrame, blocks, markets) -> Column:
+    """What keeps a row from being one of the two shapes, by its status: a product with an identity and known block statuses, or a failure with a reason that is not charged."""
+    has = lambda c: F.col(c).isNotNull() if c in rows.columns else F.lit(False)
+    shared = {"schemaVersion": has("schemaVersion"), "marketplace": F.col("marketplace").isin(*markets), "input": has("input")}
+    product = shared | {"item": F.col("item").rlike("^[A-Z0-9]{10}$"), "canonicalUrl": F.startswith("canonicalUrl", F.lit("https://")), "scrapedAt": has("scrapedAt")}
+    product |= {f"{b}.status": F.col(f"{b}.status").isin(*BLOCK_STATUSES) for b in blocks if b in rows.columns}
+    failure = shared | {"reason": has("reason"), "chargedProductEvent": ~F.col("chargedProductEvent") if "chargedProductEvent" in rows.columns else F.lit(False)}
+    status = F.col("status")
+    return F.when(status == "SUCCESS", violations(product)).when(status.isin(*FAILURES), violations(failure)).otherwise(F.array(F.lit("status")))
+
+
+def record_gate(rows: DataFrame, blocks, markets) -> tuple[DataFrame, DataFrame]:
+    """Rows of one of the two shapes, and the others as failures of PARSER_ERROR with their violations; only the former are published."""
+    judged = rows.withColumn("violations", record_violations(rows, blocks, markets))
+    bad = judged.where(F.size("violations") > 0).withColumns({"status": F.lit("PARSER_ERROR"), "reason": F.lit("OUTPUT_SCHEMA_VIOLATION"), "chargedProductEvent": F.lit(False)})
+    return judged.where(F.size("violations") == 0).drop("violations"), bad
+
+
+def location_block(country: Column, postal: Column, resolved: Column, applied: Column, method: Column) -> Column:
+    return F.struct(country.alias("requestedCountry"), postal.alias("requestedPostalCode"), resolved.alias("resolvedPostalCode"), applied.alias("applied"), method.alias("method"), location_status(postal, applied).alias("status"))
+
+
+def require_location(fetched: DataFrame, required: bool) -> tuple[DataFrame, DataFrame]:
+    """Fetched pages that may be read, and the others as REQUIRES_LOCATION failures, where a run insists on its place."""
+    lacking = F.lit(required) & ~F.coalesce(F.col("location_applied"), F.lit(False))
+    return fetched.where(~lacking), fetched.where(lacking).withColumns({"status": F.lit("REQUIRES_LOCATION"), "reason": F.lit("LOCATION_NOT_APPLIED")})
+
+
+def quality_block(score: Column, missing: Column, attempts: Column | None = None, tier: Column | None = None, kind: Column | None = None, blocked: Column | None = None, warnings: Column | None = None) -> Column:
+    """The quality block; what isn't given has its default."""
+    return F.struct(
+        score.alias("completenessScore"), F.coalesce(attempts, F.lit(0)).alias("fetchAttempts") if attempts is not None else F.lit(0).alias("fetchAttempts"),
+        (F.coalesce(tier, F.lit("NONE")) if tier is not None else F.lit("NONE")).alias("proxyTier"), (F.coalesce(kind, F.lit("UNKNOWN")) if kind is not None else F.lit("UNKNOWN")).alias("pageType"),
+        (F.coalesce(blocked, F.lit(False)) if blocked is not None else F.lit(False)).alias("blocked"), missing.alias("criticalFieldsMissing"),
+        (F.array_distinct(warnings) if warnings is not None else F.array().cast("array<string>")).alias("warnings"), F.lit("1").alias("parserVersion"),
+    )
+
+
+def merge_warnings(*warnings: Column) -> Column:
+    """All warnings, each once, in order of their first."""
+    out = warnings[0]
+    for w in warnings[1:]:
+        out = F.array_union(out, w)
+    return F.array_distinct(out)
+
+
 def critical_ok(title: Column, item: Column, statuses: list[Column]) -> Column:
     """An identity, and at least one block that holds something."""
     some = [F.coalesce(s.isin("EXTRACTED", "OUT_OF_STOCK"), F.lit(False)) for s in statuses]

@@ -84,7 +84,8 @@ def _shaped(column: Column, given: T.DataType, wanted: T.DataType) -> Column:
     if not isinstance(wanted, T.StructType) or not isinstance(given, T.StructType):
         return column.cast(wanted)
     names = set(given.names)
-    return F.struct(*[(_shaped(column[f.name], given[f.name].dataType, f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted.fields])
+    whole = F.struct(*[(_shaped(column[f.name], given[f.name].dataType, f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted.fields])
+    return F.when(column.isNotNull(), whole)
 
 
 def product_records(rows: DataFrame, wanted: tuple[str, ...] = tuple(BLOCKS)) -> DataFrame:

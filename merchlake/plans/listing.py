@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from merchlake.functions.markets import MARKETS, Market
 from merchlake.functions.numbers import count, demand, discount_percent, first_money, rating
 from merchlake.functions.urls import dedupe_key
-from merchlake.functions.text import delivery_date, lookup_label, rank_lines, strip_label
+from merchlake.functions.text import brand_name, delivery_date, lookup_label, rank_lines, strip_label
 from merchlake.operators import compare, details, discover, extract, ledger, quality, records
 from merchlake.operators.plan import Options
 
@@ -44,8 +44,8 @@ def product_records(work: DataFrame, captures: DataFrame, options: Options, stub
     last = compare.latest(pages.select("lookup_key", "seq", "ok", "html", "status_code", "blocked", "not_found"), ["lookup_key"], ["seq"]).drop("seq")
     joined = work.join(last, work["item"] == last["lookup_key"], "left").drop("lookup_key")
     fields = {k: v for k, v in extract.PRODUCT_FIELDS.items() if k != "item"}
-    found = extract.extract_fields(joined.withColumn("chars", F.length("html")), fields, {"bullets": extract.PRODUCT_LISTS["bullets"]})
-    typed = extract.product_blocks(found, market)
+    found = extract.extract_fields(joined.withColumn("chars", F.length("html")), fields, {"bullets": extract.PRODUCT_LISTS["bullets"]}, linked="linked")
+    typed = extract.product_blocks(found.withColumn("brand", brand_name(F.col("brand"))), market)
     blocks = {"pricing": "pricing", "availability": "stock", "ratings": "ratings"}
     typed = quality.project_blocks(typed, {blocks[b] for b in options.blocks if b in blocks}, list(blocks.values()))
     critical = quality.critical_ok(F.col("title"), F.lit(None).cast("string"), [F.col(f"{c}.status") for c in blocks.values()])
@@ -68,8 +68,8 @@ def full_records(captures: DataFrame, options: Options, own_names: tuple[str, ..
     """
     market = MARKETS[options.market]
     wanted = set(options.blocks)
-    fields = {k: v for k, v in extract.PRODUCT_FIELDS.items() if k != "item"}
-    lists, maps, blobs = {}, {}, {}
+    fields = dict(extract.PRODUCT_FIELDS)
+    lists, maps, blobs = dict(extract.STARS), {}, {}
     if "product" in wanted:
         lists |= {k: extract.PRODUCT_LISTS[k] for k in ("bullets", "breadcrumb")}
         maps |= {"specs": ("#productDetails_techSpec_section_1", "#productOverview_feature_div", "#detailBullets_feature_div")}
@@ -81,18 +81,23 @@ def full_records(captures: DataFrame, options: Options, own_names: tuple[str, ..
         fields, lists, blobs = fields | details.MEDIA_FIELDS, lists | details.MEDIA_LISTS, blobs | details.MEDIA_BLOBS
     pages = captures.where((F.col("label") == "PRODUCT") & (F.col("market") == options.market) & F.col("ok"))
     last = compare.latest(pages.select("lookup_key", "seq", "received_at", "html"), ["lookup_key"], ["seq"])
-    found = extract.extract_fields(last, fields, lists, maps, blobs)
-    rows = extract.product_blocks(found, market)
+    found = extract.extract_fields(last, fields, lists, maps, blobs, strings=extract.IDENTITY_STRINGS, linked="linked")
+    rows = extract.product_blocks(extract.identity(found), market)
     now, listed = F.col("pricing.currentPrice"), F.col("pricing.listPrice")
+    shown = F.when(F.col("pricing.priceSource") == "DEAL_PRICE", F.col("deal_price")).when(F.col("pricing.priceSource") == "BUY_BOX", F.col("buybox_price")).when(F.col("pricing.priceSource") == "CORE_PRICE_DISPLAY", F.col("price"))
+    off = F.col("pricing.coupon")
     seller = strip_label(F.col("seller"), ("Sold by", "Ships from and sold by"))
     made = {
         "scrapedAt": F.col("received_at"), "marketplace": F.lit(options.market), "item": F.col("lookup_key"), "input": F.struct(F.lit("item").alias("type"), F.col("lookup_key").alias("value")),
         "canonicalUrl": F.concat(F.lit(f"https://{market.host}/dp/"), F.col("lookup_key")),
         "retrieval": F.struct(F.lit(options.profile).alias("profile"), F.array(*[F.lit(b) for b in options.blocks]).cast("array<string>").alias("requestedBlocks"), F.lit(ledger.select_event(options.mode, options.blocks)).alias("billingEvent")),
-        "pricing": F.struct(_money(now, market, F.col("price")).alias("currentPrice"), _money(listed, market, F.col("list_price")).alias("listPrice"), _money(listed - now, market, F.lit(None).cast("string")).alias("discountAmount"),
-                            discount_percent(now, listed).alias("discountPercent"), F.col("pricing.status").alias("status")),
+        "parentItem": F.col("parent_item"),
+        "pricing": F.struct(_money(now, market, shown).alias("currentPrice"), _money(listed, market, F.col("list_price")).alias("listPrice"), _money(listed - now, market, F.lit(None).cast("string")).alias("discountAmount"),
+                            _money(F.col("pricing.dealPrice"), market, F.col("deal_price")).alias("dealPrice"), _money(F.col("pricing.subscribeAndSave"), market, F.col("subscribe")).alias("subscribeAndSave"),
+                            discount_percent(now, listed).alias("discountPercent"), F.col("pricing.dealType").alias("dealType"), F.col("pricing.unitPrice").alias("unitPrice"), F.col("pricing.priceSource").alias("priceSource"),
+                            F.col("pricing.status").alias("status"), F.when(off.isNotNull(), F.struct(off["text"].alias("text"), off["type"].alias("type"), off["percent"].alias("percent"), _money(off["minor"], market, off["text"]).alias("amount"))).alias("coupon")),
         "availability": F.struct(F.col("stock.state").alias("state"), F.col("stock.inStock").alias("inStock"), F.col("stock.text").alias("availabilityText"), delivery_date(F.col("availability")).alias("deliveryDate"), seller.alias("soldBy"), F.col("stock.status").alias("status")),
-        "quality": F.struct(F.array_compact(F.array(F.col("parse_error"))).alias("warnings"), F.lit("1").alias("parserVersion")),
+        "quality": F.struct(F.array_compact(F.array(F.col("parse_error"), F.when(F.col("pricing.status") == "PARSER_MISS", "PRICE_PARSER_MISS"), F.when(F.col("pricing.priceSource") == "JSON_LD", "PRICE_FROM_JSON_LD"))).alias("warnings"), F.lit("1").alias("parserVersion")),
     }
     lines = rank_lines(F.col("ranks"), market.rank_join)
     if "rankings" in wanted:
@@ -116,33 +121,48 @@ def full_records(captures: DataFrame, options: Options, own_names: tuple[str, ..
 
 
 def discover_items(captures: DataFrame, options: Options) -> DataFrame:
-    """Cards of the captured search pages, typed, placed and judged by the filters; matches tells which go on."""
+    """Cards of the captured search pages, typed, placed and judged by the filters; matches tells which go on.
+
+    Pages after one that is empty or has no next page are not read.
+    """
     market = MARKETS[options.market]
     pages = captures.where((F.col("label") == "SEARCH") & (F.col("market") == options.market) & F.col("ok")).where(F.col("page") <= options.numbers.get("max_pages", 5))
-    cards = extract.extract_cards(pages.select("lookup_key", "page", "html"))
+    cards = extract.extract_cards(pages.select("lookup_key", "page", "html"), heads=extract.SEARCH_PAGE)
+    states = cards.groupBy("lookup_key", "page").agg(F.count("place").alias("cards"), F.max("next").isNotNull().alias("has_next"))
+    read = discover.pages_read(states, "lookup_key", "page", options.numbers.get("max_pages", 5), F.col("has_next"), F.col("cards")).select("lookup_key", "page")
+    cards = cards.where("place IS NOT NULL").join(read, ["lookup_key", "page"], "left_semi")
     price, listed = first_money(F.col("price"), market), first_money(F.col("list_price"), market)
     typed = cards.select(
-        "lookup_key", "page", "place", "item", "title", (price / 100).alias("price"), F.col("sponsored").isNotNull().alias("sponsored"),
+        "lookup_key", "page", "place", "item", "title", (price / 100).alias("price"), F.col("sponsored").isNotNull().alias("sponsored"), "badge", "thumbnail", "delivery",
         rating(F.col("rating"), market).alias("rating"), count(F.col("reviews"), market).alias("reviews"), demand(F.col("demand"), market).alias("demand"),
-        discover.card_discount(price, listed, F.lit(1), F.lit(1)).alias("discount"), F.lit(None).cast("boolean").alias("prime"),
+        discover.card_discount(price, listed, F.lit(1), F.lit(1)).alias("discount"), F.col("prime").isNotNull().alias("prime"),
     )
     placed = discover.card_positions(typed, "lookup_key", "page", "place", F.col("sponsored"))
     return discover.filter_cards(placed, options.filters)
 
 
-def monitor(records: DataFrame, baseline: DataFrame) -> DataFrame:
-    """records with the changes of price and stock against the baseline, and why a block was not compared."""
-    joined = compare.snapshot_join(records, baseline.select("key", "pricing", "stock"), ["key"])
-    why = {b: compare.suppression(n, F.col(f"{b}.status"), F.col(f"prev_{b}.status")) for b, n in (("pricing", "pricing"), ("stock", "availability"))}
-    both = F.col("compared")
-    found = compare.changes(
-        compare.value_change("PRICE_CHANGED", "pricing.currentPrice", F.col("prev_pricing.currentPrice"), F.col("pricing.currentPrice"), both & why["pricing"].isNull()),
-        F.when(both & why["stock"].isNull(), F.when(compare.stock_change(F.col("prev_stock.state"), F.col("stock.state")).isNotNull(), F.struct(
-            compare.stock_change(F.col("prev_stock.state"), F.col("stock.state")).alias("type"), F.lit("availability.state").alias("field"),
-            F.col("prev_stock.state").alias("before"), F.col("stock.state").alias("after"), F.lit(None).cast("double").alias("percent"),
-        ))),
+def monitor(records: DataFrame, baseline: DataFrame, dataset: str, keys: tuple[str, ...] = ("marketplace", "item")) -> DataFrame:
+    """records (of the record schema) with their monitoring block: the changes of every block against the baseline's record, and why one was not compared.
+
+    baseline holds one successful record a key (see sources.tables.read_baseline); the postal code belongs to the key.
+    """
+    blocks = [*compare.TRUSTED]
+    place = lambda: F.coalesce(F.nullif(F.trim("location.resolvedPostalCode"), F.lit("")), F.lit("default")).alias("__place")
+    old = baseline.where("status = 'SUCCESS'").select(*keys, place(), F.col("scrapedAt").cast("string").alias("scrapedAt"), *blocks)
+    joined = compare.snapshot_join(records.drop("monitoring").withColumn("__place", place()), old, [*keys, "__place"])
+    found, warned = compare.product_changes(lambda f: F.col(f), lambda f: F.col(f"prev_{f}"), F.col("compared"))
+    joined = joined.withColumns({"__found": found, "__warned": warned})
+    block = F.struct(
+        F.lit(True).alias("requested"), "compared", (F.size("__found") > 0).alias("changed"), F.lit(dataset).alias("previousDatasetId"), F.when(F.col("compared"), F.col("prev_scrapedAt")).alias("previousScrapedAt"),
+        F.when(F.col("compared"), "EXTRACTED").otherwise("NOT_PRESENT").alias("status"),
+        F.transform("__found", lambda c: F.struct(c["type"].alias("type"), c["field"].alias("field"), c["before"].alias("before"), c["after"].alias("after"), c["percent"].alias("percentChange"))).alias("changes"), F.col("__warned").alias("warnings"),
     )
-    return joined.withColumns({"changes": found, "warnings": F.array_compact(F.array(*[F.when(both, w) for w in why.values()]))}).withColumn("changed", F.size("changes") > 0)
+    return joined.withColumn("monitoring", block).select(*[c for c in records.columns if c != "monitoring"], "monitoring")
+
+
+def monitoring_counts(monitored: DataFrame) -> DataFrame:
+    """One row: checked, compared, changed."""
+    return monitored.agg(*[F.count_if(F.coalesce(F.col(f"monitoring.{c}"), F.lit(False))).alias(n) for n, c in (("checked", "requested"), ("compared", "compared"), ("changed", "changed"))])
 
 
 def settle(work: DataFrame, records: DataFrame) -> DataFrame:

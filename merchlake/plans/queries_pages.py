@@ -27,8 +27,9 @@ def html_identity(spark, sf):
 def classified(spark, sf):
     """pages with class and status: a page long enough and with a heading is a success."""
     pages = table(spark, sf, "pages")
-    found = extract.extract_fields(pages.withColumn("source", F.col("html")).select("page_id", "source", "html"), {"heading": (("h1",), None)})
-    kind = extract.page_class(F.col("source"), F.lit(200), ("enter the characters you see below",), ("page not found",), F.col("heading").isNotNull(), stub=STUB)
+    marks = extract.page_marks(F.col("html"), ("enter the characters you see below",), ("page not found",))
+    found = extract.extract_fields(pages.select("page_id", marks.alias("marks"), "html"), {"heading": (("h1",), None)})
+    kind = extract.page_class(F.col("marks"), F.lit(200), F.col("heading").isNotNull(), stub=STUB)
     status = F.when(F.col("kind") == "STANDARD", "SUCCESS").when(F.col("kind") == "NOT_FOUND", "PRODUCT_NOT_FOUND").when(F.col("kind") == "CHALLENGE", "BLOCKED").otherwise("PARSER_ERROR")
     return found.withColumn("kind", kind).withColumn("status", status).select("page_id", "kind", "status")
 

@@ -155,7 +155,7 @@ def stock_transitions(spark, sf):
 
 @query("change_list", f"""WITH {_SNAP} SELECT l_partkey, CASE WHEN compared THEN concat_ws(',', CASE WHEN price IS DISTINCT FROM prev_price THEN 'PRICE_CHANGED' END, CASE WHEN discount IS DISTINCT FROM prev_discount THEN 'DISCOUNT_CHANGED' END,
   CASE WHEN stock = 'OUT_OF_STOCK' AND prev_stock <> 'OUT_OF_STOCK' THEN 'OUT_OF_STOCK' WHEN prev_stock = 'OUT_OF_STOCK' AND stock = 'IN_STOCK' THEN 'BACK_IN_STOCK' END,
-  CASE WHEN seller IS DISTINCT FROM prev_seller THEN 'BUYBOX_CHANGED' END) ELSE '' END AS changes, compared FROM j""")
+  CASE WHEN seller IS DISTINCT FROM prev_seller THEN 'BUY_BOX_CHANGED' END) ELSE '' END AS changes, compared FROM j""")
 def change_list(spark, sf):
     joined = _snapshots(spark, sf)
     both = F.col("compared")
@@ -163,12 +163,12 @@ def change_list(spark, sf):
         compare.value_change("PRICE_CHANGED", "pricing.currentPrice", F.col("prev_price"), F.col("price"), both)["type"],
         compare.value_change("DISCOUNT_CHANGED", "pricing.discountPercent", F.col("prev_discount"), F.col("discount"), both)["type"],
         F.when(both, compare.stock_change(F.col("prev_stock"), F.col("stock"))),
-        compare.value_change("BUYBOX_CHANGED", "buyBox.sellerId", F.col("prev_seller"), F.col("seller"), both)["type"],
+        compare.value_change("BUY_BOX_CHANGED", "buyBox.seller", F.col("prev_seller"), F.col("seller"), both)["type"],
     )
     return joined.select("l_partkey", F.array_join(found, ",").alias("changes"), "compared")
 
 
-@query("suppressed_blocks", """SELECT d.doc_id, CASE WHEN d.n_chars < 500 THEN 'RATINGS_CURRENT_PARSER_MISS' WHEN l.quality IS NULL THEN 'RATINGS_PREVIOUS_STATUS_MISSING' WHEN l.quality = 0 THEN 'RATINGS_PREVIOUS_PARSER_MISS' END AS warning
+@query("suppressed_blocks", """SELECT d.doc_id, 'COMPARISON_SUPPRESSED:ratings:' || nullif(concat_ws(',', CASE WHEN d.n_chars < 500 THEN 'CURRENT_PARSER_MISS' END, CASE WHEN l.quality IS NULL THEN 'PREVIOUS_STATUS_MISSING' WHEN l.quality = 0 THEN 'PREVIOUS_PARSER_MISS' END), '') AS warning
   FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def suppressed_blocks(spark, sf):
     joined = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id", "left")
@@ -293,7 +293,7 @@ def _events(spark, sf):
   SELECT event_id, round(CAST(rate AS DOUBLE), 6) AS block_rate, CASE WHEN seen < 10 THEN 'HEALTHY' WHEN rate >= 0.6 THEN 'ABORT' WHEN rate >= 0.35 THEN 'DEGRADED' ELSE 'HEALTHY' END AS state,
   CASE WHEN seen < 10 THEN 8 WHEN rate >= 0.6 THEN 0 WHEN rate >= 0.35 THEN 4 ELSE 8 END AS allowed FROM w""")
 def trailing_block_rate(spark, sf):
-    return ledger.trailing_health(_events(spark, sf), "run", ["event_id"], F.col("blocked")).select("event_id", F.round("block_rate", 6).alias("block_rate"), "state", "allowed")
+    return ledger.trailing_health(_events(spark, sf), "run", "event_id", F.col("blocked")).select("event_id", F.round("block_rate", 6).alias("block_rate"), "state", "allowed")
 
 
 _CHARGES = """c AS (SELECT event_id, event_type, CAST(ts AS DATE) AS run, CAST(floor(value / 10) AS BIGINT) + 1 AS units FROM events WHERE event_type <> 'error'),
@@ -302,7 +302,7 @@ _CHARGES = """c AS (SELECT event_id, event_type, CAST(ts AS DATE) AS run, CAST(f
 
 def _charged(spark, sf):
     charges = _events(spark, sf).where(~F.col("blocked")).withColumn("units", F.floor(F.col("value") / 10) + 1)
-    return ledger.charge_with_cap(charges, "run", ["event_id"], "units", 1000)
+    return ledger.charge_with_cap(charges, "run", "event_id", "units", 1000)
 
 
 @query("charge_cap", f"WITH {_CHARGES} SELECT event_id, CAST(charged AS BIGINT) AS charged, CASE WHEN charged = units THEN 'CHARGED' WHEN charged > 0 THEN 'PARTIAL' ELSE 'CAP_REACHED' END AS outcome FROM d")
@@ -318,9 +318,7 @@ def event_totals(spark, sf):
 @query("budget_gate", """SELECT event_id, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER p, 0) < greatest(1, ceil(coalesce(count(*) OVER p, 0) * CAST(0.2 AS DOUBLE))) AS allowed
   FROM events WINDOW p AS (PARTITION BY CAST(ts AS DATE) ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def budget_gate(spark, sf):
-    before = Window.partitionBy("run").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    used, requests = F.coalesce(F.sum(F.when(F.col("blocked"), 1).otherwise(0)).over(before), F.lit(0)), F.count(F.lit(1)).over(before)
-    rows = _events(spark, sf).withColumns({"used": used, "requests": requests})
+    rows = ledger.running_before(_events(spark, sf), "run", "event_id", {"used": F.when(F.col("blocked"), 1).otherwise(0), "requests": F.lit(1)})
     return rows.select("event_id", ledger.budget_allows(F.col("used"), F.col("requests"), 0.2).alias("allowed"))
 
 

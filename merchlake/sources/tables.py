@@ -39,13 +39,23 @@ def read_baseline(spark: SparkSession, path: str, schema: T.StructType, keys: li
     return latest(known, keys, order)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def append_records(records: DataFrame, path: str, rules: dict[str, Column], keys: list[str], order: list[str], form: str = "parquet") -> DataFrame:
-    """Append the first row of each key that keeps the rules; returns the rows that don't, as failures.
+    """Append the first row of each key that keeps the rules and is not at path yet; returns the rows that break them, as failures.
 
-    The job commits as a whole: a failed append leaves nothing behind.
+    The job commits as a whole: a failed append leaves nothing behind, so a retry is no duplicate.
     """
+    spark = records.sparkSession
     good, bad = gate(records, rules)
-    earliest(good, keys, order).write.format(form).mode("append").save(path)
+    first = earliest(good, keys, order)
+    if _exists(spark, path):
+        there = spark.read.schema(records.schema).format(form).load(path).select(*keys)
+        first = first.join(there, keys, "left_anti")
+    first.write.format(form).mode("append").save(path)
     return bad
 
 

@@ -58,7 +58,7 @@ def test_texts(spark):
     assert one(spark, ["color_name", "size"], text.humanize_dimension) == ["Color", "Size"]
     assert one(spark, ["https://x/I/71a._AC_SL1500_.jpg"], text.max_resolution) == ["https://x/I/71a.jpg"]
     assert one(spark, ["Sold by: Shop", "Shop", "Sold by："], lambda c: text.strip_label(c, ["Sold by", "Ships from and sold by"])) == ["Shop", "Shop", None]
-    assert [(r["type"], r["percent"]) for r in one(spark, ["Save 20%", "Save $5", "Coupon"], text.coupon)] == [("PERCENT", 20), ("AMOUNT", None), ("UNKNOWN", None)]
+    assert [(r["type"], r["percent"]) for r in one(spark, ["Save 20%", "Save $5", "Coupon"], lambda c: text.coupon(c, MARKETS["US"]))] == [("PERCENT", 20), ("AMOUNT", None), ("UNKNOWN", None)]
 
 
 def test_urls(spark):

@@ -38,9 +38,6 @@ def test_listing_settles_every_input(spark):
     assert sum(r["items"] for r in listing.settle(work, records).collect()) == 5
     with pytest.raises(AssertionError):
         ledger.assert_settled(work, records.limit(2), "key")
-    later = records.withColumn("pricing", F.col("pricing").withField("currentPrice", F.col("pricing.currentPrice") + 100)).where("status = 'SUCCESS'")
-    watched = {r.item: r for r in listing.monitor(later, records).collect()}
-    assert [c.type for c in watched["B000000001"].changes] == ["PRICE_CHANGED"] and watched["B000000001"].changes[0].percent == 4.0
     records.unpersist()
 
 
@@ -57,11 +54,27 @@ def test_full_records(spark):
     assert short.media.status == short.variants.status == "NOT_APPLICABLE" and short.pricing.status == "EXTRACTED" and short.retrieval.billingEvent == "product-essential"
 
 
+def test_monitor(spark):
+    html = product().replace("</body>", '<div id="merchant-info"><a href="/x?seller=ABCDEFGHIJ">Shop</a></div><div id="buybox"></div><div id="SalesRank">#12 in Toys (See Top 100)</div><div id="acrPopover" title="4.5 out of 5 stars"></div><span id="acrCustomerReviewText">120 ratings</span></body>')
+    later = html.replace("24.99", "25.99").replace("#12 in", "#24 in").replace("4.5 out", "4.4 out").replace("120 rat", "150 rat").replace("ABCDEFGHIJ", "KLMNOPQRST").replace("</body>", '<span id="couponTextpctch">Save $2.00</span></body>')
+    options = plan.check_options({"profile": "catalog"})
+    before, now = (listing.full_records(captures(spark, [{"seq": 1, "lookup_key": "B000000001", "html": h}]), options) for h in (html, later))
+    r = listing.monitor(now, before, "d1").first().monitoring
+    assert [c.type for c in r.changes] == ["PRICE_CHANGED", "COUPON_ADDED", "BUY_BOX_CHANGED", "BSR_CHANGED", "RATING_CHANGED", "REVIEW_COUNT_CHANGED"]
+    assert (r.compared, r.changed, r.status, r.previousDatasetId, [c.percentChange for c in r.changes]) == (True, True, "EXTRACTED", "d1", [4.0, None, None, 100.0, -2.22, 25.0])
+    euro = before.withColumn("pricing", F.col("pricing").withField("currentPrice.currency", F.lit("EUR")))
+    r = listing.monitor(now, euro, "d1").first().monitoring
+    assert "PRICE_CHANGED" not in [c.type for c in r.changes] and "COMPARISON_SUPPRESSED:pricing.currentPrice:CURRENCY_MISMATCH" in r.warnings
+    r = listing.monitor(now, before.limit(0), "d1").first().monitoring
+    assert (r.compared, r.changed, r.status) == (False, False, "NOT_PRESENT") and listing.monitoring_counts(listing.monitor(now, before, "d1")).first().asDict() == {"checked": 1, "compared": 1, "changed": 1}
+
+
 def test_discovery(spark):
     def card(item, price, sponsored=False):
         return f'<div class="s-result-item" data-asin="{item}"><h2>T</h2><span class="a-price"><span class="a-offscreen">{price}</span></span>{"<span class=puis-sponsored-label-text>Sponsored</span>" if sponsored else ""}</div>'
 
-    page = ["".join([card("A000000001", "$10.00"), card("", "$1.00"), card("A000000002", "$20.00", True), card("A000000001", "$9.00")]), card("A000000003", "$30.00")]
+    more = '<a class="s-pagination-next" href="#">Next</a>'
+    page = [more + "".join([card("A000000001", "$10.00"), card("", "$1.00"), card("A000000002", "$20.00", True), card("A000000001", "$9.00")]), card("A000000003", "$30.00")]
     caps = captures(spark, [{"seq": i, "label": "SEARCH", "lookup_key": "kw", "page": i + 1, "html": h} for i, h in enumerate(page)])
     options = plan.check_options({"filters": {"max_price": 25, "sponsored": "exclude"}})
     got = {r.item: r for r in listing.discover_items(caps, options).collect()}
@@ -93,7 +106,7 @@ def test_pages_read_stops(spark):
 
 def test_compare_arms(spark):
     rows = spark.createDataFrame([("EXTRACTED", "EXTRACTED"), ("PARSER_MISS", "EXTRACTED"), ("EXTRACTED", None), ("EXTRACTED", "PARSER_MISS"), ("OUT_OF_STOCK", "EXTRACTED")], "now string, before string")
-    assert [r[0] for r in rows.select(compare.suppression("pricing", F.col("now"), F.col("before"))).collect()] == [None, "PRICING_CURRENT_PARSER_MISS", "PRICING_PREVIOUS_STATUS_MISSING", "PRICING_PREVIOUS_PARSER_MISS", None]
+    assert [r[0] for r in rows.select(compare.suppression("pricing", F.col("now"), F.col("before"))).collect()] == [None, *(f"COMPARISON_SUPPRESSED:pricing:{x}" for x in ("CURRENT_PARSER_MISS", "PREVIOUS_STATUS_MISSING", "PREVIOUS_PARSER_MISS")), None]
     states = spark.createDataFrame([("IN_STOCK", "OUT_OF_STOCK"), ("OUT_OF_STOCK", "IN_STOCK"), ("OUT_OF_STOCK", "LIMITED_STOCK"), ("IN_STOCK", "IN_STOCK")], "a string, b string")
     assert [r[0] for r in states.select(compare.stock_change(F.col("a"), F.col("b"))).collect()] == ["OUT_OF_STOCK", "BACK_IN_STOCK", None, None]
     coupons = spark.createDataFrame([(None, "x"), ("x", None), ("x", "y"), (None, None)], "a string, b string")
@@ -102,9 +115,9 @@ def test_compare_arms(spark):
 
 def test_cap_and_health(spark):
     charges = spark.createDataFrame([("r", i, 3) for i in range(4)], "run string, seq int, units int")
-    assert [(r.charged, r.outcome) for r in ledger.charge_with_cap(charges, "run", ["seq"], "units", 7).orderBy("seq").collect()] == [(3, "CHARGED"), (3, "CHARGED"), (1, "PARTIAL"), (0, "CAP_REACHED")]
+    assert [(r.charged, r.outcome) for r in ledger.charge_with_cap(charges, "run", "seq", "units", 7).orderBy("seq").collect()] == [(3, "CHARGED"), (3, "CHARGED"), (1, "PARTIAL"), (0, "CAP_REACHED")]
     outcomes = spark.createDataFrame([("r", i, i < 9) for i in range(20)], "run string, seq int, blocked boolean")
-    states = [(r.state, r.allowed) for r in ledger.trailing_health(outcomes, "run", ["seq"], F.col("blocked")).orderBy("seq").collect()]
+    states = [(r.state, r.allowed) for r in ledger.trailing_health(outcomes, "run", "seq", F.col("blocked")).orderBy("seq").collect()]
     assert states[8] == ("HEALTHY", 8) and states[9] == ("ABORT", 0) and states[19] == ("DEGRADED", 4)
     assert ledger.select_event("detail", ["pricing"]) == "product-essential" and ledger.select_event("detail", ["media"]) == "product-detail"
 
