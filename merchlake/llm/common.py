@@ -202,6 +202,44 @@ def window_hashes(items: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def sequence_hashes(items: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the sequences items[starts:ends] of scrambled items (one at least), each together with its place."""
+    length = ends - starts
+    first = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    h = mix(items[np.repeat(starts, length) + place] + place.astype(np.uint64) * _P)
+    return mix(np.add.reduceat(h, first) + length.astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
+
+
+def anchored(h: np.ndarray, off: np.ndarray, width: int, k: int):
+    """Cut texts at their anchors. h: hashes of the k-grams that start at each item, off: where texts begin, in items.
+
+    The anchor of a window of `width` items is the least hash of its k-grams, the leftmost of equal ones; a piece is a run of windows of one
+    text with the anchor at one place. Returns each piece's anchor hash, text, first item, number of windows and the anchor's distance.
+    Equal windows have equal anchors, wherever they stand.
+    """
+    n = int(off[-1])
+    windows = n - width + 1
+    if windows <= 0:
+        return [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 4
+    bits = np.uint64(max(22, n.bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    w, size = width - k + 1, 1
+    while size * 2 <= w:
+        key = np.minimum(key[:-size], key[size:])
+        size *= 2
+    key = np.minimum(key[:windows], key[w - size : w - size + windows])
+    at = (key & low).astype(np.int64)
+    row = row_of(off).astype(np.int32)
+    ok = row[:windows] == row[width - 1 :]
+    new = ok.copy()
+    new[1:] &= (at[1:] != at[:-1]) | ~ok[:-1]
+    a = np.flatnonzero(new)
+    b = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True))
+    return [h[at[a]], row[a].astype(np.int64), a, b - a + 1, at[a] - a]
+
+
 def row_of(first: np.ndarray) -> np.ndarray:
     """For offsets first[0..n], the row of each item."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -229,43 +267,5 @@ def identified(docs: DataFrame, name: str, keep: list[str] = []) -> DataFrame:
     return materialize(rows.withColumns({"__row": F.monotonically_increasing_id(), "__ord": order}), name)
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Integer columns of one length as bytes; byte planes of deltas, so that the shuffle's codec squeezes them."""
-    n = len(columns[0])
-    out = [np.array([n], np.int64).tobytes()]
-    for c in columns:
-        c = np.ascontiguousarray(c).astype(np.int64)
-        delta = np.diff(c, prepend=np.int64(0))
-        delta = (delta << 1) ^ (delta >> 63)  # small either way
-        out.append(np.ascontiguousarray(delta.view(np.uint8).reshape(n, 8).T).tobytes())
-    return b"".join(out)
-
-
-def unpack(blob: bytes, count: int) -> list[np.ndarray]:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    out = []
-    for k in range(count):
-        planes = np.frombuffer(blob, np.uint8, n * 8, 8 + k * n * 8).reshape(8, n)
-        delta = np.ascontiguousarray(planes.T).view(np.int64).ravel()
-        out.append(np.cumsum((delta >> 1 & 0x7FFFFFFFFFFFFFFF) ^ -(delta & 1)))
-    return out
-
-
-def dealt(groups: np.ndarray, n_groups: int):
-    """(group, positions) for each group that occurs; positions keep their order."""
-    kind = np.uint16 if n_groups <= 65536 else np.int64
-    groups = groups.astype(kind)
-    order = np.argsort(groups, kind="stable")
-    cuts = np.flatnonzero(np.diff(groups[order].astype(np.int64))) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(groups[part[0]]), part
-
-
-def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Equal ranges of the hash space, n of them."""
-    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -63,4 +63,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_pieces": op4_pieces, "op4_decoded": op4_decoded, "op5_suffixes": op5_suffixes, "op6_jaccard": op6_jaccard, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_embeddings": op9_embeddings, "op10_licences": op10_licences, "pipeline": pipeline}
-ORACLES = {"op1_mixing": mixing.MIX_SQL, "op3_substrings": substrings.SUBSTRINGS_SQL, "op4_decoded": pieces.DECODED_SQL, "op6_jaccard": jaccard.JACCARD_SQL, "op9_embeddings": embeddings.EMBEDDINGS_SQL}
+ORACLES = {"op1_mixing": mixing.MIX_SQL, "op3_substrings": substrings.SUBSTRINGS_SQL, "op4_decoded": pieces.DECODED_SQL, "op5_suffixes": suffixes.SUFFIXES_SQL, "op6_jaccard": jaccard.JACCARD_SQL, "op9_embeddings": embeddings.EMBEDDINGS_SQL}

@@ -1,14 +1,12 @@
 """Substring dedup by de Bruijn compaction.
 
-Each window of k words is an edge between its first and its last k-1 words. Edges meet by hash in a
-shuffle, an edge seen in a smaller document gets that document's position as its source, and only such
-repeated edges go on. In a shuffle by document consecutive edges whose sources are consecutive too
-are compacted into one path (a path ends where the graph branches, since there the source changes).
-Every path is then held against its source's coordinates, word by word, in the join with the texts; windows of a path
+Each window of k words is an edge between its first and its last k-1 words. Consecutive windows of a text that have one anchor (the
+least hash of their GRAM-word strings) are cut out as a piece, a path of edges that is sent as one row. Anchors that only one document has
+hold no repeated edge and go. Equal pieces are one; where an anchor has several different pieces their edges are told apart.
+Then Spark builds the graph of the repeated edges: degrees of the nodes by aggregation, runs of edges that follow each other in their source
+over nodes that do not branch, and the runs joined over such nodes by pointer doubling, which gives every edge its path. Where a document holds edges of
+smaller documents in sequence, that is a span; every span is held against its source's coordinates, word by word, in the join with the texts; windows of a span
 that differs from its source (two windows share a 64-bit hash) are looked up by their words in all texts.
-
-What is sent: for each edge 8 bytes of hash and two or so of coordinates, packed by task and bucket. A task
-first combines its own edges, so an edge that half the corpus holds is sent once by each task.
 """
 
 from __future__ import annotations
@@ -18,42 +16,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchlake.llm import common
-from merchlake.llm.common import bucket_of, dealt, identified, materialize, pack, shuffle_width, unpack
+from merchlake.llm.common import discard, identified, in_arrow, materialize
 
-K = 13
-FLUSH_WINDOWS = 500_000
-SLICE_BYTES = 1 << 20
+K, GRAM = 13, 4
 #: Hashes of unsettled windows that go to all tasks at a time.
 LOOKUP_HASHES = 500_000
-EDGES, PATHS = 0, 1
-_PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("body", pa.binary())])
-
-
-def _paths(row, pos, src, at):
-    """Edges in order of (row, pos), compacted: first edge's index and number of edges of each path."""
-    if not len(row):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (src[1:] != src[:-1]) | (at[1:] != at[:-1] + 1)
-    first = np.flatnonzero(new)
-    return first, np.diff(np.append(first, len(row)))
-
-
-def _sources(hashes, order, row, pos):
-    """Of edges in document order: which are repeated from a smaller document, and that one's row and position."""
-    by = np.argsort(hashes, kind="stable")
-    sorted_hashes = hashes[by]
-    new = np.ones(len(by), bool)
-    new[1:] = sorted_hashes[1:] != sorted_hashes[:-1]
-    first = by[np.flatnonzero(new)][np.cumsum(new) - 1]  # the smallest document's first edge of each group
-    source = np.empty(len(by), np.int64)
-    source[by] = first
-    return order > order[source], source
-
 
 def _windows(batch: pa.RecordBatch, k: int, bits: int):
     """Hash, row of the batch and place of each window of k words of one text; column 2 holds the texts."""
@@ -67,93 +38,54 @@ def _windows(batch: pa.RecordBatch, k: int, bits: int):
     return hashes[whole] & np.uint64(2**64 - 2 ** (64 - bits)), of[whole], whole - first[of[whole]]
 
 
-def _emit(k: int, buckets: int, bits: int):
+def _pieces(k: int):
+    """Pieces of texts. Columns: row, ord, text."""
+
     def run(batches):
-        held, n, serial = [], 0, 0
-
-        def flush():
-            nonlocal serial
-            hashes, order, row, pos = (np.concatenate(x) for x in zip(*held))
-            if np.any(order[1:] < order[:-1]):
-                by = np.lexsort((pos, row, order))
-                hashes, order, row, pos = hashes[by], order[by], row[by], pos[by]
-            again, source = _sources(hashes, order, row, pos)
-            made = []
-            if again.any():
-                r, p, s, a = row[again], pos[again], row[source[again]], pos[source[again]]
-                by = np.lexsort((p, r))
-                r, p, s, a = r[by], p[by], s[by], a[by]
-                first, length = _paths(r, p, s, a)
-                made.append((serial * 7919 % buckets, PATHS, pack(r[first], p[first], length, s[first], a[first])))
-            keep = np.flatnonzero(~again)
-            for b, at in dealt(bucket_of(hashes[keep], buckets), buckets):
-                at = keep[at]
-                made.append((b, EDGES, hashes[at].tobytes() + pack(order[at], row[at] - order[at], pos[at])))
-            serial += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), _PARTS.types)], schema=_PARTS)
-
-        for batch in common.slices(batches, most=SLICE_BYTES):
-            hashes, of, pos = _windows(batch, k, bits)
-            if len(hashes):
-                rows, orders = (np.asarray(batch.column(i), np.int64) for i in (0, 1))
-                held.append((hashes, orders[of], rows[of], pos))
-                n += len(hashes)
-            if n >= FLUSH_WINDOWS:
-                yield flush()
-                held, n = [], 0
-        if n:
-            yield flush()
+        for batch in common.slices(batches):
+            data, off = common.utf8(batch.column(2))
+            starts, ends, first = common.word_bounds(data, off)
+            words = common.span_hashes(data, starts, ends)
+            gram = min(GRAM, k)
+            anchor, of, at, n, _ = common.anchored(common.window_hashes(words, gram), first, k, gram)
+            piece = common.sequence_hashes(words, at, at + n + k - 1)
+            rows, orders = (np.asarray(batch.column(i), np.int64)[of] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor.view(np.int64), piece.view(np.int64), rows, orders, (at - first[of]).astype(np.int32), n.astype(np.int32))], names=["anchor", "piece", "row", "ord", "start", "n"])
 
     return run
 
 
-def _meet(groups: int):
-    """All edges of one bucket: the repeated ones, dealt to their documents' groups."""
-
-    def run(table: pa.Table) -> pa.Table:
-        edges, made = [], []
-        for kind, body in zip(table.column("kind").to_pylist(), table.column("body")):
-            body = body.as_py()
-            if kind == PATHS:
-                columns = unpack(body, 5)
-                for g, at in dealt(columns[0] % groups, groups):
-                    made.append((g, PATHS, pack(*(c[at] for c in columns))))
-            else:
-                n = (len(body) - 8) // 32
-                edges.append((np.frombuffer(body, np.uint64, n), *unpack(body[8 * n :], 3)))
-        if edges:
-            hashes, order, row, pos = (np.concatenate(x) for x in zip(*edges))
-            row = row + order
-            by = np.argsort(order, kind="stable")
-            hashes, order, row, pos = hashes[by], order[by], row[by], pos[by]
-            again, source = _sources(hashes, order, row, pos)
-            r, p, s, a = row[again], pos[again], row[source[again]], pos[source[again]]
-            for g, at in dealt(r % groups, groups):
-                at = at[np.lexsort((p[at], r[at]))]
-                made.append((g, EDGES, pack(r[at], p[at], s[at], a[at])))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else ((), (), ()), _PARTS.types)], schema=_PARTS)
+_EDGE = ("piece", "off", "n", "edge", "head", "tail", "row", "at")
 
-    return run
 
+def _edges(k: int, bits: int):
+    """Edges of pieces at their sources: a piece that is alone at its anchor is one compacted edge. Columns: row, text, pieces."""
 
-_PATH = pa.schema([("row", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("src", pa.int64()), ("at", pa.int32())])
-
+    def run(batches):
+        mask = np.uint64(2**64 - 2 ** (64 - bits))
+        for batch in common.slices(batches):
+            data, off = common.utf8(batch.column(1))
+            starts, ends, first = common.word_bounds(data, off)
+            words = common.span_hashes(data, starts, ends)
+            windows, nodes = common.window_hashes(words, k) & mask, common.window_hashes(words, max(1, k - 1))
+            lists = batch.column(2)
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            piece, start, n, alone = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("piece", "start", "n", "alone"))
+            count = np.where(alone, 1, n).astype(np.int64)
+            source = np.repeat(np.arange(len(piece)), count)
+            step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            length = np.where(alone, n, 1)[source].astype(np.int64)
+            at = start[source] + step
+            here = first[owner[source]] + at
+            # two pieces that share a hash are told apart later, so an edge alone needs no more than its piece's hash
+            edge = np.where(alone[source], piece[source], windows[here].view(np.int64))
+            row = np.asarray(batch.column(0), np.int64)[owner[source]]
+            made = (piece[source], step.astype(np.int32), length.astype(np.int32), edge, nodes[here].view(np.int64), nodes[here + length].view(np.int64), row, at.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=list(_EDGE))
 
-def _compact(table: pa.Table) -> pa.Table:
-    """All repeated edges of a group of documents, as paths."""
-    found = []
-    for kind, body in zip(table.column("kind").to_pylist(), table.column("body")):
-        if kind == PATHS:
-            r, p, n, s, a = unpack(body.as_py(), 5)
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append((np.repeat(r, n), np.repeat(p, n) + step, np.repeat(s, n), np.repeat(a, n) + step))
-        else:
-            found.append(tuple(unpack(body.as_py(), 4)))
-    r, p, s, a = (np.concatenate(x) for x in zip(*found))
-    by = np.lexsort((p, r))
-    r, p, s, a = r[by], p[by], s[by], a[by]
-    first, length = _paths(r, p, s, a)
-    return pa.Table.from_arrays([pa.array(c).cast(t) for c, t in zip((r[first], p[first], length, s[first], a[first]), _PATH.types)], schema=_PATH)
+    return run
 
 
 _CHECK = pa.struct([("row", pa.int64()), ("start", pa.int32()), ("src", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())])
@@ -229,16 +161,67 @@ def _find(shared, k: int, bits: int):
     return run
 
 
+def _compacted(edges: DataFrame) -> DataFrame:
+    """edges(edge, n, head, tail, row, at) with path: nonbranching paths of the graph, named by their first edge's source (row, at).
+
+    Edges that follow each other in their source over a node of one edge in and one out are a run (a window over the
+    edges of one document). Runs that meet in such a node are joined by doubling pointers to the run before, in as many rounds as the logarithm of a path's runs.
+    """
+    ends = edges.select(F.col("tail").alias("node"), F.lit(1).alias("into"), F.lit(0).alias("out")).unionByName(edges.select(F.col("head").alias("node"), F.lit(0).alias("into"), F.lit(1).alias("out")))
+    plain = ends.groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out")).where("into = 1 AND out = 1").select(F.col("node").alias("head"), F.lit(True).alias("plain"))
+    own = Window.partitionBy("row").orderBy("at")
+    follows = F.coalesce(F.col("plain") & (F.lag(F.col("at") + F.col("n")).over(own) == F.col("at")), F.lit(False))
+    marked = edges.join(plain, "head", "left").withColumn("__new", ~follows)
+    begun = marked.withColumn("run", F.last(F.when(F.col("__new"), F.col("at")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = materialize(begun.drop("__new"), "path-runs")
+    runs = begun.groupBy("row", "run").agg(F.min_by("head", "at").alias("head"), F.min_by("plain", "at").alias("plain"), F.max_by("tail", "at").alias("tail"))
+    name = F.struct("row", "run")
+    befores = runs.select(F.col("tail").alias("head"), name.alias("before"))
+    left = materialize(runs.where("plain").select(name.alias("id"), "head").join(befores, "head").where("id <> before").select("id", "before"), "path-pointers")
+    rounds, open_ = 0, left.count()
+    while open_ and rounds < 40:  # what still moves then stands in a ring, which has no first run
+        jump = left.select(F.col("id").alias("before"), F.col("before").alias("further"))
+        left, old = materialize(left.join(jump, "before", "left").select("id", F.coalesce("further", "before").alias("before"), F.col("further").isNotNull().alias("moved")), "path-pointers"), left
+        discard(old)
+        still = left.where("moved").count()
+        left, rounds, open_ = left.drop("moved"), rounds + 1, still if still != open_ else 0
+    roots = left.select(F.col("id.row").alias("row"), F.col("id.run").alias("run"), F.col("before").alias("root"))
+    return begun.join(roots, ["row", "run"], "left").withColumn("path", F.coalesce("root", name)).drop("root", "run", "plain")
+
+
 def repeated_paths(rows: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
-    """Compacted paths of rows(__row, __ord, text): row, start, n edges, src row, at (its position there).
+    """Spans of rows(__row, __ord, text): row, start, n edges, src row, at (the position there), path.
 
-    Every edge of a path also starts, by its hash, in a row of smaller __ord.
+    Every edge of a span also starts, by its hash, in src, a row of smaller __ord; path names the nonbranching path of its first edge.
     """
-    width = shuffle_width(rows.sparkSession)
-    parts = "part int, kind byte, body binary"
-    edges = rows.select("__row", "__ord", "text").mapInArrow(_emit(k, 4 * width, bits), parts)
-    met = materialize(edges.groupBy("part").applyInArrow(_meet(width), parts), "path-edges")
-    return materialize(met.groupBy("part").applyInArrow(_compact, "row long, start int, n int, src long, at int"), "paths")
+    schema = "anchor long, piece long, row long, ord long, start int, n int"
+    pieces = materialize(in_arrow(rows.select("__row", "__ord", "text"), _pieces(k), schema), "path-pieces")
+    shared = pieces.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("anchor")
+    held = materialize(pieces.join(shared.hint("shuffle_hash"), "anchor", "left_semi"), "path-held")
+    discard(pieces)
+    first = F.min(F.struct("ord", "row", "start")).alias("src")
+    distinct = held.groupBy("piece").agg(first, F.max("ord").alias("hi"), F.min("anchor").alias("anchor"), F.min("n").alias("n"))
+    distinct = materialize(distinct, "path-distinct")
+    company = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("anchor", F.lit(True).alias("alone"))
+    listed = distinct.join(company, "anchor", "left").groupBy(F.col("src.row").alias("__r")).agg(F.collect_list(F.struct("piece", F.col("src.start").alias("start"), "n", F.coalesce("alone", F.lit(False)).alias("alone"))).alias("pieces"))
+    texts = rows.join(listed, rows["__row"] == listed["__r"]).select("__row", "text", "pieces")
+    parts = materialize(in_arrow(texts, _edges(k, bits), "piece long, off int, n int, edge long, head long, tail long, row long, at int"), "path-parts")
+    known = parts.join(distinct.select("piece", F.col("src.ord").alias("ord"), "hi"), "piece")
+    edges = known.groupBy("edge").agg(F.min(F.struct("ord", "row", "at", "n", "head", "tail")).alias("e"), F.max("hi").alias("hi")).where("e.ord < hi")
+    edges = materialize(edges.select("edge", "e.*"), "path-edges")
+    placed = materialize(_compacted(edges).select("edge", F.struct("ord", "row", "at").alias("src"), "path"), "path-placed")
+    # what each piece holds, a row for each of its few edges
+    within = parts.select("piece", "off", "n", "edge").join(placed, "edge").groupBy("piece").agg(F.collect_list(F.struct("off", "n", "src", "path")).alias("parts"))
+    found = held.select("piece", "row", "ord", "start").join(within, "piece").withColumn("p", F.explode(F.filter("parts", lambda p: p["src"]["ord"] < F.col("ord"))))
+    steps = found.select("row", (F.col("start") + F.col("p.off")).alias("start"), F.col("p.n").alias("n"), F.col("p.src.row").alias("src"), F.col("p.src.at").alias("at"), F.col("p.path").alias("path"))
+    own = Window.partitionBy("row").orderBy("start")
+    goes_on = (F.lag(F.col("start") + F.col("n")).over(own) == F.col("start")) & (F.lag("src").over(own) == F.col("src")) & (F.lag(F.col("at") + F.col("n")).over(own) == F.col("at"))
+    cut = steps.withColumn("__new", ~F.coalesce(goes_on, F.lit(False)))
+    cut = cut.withColumn("__span", F.last(F.when(F.col("__new"), F.col("start")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = cut.groupBy("row", "__span").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src").alias("src"), F.min("at").alias("at"), F.min_by("path", "start").alias("path"))
+    spans = materialize(spans.drop("__span"), "paths")
+    discard(held, distinct, parts, edges, placed)
+    return spans
 
 
 def _settle_by_words(rows: DataFrame, unsettled: DataFrame, k: int, bits: int) -> DataFrame:
@@ -246,14 +229,14 @@ def _settle_by_words(rows: DataFrame, unsettled: DataFrame, k: int, bits: int) -
     spark = rows.sparkSession
     asked = unsettled.groupBy(F.col("row").alias("__r")).agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     texts = rows.join(asked, rows["__row"] == asked["__r"]).select("__row", "__ord", "text", "spans")
-    windows = materialize(texts.mapInArrow(_spell(k, bits), "row long, ord long, pos int, hash long, digest binary"), "unsettled-windows")
+    windows = materialize(in_arrow(texts, _spell(k, bits), "row long, ord long, pos int, hash long, digest binary"), "unsettled-windows")
     hashes = windows.select("hash").distinct()
     blocks = -(-hashes.count() // LOOKUP_HASHES)
     found = []
     for b in range(blocks):  # hashes that collide are few; in blocks they may be any number
         some = [r[0] for r in hashes.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == b).collect()]
         shared = spark.sparkContext.broadcast(some)
-        first = rows.select("__row", "__ord", "text").mapInArrow(_find(shared, k, bits), "digest binary, ord long").groupBy("digest").agg(F.min("ord").alias("first"))
+        first = in_arrow(rows.select("__row", "__ord", "text"), _find(shared, k, bits), "digest binary, ord long").groupBy("digest").agg(F.min("ord").alias("first"))
         found.append(materialize(windows.join(first, "digest").where("ord > first").select("row", F.col("pos").alias("start"), F.lit(1).alias("n")), "settled-windows"))
     return reduce(DataFrame.unionByName, found)
 
@@ -276,7 +259,7 @@ def dedup_substrings(docs: DataFrame, k: int = K, with_text: bool = False, keep:
     def removed(rows: DataFrame, spans: DataFrame) -> DataFrame:
         listed = spans.groupBy("__r").agg(F.collect_list("s").alias("spans"))
         joined = rows.join(listed, rows["__row"] == listed["__r"], "left").select("__row", "doc_id", "text", "spans", *more)
-        return joined.mapInArrow(_remove(k, with_text), kind)
+        return in_arrow(joined, _remove(k, with_text), kind)
 
     paths = repeated_paths(rows, k, bits)
     ends = paths.select(F.col("row").alias("__r"), F.struct(F.lit(True).alias("target"), "start", "n", "src", "at").alias("s"))

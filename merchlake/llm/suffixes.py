@@ -1,12 +1,16 @@
 """Suffix-array dedup of byte strings.
 
 Which suffixes must be sorted together: of the hashes of all ANCHOR-byte strings in a window of `width` bytes the least is
-the window's anchor, so equal windows have equal anchors (least hashes are small, so buckets go by a second hash). Consecutive windows with one anchor are a piece of text.
-Pieces meet by anchor in a shuffle (a task first drops its repeats of a piece); equal pieces are one string from there on,
-all but the first occurrence being removed whole. The pieces of an anchor that has several different ones
-then go to a task by anchor, as bytes, and their suffixes are sorted in two stages: those smaller than their successor
+the window's anchor, so equal windows have equal anchors. Consecutive windows of a text with one anchor at one place are a piece of it.
+Pieces are rows; anchors that occur once go, equal pieces are one (all but the first occurrence are removed whole), and
+the different pieces of an anchor stay open. These go, as bytes, by anchor to tasks of about PART_BYTES each,
+where their suffixes are sorted in two stages: those smaller than their successor
 directly, the rest induced by scanning the buckets of first bytes. Neighbours in that order with a common prefix of
 `width` bytes are equal windows, and all but the first of them are removed.
+
+An anchor with very many different pieces is parted: its windows hold either the bytes before it or those behind it, so each half
+goes by the anchor together with these. What is still a large group then goes window by window, each a row, and
+Spark takes the first of equal ones.
 """
 
 from __future__ import annotations
@@ -19,141 +23,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.llm import common
-from merchlake.llm.common import bucket_of, dealt, identified, materialize, pack, shuffle_width, unpack
+from merchlake.llm.common import discard, identified, in_arrow, materialize, shuffle_width
 
 WIDTH, ANCHOR = 100, 32
-FLUSH_PIECES = 250_000
-#: An anchor of more different pieces is split by the anchor's place in the window, PLACES places a part.
-HOT_PIECES, PLACES = 4096, 8
-PIECES, GONE = 0, 1
-_PARTS = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("body", pa.binary())])
-
-
-def pieces_of(data: np.ndarray, off: np.ndarray, width: int, k: int):
-    """Anchor hash, piece hash, row, start in the row, number of windows and anchor's distance of each piece."""
-    n = len(data)
-    none = [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 4
-    if n < width:
-        return none
-    grams = np.arange(n - k + 1)
-    h = common.span_hashes(data, grams, grams + k)
-    bits = np.uint64(max(22, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    key = (h & ~low) | grams.astype(np.uint64)  # equal hashes: the leftmost
-    w, size = width - k + 1, 1
-    while size * 2 <= w:
-        key = np.minimum(key[:-size], key[size:])
-        size *= 2
-    windows = n - width + 1
-    key = np.minimum(key[:windows], key[w - size : w - size + windows])
-    at = (key & low).astype(np.int64)
-    row = common.row_of(off).astype(np.int32)
-    ok = row[:windows] == row[width - 1 :]
-    new = ok.copy()
-    new[1:] &= (at[1:] != at[:-1]) | ~ok[:-1]
-    a = np.flatnonzero(new)
-    if not len(a):
-        return none
-    stop = ok & np.append(new[1:] | ~ok[1:], True)
-    b = np.flatnonzero(stop)
-    return h[at[a]], common.span_hashes(data, a, b + width), row[a].astype(np.int64), a - off[row[a]], b - a + 1, at[a] - a
-
-
-def _first_of_each(anchor, piece):
-    """Of pieces in document order: whether each is the first with its bytes."""
-    by = np.lexsort((piece, anchor))
-    new = np.ones(len(by), bool)
-    new[1:] = (anchor[by][1:] != anchor[by][:-1]) | (piece[by][1:] != piece[by][:-1])
-    first = np.zeros(len(by), bool)
-    first[by[new]] = True
-    return first
-
-
-def _table(made):
-    return [pa.array(c, t) for c, t in zip(zip(*made) if made else ((), (), ()), _PARTS.types)]
-
-
-def _emit(width: int, k: int, buckets: int):
-    def run(batches):
-        held, n, serial = [], 0, 0
-
-        def flush():
-            nonlocal serial
-            columns = [np.concatenate(x) for x in zip(*held)]
-            by = np.lexsort((columns[4], columns[3], columns[2]))
-            anchor, piece, order, row, start, count, far = (c[by] for c in columns)
-            first = _first_of_each(anchor, piece)
-            made = []
-            again = np.flatnonzero(~first)
-            if len(again):
-                made.append((serial * 7919 % buckets, GONE, pack(row[again], start[again], count[again])))
-            keep = np.flatnonzero(first)
-            for b, at in dealt(bucket_of(common.mix(anchor[keep]), buckets), buckets):
-                at = keep[at]
-                made.append((b, PIECES, anchor[at].tobytes() + piece[at].tobytes() + pack(order[at], row[at] - order[at], start[at], count[at], far[at])))
-            serial += 1
-            return pa.RecordBatch.from_arrays(_table(made), schema=_PARTS)
+#: Different pieces of one anchor (or part of one) that are sorted in one task, and bytes of pieces for a task.
+HOT_PIECES, PART_BYTES = 4096, 2 << 20
+
+
+def _pieces(width: int, k: int):
+    """Pieces of texts. Columns: row, ord, text."""
 
+    def run(batches):
         for batch in common.slices(batches):
-            anchor, piece, row, start, count, far = pieces_of(*common.utf8(batch.column(2)), width, k)
-            if len(anchor):
-                rows, orders = (np.asarray(batch.column(i), np.int64) for i in (0, 1))
-                held.append((anchor, piece, orders[row], rows[row], start, count, far))
-                n += len(anchor)
-            if n >= FLUSH_PIECES:
-                yield flush()
-                held, n = [], 0
-        if n:
-            yield flush()
+            data, off = common.utf8(batch.column(2))
+            anchor, of, at, n, far = common.anchored(common.gram_hashes(data, k), off, width, k)
+            piece = common.span_hashes(data, at, at + n + width - 1) if len(at) else anchor
+            rows, orders = (np.asarray(batch.column(i), np.int64)[of] for i in (0, 1))
+            made = (anchor.view(np.int64), piece.view(np.int64), rows, orders, (at - off[of]).astype(np.int32), n.astype(np.int32), far.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["anchor", "piece", "row", "ord", "a", "n", "far"])
 
     return run
 
 
-def _meet(groups: int):
-    """All pieces of one bucket of anchors: repeats are gone, anchors with several different pieces stay open."""
+def _cut(width: int, k: int):
+    """The bytes of the open pieces, in two halves where the anchor is hot. Columns: row, text, pieces."""
+    side = (width - k) // 2
 
-    def run(table: pa.Table) -> pa.Table:
-        held, made = [], []
-        for kind, body in zip(table.column("kind").to_pylist(), table.column("body")):
-            body = body.as_py()
-            if kind == GONE:
-                columns = unpack(body, 3)
-                for g, at in dealt(columns[0] % groups, groups):
-                    made.append((g, GONE, pack(*(c[at] for c in columns))))
-            else:
-                n = (len(body) - 8) // 56
-                held.append((np.frombuffer(body, np.uint64, n), np.frombuffer(body, np.uint64, n, 8 * n), *unpack(body[16 * n :], 5)))
-        if held:
-            anchor, piece, order, row, start, count, far = (np.concatenate(x) for x in zip(*held))
-            row = row + order
-            by = np.lexsort((start, row, order))
-            anchor, piece, order, row, start, count, far = (c[by] for c in (anchor, piece, order, row, start, count, far))
-            first = _first_of_each(anchor, piece)
-            again = np.flatnonzero(~first)
-            for g, at in dealt(row[again] % groups, groups):
-                at = again[at]
-                made.append((g, GONE, pack(row[at], start[at], count[at])))
-            keep = np.flatnonzero(first)
-            _, inverse, kinds = np.unique(anchor[keep], return_inverse=True, return_counts=True)
-            keep, kinds = keep[kinds[inverse] > 1], kinds[inverse][kinds[inverse] > 1]
-            key, order, row, start, count, far = (c[keep] for c in (anchor, order, row, start, count, far))
-            if (hot := kinds > HOT_PIECES).any():
-                # windows of different anchor places are never equal, so places may part
-                parts = far[hot] // PLACES - (far[hot] - count[hot] + 1) // PLACES + 1
-                source = np.repeat(np.flatnonzero(hot), parts)
-                place = far[source] // PLACES - (np.arange(len(source)) - np.repeat(np.cumsum(parts) - parts, parts))
-                high, low = np.minimum(far[source], place * PLACES + PLACES - 1), np.maximum(far[source] - count[source] + 1, place * PLACES)
-                cold = np.flatnonzero(~hot)
-                split = (common.mix(key[source] + place.astype(np.uint64)), order[source], row[source], start[source] + far[source] - high, high - low + 1)
-                key, order, row, start, count = (np.concatenate([c[cold], s]) for c, s in zip((key, order, row, start, count), split))
-            for g, at in dealt(row % groups, groups):
-                made.append((g, PIECES, key[at].tobytes() + pack(order[at], row[at], start[at], count[at])))
-        return pa.Table.from_arrays(_table(made), schema=_PARTS)
+    def run(batches):
+        for batch in common.slices(batches):
+            data, off = common.utf8(batch.column(1))
+            lists = batch.column(2)
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            anchor, order, a, n, far, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "ord", "a", "n", "far", "hot"))
+            begin = off[owner] + a
+            # of a hot piece the first `early` windows hold `side` bytes before the anchor, the others those behind it
+            early = np.clip(far.astype(np.int64) - side + 1, 0, n)
+            place = begin + far
+            keys, first, count, source = [], [], [], []
+            cold = np.flatnonzero(~hot)
+            for at, skip, number, start in ((np.flatnonzero(hot & (early > 0)), 0, early, place - side), (np.flatnonzero(hot & (early < n)), early, n - early, place)):
+                if len(at):
+                    keys.append(common.mix(common.span_hashes(data, start[at], start[at] + side + k) + np.uint64(1)))
+                    source.append(at)
+                    first.append(np.broadcast_to(skip, len(n))[at])
+                    count.append(number[at])
+            source = np.concatenate([cold, *source])
+            key = np.concatenate([anchor[cold].view(np.uint64), *keys]).view(np.int64)
+            first, count = np.concatenate([np.zeros(len(cold), np.int64), *first]), np.concatenate([n[cold], *count])
+            raw, at = data.tobytes(), begin[source] + first
+            bodies = [raw[x : x + c + width - 1] for x, c in zip(at.tolist(), count.tolist())]
+            made = (key, order[source], np.asarray(batch.column(0), np.int64)[owner[source]], (a[source] + first).astype(np.int32), count.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in made), pa.array(bodies, pa.binary())], names=["key", "ord", "row", "a", "n", "body"])
 
     return run
 
 
-_SPANS = "array<struct<a:int,n:int>>"
+def _windows(width: int):
+    """Each window of the pieces by two hashes of its bytes. Columns: ord, row, a, n, body."""
+
+    def run(batches):
+        for batch in common.slices(batches, "body"):
+            data, off = common.utf8(batch.column(4))
+            n = np.asarray(batch.column(3), np.int64)
+            of = np.repeat(np.arange(batch.num_rows), n)
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            at = off[of] + step
+            hashes = common.span_hashes(data, at, at + width), common.span_hashes(data ^ np.uint8(0xA5), at, at + width)
+            made = (*(h.view(np.int64) for h in hashes), np.asarray(batch.column(0), np.int64)[of], np.asarray(batch.column(1), np.int64)[of], (np.asarray(batch.column(2), np.int64)[of] + step).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["h", "g", "ord", "row", "a"])
+
+    return run
 
 
 def _merged(row, start, count):
@@ -166,49 +107,6 @@ def _merged(row, start, count):
     return row[at], start[at], (np.maximum.reduceat(start + count, at) if len(at) else start) - start[at]
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """By document: windows that are gone, and pieces to sort (their bucket key as a long)."""
-    gone, left = [], []
-    for kind, body in zip(table.column("kind").to_pylist(), table.column("body")):
-        body = body.as_py()
-        if kind == GONE:
-            gone.append(unpack(body, 3))
-        else:
-            n = (len(body) - 8) // 40
-            left.append((np.frombuffer(body, np.int64, n), *unpack(body[8 * n :], 4)))
-    out = []
-    if gone:
-        row, a, n = _merged(*(np.concatenate(x) for x in zip(*gone)))
-        out.append(pa.table({"row": row, "key": np.zeros(len(row), np.int64), "ord": np.zeros(len(row), np.int64), "a": a.astype(np.int32), "n": n.astype(np.int32), "gone": np.ones(len(row), bool)}))
-    if left:
-        key, order, row, a, n = (np.concatenate(x) for x in zip(*left))
-        out.append(pa.table({"row": row, "key": key, "ord": order, "a": a.astype(np.int32), "n": n.astype(np.int32), "gone": np.zeros(len(row), bool)}))
-    return pa.concat_tables(out)
-
-
-def _cut(width: int, buckets: int):
-    """The bytes of the pieces to sort, dealt by key."""
-    schema = pa.schema([("part", pa.int32()), ("body", pa.binary()), ("bytes", pa.binary())])
-
-    def run(batches):
-        for batch in common.slices(batches):
-            data, off = common.utf8(batch.column(batch.schema.get_field_index("text")))
-            spans = batch.column(batch.schema.get_field_index("pieces"))
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
-            flat = spans.flatten()
-            key, order, a, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("key", "ord", "a", "n"))
-            row = np.asarray(batch.column(batch.schema.get_field_index("__row")), np.int64)[owner]
-            raw, begin = data.tobytes(), off[owner] + a
-            made = []
-            for b, at in dealt(bucket_of(common.mix(key.view(np.uint64)), buckets), buckets):
-                body = pack(order[at], row[at], a[at].astype(np.int64), n[at].astype(np.int64))
-                made.append((b, body, b"".join(raw[begin[i] : begin[i] + n[i] + width - 1] for i in at)))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), schema.types)], schema=schema)
-
-    return run
-
-
 def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions in order of the first `depth` symbols (below 512) of their suffixes, and the 7-symbol blocks at each position.
 
@@ -272,15 +170,11 @@ def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _sort(width: int):
-    """Windows of a bucket's pieces that are equal to an earlier one."""
+    """Windows of a task's pieces that are equal to an earlier one."""
 
     def run(table: pa.Table) -> pa.Table:
-        columns, texts = [], []
-        for body, raw in zip(table.column("body"), table.column("bytes")):
-            columns.append(unpack(body.as_py(), 4))
-            texts.append(np.frombuffer(raw.as_buffer(), np.uint8))
-        order, row, a, n = (np.concatenate(x) for x in zip(*columns))
-        data = np.concatenate(texts)
+        order, row, a, n = (table.column(c).to_numpy().astype(np.int64) for c in ("ord", "row", "a", "n"))
+        data, _ = common.utf8(table.column("body"))
         length = n + width - 1
         begin = np.cumsum(length + 1) - (length + 1)  # a 0 ends each piece
         symbols = np.zeros(int((length + 1).sum()), np.uint16)
@@ -325,24 +219,63 @@ def _remove(width: int, with_text: bool):
     return run
 
 
+def repeated_windows(rows: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> DataFrame:
+    """row, a, n: runs of windows of rows(__row, __ord, text) that also start earlier, in order of (__ord, __row, place); they may touch."""
+    schema = "anchor long, piece long, row long, ord long, a int, n int, far int"
+    pieces = materialize(in_arrow(rows.select("__row", "__ord", "text"), _pieces(width, anchor), schema), "suffix-pieces")
+    shared = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    held = materialize(pieces.join(shared.hint("shuffle_hash"), "anchor", "left_semi"), "suffix-held")
+    discard(pieces)
+    first = F.min(F.struct("ord", "row", "a")).alias("src")
+    distinct = materialize(held.groupBy("anchor", "piece").agg(first, F.min("n").alias("n"), F.min("far").alias("far")), "suffix-distinct")
+    found = held.join(distinct.select("anchor", "piece", "src"), ["anchor", "piece"]).where(F.struct("ord", "row", "a") > F.col("src")).select("row", "a", "n")
+    gone = materialize(found, "suffix-gone")
+    kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor", (F.col("c") > HOT_PIECES).alias("hot"))
+    listed = distinct.join(kinds, "anchor").groupBy(F.col("src.row").alias("__r")).agg(F.collect_list(F.struct("anchor", F.col("src.ord").alias("ord"), F.col("src.a").alias("a"), "n", "far", "hot")).alias("pieces"))  # of one document
+    texts = rows.join(listed, rows["__row"] == listed["__r"]).select("__row", "text", "pieces")
+    cut = materialize(in_arrow(texts, _cut(width, anchor), "key long, ord long, row long, a int, n int, body binary"), "suffix-open")
+    discard(held, distinct)
+    groups = cut.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("body")).alias("bytes"))
+    large = groups.where(F.col("c") > HOT_PIECES).select("key")
+    parts = max(shuffle_width(rows.sparkSession), -(-(cut.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // PART_BYTES))
+    small = cut.join(large, "key", "left_anti").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    equal = materialize(small.groupBy("part").applyInArrow(_sort(width), "row long, a int, n int"), "suffix-equal")
+    single = in_arrow(cut.join(large, "key", "left_semi").select("ord", "row", "a", "n", "body"), _windows(width), "h long, g long, ord long, row long, a int")
+    single = materialize(single, "suffix-windows")
+    firsts = single.groupBy("h", "g").agg(F.min(F.struct("ord", "row", "a")).alias("src"))
+    again = materialize(single.join(firsts, ["h", "g"]).where(F.struct("ord", "row", "a") > F.col("src")).select("row", "a", F.lit(1).alias("n")), "suffix-again")
+    discard(cut, single)
+    return gone.unionByName(equal).unionByName(again)
+
+
 def dedup_suffixes(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary, if with_text) for every row of docs(doc_id, text).
 
     A byte of a text's UTF-8 form (null: empty) goes if a `width`-byte string that covers it also starts earlier: in a row of
     smaller doc_id (null last; of rows of one doc_id the one read first) or in the same row. n_spans
-    counts maximal removed runs. Strings shorter than width never match. Other columns are ignored; an empty
-    table gives no rows. Pieces are told apart by two 64-bit hashes together.
+    counts maximal removed runs. Strings shorter than width never match; texts of any length are read whole. Other columns are ignored; an empty
+    table gives no rows. Pieces are told apart by two 64-bit hashes together. anchor: bytes of an anchor, a multiple of 8.
     """
     rows = identified(docs, "suffix-rows")
-    wide = shuffle_width(docs.sparkSession)
-    parts = "part int, kind byte, body binary"
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = rows.select("__row", "__ord", "text").mapInArrow(_emit(width, anchor, 4 * wide), parts)
-    met = materialize(pieces.groupBy("part").applyInArrow(_meet(wide), parts), "suffix-pieces")
-    settled = materialize(met.groupBy("part").applyInArrow(_settle, "row long, key long, ord long, a int, n int, gone boolean"), "suffix-settled")
-    open_ = settled.where("not gone").groupBy("row").agg(F.collect_list(F.struct("key", "ord", "a", "n")).alias("pieces"))  # of one document
-    cut = rows.join(open_, rows["__row"] == open_["row"]).select("__row", "text", "pieces").mapInArrow(_cut(width, 4 * wide), "part int, body binary, bytes binary")
-    found = materialize(cut.groupBy("part").applyInArrow(_sort(width), "row long, a int, n int"), "suffix-equal")
-    gone = settled.where("gone").select("row", "a", "n").unionByName(found).groupBy("row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
+    gone = repeated_windows(rows, width, anchor).groupBy("row").agg(F.collect_list(F.struct("a", "n")).alias("spans"))  # of one document
     joined = rows.join(gone, rows["__row"] == gone["row"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_remove(width, with_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+    return in_arrow(joined, _remove(width, with_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+
+
+#: The same rows in DuckDB: windows as hexadecimal strings, the first place of each by a window function.
+SUFFIXES_SQL = """
+WITH texts AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+windows AS (SELECT doc_id, i, h[2 * i + 1:2 * i + 200] AS w FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM texts)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+runs AS (  -- windows less than their width apart cover one run of bytes
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b
+  FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g
+        FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM again))
+  GROUP BY doc_id, g),
+edges AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a) AS gone, count(*) AS n FROM runs GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(0, n + 1), lambda k:
+    h[2 * (CASE WHEN k = 0 THEN 0 ELSE ends[k] END) + 1:2 * (CASE WHEN k = n THEN len(h) // 2 ELSE starts[k + 1] END)]), '') END)) AS kept_sha256
+FROM texts t LEFT JOIN edges USING (doc_id)
+"""

@@ -8,7 +8,7 @@ from merchlake.llm.entries import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op3_substrings", "op6_jaccard", "op9_embeddings"])
+@pytest.mark.parametrize("name", ["op3_substrings", "op4_decoded", "op5_suffixes", "op6_jaccard", "op9_embeddings"])
 def test_twin(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
