@@ -1,8 +1,10 @@
 """Quality rules: text measures, and perplexity under a character n-gram model of the corpus itself.
 
-A task folds its texts to 64 symbols and counts its 4-grams in a flat table; Spark adds the tables up. Modified
-Kneser-Ney smoothing turns the sums into sorted arrays of 24-bit keys and log probabilities. The key
-space bounds the model (2**24 keys, whatever the corpus), so it may be broadcast. Each language has a band of
+Texts are dealt to slices of about SLICE_TEXT bytes. A slice counts its ORDER-grams of code points (letters lower-cased, digits as one,
+runs of white space as one); Spark adds the counts up and makes of them a modified Kneser-Ney model: every order is a
+table of n-grams, joined to its contexts and to the order below. The model grows with the corpus and is never in one place: each slice asks
+for the n-grams that it holds, and the answers come back to its texts, where they stand as sorted arrays of
+hashes with log probabilities. Each language has a band of
 log perplexity around its documents' median, in units of their spread; documents outside of it are rejected.
 """
 
@@ -10,111 +12,105 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.llm import common
-from merchlake.llm.common import materialize
+from merchlake.llm.common import discard, materialize
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
+ORDER = 5
+#: Bytes of text in a slice, and that a worker looks at at once.
+SLICE_TEXT, STEP_TEXT = 16 << 20, 1 << 20
 #: Borders of a language's band: this many spreads (half of the range between quartiles) below and above its median.
 BELOW, ABOVE = 8.0, 8.0
 #: Documents of fewer symbols say too little to be rejected by perplexity.
 MIN_SYMBOLS = 100
+_WHITE = np.array([0, 9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029], np.uint32)
+
+
+def _symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts end to end, each with ORDER - 1 spaces in front, and where each begins (one more at the end)."""
+    low = [(t or "").lower() for t in texts]
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    points[np.isin(points, _WHITE)] = 32
+    points[(points >= 48) & (points < 58)] = 48
+    first = np.concatenate([[0], np.cumsum([len(t) for t in low])])
+    keep = np.ones(len(points), bool)
+    keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
+    keep[first[first < len(points)]] = True
+    sizes = np.diff(np.concatenate([[0], np.cumsum(keep)])[first])
+    pad = ORDER - 1
+    begin = np.concatenate([[0], np.cumsum(sizes + pad)])
+    out = np.full(begin[-1], 32, np.uint32)
+    out[np.arange(int(sizes.sum())) + np.repeat(pad * np.arange(1, len(sizes) + 1), sizes)] = points[keep]
+    return out, begin
+
+
+def _grams(points: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the ORDER-gram that starts at each place where one of one text does, and its text."""
+    if not len(points):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes = common.window_hashes(common.mix(points.astype(np.uint64)), ORDER)
+    row = common.row_of(begin)
+    whole = np.flatnonzero(row[: len(hashes)] == row[ORDER - 1 :]) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[whole], whole
+
+
+def _steps(table: pa.Table):
+    """Parts of a slice's texts of about STEP_TEXT bytes."""
+    for batch in table.combine_chunks().to_batches():
+        yield from common.slices([batch], most=STEP_TEXT)
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """ORDER-grams of a slice with their number."""
+    seen, counts, grams = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32)
+    for batch in _steps(table):
+        points, begin = _symbols(batch.column(batch.schema.get_field_index("text")).to_pylist())
+        hashes, at = _grams(points, begin)
+        keys, where, n = np.unique(hashes, return_index=True, return_counts=True)
+        own = points[at[where][:, None] + np.arange(ORDER)]
+        seen, where, inverse = np.unique(np.concatenate([seen, keys]), return_index=True, return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([counts, n]), len(seen)).astype(np.int64)
+        grams = np.concatenate([grams, own])[where]
+    text = np.ascontiguousarray(grams).view(f"<U{ORDER}").ravel()
+    return pa.table({"slice": pa.array(np.full(len(seen), table.column("slice")[0].as_py(), np.int64)), "gram": pa.array(text, pa.string()), "n": pa.array(counts)})
+
+
+def _discounts(level: DataFrame) -> list[float]:
+    """What is taken from counts of 0, 1, 2, 3 and more, from the numbers of n-grams that occur once to four times."""
+    n = [max(1, x or 0) for x in level.agg(*[F.count_if(F.col("n") == k) for k in range(1, 5)]).first()]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [0.0, *(min(k, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))]
 
 
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point: space 0, a-z 1..26, digits 27, common marks 28..40, all else 41..63 by remainder."""
-    table = (41 + np.arange(0x110000) % 23).astype(np.uint8)
-    table[[9, 10, 11, 12, 13, 32, 160]] = 0
-    for i in range(26):
-        table[97 + i] = table[65 + i] = 1 + i
-    table[48:58] = 27
-    for i, marks in enumerate([".", ",", ";:", "!", "?", "'\"`", "()[]{}", "-_", "/\\", "#", "$", "%&", "*|<>=+~^@"]):
-        table[[ord(m) for m in marks]] = 28 + i
-    table[0xC0:0xDF] = table[0xE0:0xFF]  # capitals of Latin-1 as small letters
-    return table
-
-
-_TABLE: np.ndarray | None = None
-
-
-def _codes(col: pa.Array):
-    """Packed 4-grams of each row's symbols end to end (runs of white space are one), and where each row's begin."""
-    global _TABLE
-    if _TABLE is None:
-        _TABLE = _symbol_table()
-    data, off = common.utf8(col)
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-    first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
-    symbols = _TABLE[points]
-    keep = np.ones(len(symbols), bool)
-    keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
-    keep[first[first < len(symbols)]] = True
-    first = np.concatenate([[0], np.cumsum(keep)])[first]
-    symbols = symbols[keep].astype(np.int32)
-    place = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
-    code = symbols.copy()
-    for j in range(1, ORDER):
-        back = np.zeros_like(symbols)
-        back[j:] = symbols[:-j]
-        code |= np.where(place >= j, back, 0) << (BITS * j)  # in front of a text stand spaces
-    return code, first
-
-
-def _count(batches):
-    total = np.zeros(1 << (BITS * ORDER), np.int32)
-    for batch in common.slices(batches):
-        code, _ = _codes(batch.column(0))
-        at, n = np.unique(code, return_counts=True)
-        total[at] += n.astype(np.int32)
-    at = np.flatnonzero(total)
-    for part in np.array_split(at, max(1, len(at) // 50_000)):
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], names=["code", "n"])
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    n = [max(1, int((counts == k).sum())) for k in range(1, 5)]
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.array([0.0, *(min(k, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))])
+def _taken(n: Column, d: list[float]) -> Column:
+    return F.when(n >= 3, d[3]).when(n == 2, d[2]).otherwise(d[1])
 
 
-def kneser_ney(codes: np.ndarray, counts: np.ndarray):
-    """Sorted keys and log probabilities of the seen 4-grams, log back-off weights of contexts, log probabilities of 3-grams.
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, p for every gram of counts(gram, n), strings of `order` characters: p is the probability of the last after the others.
 
-    Modified Kneser-Ney: the highest order counts occurrences, the lower ones the distinct symbols seen in front.
+    Modified Kneser-Ney: the highest order counts occurrences, the lower ones the distinct characters seen in front. Each order is
+    interpolated with the one below it, the lowest with an even share for every character and one unknown.
     """
-    lower = np.full(SYMBOLS, 1.0 / SYMBOLS)  # order 0: uniform
-    kinds, seen = [(codes, counts)], codes
-    for k in range(ORDER - 1, 0, -1):
-        seen, n = np.unique(seen & ((1 << (BITS * k)) - 1), return_counts=True)
-        kinds.append((seen, n))
-    for k, (keys, n) in zip(range(1, ORDER + 1), reversed(kinds)):
-        d = _discounts(n)
-        context = keys >> BITS
-        size = 1 << (BITS * (k - 1))
-        total = np.bincount(context, n, size)
-        lost = np.bincount(context, d[np.minimum(n, 3)], size)
-        back = np.where(total > 0, lost / np.maximum(total, 1), 1.0)
-        shorter = lower[keys & ((1 << (BITS * max(1, k - 1))) - 1)] if k > 1 else lower[keys]
-        p = (n - d[np.minimum(n, 3)]) / total[context] + back[context] * shorter
-        if k == ORDER:
-            return keys, np.log(p).astype(np.float32), np.log(back).astype(np.float32), np.log(lower).astype(np.float32)
-        every = np.arange(1 << (BITS * k))
-        full = back[every >> BITS] * lower[every & ((1 << (BITS * max(1, k - 1))) - 1)]
-        full[keys] = p
-        lower = full
-
-
-def fit_model(docs: DataFrame):
-    """The model of all texts: counts are summed by Spark, 2**24 rows at most reach the driver."""
-    found = docs.select("text").mapInArrow(_count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    codes, counts = found.column("code").to_numpy().astype(np.int64), found.column("n").to_numpy()
-    if not len(codes):
-        codes, counts = np.zeros(1, np.int64), np.ones(1, np.int64)
-    order = np.argsort(codes)
-    return kneser_ney(codes[order], counts[order])
+    levels = {order: counts.select("gram", "n")}
+    for k in range(order - 1, 0, -1):
+        levels[k] = materialize(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"quality-order-{k}")
+    lower, kinds = None, levels[1].count()
+    for k in range(1, order + 1):
+        d = _discounts(levels[k])
+        parts = levels[k].select("gram", "n", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"), _taken(F.col("n"), d).alias("d"))
+        contexts = parts.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("lost"))
+        joined = parts.join(contexts, "context")
+        shorter = F.lit(1.0 / (kinds + 1)) if lower is None else F.col("q")
+        if lower is not None:
+            joined = joined.join(lower.select(F.col("gram").alias("rest"), F.col("p").alias("q")), "rest")
+        made = joined.select("gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("lost") / F.col("total") * shorter).alias("p"))
+        before, lower = lower, materialize(made, f"quality-model-{k}")
+        discard(before)
+    discard(*(levels[k] for k in range(1, order)))
+    return lower
 
 
 _SYMBOL_BYTES = np.zeros(256, bool)
@@ -163,26 +159,44 @@ def text_measures(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _measure(shared):
-    def run(batches):
-        keys, seen, back, lower = shared.value
-        # the arrays spread over the key space, for a look-up without a search
-        table = np.repeat(back, SYMBOLS)
-        table.reshape(-1, len(lower))[:] += lower
-        table[keys] = seen
-        for batch in common.slices(batches):
-            col = batch.column(2)
-            measures = text_measures(*common.utf8(col))
-            code, first = _codes(col)
-            total = np.concatenate([[0], np.cumsum(table[code], dtype=np.float64)])
-            n = np.diff(first)
-            score = np.where(n > 0, -np.diff(total[first]) / np.maximum(n, 1), 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(m.astype(np.int64)) for m in measures.values()), pa.array(n.astype(np.int64)), pa.array(np.round(score, 9))],
-                names=["doc_id", "lang", *measures, "n_model", "log_perplexity"],
-            )
-
-    return run
+def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """Measures and log perplexity of a slice's texts, from the probabilities of its n-grams."""
+    grams = np.array(answers.column("gram").to_pylist(), f"<U{ORDER}")
+    keys = common.window_hashes(common.mix(grams.view(np.uint32).astype(np.uint64)), ORDER)[::ORDER] if len(grams) else np.zeros(0, np.uint64)
+    by = np.argsort(keys)
+    keys, logs = keys[by], np.log(answers.column("p").to_numpy())[by]
+    out = []
+    for batch in _steps(texts):
+        col = batch.column(batch.schema.get_field_index("text"))
+        points, begin = _symbols(col.to_pylist())
+        hashes, _ = _grams(points, begin)
+        n = np.maximum(np.diff(begin) - (ORDER - 1), 0)
+        total = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(keys, hashes)] if len(hashes) else [])])
+        ends = np.concatenate([[0], np.cumsum(n)])
+        score = np.where(n > 0, -(total[ends[1:]] - total[ends[:-1]]) / np.maximum(n, 1), 0.0)
+        columns = {"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "lang": batch.column(batch.schema.get_field_index("lang"))}
+        columns |= {k: pa.array(m.astype(np.int64)) for k, m in text_measures(*common.utf8(col)).items()}
+        out.append(pa.table(columns | {"n_model": pa.array(n.astype(np.int64)), "log_perplexity": pa.array(np.round(score, 9))}))
+    return pa.concat_tables(out)
+
+
+LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_model")
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, the measures, n_model and log_perplexity of every row of docs(doc_id, text, lang)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # dealt by doc_id and text, which are the same whenever the rows are read, so that a slice meets its own n-grams again
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // SLICE_TEXT))))
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", place.alias("slice"))
+    held = materialize(rows.select("text", "slice").groupBy("slice").applyInArrow(_count, "slice long, gram string, n long"), "quality-grams")
+    counts = materialize(held.groupBy("gram").agg(F.sum("n").alias("n")), "quality-counts")
+    answers = held.select("slice", "gram").join(kneser_ney(counts), "gram")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score, f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in LONGS)}, log_perplexity double")
+    scored = materialize(scored, "quality-scores")
+    discard(held, counts)
+    return scored
 
 
 def score_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
@@ -191,18 +205,13 @@ def score_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -
     base_failed: fewer than 50 words, or 100 * n_repeat_words > 50 * n_words. kept is false for those, and for documents of
     MIN_SYMBOLS symbols or more outside of their language's band. Bands come from the documents that pass the base
     rules (null lang is a language of its own; without any such document all pass). Null and empty texts have
-    no words and fail. Repeated rows are scored alike; other columns are ignored.
+    no words and fail; texts of any length are read whole. Repeated rows are scored alike; other columns are ignored; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit_model(docs))  # bounded by the key space
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_model"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(_measure(shared), f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in longs)}, log_perplexity double")
-    scored = materialize(scored.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "quality-scores")
+    scored = measured(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     judged = scored.where(~F.col("base_failed") & (F.col("n_model") >= MIN_SYMBOLS))
     quarters = judged.groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"))
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) / 2, F.lit(1e-3))
     bands = quarters.select(F.col("lang").alias("__lang"), (F.col("q")[1] - below * spread).alias("__low"), (F.col("q")[1] + above * spread).alias("__high"))
     joined = scored.join(bands, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("__low"), F.col("__high")), F.lit(True)) | (F.col("n_model") < MIN_SYMBOLS)
-    return joined.select("doc_id", *longs[:-1], "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity")
+    return joined.select("doc_id", *LONGS[:-1], "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_perplexity")

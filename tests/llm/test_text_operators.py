@@ -170,16 +170,49 @@ def test_quality_base(request, which):
     assert not any(r.kept and r.base_failed for r in rows)
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(2)
-    text = rng.integers(0, 9, 4000)
-    codes = sum(text[3 - j : len(text) - j] << (6 * j) for j in range(4))
-    keys, counts = np.unique(codes, return_counts=True)
-    seen, logs, back, lower = quality.kneser_ney(keys, counts)
-    table = np.repeat(np.exp(back), 64) * np.tile(np.exp(lower), 64)[: 64**4] if False else np.repeat(np.exp(back), 64)
-    table.reshape(-1, 64**3)[:] *= np.exp(lower)
-    table[seen] = np.exp(logs)
-    assert np.allclose(table.reshape(-1, 64).sum(1), 1, atol=1e-3)
+def plain_kneser_ney(texts, order):
+    """Probabilities of every gram by the textbook, with dictionaries."""
+    from collections import Counter, defaultdict
+
+    top = Counter(p[i : i + order] for t in texts for p in [" " * (order - 1) + t] for i in range(len(p) - order + 1))
+    levels = {order: top}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    lower = defaultdict(lambda: 1 / (len(levels[1]) + 1))
+    for k in range(1, order + 1):
+        n = [max(1, sum(v == x for v in levels[k].values())) for x in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [0, *(min(j, max(0.05, j - (j + 1) * y * n[j] / n[j - 1])) for j in (1, 2, 3))]
+        total, lost = Counter(), Counter()
+        for g, v in levels[k].items():
+            total[g[:-1]] += v
+            lost[g[:-1]] += d[min(v, 3)]
+        lower = {g: (v - d[min(v, 3)]) / total[g[:-1]] + lost[g[:-1]] / total[g[:-1]] * (lower[g[1:]] if k > 1 else lower[g]) for g, v in levels[k].items()}
+    return lower
+
+
+def test_perplexity_against_the_textbook(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SLICE_TEXT", 200)
+    texts = ["the cat sat on the mat", "a cat and a hat", "tom the cat", "Привет мир, привет кот", "日本語のテキスト", "x", "the   Cat\n77 sat"] * 3
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    seen = [" ".join("".join("0" if c.isdigit() else c for c in t.lower()).split()) for t in texts]
+    p = plain_kneser_ney(seen, quality.ORDER)
+    for r in quality.measured(docs).collect():
+        padded = " " * (quality.ORDER - 1) + seen[r.doc_id]
+        want = -sum(np.log(p[padded[i : i + quality.ORDER]]) for i in range(len(seen[r.doc_id]))) / len(seen[r.doc_id])
+        assert r.log_perplexity == pytest.approx(want, abs=1e-6) and r.n_model == len(seen[r.doc_id])
+
+
+def test_salad_goes_and_prose_stays(spark):
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice(["ka", "to", "mi", "re", "su", "no"]) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(120)), "xx") for i in range(300)]
+    rows += [(1000 + i, " ".join("".join(rng.choice("qzxjvwkpfy") for _ in range(5)) for _ in range(120)), "xx") for i in range(5)]
+    got = {r.doc_id: r.kept for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(5))
+    assert quality.score_quality(spark.createDataFrame(rows[:1], "doc_id long, text string, lang string").limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("which", ["documents", "odd"])
