@@ -70,7 +70,7 @@ def product_pricing(spark, sf):
                                      p["coupon"]["type"].alias("coupon"), p["coupon"]["percent"].alias("coupon_percent"), p["coupon"]["minor"].alias("coupon_minor"), p["status"].alias("status"))
 
 
-@query("product_ratings", """SELECT p_partkey, CASE WHEN k < 2 THEN p_size % 5 + (p_partkey % 10) / 10.0 END AS rating, CASE WHEN k = 0 OR k = 2 THEN p_partkey * 7 END AS reviews, CASE WHEN k = 0 THEN p_size END AS five, CASE WHEN k = 0 THEN 100 - p_size END AS one,
+@query("product_ratings", """SELECT p_partkey, CASE WHEN k < 2 THEN p_size % 5 + (p_partkey % 10) / 10.0 END AS rating, CASE WHEN k = 0 OR k = 2 THEN p_partkey * 7 END AS reviews, CASE WHEN k = 0 THEN CAST(p_size AS BIGINT) END AS five, CASE WHEN k = 0 THEN CAST(100 - p_size AS BIGINT) END AS one,
   CASE WHEN k < 3 THEN 'EXTRACTED' WHEN k = 3 THEN 'PARSER_MISS' ELSE 'NOT_PRESENT' END AS status FROM (SELECT *, p_size % 5 AS k FROM part)""")
 def product_ratings(spark, sf):
     k, five = F.col("p_size") % 5, F.col("p_size")
@@ -197,7 +197,7 @@ def _captures(frame, **given):
 @query("search_pages", """WITH c AS (SELECT p_partkey, p_size, p_brand, p_partkey % 9 AS page, row_number() OVER (PARTITION BY p_brand, p_partkey % 9 ORDER BY p_partkey) AS place, CAST(round(p_retailprice * 100) AS BIGINT) / 100.0 AS price FROM part),
 s AS (SELECT p_brand, page, count(*) AS cards FROM c GROUP BY 1, 2), stop AS (SELECT p_brand, page, coalesce(sum(CASE WHEN cards < 3 THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM s),
 r AS (SELECT c.* FROM c JOIN stop USING (p_brand, page) WHERE n = 0 AND page <= 5)
-SELECT p_partkey, place, count(*) OVER (PARTITION BY p_brand ORDER BY page, place ROWS UNBOUNDED PRECEDING) AS position, price, p_size % 3 = 0 AS prime, CAST(place + (page - 1) * 16 AS BIGINT) AS fixed_position,
+SELECT p_partkey, CAST(place AS INTEGER) AS place, count(*) OVER (PARTITION BY p_brand ORDER BY page, place ROWS UNBOUNDED PRECEDING) AS position, price, p_size % 3 = 0 AS prime, CAST(place + (page - 1) * 16 AS BIGINT) AS fixed_position,
   concat_ws(',', CASE WHEN price > 1500 THEN 'PRICE_ABOVE_MAX' END, CASE WHEN p_size % 3 <> 0 THEN 'NOT_PRIME' END) AS reasons FROM r""")
 def search_pages(spark, sf):
     part = _parts(spark, sf).withColumn("page", (F.col("p_partkey") % 9).cast("int"))

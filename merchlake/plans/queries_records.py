@@ -145,7 +145,7 @@ def object_items(spark, sf):
     return plan.object_items(table(spark, sf, "part").select("p_partkey", row.alias("raw")), "raw", "US").select("p_partkey", "kind", "value", "reason")
 
 
-@query("bag_union", "SELECT o_custkey AS key, 0 AS source_rank, 1 AS merged FROM orders UNION ALL SELECT c_custkey, 1, 1 FROM customer")
+@query("bag_union", "SELECT o_custkey AS key, 0 AS source_rank, CAST(1 AS BIGINT) AS merged FROM orders UNION ALL SELECT c_custkey, 1, 1 FROM customer")
 def bag_union(spark, sf):
     asked, known = (table(spark, sf, t).select(F.col(c).alias("key"), F.col(o).alias("seq")) for t, c, o in (("orders", "o_custkey", "o_orderkey"), ("customer", "c_custkey", "c_custkey")))
     return plan.union_sources([asked, known], "key", "seq", dedupe=False).select("key", "source_rank", "merged")
