@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchlake.llm.common import materialize
+from merchlake.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
@@ -15,11 +15,12 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     a node of many edges meets only partial minima in the grouping and is split in the join; rounds grow with the logarithm of a component's diameter.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, read: list[DataFrame]) -> DataFrame:
         # large: both ends look, and move their greater neighbours; small: the greater end moves its lesser ones
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         # written, so that the join reads two plain shuffles, whose skewed partitions Spark can split
         least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), f"{name}-least")
+        read.append(least)
         joined = both.join(least, "a")
         if large:
             return joined.where("b > a").select("m", F.col("b").alias("x"))
@@ -31,6 +32,9 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         before = mark
+        read = []
         for large in (True, False):
-            moved = star(now, large).where("m <> x").select(F.greatest("m", "x").alias("a"), F.least("m", "x").alias("b")).distinct()
+            moved = star(now, large, read).where("m <> x").select(F.greatest("m", "x").alias("a"), F.least("m", "x").alias("b")).distinct()
+            read.append(now)
             now = moved if large else materialize(moved, f"{name}-round")
+        discard(*read)
