@@ -35,10 +35,10 @@ def scratch(spark: SparkSession) -> str:
     return _own_scratch
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: one pass, lineage cut, its shuffle files freed.
 
-    A lost executor costs only a reread of the written files. `discard` deletes them.
+    A lost executor costs only a reread of the written files. `discard` deletes them, `sweep` too unless they are `kept`.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
@@ -50,9 +50,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._merchlake_path = path
+    if not kept:
+        written(spark).append(table)
     return table
 
 
+def written(spark: SparkSession) -> list[DataFrame]:
+    """The tables that materialize wrote in this session and that may be swept."""
+    return spark.__dict__.setdefault("_merchlake_written", [])
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete the folders of tables that materialize wrote, once nothing reads them any more."""
     for table in tables:
@@ -63,6 +70,14 @@ def discard(*tables: DataFrame | None) -> None:
             table._merchlake_path = None
 
 
+def sweep(spark: SparkSession, since: int) -> int:
+    """Delete what operators wrote on their way after the mark `since`, all results made since then being written or used; returns the new mark."""
+    tables = written(spark)
+    discard(*tables[since:])
+    del tables[since:]
+    return len(tables)
+
+
 def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow, with batches of bounded bytes, as rows may hold long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -1,8 +1,8 @@
 """Toxicity by a subword-bag classifier.
 
 A word is the bag of its character n-grams (bytes, with its borders) and itself, hashed to buckets; a bucket has
-an embedding; a block of words is the average of its embeddings (a word counts once in a block, short blocks are padded
-with nothing, so neither repetition nor a text's last few words weigh more), and a linear softmax reads it. Embeddings
+an embedding; a text falls into blocks of about 48 words, a block is the average of its embeddings (a word counts once
+in a block; short blocks are filled up with an empty piece), and a linear softmax reads it. Embeddings
 and softmax are trained jointly in numpy on a bounded sample of labelled documents, so a misspelling that
 was never seen shares most vectors with the word it comes from. Since a toxic document is mostly clean words, a document
 counts as its most toxic block, in training (multiple-instance learning) as in scoring.
@@ -12,44 +12,58 @@ Averaging and softmax are linear, so for scoring the model folds into one number
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.llm import common
 
-GRAMS, BUCKETS, DIM, BLOCK = (3, 4, 5), 1 << 17, 8, 48
-#: A block averages over this many features at least.
-PAD = 512
-#: Bounds of the training sample: documents of each class, and characters of one.
-TRAIN_PER_CLASS, TRAIN_CHARS = 1500, 20_000
+GRAMS, BUCKETS, DIM, BLOCK = (3, 4, 5), 1 << 16, 8, 48
+#: Bags of fewer features (some 36 words) are filled up to this many with a piece whose embedding is zero.
+PAD = 384
+#: Bounds of the training sample: documents of each class, and blocks of one.
+TRAIN_PER_CLASS, TRAIN_BLOCKS = 1500, 256
 _WEIGHTS = (np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, 8, dtype=np.uint64)) | np.uint64(1)
 
 
+def _padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts end to end with a space at both ends of each, and where each begins."""
+    rows = np.arange(len(off) - 1)
+    text = np.ones(len(data) + 2 * len(rows), bool)
+    text[off[:-1] + 2 * rows] = False
+    text[off[1:] + 2 * rows + 1] = False
+    out = np.full(len(text), 32, np.uint8)
+    out[text] = data
+    return out, off + 2 * np.arange(len(off))
+
+
 def _features(data: np.ndarray, off: np.ndarray):
     """Block of each word, each text's first block (one more at the end), and a generator of (buckets, word index).
 
-    Texts are padded with a space at both ends. A block is BLOCK words of one text; of a word that it holds
+    A text falls into the least number of blocks of at most BLOCK words, as even as can be; of a word that a block holds
     several times only the first yields buckets.
     """
-    data = common.LOWER[data]
+    data, off = _padded(common.LOWER[data], off)
     starts, ends, first = common.word_bounds(data, off)
     counts = np.diff(first)
     first_block = np.concatenate([[0], np.cumsum(-(-counts // BLOCK))])
     row = common.row_of(first)
-    block = first_block[row] + (np.arange(len(row)) - first[row]) // BLOCK
+    block = first_block[row] + (np.arange(len(row)) - first[row]) * np.diff(first_block)[row] // counts[row]
     whole = common.span_hashes(data, starts, ends)
     once = np.zeros(len(whole), bool)
     once[np.unique(common.mix(whole + block.astype(np.uint64) * common._P), return_index=True)[1]] = True
     sep = common._SEP[data]
-    data = np.where(sep, np.uint8(32), data).astype(np.uint64)
+    data = np.where(sep, np.uint8(32), data)
     seps = np.zeros(len(data) + 1, np.int32)
     np.cumsum(sep, out=seps[1:])
     word = np.zeros(len(data), np.int32)
     word[starts] = 1
     word = np.cumsum(word, dtype=np.int32) - 1
-    shift = np.uint64(64 - 17)
+    shift = np.uint64(64 - 16)
 
     def grams():
         at = np.flatnonzero(once)
@@ -64,7 +78,7 @@ def _features(data: np.ndarray, off: np.ndarray):
             at, of = at[keep], of[keep]
             h = np.full(len(at), n, np.uint64)
             for j in range(n):
-                h += data[at + j] * _WEIGHTS[j]
+                h += data[at + j].astype(np.uint64) * _WEIGHTS[j]
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             yield h >> shift, of
@@ -72,18 +86,19 @@ def _features(data: np.ndarray, off: np.ndarray):
     return block, first_block, grams
 
 
-def _bags(batches):
-    """doc_id, label and the blocks of each training text: sorted buckets with repeats."""
+def _bags(batches, most: int):
+    """doc_id, label and the blocks (at most so many, evenly apart) of each training text: buckets with repeats."""
     for batch in common.slices(batches):
         block, first_block, grams = _features(*common.utf8(batch.column(2)))
-        parts = [(b.astype(np.int32), block[w]) for b, w in grams()]
+        parts = [(b.astype(np.uint16), block[w]) for b, w in grams()]
         ids, of = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(of, kind="stable")
         ids, cuts = ids[order], np.searchsorted(of[order], np.arange(first_block[-1] + 1))
         out = []
         for i in range(batch.num_rows):
             a, b = first_block[i], first_block[i + 1]
-            out.append((np.diff(cuts[a : b + 1]).astype(np.int32).tobytes(), ids[cuts[a] : cuts[b]].tobytes()))
+            mine = a + np.arange(b - a) if b - a <= most else a + np.arange(most) * (b - a) // most
+            out.append(((cuts[mine + 1] - cuts[mine]).astype(np.int32).tobytes(), b"".join(ids[cuts[k] : cuts[k + 1]].tobytes() for k in mine)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["doc_id", "label", "lengths", "ids"])
 
 
@@ -138,8 +153,11 @@ def fit(labels: np.ndarray, lengths: list[np.ndarray], ids: np.ndarray, share: f
     known = labels[learn]
 
     def block_logits():
-        folded = embed @ (soft[:, 1] - soft[:, 0])
-        return _segment_means(folded[ids], cuts) + (bias[1] - bias[0])
+        folded, parts = embed @ (soft[:, 1] - soft[:, 0]), []
+        for a in range(0, len(cuts) - 1, 2048):  # some blocks at a time, as the driver has little memory
+            own = cuts[a : a + 2049]
+            parts.append(_segment_means(folded[ids[own[0] : own[-1]]], own - own[0]))
+        return np.concatenate(parts) + (bias[1] - bias[0])
 
     def best(logits):
         top = np.maximum.reduceat(logits, of[:-1])
@@ -170,36 +188,43 @@ def fit(labels: np.ndarray, lengths: list[np.ndarray], ids: np.ndarray, share: f
     return Model((embed @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), a, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, folds: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, blocks: int = TRAIN_BLOCKS, folds: int = 5) -> Model:
     """Fit on at most per_class documents of each class, those of least md5(doc_id), out of the learning folds.
 
-    The learning folds are the doc_ids whose crc32 (as text) modulo `folds` is not 0. The sample is bounded, so it may
-    be broadcast to find its texts and its bags may come to the driver.
+    The learning folds are the doc_ids whose crc32 (as text) modulo `folds` is not 0. Of a text at most `blocks` blocks teach,
+    evenly apart (256 are a text of 12,288 words). The sample is bounded by both, so it may
+    be broadcast to find its texts and its bags may come to the driver. Labels of documents that docs lacks take no place in it.
     """
     name = F.col("doc_id").cast("string")
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(name.cast("binary")) % folds != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("__y")).withColumn("__h", F.md5(name.cast("binary")))
+    known = known.join(docs.where("text rlike '[^ \\t\\n\\x0B\\f\\r]'").select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     sample = None
     for y in (0, 1):
         part = known.where(F.col("__y") == y).orderBy("__h").limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
-    short = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", F.concat(F.lit(" "), F.col("text"), F.lit(" ")).alias("text"))
-    found = short.join(F.broadcast(sample.select("doc_id", "__y")), "doc_id").select("doc_id", F.col("__y").cast("int").alias("label"), "text")
-    rows = found.mapInArrow(_bags, "doc_id long, label int, lengths binary, ids binary").where("length(lengths) > 0").toArrow().sort_by([("doc_id", "ascending"), ("lengths", "ascending")])
-    lengths = [np.frombuffer(x.as_buffer(), np.int32).copy() for x in rows.column("lengths")]
-    ids = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("ids"))])
-    labels = rows.column("label").to_numpy()
+    found = docs.join(F.broadcast(sample.select(F.col("doc_id"), "__y")), "doc_id").select("doc_id", F.col("__y").cast("int").alias("label"), "text")
+    bags = common.in_arrow(found, partial(_bags, most=blocks), "doc_id long, label int, lengths binary, ids binary")
+    rows = bags.where("length(lengths) > 0").toArrow()
+    order = pc.sort_indices(rows, [("doc_id", "ascending"), ("lengths", "ascending")]).to_pylist()
+    lengths = [np.frombuffer(rows.column("lengths")[k].as_buffer(), np.int32).copy() for k in order]
+    ids, at = np.empty(sum(int(x.sum()) for x in lengths), np.uint16), 0
+    for k in order:  # one copy at a time: the driver has little memory
+        part = np.frombuffer(rows.column("ids")[k].as_buffer(), np.uint16)
+        ids[at : at + len(part)], at = part, at + len(part)
+    labels = rows.column("label").to_numpy()[order]
     del rows  # the copies suffice
+    pa.default_memory_pool().release_unused()
     return fit(labels, lengths, ids, share)
 
 
-def _scorer(shared, keep: list[str]):
+def _scorer(shared, keep: list[str], below: float | None):
     def run(batches):
         weights, bias, scale, shift = shared.value
-        for batch in common.slices(batches, "__padded"):
-            block, first_block, grams = _features(*common.utf8(batch.column(batch.schema.get_field_index("__padded"))))
+        for batch in common.slices(batches):
+            block, first_block, grams = _features(*common.utf8(batch.column(batch.schema.get_field_index("text"))))
             total, count = np.zeros(first_block[-1]), np.zeros(first_block[-1])
             for b, w in grams():
                 total += np.bincount(block[w], weights[b], len(total))
@@ -210,25 +235,28 @@ def _scorer(shared, keep: list[str]):
             if len(full):
                 top[full] = np.maximum.reduceat(logits, first_block[full])
             score = 1 / (1 + np.exp(-np.clip(scale * top + shift, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(score)], names=[*keep, "__score"])
+            out = pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(score)], names=[*keep, "__score"])
+            yield out if below is None else out.filter(pa.array(score < below))
 
     return run
 
 
-def score_toxicity(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"]) -> DataFrame:
-    """The columns `keep` and __score (0 to 1) for every row; null and empty texts get the score of a block of nothing."""
+def score_toxicity(docs: DataFrame, model: Model, keep: list[str] = ["doc_id"], below: float | None = None) -> DataFrame:
+    """The columns `keep` and __score (0 to 1) for every row, or for those of scores under `below`; null and empty texts get the score of a block of nothing."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.weights, model.bias, model.scale, model.shift))  # BUCKETS floats
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    rows = docs.select(*keep, F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" ")).alias("__padded"))
-    return rows.mapInArrow(_scorer(shared, keep), f"{schema}, __score double")
+    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    return common.in_arrow(rows, _scorer(shared, keep, below), f"{schema}, __score double")
 
 
 def detect_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text); labels(doc_id, toxic) teach.
 
     held_out: crc32 of the doc_id as text is 0 modulo 5, or there is no doc_id; such labels are never learnt from.
-    Labels other than 0 and 1 are ignored, of several for a document the highest holds. Other columns are ignored.
+    Labels other than 0 and 1 are ignored, of several for a document the highest holds. Null and blank texts get the score of
+    a block of nothing; repeated rows and equal texts get equal scores; long texts are scored whole. Other columns are ignored. Without any
+    label of a class all scores are those of the other; an empty table gives no rows.
     """
     scored = score_toxicity(docs, train(docs, labels))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
