@@ -197,8 +197,9 @@ def repeated_paths(rows: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
     schema = "anchor long, piece long, row long, ord long, start int, n int"
     pieces = materialize(in_arrow(rows.select("__row", "__ord", "text"), _pieces(k), schema), "path-pieces")
     shared = pieces.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("anchor")
+    shared = materialize(shared, "path-shared")  # so that the join reads two plain shuffles, whose skewed partitions Spark can split
     held = materialize(pieces.join(shared.hint("shuffle_hash"), "anchor", "left_semi"), "path-held")
-    discard(pieces)
+    discard(pieces, shared)
     first = F.min(F.struct("ord", "row", "start")).alias("src")
     distinct = held.groupBy("piece").agg(first, F.max("ord").alias("hi"), F.min("anchor").alias("anchor"), F.min("n").alias("n"))
     distinct = materialize(distinct, "path-distinct")

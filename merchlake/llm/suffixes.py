@@ -224,8 +224,9 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH, anchor: int = ANCHOR)
     schema = "anchor long, piece long, row long, ord long, a int, n int, far int"
     pieces = materialize(in_arrow(rows.select("__row", "__ord", "text"), _pieces(width, anchor), schema), "suffix-pieces")
     shared = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    shared = materialize(shared, "suffix-shared")  # so that the join reads two plain shuffles, whose skewed partitions Spark can split
     held = materialize(pieces.join(shared.hint("shuffle_hash"), "anchor", "left_semi"), "suffix-held")
-    discard(pieces)
+    discard(pieces, shared)
     first = F.min(F.struct("ord", "row", "a")).alias("src")
     distinct = materialize(held.groupBy("anchor", "piece").agg(first, F.min("n").alias("n"), F.min("far").alias("far")), "suffix-distinct")
     found = held.join(distinct.select("anchor", "piece", "src"), ["anchor", "piece"]).where(F.struct("ord", "row", "a") > F.col("src")).select("row", "a", "n")
