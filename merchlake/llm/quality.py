@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from merchlake.llm import common
 from merchlake.llm.common import discard, materialize
 
-ORDER = 5
+ORDER = 4
 #: Bytes of text in a slice, and that a worker looks at at once.
 SLICE_TEXT, STEP_TEXT = 16 << 20, 1 << 20
 #: Borders of a language's band: this many spreads (half of the range between quartiles) below and above its median.
@@ -191,11 +191,12 @@ def measured(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", place.alias("slice"))
     held = materialize(rows.select("text", "slice").groupBy("slice").applyInArrow(_count, "slice long, gram string, n long"), "quality-grams")
     counts = materialize(held.groupBy("gram").agg(F.sum("n").alias("n")), "quality-counts")
-    answers = held.select("slice", "gram").join(kneser_ney(counts), "gram")
+    answers = materialize(held.select("slice", "gram").join(kneser_ney(counts), "gram"), "quality-answers")
+    discard(held, counts)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score, f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in LONGS)}, log_perplexity double")
     scored = materialize(scored, "quality-scores")
-    discard(held, counts)
+    discard(answers)
     return scored
 
 
