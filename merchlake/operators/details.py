@@ -147,6 +147,18 @@ def variants(pages: DataFrame, key: str, mode: str = "discover", most: int = 50)
     return variants_block(found, most).select(key, "variants.*")
 
 
+def all_variants(pages: DataFrame, key: str, mode: str = "discover", most: int = 50) -> DataFrame:
+    """As variants; pages without a usable matrix are read once more for swatches, and a twister of swatches is EXTRACTED."""
+    found = variants(pages, key, mode, most)
+    if mode == "none":
+        return found
+    left = pages.join(found.where("status <> 'EXTRACTED'").select(key), key, "left_semi")
+    drawn = swatch_variants(left, key, most).select(key, *[F.col(c).alias(f"__{c}") for c in ("dimensions", "items", "truncated")])
+    joined, has = found.join(drawn, key, "left"), F.col("__items").isNotNull()
+    own = {c: F.when(has, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("dimensions", "items", "truncated")}
+    return joined.select(key, *[v.alias(c) for c, v in own.items()], F.when(has, "EXTRACTED").otherwise(F.col("status")).alias("status"))
+
+
 def variants_block(found: DataFrame, most: int = 50) -> DataFrame:
     """found (with VARIANT_FIELDS and VARIANT_BLOBS) and a variants struct."""
     matrix = F.from_json("matrix", "map<string,array<string>>")

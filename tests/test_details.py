@@ -52,6 +52,14 @@ def test_variants(spark):
     assert details.variants(pages(spark, html), "k", mode="none").first().status == "NOT_APPLICABLE"
 
 
+def test_swatches_stand_in_for_a_matrix(spark):
+    drawn = '<div id="variation_color_name"><ul><li data-defaultasin="B000000009" title="Click to select Red &amp; Blue"></li></ul></div>'
+    matrix = '<script>d = {"dimensionValuesDisplayData": {"B000000001": ["Blue"]}, "dimensionsDisplay": ["Color"]};</script>' + drawn
+    got = {r.k: r for r in details.all_variants(pages(spark, drawn, matrix, "<p>", '<div id="twister"></div>'), "k").collect()}
+    assert [(i.item, i.options) for i in got[0]["items"]] == [("B000000009", {"Color": "Red & Blue"})] and got[0].dimensions == ["Color"]
+    assert [i.item for i in got[1]["items"]] == ["B000000001"] and [got[k].status for k in range(4)] == ["EXTRACTED", "EXTRACTED", "NOT_PRESENT", "PARSER_MISS"]
+
+
 def test_media(spark):
     html = '<script>x = {"colorImages": {"initial": [{"hiRes": "https://i/a._SL1_.jpg"}, {"hiRes": null, "large": "https://i/b.jpg"}]}, "videos": [{"url": "https://v/1"}]};</script><div id="altImages"><ul><li><img src="https://i/a.jpg"></li></ul></div>'
     sizes = "<img id=\"landingImage\" src=\"https://i/z.jpg\" data-a-dynamic-image='{\"https://i/s.jpg\": [10, 10], \"https://i/l.jpg\": [90, 90]}'>"
