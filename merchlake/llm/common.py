@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Bytes of rows that Spark hands to a Python worker at once.
 BATCH_BYTES = 8 << 20
+#: Blocks of eight bytes that are hashed at once.
+BLOCKS_AT_ONCE = 1 << 19
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_scratch: str | None = None
 
@@ -180,8 +182,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     blocks is alike by construction, as it would be in a polynomial.
     """
     view, length = eights(data), ends - starts
+    blocks = np.maximum(1, -(-length // 8))
+    done = np.cumsum(blocks)
+    if len(done) and done[-1] > 2 * BLOCKS_AT_ONCE:  # spans may overlap, so their bytes may be many times the data's
+        cuts = np.flatnonzero(np.diff(done // BLOCKS_AT_ONCE)) + 1
+        return np.concatenate([_spans(view, s, n, b) for s, n, b in zip(*(np.split(x, cuts) for x in (starts, length, blocks)))])
+    return _spans(view, starts, length, blocks)
+
+
+def _spans(view: np.ndarray, starts: np.ndarray, length: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     if len(length) and int(length.max()) > 8:
-        blocks = np.maximum(1, -(-length // 8))
         first = np.cumsum(blocks) - blocks
         place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
         left = np.minimum(np.repeat(length, blocks) - 8 * place, 8)

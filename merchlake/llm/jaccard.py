@@ -256,8 +256,9 @@ def _narrowed(sets: DataFrame, num: int, den: int) -> DataFrame:
     first = held.withColumn("first", F.expr(f"size(s) - ((n * {num} + {den} - 1) div {den}) + 1").cast("int")).where("first > 0")
     signs = materialize(first.select("cluster", "node", F.explode(F.slice("s", F.lit(1), F.col("first"))).alias("x")).select("cluster", "node", "x.g"), "jaccard-prefixes")
     pivots = signs.groupBy("cluster", "g").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    pivots = materialize(pivots.select("cluster", "g", "b"), "jaccard-pivots")  # a plain shuffle for the join
     near = materialize(signs.join(pivots, ["cluster", "g"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "jaccard-near")
-    discard(counts, signs)
+    discard(counts, signs, pivots)
     found = materialize(connected_components(near, "jaccard-narrow"), "jaccard-narrow")
     discard(near)
     return found

@@ -213,6 +213,7 @@ def repeated_paths(rows: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
     placed = materialize(_compacted(edges).select("edge", F.struct("ord", "row", "at").alias("src"), "path"), "path-placed")
     # what each piece holds, a row for each of its few edges
     within = parts.select("piece", "off", "n", "edge").join(placed, "edge").groupBy("piece").agg(F.collect_list(F.struct("off", "n", "src", "path")).alias("parts"))
+    within = materialize(within, "path-within")  # a plain shuffle for the join, whose skewed partitions Spark can split
     found = held.select("piece", "row", "ord", "start").join(within, "piece").withColumn("p", F.explode(F.filter("parts", lambda p: p["src"]["ord"] < F.col("ord"))))
     steps = found.select("row", (F.col("start") + F.col("p.off")).alias("start"), F.col("p.n").alias("n"), F.col("p.src.row").alias("src"), F.col("p.src.at").alias("at"), F.col("p.path").alias("path"))
     own = Window.partitionBy("row").orderBy("start")
@@ -221,7 +222,7 @@ def repeated_paths(rows: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
     cut = cut.withColumn("__span", F.last(F.when(F.col("__new"), F.col("start")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
     spans = cut.groupBy("row", "__span").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src").alias("src"), F.min("at").alias("at"), F.min_by("path", "start").alias("path"))
     spans = materialize(spans.drop("__span"), "paths")
-    discard(held, distinct, parts, edges, placed)
+    discard(held, distinct, parts, edges, placed, within)
     return spans
 
 
