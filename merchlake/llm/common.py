@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -37,10 +38,10 @@ def scratch(spark: SparkSession) -> str:
     return _own_scratch
 
 
-def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: one pass, lineage cut, its shuffle files freed.
 
-    A lost executor costs only a reread of the written files. `discard` deletes them, `sweep` too unless they are `kept`.
+    A lost executor costs only a reread of the written files. `discard` deletes them by name, `release` once no DataFrame reads them.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
@@ -52,32 +53,43 @@ def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._merchlake_path = path
-    if not kept:
-        written(spark).append(table)
+    # every plan over this table, however derived, holds this one listing of its files
+    files = table._jdf.queryExecution().analyzed().relation().location()
+    _written(spark)[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(files)
     return table
 
 
-def written(spark: SparkSession) -> list[DataFrame]:
-    """The tables that materialize wrote in this session and that may be swept."""
-    return spark.__dict__.setdefault("_merchlake_written", [])
+def _written(spark: SparkSession) -> dict:
+    """Path to a weak reference to the listing of each table that materialize wrote in this session and that stands."""
+    return spark.__dict__.setdefault("_merchlake_written", {})
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _written(spark).pop(path, None)
 
 
 def discard(*tables: DataFrame | None) -> None:
     """Delete the folders of tables that materialize wrote, once nothing reads them any more."""
     for table in tables:
         if path := getattr(table, "_merchlake_path", None):
-            context = table.sparkSession.sparkContext
-            folder = context._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(table.sparkSession, path)
             table._merchlake_path = None
 
 
-def sweep(spark: SparkSession, since: int) -> int:
-    """Delete what operators wrote on their way after the mark `since`, all results made since then being written or used; returns the new mark."""
-    tables = written(spark)
-    discard(*tables[since:])
-    del tables[since:]
-    return len(tables)
+def release(spark: SparkSession) -> int:
+    """Delete the tables of materialize that no DataFrame can read any more; returns how many.
+
+    A table stays for as long as a DataFrame over it, or over anything made of it, is held by anyone in this session. The driver's
+    garbage is collected first; what it has not let go yet waits for the next call. An RDD or iterator alone does not hold a table.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    gone = [path for path, files in _written(spark).items() if files.get() is None]
+    for path in gone:
+        _delete(spark, path)
+    return len(gone)
 
 
 def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:

@@ -81,7 +81,7 @@ def test_pipeline_against_plain_stages(spark, odd, documents, tmp_path):
     stages = dict(p.STAGES)
 
     def done(name, d):
-        return common.materialize(stages[name](spark, d, str(tmp_path)), "stage", kept=True)
+        return common.materialize(stages[name](spark, d, str(tmp_path)), "stage")
 
     calm = done("toxicity", docs)
     bad = {r.doc_id for r in toxicity.detect_toxicity(docs, known).where("predicted = 1").collect()}
