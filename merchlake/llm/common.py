@@ -165,10 +165,10 @@ def slices(batches, text: str = "text", most: int = SLICE_BYTES):
             at = to
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and the index of each row's first word (one more at the end)."""
+def word_bounds(data: np.ndarray, off: np.ndarray, no_word: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that no_word doesn't mark; [^\\x20\\x09-\\x0D]+), and the index of each row's first word (one more at the end)."""
     n = len(data)
-    sep = _SEP[data]
+    sep = no_word[data]
     edge = np.ones(n + 1, bool)
     edge[1:] = sep if n else edge[1:]
     edge[off] = True  # a row begins anew
@@ -214,6 +214,20 @@ def _spans(view: np.ndarray, starts: np.ndarray, length: np.ndarray, blocks: np.
     return mix(h + length.astype(np.uint64) * _P)
 
 
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Which of the byte spans data[starts:ends] are the same bytes as data[others:other_ends]."""
+    length = ends - starts
+    same = length == other_ends - others
+    if not len(same):
+        return same
+    view, blocks = eights(data), np.maximum(1, -(-np.where(same, length, 0) // 8))
+    first = np.cumsum(blocks) - blocks
+    place = 8 * (np.arange(int(blocks.sum())) - np.repeat(first, blocks))
+    left = _TAIL[np.clip(np.repeat(np.where(same, length, 0), blocks) - place, 0, 8)]
+    alike = ((view[np.repeat(starts, blocks) + place] ^ view[np.repeat(others, blocks) + place]) & left) == 0
+    return same & np.logical_and.reduceat(alike, first)
+
+
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-byte strings data[i:i+k]; k is a multiple of 8, 64 at most."""
     n = len(data) - k + 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlake.llm import embeddings, jaccard, licences, mixing, pieces, quality, sharding, substrings, suffixes, toxicity
+from merchlake.llm import alignment, embeddings, fingerprints, jaccard, licences, mixing, pieces, quality, search, sharding, substrings, suffixes, toxicity
 from merchlake.llm.common import table
 
 
@@ -56,11 +56,23 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # stands at the repository's top, beside the package
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_pieces": op4_pieces, "op4_decoded": op4_decoded, "op5_suffixes": op5_suffixes, "op6_jaccard": op6_jaccard, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_embeddings": op9_embeddings, "op10_licences": op10_licences, "pipeline": pipeline}
-ORACLES = {"op1_mixing": mixing.MIX_SQL, "op3_substrings": substrings.SUBSTRINGS_SQL, "op4_decoded": pieces.DECODED_SQL, "op5_suffixes": suffixes.SUFFIXES_SQL, "op6_jaccard": jaccard.JACCARD_SQL, "op9_embeddings": embeddings.EMBEDDINGS_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_substrings": op3_substrings, "op4_pieces": op4_pieces, "op4_decoded": op4_decoded, "op5_suffixes": op5_suffixes, "op6_jaccard": op6_jaccard, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_embeddings": op9_embeddings, "op10_licences": op10_licences, "op11_alignment": op11_alignment, "op12_search": op12_search, "op13_fingerprints": op13_fingerprints, "pipeline": pipeline}
+ORACLES = {"op1_mixing": mixing.MIX_SQL, "op3_substrings": substrings.SUBSTRINGS_SQL, "op4_decoded": pieces.DECODED_SQL, "op5_suffixes": suffixes.SUFFIXES_SQL, "op6_jaccard": jaccard.JACCARD_SQL, "op9_embeddings": embeddings.EMBEDDINGS_SQL, "op12_search": search.SEARCH_SQL, "op13_fingerprints": fingerprints.FINGERPRINTS_SQL}

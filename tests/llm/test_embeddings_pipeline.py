@@ -109,5 +109,5 @@ def test_pipeline_and_names(spark):
         if k == 2:
             assert sum(n for _, n, _ in brute.substrings([(r.doc_id, r.text) for r in docs.collect()]).values()) < 0.02 * sum(len(brute.words(r.text)) for r in docs.collect())
     assert 0.5 * before < docs.select("doc_id").distinct().count() <= before and "ids" in docs.columns
-    assert sum(n.startswith("op") for n in QUERIES) >= 11 and set(ORACLES) <= set(QUERIES)
+    assert sum(n.startswith("op") for n in QUERIES) == 14 and set(ORACLES) <= set(QUERIES)
     assert p.run(spark, sf).count() == docs.count()
