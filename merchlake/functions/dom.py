@@ -1,7 +1,10 @@
-"""A small HTML tree with CSS selectors, for use inside page functions.
+"""A small HTML tree with CSS selectors over an inverted index, for use inside page functions.
 
 Built on the standard library's tokenizer, which tolerates malformed pages. Selectors: tag, #id, .class, [a], [a="v"], [a*="v"],
 [a^="v"], descendants, +, :not(.class), :first-child, :last-child, and commas; results come in document order.
+
+A page is a list of nodes in document order, each with the range of its descendants and of its text. One pass lists the nodes of each id,
+class, attribute and tag; a selector looks only at the nodes of the rarest of its last step's keys. Nothing recurses over the page's depth.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -17,38 +21,98 @@ IMPLIED = {"li": ("li",), "p": ("p",), "td": ("td", "th"), "th": ("td", "th"), "
 for _block in "div ul ol table article section h1 h2 h3 h4 form nav aside".split():
     IMPLIED[_block] = ("p",)
 BORDERS = frozenset("table ul ol div body html select dl".split())
+RAW = frozenset(("script", "style"))
+
+
+class Page:
+    """What the nodes of a page share: themselves in order, their texts in order, and the index, made when a selector first asks."""
+
+    __slots__ = ("nodes", "texts", "_index")
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.texts: list[str] = []
+        self._index: dict[tuple[str, str], list[int]] | None = None
+
+    def close(self) -> None:
+        """Ranges of all nodes, from the last to the first."""
+        for node in reversed(self.nodes):
+            up = node.parent
+            if up is not None:
+                up.end, up.text_end = max(up.end, node.end), max(up.text_end, node.text_end)
+
+    def index(self) -> dict[tuple[str, str], list[int]]:
+        """Numbers of the nodes of each key, rising; "any" lists all."""
+        if self._index is None:
+            self._index = found = {}
+            for node in self.nodes[1:]:
+                keys = {("tag", node.tag)} | {("attr", a) for a in node.attrs} | {("cls", c) for c in node.classes}
+                if "id" in node.attrs:
+                    keys.add(("id", node.attrs["id"]))
+                for key in keys:
+                    found.setdefault(key, []).append(node.order)
+            found["any", ""] = [*range(1, len(self.nodes))]
+        return self._index
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "order")
+    __slots__ = ("page", "tag", "attrs", "classes", "children", "parent", "order", "end", "place", "below", "text_start", "text_end")
 
-    def __init__(self, tag, attrs, parent, order):
-        self.tag, self.attrs, self.parent, self.order = tag, attrs, parent, order
+    def __init__(self, page: Page, tag: str, attrs: dict[str, str], parent: Node | None):
+        self.page, self.tag, self.attrs, self.parent = page, tag, attrs, parent
+        self.classes = attrs["class"].split() if "class" in attrs else ()
         self.children: list[Node | str] = []
-
-    def elements(self):
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.elements()
+        self.below: list[Node] = []  # child elements
+        self.order, self.text_start = len(page.nodes), len(page.texts)
+        self.end, self.text_end = self.order + 1, self.text_start
+        self.place = len(parent.below) if parent is not None else 0
+        if parent is not None:
+            parent.children.append(self)
+            parent.below.append(self)
+        page.nodes.append(self)
+
+    def elements(self) -> list[Node]:
+        return self.page.nodes[self.order + 1 : self.end]
 
     def text(self) -> str:
-        if self.tag in ("script", "style"):
-            return ""
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        """Text of the node and all below it, without scripts and styles."""
+        return "".join(self.page.texts[self.text_start : self.text_end])
 
     def markup(self) -> str:
         """The node written as HTML again."""
-        inside = "".join(c.markup() if isinstance(c, Node) else c if self.tag in ("script", "style") else html.escape(c) for c in self.children)
-        attrs = "".join(f' {k}="{html.escape(v or "")}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{inside}</{self.tag}>")
-
-    def siblings(self):
-        return [c for c in self.parent.children if isinstance(c, Node)] if self.parent else [self]
+        out: list[str] = []
+        left: list[Node | str | tuple[str]] = [self]
+        while left:
+            at = left.pop()
+            if isinstance(at, tuple):
+                out.append(at[0])
+            elif isinstance(at, str):
+                out.append(html.escape(at))
+            else:
+                attrs = "".join(f' {k}="{html.escape(v or "")}"' for k, v in at.attrs.items())
+                out.append(f"<{at.tag}{attrs}>")
+                if at.tag not in VOID:
+                    left.append((f"</{at.tag}>",))
+                    left += [(c,) if at.tag in RAW and isinstance(c, str) else c for c in reversed(at.children)]
+        return "".join(out)
+
+    def script(self) -> str:
+        """The raw text right inside the node."""
+        return "".join(c for c in self.children if isinstance(c, str))
 
     def select(self, selector: str) -> list[Node]:
-        groups = _compile(selector)
-        return [n for n in self.elements() if any(_matches(n, steps) for steps in groups)]
+        """Matching nodes below this one, in document order."""
+        nodes, found = self.page.nodes, set()
+        for steps in _compile(selector):
+            numbers = self._candidates(steps[-1])
+            for k in range(bisect_left(numbers, self.order + 1), bisect_left(numbers, self.end)):
+                if _matches(nodes[numbers[k]], steps, len(steps) - 1):
+                    found.add(numbers[k])
+        return [nodes[k] for k in sorted(found)]
+
+    def _candidates(self, step: Step) -> list[int]:
+        index = self.page.index()
+        return min((index.get(key, ()) for key in step.keys), key=len)
 
     def first(self, *selectors: str) -> Node | None:
         """The first match of the first selector that has one."""
@@ -80,8 +144,8 @@ def squeeze(text: str | None) -> str | None:
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", {}, None, 0)
-        self.made = 0
+        self.page = Page()
+        self.root = self.at = Node(self.page, "#root", {}, None)
 
     def handle_starttag(self, tag, attrs):
         ends = IMPLIED.get(tag, ())
@@ -93,9 +157,7 @@ class _Builder(HTMLParser):
             elif at.tag in BORDERS:
                 break
             at = at.parent
-        self.made += 1
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at, self.made)
-        self.at.children.append(node)
+        node = Node(self.page, tag, {k: v or "" for k, v in attrs}, self.at)
         if tag not in VOID:
             self.at = node
 
@@ -113,69 +175,82 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data):
         self.at.children.append(data)
+        if self.at.tag not in RAW:
+            self.page.texts.append(data)
+            self.at.text_end = len(self.page.texts)
 
 
 def parse(page: str) -> Node:
     builder = _Builder()
     builder.feed(page or "")
     builder.close()
+    builder.page.close()
     return builder.root
 
 
 _TOKEN = re.compile(r'(?P<tag>^[\w-]+|\*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[*^]?=)"(?P<value>[^"]*)")?\]|:not\(\.(?P<nocls>[\w-]+)\)|:(?P<place>first-child|last-child)')
 
 
-_compiled: dict[str, list] = {}
+class Step:
+    """A compound of a selector: whether it must follow its neighbour, its tests, and the index keys that any match has."""
+
+    __slots__ = ("adjacent", "tests", "keys")
+
+    def __init__(self, adjacent: bool, tests: list[dict[str, str]]):
+        self.adjacent, self.tests = adjacent, tests
+        keys = [(kind, t[kind]) for t in tests for kind in ("id", "cls", "tag", "attr") if kind in t and t[kind] != "*"]
+        self.keys = keys or [("any", "")]
+
+
+_compiled: dict[str, list[list[Step]]] = {}
 
 
-def _compile(selector: str):
+def _compile(selector: str) -> list[list[Step]]:
     if selector in _compiled:
         return _compiled[selector]
-    groups = _compiled[selector] = []
+    groups = []
     for part in selector.split(","):
         steps = []
         for combined in re.findall(r'(\+)?\s*((?:[^\s+\["]|\[[^\]]*\])+)', part.strip()):
             tests = [{k: v for k, v in m.groupdict().items() if v is not None} for m in _TOKEN.finditer(combined[1])]
-            steps.append((combined[0] == "+", tests))
+            steps.append(Step(combined[0] == "+", tests))
         groups.append(steps)
+    _compiled[selector] = groups
     return groups
 
 
-def _fits(node: Node, tests) -> bool:
-    classes = None
-    for t in tests:
+def _fits(node: Node, step: Step) -> bool:
+    for t in step.tests:
         if "tag" in t:
             ok = t["tag"] in ("*", node.tag)
         elif "id" in t:
             ok = node.attrs.get("id") == t["id"]
-        elif "cls" in t or "nocls" in t:
-            classes = classes if classes is not None else node.attrs.get("class", "").split()
-            ok = t["cls"] in classes if "cls" in t else t["nocls"] not in classes
+        elif "cls" in t:
+            ok = t["cls"] in node.classes
+        elif "nocls" in t:
+            ok = t["nocls"] not in node.classes
         elif "attr" in t:
             value = node.attrs.get(t["attr"])
-            wanted = t.get("value", "")
-            ok = value is not None and {None: True, "=": value == wanted, "*=": wanted in value, "^=": value.startswith(wanted)}[t.get("op")]
+            wanted, op = t.get("value", ""), t.get("op")
+            ok = value is not None and (op is None or (op == "=" and value == wanted) or (op == "*=" and wanted in value) or (op == "^=" and value.startswith(wanted)))
         else:
-            own = node.siblings()
-            ok = node is (own[0] if t["place"] == "first-child" else own[-1])
+            ok = node.place == (0 if t["place"] == "first-child" else len(node.parent.below) - 1)
         if not ok:
             return False
     return True
 
 
-def _matches(node: Node, steps) -> bool:
-    adjacent, tests = steps[-1]
-    if not _fits(node, tests):
+def _matches(node: Node, steps: list[Step], last: int) -> bool:
+    """Whether node fits step `last` and what stands above or before it fits the steps before."""
+    if not _fits(node, steps[last]):
         return False
-    if len(steps) == 1:
+    if last == 0:
         return True
-    if adjacent:
-        own = node.siblings()
-        place = own.index(node)
-        return place > 0 and _matches(own[place - 1], steps[:-1])
+    if steps[last].adjacent:
+        return node.place > 0 and _matches(node.parent.below[node.place - 1], steps, last - 1)
     up = node.parent
     while up is not None and up.tag != "#root":
-        if _matches(up, steps[:-1]):
+        if _matches(up, steps, last - 1):
             return True
         up = up.parent
     return False
@@ -209,7 +284,7 @@ def json_ld(root: Node) -> list[dict]:
     out = []
     for node in root.select('script[type="application/ld+json"]'):
         try:
-            value = json.loads("".join(c for c in node.children if isinstance(c, str)))
+            value = json.loads(node.script())
         except ValueError:
             continue
         out += [v for v in (value if isinstance(value, list) else [value]) if isinstance(v, dict)]
