@@ -122,9 +122,9 @@ class Node:
         return None
 
     def first_text(self, *selectors: str) -> str | None:
-        """Text of the first selector whose first match has any."""
+        """The first text that the matches of the first selector that has any hold."""
         for selector in selectors:
-            for node in self.select(selector)[:1]:
+            for node in self.select(selector):
                 if text := squeeze(node.text()):
                     return text
         return None

@@ -18,7 +18,6 @@ class Market:
     magnitudes: tuple[tuple[str, int], ...]
     #: (state, phrases) in the order of testing: negative phrases first, since some hold the positive ones
     availability: tuple[tuple[str, tuple[str, ...]], ...]
-    rank_labels: tuple[str, ...] = ()
     rank_join: str = "in"
 
 
@@ -30,28 +29,28 @@ MARKETS = {
         ("PREORDER", ("pre-order", "available for pre-order")),
         ("BACKORDER", ("usually ships within", "on backorder")),
         ("IN_STOCK", ("in stock", "available now")),
-    ), ("Best Sellers Rank",)),
+    )),
     "UK": Market("UK", "www.amazon.co.uk", "GBP", ".", ",", ("£", "GBP"), (("K", 1000), ("M", 1000000)), (
         ("OUT_OF_STOCK", ("currently unavailable", "out of stock")),
         ("LIMITED_STOCK", ("only", "left in stock")),
         ("PREORDER", ("pre-order",)),
         ("BACKORDER", ("usually dispatched within", "on backorder")),
         ("IN_STOCK", ("in stock",)),
-    ), ("Best Sellers Rank",)),
+    )),
     "CA": Market("CA", "www.amazon.ca", "CAD", ".", ",", ("$", "CAD", "CDN$", "CA$"), (("K", 1000), ("M", 1000000)), (
         ("OUT_OF_STOCK", ("currently unavailable", "out of stock", "actuellement indisponible")),
         ("LIMITED_STOCK", ("only", "left in stock", "plus que")),
         ("PREORDER", ("pre-order", "précommande")),
         ("BACKORDER", ("usually ships within", "on backorder")),
         ("IN_STOCK", ("in stock", "en stock")),
-    ), ("Best Sellers Rank",)),
+    )),
     "DE": Market("DE", "www.amazon.de", "EUR", ",", ".", ("€", "EUR"), (("Tsd", 1000), ("Mio", 1000000), ("K", 1000)), (
         ("OUT_OF_STOCK", ("derzeit nicht verfügbar", "nicht auf lager", "nicht verfügbar")),
         ("LIMITED_STOCK", ("nur noch",)),
         ("PREORDER", ("vorbestellen", "vorbestellung")),
         ("BACKORDER", ("gewöhnlich versandfertig in",)),
         ("IN_STOCK", ("auf lager", "verfügbar")),
-    ), ("Bestseller-Rang", "Bestseller Rang")),
+    )),
     "FR": Market("FR", "www.amazon.fr", "EUR", ",", " ", ("€", "EUR"), (("k", 1000), ("M", 1000000)), (
         ("OUT_OF_STOCK", ("actuellement indisponible", "rupture de stock", "indisponible")),
         ("LIMITED_STOCK", ("il ne reste plus que", "plus que")),
@@ -76,6 +75,23 @@ MARKETS = {
 }
 
 
+#: What stands before a seller's and a shipper's name, what marks a rank and a number of recent buyers, by market.
+LABELS = {
+    "US": {"sold_by": ("Sold by", "Ships from and sold by"), "ships_from": ("Ships from", "Dispatches from"), "rank": ("Best Sellers Rank", "Amazon Best Sellers Rank"), "bought": ("bought in past month",)},
+    "UK": {"sold_by": ("Sold by", "Dispatches from and sold by"), "ships_from": ("Dispatches from", "Ships from"), "rank": ("Best Sellers Rank", "Amazon Bestsellers Rank"), "bought": ("bought in past month",)},
+    "CA": {"sold_by": ("Sold by", "Ships from and sold by", "Vendu par"), "ships_from": ("Ships from", "Dispatches from", "Expédié par"),
+           "rank": ("Best Sellers Rank", "Amazon Best Sellers Rank", "Classement des meilleures ventes"), "bought": ("bought in past month", "achetés au cours du mois dernier")},
+    "DE": {"sold_by": ("Verkauf durch", "Verkauf und Versand durch"), "ships_from": ("Versand durch",), "rank": ("Amazon Bestseller-Rang", "Bestseller-Rang", "Amazon Bestseller Rang"),
+           "bought": ("mal im letzten monat gekauft", "im letzten monat gekauft")},
+    "FR": {"sold_by": ("Vendu par", "Expédié et vendu par"), "ships_from": ("Expédié par",), "rank": ("Classement des meilleures ventes d’Amazon", "Classement des meilleures ventes d'Amazon", "Classement parmi les meilleures ventes"),
+           "bought": ("achetés au cours du mois dernier", "acheté au cours du mois dernier")},
+    "IT": {"sold_by": ("Venduto da", "Spedito e venduto da"), "ships_from": ("Spedizione da", "Spedito da"), "rank": ("Posizione nella classifica Bestseller di Amazon", "Classifica Bestseller di Amazon"),
+           "bought": ("acquistati nel mese scorso", "acquistato nel mese scorso")},
+    "ES": {"sold_by": ("Vendido por", "Envíos y vendido por", "Enviado y vendido por"), "ships_from": ("Envíos desde", "Enviado desde"),
+           "rank": ("Clasificación en los más vendidos de Amazon", "Clasificación de los más vendidos en Amazon"), "bought": ("comprados el mes pasado", "comprado el mes pasado")},
+}
+
+
 def market_table(spark: SparkSession) -> DataFrame:
     """The market dimension: code, host, currency, decimal, thousands. Seven rows."""
     return spark.createDataFrame([(m.code, m.host, m.currency, m.decimal, m.thousands) for m in MARKETS.values()], "code string, host string, currency string, decimal string, thousands string")

@@ -29,27 +29,38 @@ def availability_state(text: Column, market: Market) -> Column:
     return out
 
 
+#: Words that tell an offer's condition, in the order of testing.
+CONDITIONS = (
+    ("REFURBISHED", ("refurbished", "renewed", "reconditionné", "ricondizionato", "reacondicionado")),
+    ("COLLECTIBLE", ("collectible", "collection", "collezione", "coleccionable")),
+    ("USED", ("used", "occasion", "usato", "segunda mano")),
+    ("NEW", ("new", "neuf", "nuovo", "nuevo", "neu")),
+)
+
+
 def condition(text: Column) -> Column:
-    """Offer condition by words of several languages; the more special ones first."""
-    low = F.lower(text)
-    return (
-        F.when(low.rlike("renewed|refurbished|generalüberholt|reconditionn|ricondizionat|reacondicionad"), "REFURBISHED")
-        .when(low.rlike("collectible|sammler|collection|collezion|coleccion"), "COLLECTIBLE")
-        .when(low.rlike("used|gebraucht|occasion|usato|usado|segunda mano"), "USED")
-        .when(low.rlike("new|neu|neuf|nuovo|nuevo"), "NEW")
-    )
+    """Offer condition by the first word met; UNKNOWN without any."""
+    low, out = F.lower(text), F.lit("UNKNOWN")
+    for name, words in reversed(CONDITIONS):
+        out = F.when(low.rlike("|".join(words)), name).otherwise(out)
+    return out
 
 
-def fulfillment(shipper: Column, seller: Column, own_names) -> Column:
-    """Who fulfils: the market itself (AMZ), the market for a seller (FBA), the seller (FBM)."""
+def _ours(name: Column, own_names) -> Column:
+    return F.coalesce(first_label(name, own_names).isNotNull(), F.lit(False))
+
+
+def offer_fulfillment(shipper: Column, seller: Column, own_names) -> Column:
+    """Who fulfils an offer: the market itself (AMZ), the market for a seller (FBA), else the seller (FBM), if one is named."""
+    return F.when(_ours(seller, own_names), "AMZ").when(_ours(shipper, own_names), "FBA").when(seller.isNull(), "UNKNOWN").otherwise("FBM")
 
-    def ours(name):
-        return F.coalesce(first_label(name, own_names).isNotNull(), F.lit(False))
 
+def fulfillment(shipper: Column, seller: Column, own_names) -> Column:
+    """Who fulfils a buy box: as for an offer, but a named shipper that is not the market makes it FBM without a seller too."""
     return (
         F.when(shipper.isNull() & seller.isNull(), "UNKNOWN")
-        .when(ours(seller), "AMZ")
-        .when(ours(shipper), "FBA")
+        .when(_ours(seller, own_names), "AMZ")
+        .when(_ours(shipper, own_names), "FBA")
         .otherwise("FBM")
     )
 
@@ -93,6 +104,13 @@ def coupon(text: Column, market: Market) -> Column:
     return F.when(text.isNotNull(), F.struct(text.alias("text"), kind.alias("type"), share.alias("percent"), minor.alias("minor")))
 
 
+def after_label(text: Column, labels) -> Column:
+    """What follows the first of the labels that the text holds; the text itself where nothing does."""
+    label = first_label(text, labels)
+    rest = F.substring(text, F.position(F.lower(label), F.lower(text)) + F.length(label), F.length(text))
+    return F.coalesce(F.when(label.isNotNull(), clean_text(F.regexp_replace(rest, "^[:\\uff1a\\s]+", ""))), text)
+
+
 #: What a byline puts around a brand's name.
 BYLINE_BEFORE, BYLINE_AFTER = ("visit the ", "brand:", "marke:", "besuche den ", "shop "), (" store", " shop", "-store")
 

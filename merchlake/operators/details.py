@@ -5,15 +5,14 @@ The page function finds texts, key tables and inline JSON; the rest is Column ex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.functions.markets import Market
 from merchlake.functions.numbers import count, first_money, landed_price, percent
-from merchlake.functions.text import condition, fulfillment, humanize_dimension, max_resolution, strip_label
+from merchlake.functions.text import condition, fulfillment, humanize_dimension, max_resolution, offer_fulfillment, strip_label
 from merchlake.functions.urls import item_id, seller_id
 from merchlake.operators import extract
-from merchlake.operators.extract import MARKUP
 
 #: Identifiers of the detail layouts, labels in several languages.
 OFFER = '#aod-pinned-offer, #aod-offer, .aod-information-block, [data-csa-c-content-id="aod-offer"]'
@@ -54,6 +53,8 @@ MAIN_IMAGE = ("#landingImage", "#imgTagWrapperId img", "#imgBlkFront")
 #: A swatch of a twister: its item, its value, and the dimension it belongs to.
 SWATCH = 'li[data-defaultasin], li[data-dp-url]'
 SWATCH_FIELDS = {"child": (None, "data-defaultasin"), "link": (None, "data-dp-url"), "value": ((".a-button-text", ".swatch-title-text"), None), "hint": (None, "title")}
+TWISTER = '#twister .a-row, #twister-plus-inline-twister .a-row, [id^="variation_"]'
+TWISTER_FIELDS = {"ident": (None, "id"), "label": ((".a-form-label", ".twisterTextDiv", ".inline-twister-dim-title-value"), None)}
 VARIANT_FIELDS = {"variant_parent": (("#twister", "#twister-plus-inline-twister", '[id^="variation_"]'), "id")}
 MEDIA_FIELDS = {"sizes": (MAIN_IMAGE, "data-a-dynamic-image"), "src": (MAIN_IMAGE, "src")}
 MEDIA_LISTS = {"thumbs": (("#altImages li img", "#imageBlockThumbs img"), "src")}
@@ -68,23 +69,20 @@ def offers(pages: DataFrame, market: Market, key: str, most: int, own_names) ->
     page is NOT_PRESENT if its container is known, else PARSER_MISS.
     """
     every = extract.extract_cards(pages.select(key, "html"), OFFER, OFFER_FIELDS, unique=None, heads=OFFER_PAGE)
-    found = every.where("place IS NOT NULL")
     price, shipping = first_money(F.col("price"), market), first_money(F.col("shipping"), market)
-    typed = found.select(key, "place", price.alias("price"), F.coalesce(shipping, F.when(F.col("whole").rlike(FREE) & price.isNotNull(), 0)).cast("long").alias("shipping"), "seller", seller_id(F.col("link")).alias("seller_id"),
-                         condition(F.col("heading")).alias("condition"), fulfillment(F.col("shipper"), F.col("seller"), own_names).alias("fulfillment"), F.col("whole").rlike("(?i)prime").alias("prime"),
-                         percent(F.col("feedback")).alias("seller_rating"), count(F.regexp_extract("feedback", "\\(([^)]*)\\)", 1), market).alias("seller_feedback"), "delivery", F.col("whole").rlike(FREE).alias("free"))
-    typed = typed.withColumn("landed", landed_price(F.col("price"), F.col("shipping"), F.col("free"))).where("price IS NOT NULL OR seller IS NOT NULL")
+    typed = every.select(key, "place", price.alias("price"), F.coalesce(shipping, F.when(F.col("whole").rlike(FREE) & price.isNotNull(), 0)).cast("long").alias("shipping"), "seller", seller_id(F.col("link")).alias("seller_id"),
+                         condition(F.col("heading")).alias("condition"), offer_fulfillment(F.col("shipper"), F.col("seller"), own_names).alias("fulfillment"), F.col("whole").rlike("(?i)prime").alias("prime"),
+                         percent(F.col("feedback")).alias("seller_rating"), count(F.regexp_extract("feedback", "\\(([^)]*)\\)", 1), market).alias("seller_feedback"), "delivery", F.col("whole").rlike(FREE).alias("free"), *OFFER_PAGE)
+    typed = typed.withColumns({"landed": landed_price(F.col("price"), F.col("shipping"), F.col("free")), "__good": F.col("price").isNotNull() | F.col("seller").isNotNull()})
     fields = ["seller_id", "seller", "condition", "price", "shipping", "landed", "prime", "fulfillment", "delivery", "seller_rating", "seller_feedback"]
-    once = typed.groupBy(key, "seller_id", "seller", "price").agg(F.min_by(F.struct("place", *[f for f in fields if f not in ("seller_id", "seller", "price")]), "place").alias("o"))
-    once = once.select(key, "seller_id", "seller", "price", "o.*")
-    ranked = once.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("place")))
-    listed = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("__found"), F.sort_array(F.collect_list(F.when(F.col("__n") <= most, F.struct("__n", *fields)))).alias("__items"))
-    # a page stands on one row at least, so its own fields come from the same pass
-    joined = every.groupBy(key).agg(F.max("total").alias("total"), F.max("container").alias("container")).join(listed, key, "left")
-    items = F.transform(F.coalesce("__items", F.array()), lambda o: F.struct(*[o[f].alias(f) for f in fields]))
-    total = F.coalesce(count(F.col("total"), market), F.col("__found"))
+    # a page stands on one row at least, so its own fields come along
+    once = typed.groupBy(key, "__good", "seller_id", "seller", "price").agg(F.min_by(F.struct("place", *[f for f in fields if f not in ("seller_id", "seller", "price")]), "place").alias("o"), *[F.max(c).alias(c) for c in OFFER_PAGE])
+    once = once.select(key, "__good", "seller_id", "seller", "price", "o.*", *OFFER_PAGE)
+    listed = once.groupBy(key).agg(F.count_if("__good").alias("__found"), F.sort_array(F.collect_list(F.when(F.col("__good"), F.struct("place", *fields)))).alias("__all"), *[F.max(c).alias(c) for c in OFFER_PAGE])
+    items = F.transform(F.slice("__all", 1, most), lambda o: F.struct(*[o[f].alias(f) for f in fields]))
+    total = F.coalesce(count(F.col("total"), market), F.when(F.col("__found") > 0, F.col("__found")))
     status = F.when(F.col("__found") > 0, "EXTRACTED").when(F.col("container").isNotNull(), "NOT_PRESENT").otherwise("PARSER_MISS")
-    return joined.select(key, items.alias("items"), total.alias("total"), (F.coalesce(total, F.lit(0)) > F.size(items)).alias("truncated"), status.alias("status"))
+    return listed.select(key, items.alias("items"), total.alias("total"), (F.coalesce(total, F.lit(0)) > F.size(items)).alias("truncated"), status.alias("status"))
 
 
 def buybox(found: DataFrame, market: Market, own_names, labels=("Sold by", "Ships from and sold by")) -> DataFrame:
@@ -181,10 +179,9 @@ def swatch_variants(pages: DataFrame, key: str, most: int = 50) -> DataFrame:
 
     A row of the twister is a dimension; its label stands before the swatches, else its identifier names it.
     """
-    rows = extract.extract_cards(pages.select(key, "html"), '#twister .a-row, #twister-plus-inline-twister .a-row, [id^="variation_"]', {"ident": (None, "id"), "label": ((".a-form-label", ".twisterTextDiv", ".inline-twister-dim-title-value"), None), "markup": (None, MARKUP)}, unique=None)
+    rows = extract.extract_cards(pages.select(key, "html"), TWISTER, TWISTER_FIELDS, unique=None, nested={"swatches": (SWATCH, SWATCH_FIELDS)})
     named = F.coalesce(F.regexp_replace("label", "[:\\uff1a]\\s*$", ""), F.when(F.startswith("ident", F.lit("variation_")), humanize_dimension(F.regexp_replace("ident", "^variation_", ""))))
-    rows = rows.withColumn("dimension", named).where("dimension IS NOT NULL")
-    swatches = extract.extract_cards(rows.select(key, "place", "dimension", "markup").withColumnRenamed("place", "row"), SWATCH, SWATCH_FIELDS, html="markup", unique=None)
+    swatches = rows.withColumn("dimension", named).where("dimension IS NOT NULL").select(key, F.col("place").alias("row"), "dimension", F.inline("swatches"))
     item = F.coalesce(item_id(F.col("child")), item_id(F.regexp_extract("link", "/dp/([A-Za-z0-9]{10})", 1)))
     value = F.regexp_replace(F.coalesce("value", "hint"), "^(?i)Click to select\\s*", "")
     found = swatches.select(key, "row", "dimension", item.alias("item"), value.alias("value")).where("item IS NOT NULL AND value IS NOT NULL")
@@ -192,12 +189,11 @@ def swatch_variants(pages: DataFrame, key: str, most: int = 50) -> DataFrame:
     each = found.groupBy(key, "item", "dimension").agg(F.max_by("value", "row").alias("value"), F.min("row").alias("row"))
     items = each.groupBy(key, "item").agg(F.sort_array(F.collect_list(F.struct("row", "dimension", "value"))).alias("o"))
     options = F.map_from_entries(F.transform("o", lambda x: F.struct(x["dimension"], x["value"])))
-    ranked = items.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("item")))
-    # maps have no order, so the list is put in order by number alone
-    numbered = F.collect_list(F.when(F.col("__n") <= most, F.struct("__n", "item", options.alias("options"))))
-    listed = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("__all"), F.array_sort(numbered, lambda a, b: a["__n"] - b["__n"]).alias("__items"))
-    dims = each.groupBy(key, "dimension").agg(F.min("row").alias("row")).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "dimension"))), lambda x: x["dimension"]).alias("dimensions"))
-    return dims.join(listed, key).select(key, "dimensions", F.transform("__items", lambda x: F.struct(x["item"].alias("item"), x["options"].alias("options"))).alias("items"), (F.col("__all") > most).alias("truncated"))
+    # maps have no order, so the list is put in order by item alone; rows and dimensions come out of the options
+    by_item = F.array_sort(F.collect_list(F.struct("item", options.alias("options"))), lambda a, b: F.when(a["item"] < b["item"], -1).when(a["item"] > b["item"], 1).otherwise(0))
+    listed = items.groupBy(key).agg(by_item.alias("__items"), F.sort_array(F.flatten(F.collect_list(F.transform("o", lambda x: F.struct(x["row"], x["dimension"]))))).alias("__rows"))
+    dimensions = F.array_distinct(F.transform("__rows", lambda x: x["dimension"]))
+    return listed.select(key, dimensions.alias("dimensions"), F.slice("__items", 1, most).alias("items"), (F.size("__items") > most).alias("truncated"))
 
 
 def media(pages: DataFrame, key: str) -> DataFrame:

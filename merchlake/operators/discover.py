@@ -69,6 +69,22 @@ def card_positions(cards: DataFrame, source: str, page: str, order: str, sponsor
     }).drop("__sponsored", "__kind", "__before", "__sbefore")
 
 
+def place_cards(pages: DataFrame, source: str, page: str, cards: str, sponsored) -> DataFrame:
+    """The cards of pages (one row a page, its cards an array) as rows, with their positions as in card_positions.
+
+    Counts of earlier pages are summed over whole pages, so no card is sorted with those of other pages. sponsored tells it of a card.
+    """
+    before = Window.partitionBy(source).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    counted = pages.withColumns({"__n": F.size(cards).cast("long"), "__s": F.size(F.filter(cards, sponsored)).cast("long")})
+    counted = counted.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__sbefore": F.coalesce(F.sum("__s").over(before), F.lit(0))})
+    rows = counted.select(source, page, "__before", "__sbefore", F.posexplode(cards).alias("__at", "__card"))
+    paid = F.count_if(sponsored(F.col("__card"))).over(Window.partitionBy(source, page).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"page_position": (F.col("__at") + 1).cast("long"), "__paid": F.col("__sbefore") + paid})
+    total = F.col("__before") + F.col("page_position")
+    kind = sponsored(F.col("__card"))
+    return rows.select(source, page, "__card.*", "page_position", total.alias("position"), F.when(kind, F.col("__paid")).alias("sponsored_position"), F.when(~kind, total - F.col("__paid")).alias("organic_position"))
+
+
 def pages_read(pages: DataFrame, source: str, page: str, limit: int, has_next: Column, cards: Column) -> DataFrame:
     """The pages that a reader in order gets to: up to limit, until one is empty or has no next page."""
     stop = F.when(~has_next | (cards == 0), 1).otherwise(0)

@@ -19,10 +19,48 @@ def offers_block(offers: DataFrame, key: str, order: list[str], fields: list[str
     return out.select(key, "total", F.transform("__items", lambda o: F.struct(*[o[f].alias(f) for f in fields])).alias("items"), (F.col("total") > most).alias("truncated"))
 
 
-def with_offers(products: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
-    """products with their offers block; without one the status is NOT_PRESENT."""
-    joined = products.join(blocks, key, "left")
-    return joined.withColumn("offers_status", F.when(F.col("total").isNotNull(), "EXTRACTED").otherwise("NOT_PRESENT"))
+def join_offers(products: DataFrame, blocks: DataFrame) -> DataFrame:
+    """product records with their offers from blocks(item, block); a page that is missing or has none lets the buy box stand in as the only offer.
+
+    Without any offer the block is that of the page, or PARSER_MISS where there was no page.
+    """
+    kind = products.schema["offers"].dataType
+    joined = products.join(blocks.select("item", F.col("block").alias("__block")), "item", "left")
+    box, stock = F.col("buyBox"), F.col("availability")
+    price, shipping = F.coalesce(box["price"], F.col("pricing.currentPrice")), stock["shippingPrice"]
+    same = price.isNotNull() & (shipping.isNull() | (shipping["currency"] == price["currency"]))
+    raw = F.when(shipping.isNull(), price["raw"]).otherwise(F.concat(price["raw"], F.lit(" + "), shipping["raw"]))
+    landed = F.when(same, F.struct((price["amount"] + F.coalesce(shipping["amount"], F.lit(0))).cast("decimal(18,2)").alias("amount"), price["currency"].alias("currency"), raw.alias("raw")))
+    one = F.struct(
+        box["sellerId"].alias("sellerId"), box["seller"].alias("sellerName"), F.lit("NEW").alias("condition"), price.alias("itemPrice"), shipping.alias("shippingPrice"), landed.alias("landedPrice"),
+        stock["primeEligible"].alias("primeEligible"), box["fulfillment"].alias("fulfillment"), stock["deliveryText"].alias("deliveryText"), F.lit(None).cast("double").alias("sellerRating"),
+        F.lit(None).cast("bigint").alias("sellerFeedbackCount"), F.col("canonicalUrl").alias("sourceUrl"), F.lit("EXTRACTED").alias("status"),
+    )
+    fallback = F.struct(F.lit(True).alias("requested"), F.lit(1).cast("bigint").alias("totalCount"), F.lit(False).alias("truncated"), F.lit("EXTRACTED").alias("status"), F.array(one).alias("items"))
+    none = F.struct(F.lit(True).alias("requested"), F.lit(None).cast("bigint").alias("totalCount"), F.lit(False).alias("truncated"), F.lit("PARSER_MISS").alias("status"), F.array().cast(kind["items"].dataType).alias("items"))
+    stands_in = ~F.coalesce(F.col("__block.status") == "EXTRACTED", F.lit(False)) & F.coalesce(box["present"], F.lit(False)) & (price.isNotNull() | box["seller"].isNotNull())
+    block = F.when(stands_in, fallback.cast(kind)).otherwise(F.coalesce(F.col("__block").cast(kind), none.cast(kind)))
+    warned = F.col("quality").withField("warnings", F.when(stands_in, F.array_union(F.coalesce("quality.warnings", F.array().cast("array<string>")), F.array(F.lit("OFFERS_FALLBACK_BUY_BOX")))).otherwise(F.col("quality.warnings")))
+    return joined.withColumns({"offers": block, "quality": warned}).select(*products.columns)
+
+
+def join_sellers(products: DataFrame, profiles: DataFrame, url: str) -> DataFrame:
+    """product records with the profiles of their sellers: the buy box's one first, then those of the offers, each once.
+
+    Each profile is joined to the rows that name it; a seller whose page was not captured is PARSER_MISS. A record without any seller is NOT_PRESENT.
+    """
+    kind = products.schema["sellerProfiles"].dataType
+    named = F.array_distinct(F.array_compact(F.concat(F.array("buyBox.sellerId"), F.transform(F.coalesce("offers.items", F.array().cast(products.schema["offers"].dataType["items"].dataType)), lambda o: o["sellerId"]))))
+    asked = products.select("item", F.posexplode(named).alias("__at", "sellerId"))
+    known = profiles.withColumnRenamed("lookup_key", "sellerId")
+    found = asked.join(known, "sellerId", "left").withColumns({"sourceUrl": F.concat(F.lit(url), F.col("sellerId")), "status": F.coalesce("status", F.lit("PARSER_MISS"))})
+    fields = kind["items"].dataType.elementType.names
+    listed = found.groupBy("item").agg(F.transform(F.sort_array(F.collect_list(F.struct("__at", F.to_json(F.struct(*fields)).alias("p")))), lambda x: F.from_json(x["p"], kind["items"].dataType.elementType.simpleString())).alias("__items"))
+    joined = products.join(listed, "item", "left")
+    some = F.exists(F.coalesce("__items", F.array().cast(kind["items"].dataType)), lambda p: p["status"] == "EXTRACTED")
+    status = F.when(F.col("__items").isNull(), "NOT_PRESENT").when(some, "EXTRACTED").otherwise("PARSER_MISS")
+    block = F.struct(F.lit(True).alias("requested"), status.alias("status"), F.coalesce("__items", F.array().cast(kind["items"].dataType)).alias("items"))
+    return joined.withColumn("sellerProfiles", block.cast(kind)).select(*products.columns)
 
 
 def seller_profiles(wanted: DataFrame, profiles: DataFrame, key: str, seller: str, order: str, most: int) -> DataFrame:
@@ -60,8 +98,3 @@ def buybox_offer(present: Column, seller: Column, price: Column, shipping: Colum
     """One NEW offer made from the buy box; unknown shipping counts as nothing. Null where there is no buy box."""
     landed = price + F.coalesce(shipping, F.lit(0).cast("decimal(18,2)"))
     return F.when(present, F.struct(seller.alias("seller"), F.lit("NEW").alias("condition"), price.alias("itemPrice"), landed.alias("landedPrice")))
-
-
-def offers_or_buybox(offers_status: Column, offers: Column, fallback: Column) -> Column:
-    """The extracted offers, else the buy box as the only offer."""
-    return F.when(offers_status == "EXTRACTED", offers).when(fallback.isNotNull(), F.array(fallback))

@@ -13,22 +13,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.functions import dom
-from merchlake.functions.markets import Market
-from merchlake.functions.numbers import count, first_money, rating
-from merchlake.functions.text import availability_state, brand_name, clean_text, coupon
+from merchlake.functions.markets import LABELS, Market
+from merchlake.functions.numbers import count, demand, first_money, rating
+from merchlake.functions.text import after_label, availability_state, brand_name, clean_text, coupon, delivery_date, first_label, lookup_label, rank_lines
 from merchlake.functions.urls import item_id
 
+#: In place of an attribute of a list: the texts of all selectors, one after the other, not of the first that has any.
+ALL = "**"
 #: In place of an attribute: whether there is such an element ("1" or null).
 EXISTS = "?"
-#: In place of an attribute of the node itself: its own markup.
-MARKUP = "<>"
 #: Field -> (selectors in order, attribute or None for text). Identifiers of the listing layout.
-PRODUCT_FIELDS = {
+IDENTITY_FIELDS = {
     "title": (("#productTitle", "#title span", "h1#title", "#title", "h1"), None),
     "item": (("input#ASIN", 'input[name="ASIN"]', 'input[name="asin"]'), "value"),
     "item_data": (("#averageCustomerReviews[data-asin]",), "data-asin"),
     "parent_input": (("input#parentAsin", 'input[name="parentAsin"]'), "value"),
     "brand": (("#bylineInfo", "#brand", ".po-brand .po-break-word"), None),
+}
+PRICE_FIELDS = {
     "price": (("#corePriceDisplay_desktop_feature_div .priceToPay .a-offscreen", "#corePriceDisplay_desktop_feature_div span.aok-offscreen", "#corePriceDisplay_mobile_feature_div .priceToPay .a-offscreen",
                "#corePrice_feature_div .priceToPay .a-offscreen", "#corePrice_feature_div .a-price .a-offscreen", "#apex_desktop .priceToPay .a-offscreen", "#apex_desktop .a-price .a-offscreen",
                ".priceToPay .a-offscreen", "#corePrice_feature_div .a-offscreen"), None),
@@ -41,28 +43,74 @@ PRODUCT_FIELDS = {
     "unit_price": (("#corePriceDisplay_desktop_feature_div .pricePerUnit", "#corePrice_feature_div .pricePerUnit", ".a-price + .a-size-small.a-color-price", "#per-unit-price"), None),
     "deal_badge": (("#dealBadge", ".dealBadge", "#deal_badge_inner_div", ".a-badge-label-inner .a-badge-text"), None),
     "coupon": (("#promoPriceBlockMessage .couponLabelText", "#couponTextpctch", "#couponBadgeRegularVpc", "#vpcButton .a-color-success", ".promoPriceBlockMessage .a-color-success", 'label[id^="couponText"]'), None),
-    "availability": (("#availability span", "#availability", "#outOfStock"), None),
-    "sold_out_mark": (("#outOfStock",), "id"),
+}
+RATING_FIELDS = {
     "rating": (("#acrPopover",), "title"),
     "rating_text": (("#acrPopover .a-size-base.a-color-base", 'span[data-hook="rating-out-of-text"]', "#averageCustomerReviews .a-icon-alt", "#acrPopover .a-icon-alt", ".reviewCountTextLinkedHistogram .a-icon-alt"), None),
     "reviews": (("#acrCustomerReviewText", '[data-hook="total-review-count"]', "#reviewsMedley .a-size-base"), None),
     "review_section": (("#averageCustomerReviews", "#acrPopover", "#reviewsMedley"), "id"),
-    "ranks": (("#SalesRank", "#detailBulletsWrapper_feature_div", "#productDetails_detailBullets_sections1"), None),
-    "seller": (("#sellerProfileTriggerId", "#merchant-info a"), None),
-    "seller_link": (("#sellerProfileTriggerId", "#merchant-info a"), "href"),
-    "image": (("#landingImage", "#imgTagWrapperId img"), "src"),
-    "description": (("#productDescription",), None),
 }
-PRODUCT_LISTS = {
-    "bullets": (("#feature-bullets li:not(.aok-hidden)",), None),
-    "breadcrumb": (("#wayfinding-breadcrumbs_feature_div a",), None),
-    "images": (("#altImages img",), "src"),
+#: Fields of each block of a product page, so that a run reads those it asks for.
+STOCK_FIELDS = {
+    "availability": (("#availability .a-color-success", "#availability .a-color-price", "#availability .a-color-state", "#availability span", "#availability", "#outOfStock .a-color-price",
+                      "#exports_desktop_outOfStock_buybox_message_feature_div"), None),
+    "sold_out_mark": (("#outOfStock",), EXISTS),
+    "stock_box": (("#availability",), EXISTS),
+    "offer_box": (("#buybox", "#corePriceDisplay_desktop_feature_div"), EXISTS),
+    "stock_left": (("#availability .a-color-price", "#availability .a-color-state", "#availability span", "#availability"), None),
+    "delivery": (("#mir-layout-DELIVERY_BLOCK-slot-PRIMARY_DELIVERY_MESSAGE_LARGE", "#deliveryBlockMessage .a-text-bold", "#deliveryBlockMessage", "#mir-layout-DELIVERY_BLOCK", "#delivery-block", "#ddmDeliveryMessage",
+                  "[data-csa-c-delivery-time]"), None),
+    "shipping": (("#deliveryBlockMessage .a-color-secondary", "#shippingMessageInsideBuyBox_feature_div", "#price-shipping-message"), None),
+    "sold_by": (('#tabular-buybox .tabular-buybox-text[tabular-attribute-name="Sold by"]', '#tabular-buybox .tabular-buybox-text[tabular-attribute-name="Verkauft von"]', "#sellerProfileTriggerId", "#merchant-info"), None),
+    "ships_from": (('#tabular-buybox .tabular-buybox-text[tabular-attribute-name="Ships from"]', '#tabular-buybox .tabular-buybox-text[tabular-attribute-name="Dispatches from"]',
+                    '#tabular-buybox .tabular-buybox-text[tabular-attribute-name="Versand durch"]', "#fulfillerInfoFeature_feature_div .offer-display-feature-text-message"), None),
+    "prime_badge": (("#primeSavingsBadge", "#isPrimeExclusive", ".a-icon-prime"), EXISTS),
+    "delivery_box": (("#mir-layout-DELIVERY_BLOCK", "#deliveryBlockMessage"), EXISTS),
+}
+RANK_FIELDS = {"bought": (("#social-proofing-faceout-title-tk_bought", "#socialProofingAsinFaceout_feature_div", ".social-proofing-faceout-title-text", "#acrCustomerReviewText + span"), None)}
+PRODUCT_FIELDS = {**IDENTITY_FIELDS, **PRICE_FIELDS, **STOCK_FIELDS, **RATING_FIELDS}
+#: Boxes that may hold ranks, in order, and what each of them is called.
+RANK_BOXES = {"rank_boxes": ("#productDetails_detailBullets_sections1", "#productDetails_db_sections", "#prodDetails", "#detailBulletsWrapper_feature_div", "#detailBullets_feature_div",
+                             "#productDetails_feature_div", "#SalesRank", "#detail-bullets")}
+RANK_SOURCES = ("PRODUCT_DETAILS_TABLE",) * 3 + ("DETAIL_BULLETS",) * 2 + ("PRODUCT_INFORMATION",) * 3
+CONTENT_FIELDS = {
+    "description": (("#productDescription p", "#productDescription", "#bookDescription_feature_div"), None),
+    "rich": (("#aplus", "#aplus_feature_div", "#aplusBrandStory_feature_div"), EXISTS),
+}
+CONTENT_LISTS = {
+    "bullets": (("#feature-bullets li:not(.aok-hidden) span.a-list-item", "#featurebullets_feature_div li span.a-list-item", "#productFactsDesktop_feature_div li span"), None),
+    "breadcrumb": (("#wayfinding-breadcrumbs_feature_div li a, #nav-subnav .nav-a-content",), None),
+    "badges": (("#climatePledgeFriendlyBadge", ".climate-pledge-friendly-badge", "#zeitgeistBadge_feature_div", ".badge-wrapper .a-badge-text"), ALL),
+}
+CONTENT_TABLES = {
+    "specs": ("#productDetails_techSpec_section_1", "#productDetails_techSpec_section_2", "#technicalSpecifications_section_1", "#productDetails_detailBullets_sections1", "#detailBullets_feature_div",
+              "#detailBulletsWrapper_feature_div", "#prodDetails table", "#poExpander table", "#productOverview_feature_div table"),
+    "technical": ("#productDetails_techSpec_section_1", "#technicalSpecifications_section_1"),
+}
+CONTENT_LABELS = {
+    "manufacturer": ("Manufacturer", "Hersteller"),
+    "model": ("Item model number", "Model", "Modellnummer", "Modell"),
+    "partNumber": ("Part Number", "Teilenummer", "Artikelnummer"),
+    "productType": ("Product type", "Produkttyp"),
+    "dimensions": ("Product Dimensions", "Produktabmessungen", "Item Dimensions"),
+    "packageDimensions": ("Package Dimensions", "Verpackungsabmessungen"),
+    "weight": ("Item Weight", "Artikelgewicht", "Weight", "Gewicht"),
+    "dateFirstAvailable": ("Date First Available", "Im Angebot von Amazon.de seit", "Im Angebot seit"),
 }
 #: Rows of the star histogram, such as "5 star 61%"; strings of scripts.
 STARS = {"stars": (("#histogramTable tr", '[data-hook="histogram-row"]', ".a-histogram-row"), None)}
 IDENTITY_STRINGS = {"item_script": "currentAsin", "parent_script": "parentAsin"}
+#: What tells the kinds of pages apart.
+PAGE_ANCHORS = {
+    "anchor": (("#productTitle", "#dp", "#ppd", "input#ASIN"), EXISTS), "gone": (("#outOfStock",), EXISTS), "buy_box": (("#buybox", "#addToCart_feature_div"), EXISTS),
+    "twister": (("#twister", "#twister-plus-inline-twister", '[id^="variation_"]'), EXISTS), "book": (("#bookDescription_feature_div", "#ebooksProductTitle", "#mediaTabs_tabSet"), EXISTS),
+    "results": (('[data-component-type="s-search-result"]', ".s-result-item[data-asin]", ".stores-widget-btf [data-asin]", '[data-testid="grid-container"] [data-asin]', ".ProductGridItem__itemOuter__KUtvv[data-asin]"), EXISTS),
+}
+CHALLENGE_MARKS = ("/errors/validatecaptcha", 'id="captchacharacters"', 'name="amzn-captcha-submit"')
+NOT_FOUND_MARKS = ("dogs of amazon",)
 PAGE_FIELDS = {"title": (("title",), None), "heading": (("h1",), None), "language": (("html",), "lang")}
-CARD = 'div[data-component-type="s-search-result"], .s-result-item[data-asin]'
+CARD = ('[data-component-type="s-search-result"][data-asin], .s-result-item[data-asin]:not(.AdHolder), .stores-widget-btf [data-asin], '
+        '[data-testid="grid-container"] [data-asin], .ProductGridItem__itemOuter__KUtvv[data-asin]')
 SEARCH_PAGE = {"next": (("a.s-pagination-next:not(.s-pagination-disabled)", ".s-pagination-item.s-pagination-next:not(.s-pagination-disabled)"), EXISTS)}
 CARD_FIELDS = {
     "item": (None, "data-asin"),
@@ -81,8 +129,6 @@ CARD_FIELDS = {
 
 
 def _field(node, selectors, attribute):
-    if attribute == MARKUP:
-        return node.markup()
     if selectors is None:  # of the node itself
         return (node.attrs.get(attribute) or "").strip() or None if attribute else dom.squeeze(node.text())
     if attribute == EXISTS:
@@ -91,6 +137,8 @@ def _field(node, selectors, attribute):
 
 
 def _list(root, selectors, attribute):
+    if attribute == ALL:
+        return list(dict.fromkeys(t for s in selectors for n in root.select(s) if (t := dom.squeeze(n.text()))))
     for selector in selectors:
         values = [(n.attrs.get(attribute) or "").strip() if attribute else dom.squeeze(n.text()) for n in root.select(selector)]
         if values := list(dict.fromkeys(v for v in values if v)):
@@ -102,14 +150,15 @@ def _list(root, selectors, attribute):
 PAGES_AT_ONCE = 64
 
 
-def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | None = None, maps: dict | None = None, blobs: dict | None = None, html: str = "html", strings: dict | None = None, linked: str | None = None) -> DataFrame:
+def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | None = None, maps: dict | None = None, blobs: dict | None = None, html: str = "html", strings: dict | None = None, linked: str | None = None, boxes: dict | None = None) -> DataFrame:
     """pages without html, with a string column a field, an array column a list, and parse_error (null: parsed).
 
     maps (name -> selectors) gives key and value tables as map columns; blobs (name -> key) the JSON text behind a key of
     an inline script, strings (name -> key) the quoted text behind one; linked names a column for the page's linked-data
-    objects, as the text of a JSON array. Unwanted fields are simply not asked for, so they cost nothing.
+    objects, as the text of a JSON array; boxes (name -> selectors) gives the whole text of each selector's matches, null without any.
+    Unwanted fields are simply not asked for, so they cost nothing.
     """
-    lists, maps, blobs, strings = lists or {}, maps or {}, blobs or {}, strings or {}
+    lists, maps, blobs, strings, boxes = lists or {}, maps or {}, blobs or {}, strings or {}, boxes or {}
     kept = [c for c in pages.columns if c != html]
     texts = [*fields, *blobs, *strings, *([linked] if linked else [])]
 
@@ -118,13 +167,14 @@ def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | N
         values = {k: _field(root, *v) for k, v in fields.items()} | {k: _list(root, *v) for k, v in lists.items()}
         values |= {k: list(dom.key_values(root, *v).items()) for k, v in maps.items()} | {k: dom.json_slice(page, v) for k, v in blobs.items()}
         values |= {k: dom.js_string(page, v) for k, v in strings.items()}
+        values |= {k: [dom.squeeze("".join(n.text() for n in root.select(s))) for s in v] for k, v in boxes.items()}
         return values | ({linked: json.dumps(dom.json_ld(root))} if linked else {})
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, PAGES_AT_ONCE):
                 batch = whole.slice(at, PAGES_AT_ONCE)
-                made = {c: [] for c in [*texts, *lists, *maps, "parse_error"]}
+                made = {c: [] for c in [*texts, *lists, *boxes, *maps, "parse_error"]}
                 for page in batch.column(batch.schema.get_field_index(html)):
                     error, values = None, {}
                     try:
@@ -134,84 +184,111 @@ def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | N
                     for c in made:
                         made[c].append(error if c == "parse_error" else values.get(c))
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-                kinds = {c: pa.list_(pa.string()) for c in lists} | {c: pa.map_(pa.string(), pa.string()) for c in maps}
+                kinds = {c: pa.list_(pa.string()) for c in [*lists, *boxes]} | {c: pa.map_(pa.string(), pa.string()) for c in maps}
                 columns += [pa.array(v, kinds.get(c, pa.string())) for c, v in made.items()]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + [f"`{c}` string" for c in texts] + [f"`{c}` array<string>" for c in lists] + [f"`{c}` map<string,string>" for c in maps] + ["parse_error string"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + [f"`{c}` string" for c in texts] + [f"`{c}` array<string>" for c in [*lists, *boxes]] + [f"`{c}` map<string,string>" for c in maps] + ["parse_error string"])
     return pages.mapInArrow(run, schema)
 
 
-def extract_cards(pages: DataFrame, card: str = CARD, fields: dict = CARD_FIELDS, html: str = "html", unique: str | None = "item", heads: dict | None = None) -> DataFrame:
-    """A row for each card of each page: its place in the page (from 1) and its fields; cards of a page that share `unique` count once.
+def _cards(root, card: str, fields: dict, unique: str | None, nested: dict) -> list[dict]:
+    found, seen = [], set()
+    for node in root.select(card):
+        values = {k: _field(node, *v) for k, v in fields.items()}
+        if unique and (values[unique] is None or values[unique] in seen):
+            continue
+        seen.add(values.get(unique))
+        inside = {k: _cards(node, selector, within, None, {}) for k, (selector, within) in nested.items()}
+        found.append({"place": len(found) + 1, **values, **inside})
+    return found
 
-    heads are fields of the page itself, on each of its rows; with them a page without cards has a row too, of no place.
+
+def _card_type(fields: dict, nested: dict) -> tuple[str, pa.DataType]:
+    """The type of a card, for Spark and for Arrow."""
+    inner = {k: _card_type(within, {}) for k, (_, within) in nested.items()}
+    ddl = ",".join(["place:int", *[f"`{c}`:string" for c in fields], *[f"`{k}`:array<{d}>" for k, (d, _) in inner.items()]])
+    return f"struct<{ddl}>", pa.struct([("place", pa.int32()), *[(c, pa.string()) for c in fields], *[(k, pa.list_(t)) for k, (_, t) in inner.items()]])
+
+
+def card_lists(pages: DataFrame, card: str = CARD, fields: dict = CARD_FIELDS, html: str = "html", unique: str | None = "item", heads: dict | None = None, nested: dict | None = None) -> DataFrame:
+    """pages without html, with the fields `heads` of the page itself and `cards`, an array of its cards: place (from 1) and fields of each.
+
+    Cards of a page that share `unique` count once, those without it not at all. nested (name -> (selector, fields)) gives a card an array of cards of its
+    own. A page is parsed once; its cards are unfolded on the JVM's side.
     """
-    heads = heads or {}
+    heads, nested = heads or {}, nested or {}
     kept = [c for c in pages.columns if c != html]
+    ddl, arrow = _card_type(fields, nested)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
-                part = batch.slice(at, PAGES_AT_ONCE)
-                source, place, made = [], [], {c: [] for c in [*fields, *heads]}
-
-                def put(r, n, values):
-                    source.append(r)
-                    place.append(n)
-                    for c in made:
-                        made[c].append(values.get(c))
-
-                for r, page in enumerate(part.column(part.schema.get_field_index(html))):
-                    root = dom.parse(page.as_py() or "")
-                    own = {k: _field(root, *v) for k, v in heads.items()}
-                    seen, n = set(), 0
-                    for node in root.select(card):
-                        values = {k: _field(node, *v) for k, v in fields.items()}
-                        if unique and (values[unique] is None or values[unique] in seen):
-                            continue
-                        seen.add(values.get(unique))
-                        n += 1
-                        put(r, n, values | own)
-                    if heads and not n:
-                        put(r, None, own)
-                take = pa.array(source, pa.int32())
-                columns = [part.column(part.schema.get_field_index(c)).take(take) for c in kept] + [pa.array(place, pa.int32())] + [pa.array(v, pa.string()) for v in made.values()]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "place", *made])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + ["place int"] + [f"`{c}` string" for c in [*fields, *heads]])
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAGES_AT_ONCE):
+                part = whole.slice(at, PAGES_AT_ONCE)
+                roots = [dom.parse(page.as_py() or "") for page in part.column(part.schema.get_field_index(html))]
+                made = [pa.array([_field(r, *v) for r in roots], pa.string()) for v in heads.values()]
+                made.append(pa.array([_cards(r, card, fields, unique, nested) for r in roots], pa.list_(arrow)))
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in kept], *made], names=[*kept, *heads, "cards"])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + [f"`{c}` string" for c in heads] + [f"cards array<{ddl}>"])
     return pages.mapInArrow(run, schema)
 
 
-def page_marks(html: Column, challenge=(), not_found=()) -> Column:
-    """struct(challenge, not_found, chars) of a page's text, made before the page function so that the text goes through it once."""
+def extract_cards(pages: DataFrame, card: str = CARD, fields: dict = CARD_FIELDS, html: str = "html", unique: str | None = "item", heads: dict | None = None, nested: dict | None = None) -> DataFrame:
+    """A row for each card of each page: its place in the page (from 1) and its fields; cards of a page that share `unique` count once.
+
+    heads are fields of the page itself, on each of its rows; with them a page without cards has a row too, of no place.
+    """
+    lists = card_lists(pages, card, fields, html, unique, heads, nested)
+    kept = [c for c in pages.columns if c != html]
+    unfold = F.explode_outer if heads else F.explode
+    rows = lists.select(*kept, *(heads or {}), unfold("cards").alias("__card"))
+    return rows.select(*kept, *[F.col(f"__card.`{c}`").alias(c) for c in ["place", *fields, *(nested or {})]], *(heads or {}))
+
+
+def page_marks(html: Column, challenge=(), not_found=(), no_results=()) -> Column:
+    """struct(challenge, not_found, no_results, chars) of a page's text, made before the page function so that the text goes through it once."""
     low = F.lower(html)
 
     def holds(words):
         out = F.lit(False)
         for w in words:
-            out = out | F.coalesce(F.contains(low, F.lit(w)), F.lit(False))
+            out = out | F.coalesce(F.contains(low, F.lit(w.lower())), F.lit(False))
         return out
 
-    return F.struct(holds(challenge).alias("challenge"), holds(not_found).alias("not_found"), F.coalesce(F.length(html), F.lit(0)).alias("chars"))
+    return F.struct(
+        holds((*CHALLENGE_MARKS, *challenge)).alias("challenge"), holds((*NOT_FOUND_MARKS, *not_found)).alias("not_found"), holds(no_results).alias("no_results"),
+        F.coalesce(F.length(html), F.lit(0)).alias("chars"), F.coalesce(F.length(F.trim(html)), F.lit(0)).alias("trimmed"),
+    )
 
 
-def page_class(marks: Column, status: Column, product: Column | None = None, search: Column | None = None, stub: int = 8000) -> Column:
-    """Class of a page: text and status rules in order, then the anchors that the page function found.
+def page_class(marks: Column, status: Column, expected: Column, found: dict[str, Column], least: int = 8000) -> Column:
+    """struct(type, blocked, not_found, reason) of a page: text and status rules in order, then the anchors that the page function found.
 
-    CHALLENGE, NOT_FOUND, BLOCKED, ERROR, EMPTY_TEMPLATE, SEARCH, STANDARD, UNAVAILABLE. marks: see page_marks.
+    marks: see page_marks. expected: PRODUCT, SEARCH or AUXILIARY (offers and seller pages, which have no anchors). found: whether there is each of
+    PAGE_ANCHORS; one that isn't given isn't there. A product page below `least` characters is a template.
     """
-    product = F.lit(False) if product is None else product
-    search = F.lit(False) if search is None else search
+    has = {k: F.coalesce(found[k], F.lit(False)) if k in found else F.lit(False) for k in PAGE_ANCHORS}
+
+    def told(kind: str, blocked: bool = False, not_found: bool = False, reason: str | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("type"), F.lit(blocked).alias("blocked"), F.lit(not_found).alias("not_found"), F.lit(reason).cast("string").alias("reason"))
+
+    template = told("UNKNOWN", True, reason="EMPTY_TEMPLATE")
+    auxiliary, search = F.coalesce(expected == "AUXILIARY", F.lit(False)), F.coalesce(expected == "SEARCH", F.lit(False))
     return (
-        F.when(marks["challenge"], "CHALLENGE")
-        .when(marks["not_found"] | (status == 404), "NOT_FOUND")
-        .when(status.isin(401, 403, 407, 429, 451) | (status >= 500), "BLOCKED")
-        .when(status >= 400, "ERROR")
-        .when(marks["chars"] < stub, "EMPTY_TEMPLATE")
-        .when(search, "SEARCH")
-        .when(product, "STANDARD")
-        .otherwise("UNAVAILABLE")
+        F.when(marks["challenge"], told("CHALLENGE", True, reason="CHALLENGE_PAGE"))
+        .when(marks["not_found"], told("NOT_FOUND", not_found=True, reason="DOG_PAGE"))
+        .when(status == 404, told("NOT_FOUND", not_found=True, reason="HTTP_STATUS"))
+        .when(status.isin(401, 403, 407, 429, 451) | (status >= 500), told("CHALLENGE", True, reason="HTTP_STATUS"))
+        .when(status >= 400, told("UNKNOWN", reason="HTTP_STATUS"))
+        .when(auxiliary, F.when(marks["trimmed"] >= 200, told("UNKNOWN")).otherwise(template))
+        .when((expected == "PRODUCT") & (marks["chars"] < least), template)
+        .when(search, F.when(has["results"], told("SEARCH")).when(marks["no_results"], told("SEARCH", not_found=True, reason="URL_NO_ASIN")).otherwise(template))
+        .when(~has["anchor"], template)
+        .when(has["gone"] & ~has["buy_box"], told("UNAVAILABLE"))
+        .when(has["twister"], told("VARIATION_PARENT"))
+        .when(has["book"], told("BOOK_OR_MEDIA"))
+        .otherwise(told("STANDARD_PRODUCT"))
     )
 
 
@@ -241,29 +318,87 @@ def identity(found: DataFrame, html: str | None = None) -> DataFrame:
     return found.withColumn("parent_item", F.when(~F.col("parent_item").eqNullSafe(F.col("item_id")), F.col("parent_item")))
 
 
+def stock_block(found: DataFrame, market: Market) -> Column:
+    """The availability struct from STOCK_FIELDS (what wasn't asked for is null).
+
+    A known text decides; an unknown one is PARSER_MISS. Without a text a sold-out mark is OUT_OF_STOCK, and a page with a buy box or price but no place for
+    availability at all is IN_STOCK; the rest is PARSER_MISS. The last few of a stock are in stock too.
+    """
+    own = lambda c: F.col(c) if c in found.columns else F.lit(None).cast("string")
+    text, known = own("availability"), availability_state(own("availability"), market)
+    state = (
+        F.when(text.isNotNull(), F.coalesce(known, F.lit("UNKNOWN")))
+        .when(own("sold_out_mark").isNotNull(), "OUT_OF_STOCK")
+        .when(own("stock_box").isNull() & own("offer_box").isNotNull(), "IN_STOCK")
+        .otherwise("UNKNOWN")
+    )
+    labels = LABELS[market.code]
+    return F.struct(
+        state.alias("state"), F.when(state != "UNKNOWN", state.isin("IN_STOCK", "LIMITED_STOCK")).alias("inStock"), text.alias("text"), F.when(state == "LIMITED_STOCK", own("stock_left")).alias("stockLeftText"),
+        delivery_date(own("delivery")).alias("deliveryDate"), own("delivery").alias("deliveryText"), first_money(own("shipping"), market).alias("shippingPrice"),
+        F.when(own("prime_badge").isNotNull(), True).when(own("delivery_box").isNotNull(), False).alias("primeEligible"),
+        after_label(own("ships_from"), labels["ships_from"]).alias("shipsFrom"), after_label(own("sold_by"), labels["sold_by"]).alias("soldBy"),
+        F.when(state != "UNKNOWN", "EXTRACTED").otherwise("PARSER_MISS").alias("status"),
+    )
+
+
+def rankings_block(market: Market) -> Column:
+    """The rankings struct from RANK_BOXES and RANK_FIELDS: the first box that bears a rank label and has readable ranks; a label without any is PARSER_MISS, no label NOT_PRESENT."""
+    labels = LABELS[market.code]
+    sources = F.array(*[F.lit(x) for x in RANK_SOURCES])
+    boxes = F.transform("rank_boxes", lambda t, i: F.struct(rank_lines(t, market.rank_join).alias("lines"), F.coalesce(first_label(t, labels["rank"]).isNotNull(), F.lit(False)).alias("labelled"), F.get(sources, i).alias("source")))
+    labelled = F.filter(boxes, lambda b: b["labelled"])
+    hit = F.get(F.filter(labelled, lambda b: F.size(b["lines"]) > 0), 0)
+    raw = F.when(first_label(F.col("bought"), labels["bought"]).isNotNull(), F.col("bought"))
+    main = F.get(hit["lines"], 0)
+    return F.struct(
+        main["rank"].alias("mainBSR"), main["category"].alias("mainBSRCategory"), F.coalesce(hit["lines"], F.array()).alias("all"), raw.alias("boughtInPastMonthRaw"), demand(raw, market).alias("boughtInPastMonthMin"), hit["source"].alias("source"),
+        F.when(hit.isNotNull(), "EXTRACTED").when(F.size(labelled) > 0, "PARSER_MISS").otherwise("NOT_PRESENT").alias("status"),
+    )
+
+
+def content_block() -> Column:
+    """The content struct from CONTENT_FIELDS, CONTENT_LISTS and CONTENT_TABLES; bullets of one letter don't count."""
+    bullets = F.filter("bullets", lambda b: F.length(b) > 1)
+    some = (F.size(bullets) > 0) | F.col("description").isNotNull() | (F.size("specs") > 0) | (F.size("breadcrumb") > 0)
+    return F.struct(
+        bullets.alias("bullets"), "description", F.col("specs").alias("specifications"), F.col("technical").alias("technicalDetails"), *[lookup_label(F.col("specs"), v).alias(k) for k, v in CONTENT_LABELS.items()],
+        "breadcrumb", F.col("rich").isNotNull().alias("richContent"), "badges", F.when(some, "EXTRACTED").otherwise("PARSER_MISS").alias("status"),
+    )
+
+
+def product_fields(blocks) -> dict:
+    """The fields that some of the blocks pricing, availability and ratings need, beside those of the identity."""
+    wanted, out = set(blocks), dict(IDENTITY_FIELDS)
+    if "pricing" in wanted:
+        out |= PRICE_FIELDS
+    if wanted & {"pricing", "availability"}:  # a price that is missing is no miss where the item is sold out
+        out |= STOCK_FIELDS
+    return out | (RATING_FIELDS if "ratings" in wanted else {})
+
+
 def product_blocks(found: DataFrame, market: Market) -> DataFrame:
     """Typed blocks from the texts of PRODUCT_FIELDS (also stars and linked, where they were asked for), each with its status.
 
     The price is the first that can be read of the displayed, the deal's, the buy box's and the linked data's one, and
     priceSource names it. Without any, pricing is OUT_OF_STOCK if the page says so, else PARSER_MISS; a list price counts only above the
-    price. An unknown availability text is PARSER_MISS, none at all NOT_PRESENT. Ratings without a number are
-    PARSER_MISS where the page has a section for them.
+    price. Availability: see stock_block. Ratings without a number are PARSER_MISS where the page has a section for them.
     """
     sources = {"CORE_PRICE_DISPLAY": "price", "DEAL_PRICE": "deal_price", "BUY_BOX": "buybox_price"}
     there = set(found.columns)
+    own = lambda c, kind="string": F.col(c) if c in there else F.lit(None).cast(kind)
     texts = {"__listed": "list_price", "__subscribe": "subscribe"} | {f"__{k}": v for k, v in sources.items()}
     found = found.withColumns({k: first_money(F.col(v), market) if v in there else F.lit(None).cast("long") for k, v in texts.items()} | {
         "__JSON_LD": linked_price(F.col("linked"), market) if "linked" in there else F.lit(None).cast("long"),
-        "__state": availability_state(F.col("availability"), market),
-        "__scored": rating(F.coalesce(F.col("rating"), F.col("rating_text")) if "rating_text" in there else F.col("rating"), market), "__counted": count(F.col("reviews"), market),
+        "stock": stock_block(found, market),
+        "__scored": rating(F.coalesce(own("rating"), own("rating_text")), market), "__counted": count(own("reviews"), market),
     })
     names = [*sources, "JSON_LD"]
     found = found.withColumn("__hit", F.coalesce(*[F.when(F.col(f"__{n}").isNotNull(), F.struct(F.col(f"__{n}").alias("minor"), F.lit(n).alias("source"))) for n in names]))
-    price, listed, state = F.col("__hit.minor"), F.col("__listed"), F.col("__state")
+    price, listed = F.col("__hit.minor"), F.col("__listed")
     above = F.when(listed > price, listed)
-    own = lambda c, kind="string": F.col(c) if c in there else F.lit(None).cast(kind)
-    sold_out = (state == "OUT_OF_STOCK") | own("sold_out_mark").isNotNull()
-    section = F.coalesce(own("review_section"), F.col("rating")).isNotNull()
+    sold_out = (F.col("stock.state") == "OUT_OF_STOCK") | own("sold_out_mark").isNotNull()
+    section = F.coalesce(own("review_section"), own("rating")).isNotNull()
     scored, counted = F.col("__scored"), F.col("__counted")
     return found.withColumns({
         "title": clean_text(F.col("title")),
@@ -273,8 +408,6 @@ def product_blocks(found: DataFrame, market: Market) -> DataFrame:
             F.col("__hit.source").alias("priceSource"), coupon(own("coupon"), market).alias("coupon"),
             F.when(price.isNotNull(), "EXTRACTED").when(sold_out, "OUT_OF_STOCK").otherwise("PARSER_MISS").alias("status"),
         ),
-        "stock": F.struct(state.alias("state"), (state == "IN_STOCK").alias("inStock"), F.col("availability").alias("text"),
-                          F.when(state.isNotNull(), "EXTRACTED").when(F.col("availability").isNotNull(), "PARSER_MISS").otherwise("NOT_PRESENT").alias("status")),
         "ratings": F.struct(scored.alias("rating"), counted.alias("reviewCount"), (star_shares(F.col("stars")) if "stars" in there else F.lit(None).cast("map<string,bigint>")).alias("starDistribution"),
                             F.when(scored.isNotNull() | counted.isNotNull(), "EXTRACTED").when(section, "PARSER_MISS").otherwise("NOT_PRESENT").alias("status")),
-    }).drop("__hit", "__listed", "__subscribe", "__state", "__scored", "__counted", *[f"__{n}" for n in names])
+    }).drop("__hit", "__listed", "__subscribe", "__scored", "__counted", *[f"__{n}" for n in names])

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from merchlake.functions.markets import MARKETS, Market
 from merchlake.functions.numbers import count, demand, discount_percent, first_money, rating
 from merchlake.functions.urls import dedupe_key
-from merchlake.functions.text import brand_name, delivery_date, lookup_label, rank_lines, strip_label
-from merchlake.operators import compare, details, discover, extract, ledger, quality, records
+from merchlake.functions.text import brand_name
+from merchlake.operators import compare, details, discover, enrich, extract, ledger, quality, records
 from merchlake.operators.plan import Options
 
 
@@ -43,8 +43,8 @@ def product_records(work: DataFrame, captures: DataFrame, options: Options, stub
     pages = captures.where((F.col("label") == "PRODUCT") & (F.col("market") == options.market))
     last = compare.latest(pages.select("lookup_key", "seq", "ok", "html", "status_code", "blocked", "not_found"), ["lookup_key"], ["seq"]).drop("seq")
     joined = work.join(last, work["item"] == last["lookup_key"], "left").drop("lookup_key")
-    fields = {k: v for k, v in extract.PRODUCT_FIELDS.items() if k != "item"}
-    found = extract.extract_fields(joined.withColumn("chars", F.length("html")), fields, {"bullets": extract.PRODUCT_LISTS["bullets"]}, linked="linked")
+    fields = {k: v for k, v in extract.product_fields(options.blocks).items() if k != "item"}
+    found = extract.extract_fields(joined.withColumn("chars", F.length("html")), fields, {"bullets": extract.CONTENT_LISTS["bullets"]}, linked="linked")
     typed = extract.product_blocks(found.withColumn("brand", brand_name(F.col("brand"))), market)
     blocks = {"pricing": "pricing", "availability": "stock", "ratings": "ratings"}
     typed = quality.project_blocks(typed, {blocks[b] for b in options.blocks if b in blocks}, list(blocks.values()))
@@ -64,31 +64,37 @@ def _money(minor: Column, market: Market, raw: Column) -> Column:
 def full_records(captures: DataFrame, options: Options, own_names: tuple[str, ...] = ()) -> DataFrame:
     """The last capture of each product as a record of 27 columns, with the blocks of options; others are NOT_APPLICABLE.
 
-    One page function finds the texts of all blocks that are asked for, and of no others.
+    One page function finds the texts of all blocks that are asked for, and of no others. Offers and sellers come from the captures of
+    their own pages (labels OFFERS by item, SELLER by seller); without offers a buy box stands in as the only one.
     """
     market = MARKETS[options.market]
     wanted = set(options.blocks)
-    fields = dict(extract.PRODUCT_FIELDS)
-    lists, maps, blobs = dict(extract.STARS), {}, {}
+    fields = extract.product_fields(wanted)
+    lists, maps, blobs, boxes = dict(extract.STARS) if "ratings" in wanted else {}, {}, {}, {}
+    if "rankings" in wanted:
+        fields, boxes = fields | extract.RANK_FIELDS, extract.RANK_BOXES
     if "product" in wanted:
-        lists |= {k: extract.PRODUCT_LISTS[k] for k in ("bullets", "breadcrumb")}
-        maps |= {"specs": ("#productDetails_techSpec_section_1", "#productOverview_feature_div", "#detailBullets_feature_div")}
-    if "buyBox" in wanted:
-        fields |= details.BUYBOX_FIELDS
+        fields, lists, maps = fields | extract.CONTENT_FIELDS, lists | extract.CONTENT_LISTS, extract.CONTENT_TABLES
+    if wanted & {"buyBox", "offers", "sellerProfiles"}:
+        fields = fields | details.BUYBOX_FIELDS
     if "variants" in wanted:
         fields, blobs = fields | details.VARIANT_FIELDS, blobs | details.VARIANT_BLOBS
     if "media" in wanted:
         fields, lists, blobs = fields | details.MEDIA_FIELDS, lists | details.MEDIA_LISTS, blobs | details.MEDIA_BLOBS
-    pages = captures.where((F.col("label") == "PRODUCT") & (F.col("market") == options.market) & F.col("ok"))
-    last = compare.latest(pages.select("lookup_key", "seq", "received_at", "html"), ["lookup_key"], ["seq"])
-    found = extract.extract_fields(last, fields, lists, maps, blobs, strings=extract.IDENTITY_STRINGS, linked="linked")
+    own = captures.where((F.col("market") == options.market) & F.col("ok"))
+    last = compare.latest(own.where(F.col("label") == "PRODUCT").select("lookup_key", "seq", "received_at", "html"), ["lookup_key"], ["seq"])
+    found = extract.extract_fields(last, fields, lists, maps, blobs, strings=extract.IDENTITY_STRINGS, linked="linked" if "pricing" in wanted else None, boxes=boxes)
     rows = extract.product_blocks(extract.identity(found), market)
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("deal_price", "buybox_price", "price", "list_price", "subscribe") if c not in rows.columns})
     now, listed = F.col("pricing.currentPrice"), F.col("pricing.listPrice")
     shown = F.when(F.col("pricing.priceSource") == "DEAL_PRICE", F.col("deal_price")).when(F.col("pricing.priceSource") == "BUY_BOX", F.col("buybox_price")).when(F.col("pricing.priceSource") == "CORE_PRICE_DISPLAY", F.col("price"))
-    off = F.col("pricing.coupon")
-    seller = strip_label(F.col("seller"), ("Sold by", "Ships from and sold by"))
+    off, stock = F.col("pricing.coupon"), F.col("stock")
+    warnings = [
+        F.col("parse_error"), F.when(F.col("pricing.status") == "PARSER_MISS", "PRICE_PARSER_MISS") if "pricing" in wanted else None,
+        F.when(F.col("pricing.priceSource") == "JSON_LD", "PRICE_FROM_JSON_LD"), F.when(stock["status"] == "PARSER_MISS", "AVAILABILITY_PARSER_MISS") if "availability" in wanted else None,
+    ]
     made = {
-        "scrapedAt": F.col("received_at"), "marketplace": F.lit(options.market), "item": F.col("lookup_key"), "input": F.struct(F.lit("item").alias("type"), F.col("lookup_key").alias("value")),
+        "scrapedAt": F.date_trunc("second", "received_at"), "marketplace": F.lit(options.market), "item": F.col("lookup_key"), "input": F.struct(F.lit("item").alias("type"), F.col("lookup_key").alias("value")),
         "canonicalUrl": F.concat(F.lit(f"https://{market.host}/dp/"), F.col("lookup_key")),
         "retrieval": F.struct(F.lit(options.profile).alias("profile"), F.array(*[F.lit(b) for b in options.blocks]).cast("array<string>").alias("requestedBlocks"), F.lit(ledger.select_event(options.mode, options.blocks)).alias("billingEvent")),
         "parentItem": F.col("parent_item"),
@@ -96,18 +102,15 @@ def full_records(captures: DataFrame, options: Options, own_names: tuple[str, ..
                             _money(F.col("pricing.dealPrice"), market, F.col("deal_price")).alias("dealPrice"), _money(F.col("pricing.subscribeAndSave"), market, F.col("subscribe")).alias("subscribeAndSave"),
                             discount_percent(now, listed).alias("discountPercent"), F.col("pricing.dealType").alias("dealType"), F.col("pricing.unitPrice").alias("unitPrice"), F.col("pricing.priceSource").alias("priceSource"),
                             F.col("pricing.status").alias("status"), F.when(off.isNotNull(), F.struct(off["text"].alias("text"), off["type"].alias("type"), off["percent"].alias("percent"), _money(off["minor"], market, off["text"]).alias("amount"))).alias("coupon")),
-        "availability": F.struct(F.col("stock.state").alias("state"), F.col("stock.inStock").alias("inStock"), F.col("stock.text").alias("availabilityText"), delivery_date(F.col("availability")).alias("deliveryDate"), seller.alias("soldBy"), F.col("stock.status").alias("status")),
-        "quality": F.struct(F.array_compact(F.array(F.col("parse_error"), F.when(F.col("pricing.status") == "PARSER_MISS", "PRICE_PARSER_MISS"), F.when(F.col("pricing.priceSource") == "JSON_LD", "PRICE_FROM_JSON_LD"))).alias("warnings"), F.lit("1").alias("parserVersion")),
+        "availability": F.struct(stock["state"].alias("state"), stock["inStock"].alias("inStock"), stock["text"].alias("availabilityText"), *[stock[c].alias(c) for c in ("stockLeftText", "deliveryDate", "deliveryText")],
+                                 _money(stock["shippingPrice"], market, F.col("shipping")).alias("shippingPrice") if "shipping" in rows.columns else F.lit(None).alias("shippingPrice"), *[stock[c].alias(c) for c in ("primeEligible", "shipsFrom", "soldBy", "status")]),
+        "quality": F.struct(F.array_compact(F.array(*[w for w in warnings if w is not None])).alias("warnings"), F.lit("1").alias("parserVersion")),
     }
-    lines = rank_lines(F.col("ranks"), market.rank_join)
     if "rankings" in wanted:
-        made["rankings"] = F.struct(F.get(lines, 0)["rank"].alias("mainBSR"), F.get(lines, 0)["category"].alias("mainBSRCategory"), lines.alias("all"),
-                                    F.when(F.size(lines) > 0, "EXTRACTED").when(F.col("ranks").isNotNull(), "PARSER_MISS").otherwise("NOT_PRESENT").alias("status"))
+        made["rankings"] = extract.rankings_block(market)
     if "product" in wanted:
-        some = (F.size("bullets") > 0) | F.col("description").isNotNull() | (F.size("specs") > 0)
-        made["product"] = F.struct("bullets", "description", F.col("specs").alias("specifications"), lookup_label(F.col("specs"), ("manufacturer", "hersteller", "fabricant", "produttore", "fabricante")).alias("manufacturer"),
-                                   lookup_label(F.col("specs"), ("model", "modell", "modèle", "modello", "modelo")).alias("model"), "breadcrumb", F.when(some, "EXTRACTED").otherwise("PARSER_MISS").alias("status"))
-    if "buyBox" in wanted:
+        made["product"] = extract.content_block()
+    if wanted & {"buyBox", "offers", "sellerProfiles"}:
         rows = details.buybox(rows, market, own_names)
         b = F.col("buybox")
         made["buyBox"] = F.struct(b["present"].alias("present"), b["seller"].alias("seller"), b["sellerId"].alias("sellerId"), _money(b["price"], market, F.col("box_price")).alias("price"), b["shipsFrom"].alias("shipsFrom"),
@@ -117,28 +120,48 @@ def full_records(captures: DataFrame, options: Options, own_names: tuple[str, ..
     if "media" in wanted:
         rows = details.media_block(rows)
     kept = [c for c in ("title", "brand", "ratings", "variants", "media") if c in rows.columns and c not in made]
-    return records.product_records(rows.select(*kept, *[v.alias(k) for k, v in made.items()]), options.blocks)
+    out = records.product_records(rows.select(*kept, *[v.alias(k) for k, v in made.items()]), tuple(wanted | ({"buyBox"} if wanted & {"offers", "sellerProfiles"} else set())))
+    if "offers" in wanted:
+        out = enrich.join_offers(out, _offers(own, market, options, own_names))
+    if "sellerProfiles" in wanted:
+        pages = compare.latest(own.where(F.col("label") == "SELLER").select("lookup_key", "seq", "html"), ["lookup_key"], ["seq"])
+        out = enrich.join_sellers(out, details.seller_profiles(pages, market, "lookup_key"), f"https://{market.host}/sp?seller=")
+    if wanted & {"offers", "sellerProfiles"} and "buyBox" not in wanted:
+        out = out.withColumn("buyBox", records.empty_block("buyBox", "NOT_APPLICABLE"))
+    return out
+
+
+def _offers(captures: DataFrame, market: Market, options: Options, own_names) -> DataFrame:
+    """item and the offers block of its last captured page of offers."""
+    pages = compare.latest(captures.where(F.col("label") == "OFFERS").select("lookup_key", "seq", "html"), ["lookup_key"], ["seq"])
+    found = details.offers(pages, market, "lookup_key", options.numbers.get("max_offers", 10), own_names)
+    url = F.concat(F.lit(f"https://{market.host}/gp/product/ajax?asin="), F.col("lookup_key"))
+    items = F.transform("items", lambda o: F.struct(
+        o["seller_id"].alias("sellerId"), o["seller"].alias("sellerName"), o["condition"].alias("condition"), _money(o["price"], market, F.lit(None).cast("string")).alias("itemPrice"),
+        _money(o["shipping"], market, F.lit(None).cast("string")).alias("shippingPrice"), _money(o["landed"], market, F.lit(None).cast("string")).alias("landedPrice"), o["prime"].alias("primeEligible"), o["fulfillment"].alias("fulfillment"),
+        o["delivery"].alias("deliveryText"), o["seller_rating"].alias("sellerRating"), o["seller_feedback"].alias("sellerFeedbackCount"), url.alias("sourceUrl"), F.lit("EXTRACTED").alias("status")))
+    return found.select(F.col("lookup_key").alias("item"), F.struct(F.lit(True).alias("requested"), F.col("total").alias("totalCount"), "truncated", "status", items.alias("items")).alias("block"))
 
 
 def discover_items(captures: DataFrame, options: Options) -> DataFrame:
     """Cards of the captured search pages, typed, placed and judged by the filters; matches tells which go on.
 
-    Pages after one that is empty or has no next page are not read.
+    Pages after one that is empty or has no next page are not read. A page stays one row, with its cards as an array, until its place among the
+    pages of its source is known; then they are unfolded.
     """
     market = MARKETS[options.market]
     pages = captures.where((F.col("label") == "SEARCH") & (F.col("market") == options.market) & F.col("ok")).where(F.col("page") <= options.numbers.get("max_pages", 5))
-    cards = extract.extract_cards(pages.select("lookup_key", "page", "html"), heads=extract.SEARCH_PAGE)
-    states = cards.groupBy("lookup_key", "page").agg(F.count("place").alias("cards"), F.max("next").isNotNull().alias("has_next"))
-    read = discover.pages_read(states, "lookup_key", "page", options.numbers.get("max_pages", 5), F.col("has_next"), F.col("cards")).select("lookup_key", "page")
-    cards = cards.where("place IS NOT NULL").join(read, ["lookup_key", "page"], "left_semi")
+    lists = extract.card_lists(pages.select("lookup_key", "page", "html"), heads=extract.SEARCH_PAGE)
+    read = discover.pages_read(lists, "lookup_key", "page", options.numbers.get("max_pages", 5), F.col("next").isNotNull(), F.size("cards"))
+    placed = discover.place_cards(read, "lookup_key", "page", "cards", lambda c: c["sponsored"].isNotNull())
     price, listed = first_money(F.col("price"), market), first_money(F.col("list_price"), market)
-    typed = cards.select(
+    typed = placed.select(
         "lookup_key", "page", "place", "item", "title", (price / 100).alias("price"), F.col("sponsored").isNotNull().alias("sponsored"), "badge", "thumbnail", "delivery",
         rating(F.col("rating"), market).alias("rating"), count(F.col("reviews"), market).alias("reviews"), demand(F.col("demand"), market).alias("demand"),
-        discover.card_discount(price, listed, F.lit(1), F.lit(1)).alias("discount"), F.col("prime").isNotNull().alias("prime"),
+        discover.card_discount(price, listed, F.lit(market.currency), F.lit(market.currency)).alias("discount"), F.col("prime").isNotNull().alias("prime"),
+        "page_position", "position", "sponsored_position", "organic_position",
     )
-    placed = discover.card_positions(typed, "lookup_key", "page", "place", F.col("sponsored"))
-    return discover.filter_cards(placed, options.filters)
+    return discover.filter_cards(typed, options.filters)
 
 
 def monitor(records: DataFrame, baseline: DataFrame, dataset: str, keys: tuple[str, ...] = ("marketplace", "item")) -> DataFrame:

@@ -56,7 +56,7 @@ def _priced(spark, sf):
         F.when(k == 4, F.lit('<div id="availability"><span>Currently unavailable.</span></div>')),
         F.when(k == 5, F.lit("<p>no price here, $5 off elsewhere</p>")),
     )
-    found = extract.extract_fields(_parts(spark, sf).select("p_partkey", html.alias("html")), extract.PRODUCT_FIELDS, extract.STARS, linked="linked")
+    found = extract.extract_fields(_parts(spark, sf).select("p_partkey", html.alias("html")), extract.product_fields(["pricing"]), linked="linked")
     return extract.product_blocks(found, US)
 
 
@@ -80,7 +80,7 @@ def product_ratings(spark, sf):
         F.when(k.isin(0, 2), _put('<span id="acrCustomerReviewText">%s ratings</span>', F.format_number(F.col("p_partkey") * 7, 0))),
         F.when(k == 0, _put('<table id="histogramTable"><tr><td>5 star</td><td>%s%%</td></tr><tr><td>1 star</td><td>%s%%</td></tr></table>'.replace("%%", "%"), five, 100 - five)), F.when(k == 3, F.lit('<div id="averageCustomerReviews">none yet</div>')),
     )
-    found = extract.extract_fields(table(spark, sf, "part").select("p_partkey", html.alias("html")), extract.PRODUCT_FIELDS, extract.STARS)
+    found = extract.extract_fields(table(spark, sf, "part").select("p_partkey", html.alias("html")), extract.product_fields(["ratings"]), extract.STARS)
     r = F.col("ratings")
     return extract.product_blocks(found, US).select("p_partkey", r["rating"].alias("rating"), r["reviewCount"].alias("reviews"), r["starDistribution"]["5"].alias("five"), r["starDistribution"]["1"].alias("one"), r["status"].alias("status"))
 
@@ -93,18 +93,80 @@ def product_identity(spark, sf):
         _put('<span id="productTitle">  Part %s </span>', F.col("p_name")), F.when(k == 0, _put('<a id="bylineInfo">Visit the %s Store</a>', brand)).when(k == 1, _put('<a id="bylineInfo">Brand: %s</a>', brand)).otherwise(_put('<span id="brand">%s</span>', brand)),
         F.when(k == 0, _put('<input id="ASIN" value="%s"><script>var x = {"parentAsin": "%s"};</script>', F.lower(_item()), parent)).when(k == 1, _put("<script>currentAsin = '%s'; parentAsin = '%s';</script>", _item(), _item())).otherwise(_put('<div id="averageCustomerReviews" data-asin="%s"></div>', _item())),
     )
-    found = extract.extract_fields(table(spark, sf, "part").select("p_partkey", html.alias("html")), extract.PRODUCT_FIELDS, strings=extract.IDENTITY_STRINGS)
+    found = extract.extract_fields(table(spark, sf, "part").select("p_partkey", html.alias("html")), extract.IDENTITY_FIELDS, strings=extract.IDENTITY_STRINGS)
     return extract.identity(found).select("p_partkey", F.col("item_id").alias("item"), F.col("parent_item").alias("parent"), "brand", "title")
 
 
-@query("product_stock", """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'IN_STOCK' WHEN p_size % 4 = 1 THEN 'LIMITED_STOCK' END AS state, CASE WHEN p_size % 4 < 2 THEN p_size % 4 = 0 END AS in_stock, CASE p_size % 4 WHEN 0 THEN 'In Stock.' WHEN 1 THEN 'Only ' || p_size || ' left' WHEN 2 THEN 'Ask ' || p_size END AS text,
-  CASE p_size % 4 WHEN 2 THEN 'PARSER_MISS' WHEN 3 THEN 'NOT_PRESENT' ELSE 'EXTRACTED' END AS status FROM part""")
+#: Of page k: what it holds, then state, in stock, text, status as the rules have them.
+_STOCKS = [
+    ('<div id="availability"><span>In  Stock.</span></div>', "IN_STOCK", True, "In Stock.", "EXTRACTED"),
+    ('<div id="availability"><span class="a-color-price">Only 3 left in stock</span></div>', "LIMITED_STOCK", True, "Only 3 left in stock", "EXTRACTED"),
+    ('<div id="availability">Ask the shop</div>', "UNKNOWN", None, "Ask the shop", "PARSER_MISS"),
+    ('<div id="outOfStock"></div>', "OUT_OF_STOCK", False, None, "EXTRACTED"),
+    ('<div id="buybox"></div>', "IN_STOCK", True, None, "EXTRACTED"),
+    ('<div id="availability"> </div><div id="buybox"></div>', "UNKNOWN", None, None, "PARSER_MISS"),
+    ("<p>nothing</p>", "UNKNOWN", None, None, "PARSER_MISS"),
+    ('<div id="availability"><b class="a-color-state">Pre-order now</b> In Stock.</div>', "PREORDER", False, "Pre-order now", "EXTRACTED"),
+    ('<div id="outOfStock"><span class="a-color-price">Currently unavailable.</span></div>', "OUT_OF_STOCK", False, "Currently unavailable.", "EXTRACTED"),
+]
+
+
+def _stock_sql(column: int) -> str:
+    told = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"'{v}'"
+    return "CASE p_size % 9 " + " ".join(f"WHEN {k} THEN {told(row[column])}" for k, row in enumerate(_STOCKS)) + " END"
+
+
+@query("product_stock", f"""SELECT p_partkey, {_stock_sql(1)} AS state, {_stock_sql(2)} AS in_stock, {_stock_sql(3)} AS text, {_stock_sql(4)} AS status, CASE WHEN p_size % 9 = 1 THEN 'Only 3 left in stock' END AS stock_left,
+  CASE WHEN p_partkey % 3 = 0 THEN TRUE WHEN p_partkey % 3 = 1 THEN FALSE END AS prime, CASE WHEN p_partkey % 3 = 1 THEN 499 + p_size END AS shipping, CASE WHEN p_partkey % 3 = 1 THEN 'Monday, March ' || (1 + p_size % 28) END AS delivery_date,
+  CASE WHEN p_partkey % 2 = 0 THEN 'Shop ' || p_size END AS sold_by, CASE WHEN p_partkey % 2 = 0 THEN 'Depot ' || p_brand END AS ships_from FROM part""")
 def product_stock(spark, sf):
-    k = F.col("p_size") % 4
-    html = _page(F.when(k == 0, F.lit('<div id="availability"><span>In  Stock.</span></div>')), F.when(k == 1, _put('<div id="availability"><span>Only %s left</span></div>', F.col("p_size"))), F.when(k == 2, _put('<div id="availability">Ask %s</div>', F.col("p_size"))))
-    found = extract.extract_fields(table(spark, sf, "part").select("p_partkey", html.alias("html")), extract.PRODUCT_FIELDS)
+    part = _parts(spark, sf)
+    shipping = _shown(499 + F.col("p_size"), US)
+    html = _page(
+        F.get(F.array(*[F.lit(row[0]) for row in _STOCKS]), F.col("p_size") % 9), F.when(F.col("p_partkey") % 3 == 0, F.lit('<i class="a-icon-prime"></i>')),
+        F.when(F.col("p_partkey") % 3 == 1, _put('<div id="deliveryBlockMessage">Get it <span class="a-text-bold">Monday, March %s</span> <span class="a-color-secondary">Delivery %s</span></div>', 1 + F.col("p_size") % 28, shipping)),
+        F.when(F.col("p_partkey") % 2 == 0, _put('<div id="merchant-info">Sold by: Shop %s</div><div id="tabular-buybox"><span class="tabular-buybox-text" tabular-attribute-name="Ships from">Ships from Depot %s</span></div>', F.col("p_size"), F.col("p_brand"))),
+    )
+    found = extract.extract_fields(part.select("p_partkey", html.alias("html")), extract.STOCK_FIELDS)
     s = F.col("stock")
-    return extract.product_blocks(found, US).select("p_partkey", s["state"].alias("state"), s["inStock"].alias("in_stock"), s["text"].alias("text"), s["status"].alias("status"))
+    return found.withColumn("stock", extract.stock_block(found, US)).select(
+        "p_partkey", s["state"].alias("state"), s["inStock"].alias("in_stock"), s["text"].alias("text"), s["status"].alias("status"), s["stockLeftText"].alias("stock_left"), s["primeEligible"].alias("prime"), s["shippingPrice"].alias("shipping"),
+        s["deliveryDate"].alias("delivery_date"), s["soldBy"].alias("sold_by"), s["shipsFrom"].alias("ships_from"))
+
+
+@query("product_rankings", """SELECT p_partkey, CASE WHEN k IN (0, 1) THEN CAST(p_partkey AS BIGINT) END AS rank, CASE WHEN k IN (0, 1) THEN p_type END AS category, CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS ranks,
+  CASE k WHEN 0 THEN 'DETAIL_BULLETS' WHEN 1 THEN 'PRODUCT_INFORMATION' END AS source, CASE WHEN k IN (0, 1) THEN 'EXTRACTED' WHEN k = 2 THEN 'PARSER_MISS' ELSE 'NOT_PRESENT' END AS status, CASE WHEN p_partkey % 2 = 0 THEN p_size * 1000 END AS bought
+  FROM (SELECT *, p_size % 5 AS k FROM part)""")
+def product_rankings(spark, sf):
+    k, n = F.col("p_size") % 5, F.format_number("p_partkey", 0)
+    html = _page(
+        F.when(k == 0, _put('<table id="productDetails_detailBullets_sections1"><tr><th>Weight</th><td>#7 in boxes</td></tr></table><div id="detailBullets_feature_div">Best Sellers Rank: #%s in %s (See Top 100) #5 in Parts</div>', n, F.col("p_type"))),
+        F.when(k == 1, _put('<div id="detailBulletsWrapper_feature_div">Best Sellers Rank: none yet</div><div id="SalesRank">Amazon Best Sellers Rank #%s in %s (See Top 100)</div>', n, F.col("p_type"))),
+        F.when(k == 2, F.lit('<div id="SalesRank">Best Sellers Rank: soon</div>')), F.when(k == 3, F.lit('<div id="SalesRank">#12 in Toys</div>')),
+        F.when(F.col("p_partkey") % 2 == 0, _put('<span class="social-proofing-faceout-title-text">%sK+ bought in past month</span>', F.col("p_size"))).otherwise(F.lit('<span class="social-proofing-faceout-title-text">5K+ views</span>')),
+    )
+    found = extract.extract_fields(table(spark, sf, "part").select("p_partkey", html.alias("html")), extract.RANK_FIELDS, boxes=extract.RANK_BOXES)
+    r = F.col("r")
+    return found.withColumn("r", extract.rankings_block(US)).select("p_partkey", r["mainBSR"].alias("rank"), r["mainBSRCategory"].alias("category"), F.size(r["all"]).alias("ranks"), r["source"].alias("source"), r["status"].alias("status"), r["boughtInPastMonthMin"].cast("int").alias("bought"))
+
+
+@query("product_content", """SELECT p_partkey, CASE WHEN k < 2 THEN 2 ELSE 0 END AS bullets, CASE WHEN k = 0 THEN p_name END AS description, CASE WHEN k < 2 THEN p_brand END AS manufacturer, CASE WHEN k < 2 THEN 'M' || p_size END AS model, CASE WHEN k < 2 THEN 'P' || p_partkey END AS part_number,
+  CASE WHEN k < 2 THEN p_type END AS product_type, CASE WHEN k < 2 THEN p_name END AS dimensions, CASE WHEN k < 2 THEN 'box' END AS package, CASE WHEN k < 2 THEN p_size || ' g' END AS weight, CASE WHEN k < 2 THEN 'May 1' END AS first_available, CASE WHEN k < 2 THEN 8 ELSE 0 END AS technical,
+  CASE WHEN k = 0 THEN 'Climate,Best' ELSE '' END AS badges, k = 0 AS rich, CASE WHEN k < 3 THEN 'EXTRACTED' ELSE 'PARSER_MISS' END AS status FROM (SELECT *, p_size % 4 AS k FROM part)""")
+def product_content(spark, sf):
+    k = F.col("p_size") % 4
+    rows = "".join(f"<tr><th>{t}</th><td>%s</td></tr>" for t in ("Manufacturer", "Item model number", "Part Number", "Product type", "Product Dimensions", "Package Dimensions", "Item Weight", "Date First Available"))
+    values = [F.col("p_brand"), F.concat(F.lit("M"), F.col("p_size")), F.concat(F.lit("P"), F.col("p_partkey")), F.col("p_type"), F.col("p_name"), F.lit("box"), F.concat(F.col("p_size").cast("string"), F.lit(" g")), F.lit("May 1")]
+    html = _page(
+        F.when(k < 2, _put('<div id="feature-bullets"><ul><li><span class="a-list-item">first</span></li><li><span class="a-list-item">x</span></li><li class="aok-hidden"><span class="a-list-item">hidden</span></li><li><span class="a-list-item">second</span></li></ul></div>'
+                           f'<table id="productDetails_techSpec_section_1">{rows}</table>', *values)),
+        F.when(k == 0, _put('<div id="productDescription"><p> </p><p>%s</p></div><div id="aplus"></div><div class="badge-wrapper"><i class="a-badge-text">Best</i></div><div id="climatePledgeFriendlyBadge">Climate</div>', F.col("p_name"))),
+        F.when(k == 2, F.lit('<div id="wayfinding-breadcrumbs_feature_div"><ul><li><a>Home</a></li></ul></div>')),
+    )
+    found = extract.extract_fields(table(spark, sf, "part").select("p_partkey", html.alias("html")), extract.CONTENT_FIELDS, extract.CONTENT_LISTS, extract.CONTENT_TABLES)
+    c = F.col("c")
+    named = {"description": "description", "manufacturer": "manufacturer", "model": "model", "part_number": "partNumber", "product_type": "productType", "dimensions": "dimensions", "package": "packageDimensions", "weight": "weight", "first_available": "dateFirstAvailable", "rich": "richContent", "status": "status"}
+    return found.withColumn("c", extract.content_block()).select("p_partkey", F.size(c["bullets"]).alias("bullets"), F.size(c["technicalDetails"]).alias("technical"), F.array_join(c["badges"], ",").alias("badges"), *[c[v].alias(n) for n, v in named.items()])
 
 
 @query("buybox_pages", f"""SELECT p_partkey, k < 2 AS present, CASE WHEN k < 2 THEN p_mfgr_like END AS seller, CASE WHEN k < 2 THEN 'SELLER' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') END AS seller_id, CASE WHEN k = 0 THEN {CENTS_SQL} END AS minor,
@@ -161,13 +223,13 @@ def media_pages(spark, sf):
     return details.media(table(spark, sf, "part").select("p_partkey", html.alias("html")), "p_partkey").select("p_partkey", F.col("mainImage").alias("main"), F.size("images").alias("images"), F.size("videos").alias("videos"), "status")
 
 
-_OFFERS_SQL = """o AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS minor, l_suppkey % 3 AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, round(l_extendedprice * 100), l_partkey) AS place FROM lineitem WHERE l_orderkey % 8 = 0 OR l_orderkey % 8 > 4),
+_OFFERS_SQL = """o AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS minor, l_suppkey % 3 AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, round(l_extendedprice * 100), l_partkey) AS place FROM lineitem),
 d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey, minor ORDER BY place) AS again FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY place) AS n, count(*) OVER (PARTITION BY l_orderkey) AS total FROM d WHERE again = 1)"""
 
 
 @query("offer_pages", f"WITH {_OFFERS_SQL} SELECT l_orderkey, max(total) AS total, CAST(count(*) FILTER (n <= 3) AS INTEGER) AS items, max(total) > 3 AS truncated, max(CASE WHEN n = 1 THEN 'Shop ' || l_suppkey END) AS seller, max(CASE WHEN n = 1 THEN minor END) AS minor, max(CASE WHEN n = 1 THEN CASE k WHEN 0 THEN minor WHEN 1 THEN minor + 499 END END) AS landed, 'EXTRACTED' AS status FROM r GROUP BY l_orderkey")
 def offer_pages(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_orderkey % 8 = 0 OR l_orderkey % 8 > 4")
+    lines = table(spark, sf, "lineitem")
     k, shown = F.col("l_suppkey") % 3, _shown(_cents(F.col("l_extendedprice")), US)
     more = F.when(k == 0, F.lit("FREE Shipping")).when(k == 1, F.lit('<div id="aod-offer-shipping-price"><span class="a-offscreen">$4.99</span></div>')).otherwise("")
     one = _put('<div id="aod-offer"><div id="aod-offer-heading">New</div><span class="a-price"><span class="a-offscreen">%s</span></span><div id="aod-offer-soldBy"><a href="/sp?seller=SHOP%s">Shop %s</a></div>%s</div>', shown, F.lpad(F.col("l_suppkey").cast("string"), 8, "0"), F.col("l_suppkey"), more)
@@ -194,15 +256,15 @@ def _captures(frame, **given):
     return frame.select(*[(given[f.name] if f.name in given else F.col(f.name) if f.name in frame.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CAPTURES])
 
 
-@query("search_pages", """WITH c AS (SELECT p_partkey, p_size, p_brand, p_partkey % 9 AS page, row_number() OVER (PARTITION BY p_brand, p_partkey % 9 ORDER BY p_partkey) AS place, CAST(round(p_retailprice * 100) AS BIGINT) / 100.0 AS price FROM part),
-s AS (SELECT p_brand, page, count(*) AS cards FROM c GROUP BY 1, 2), stop AS (SELECT p_brand, page, coalesce(sum(CASE WHEN cards < 3 THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM s),
-r AS (SELECT c.* FROM c JOIN stop USING (p_brand, page) WHERE n = 0 AND page <= 5)
-SELECT p_partkey, CAST(place AS INTEGER) AS place, count(*) OVER (PARTITION BY p_brand ORDER BY page, place ROWS UNBOUNDED PRECEDING) AS position, price, p_size % 3 = 0 AS prime, CAST(place + (page - 1) * 16 AS BIGINT) AS fixed_position,
+@query("search_pages", """WITH c AS (SELECT p_partkey, p_size, p_brand, p_partkey % 9 AS page, row_number() OVER (PARTITION BY src, p_partkey % 9 ORDER BY p_partkey) AS place, CAST(round(p_retailprice * 100) AS BIGINT) / 100.0 AS price, src FROM (SELECT *, p_brand || ' ' || (p_partkey // 400) AS src FROM part)),
+s AS (SELECT src, page, count(*) AS cards FROM c GROUP BY 1, 2), stop AS (SELECT src, page, coalesce(sum(CASE WHEN cards < 3 THEN 1 ELSE 0 END) OVER (PARTITION BY src ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM s),
+r AS (SELECT c.* FROM c JOIN stop USING (src, page) WHERE n = 0 AND page <= 5)
+SELECT p_partkey, CAST(place AS INTEGER) AS place, count(*) OVER (PARTITION BY src ORDER BY page, place ROWS UNBOUNDED PRECEDING) AS position, price, p_size % 3 = 0 AS prime, CAST(place + (page - 1) * 16 AS BIGINT) AS fixed_position,
   concat_ws(',', CASE WHEN price > 1500 THEN 'PRICE_ABOVE_MAX' END, CASE WHEN p_size % 3 <> 0 THEN 'NOT_PRIME' END) AS reasons FROM r""")
 def search_pages(spark, sf):
     part = _parts(spark, sf).withColumn("page", (F.col("p_partkey") % 9).cast("int"))
     card = _put('<div class="s-result-item" data-asin="%s"><h2>%s</h2><span class="a-price"><span class="a-offscreen">%s</span></span>%s</div>', _item(), F.col("p_name"), F.col("shown"), F.when(F.col("p_size") % 3 == 0, F.lit('<i aria-label="Prime"></i>')).otherwise(""))
-    listed = part.groupBy(F.col("p_brand").alias("lookup_key"), "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", card.alias("c")))), lambda x: x["c"]), "").alias("cards"), F.count(F.lit(1)).alias("n"))
+    listed = part.groupBy(F.concat_ws(" ", "p_brand", F.floor(F.col("p_partkey") / 400)).alias("lookup_key"), "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", card.alias("c")))), lambda x: x["c"]), "").alias("cards"), F.count(F.lit(1)).alias("n"))
     caps = _captures(listed.withColumn("html", _page(F.col("cards"), F.when(F.col("n") >= 3, F.lit('<a class="s-pagination-next">Next</a>')).otherwise(F.lit('<a class="s-pagination-next s-pagination-disabled">Next</a>')))), label=F.lit("SEARCH"), market=F.lit("US"), ok=F.lit(True))
     found = listing.discover_items(caps, plan.check_options({"max_pages": 5, "filters": {"max_price": 1500, "prime_only": True}}))
     return found.select(F.substring("item", 2, 9).cast("long").alias("p_partkey"), "place", "position", "price", "prime", discover.fixed_position(F.col("page"), F.col("place")).alias("fixed_position"), F.array_join("reasons", ",").alias("reasons"))
@@ -210,8 +272,9 @@ def search_pages(spark, sf):
 
 def _full(spark, sf, profile="catalog"):
     k = F.col("p_size") % 2
-    html = _page(_put('<span id="productTitle">%s</span>', F.col("p_name")), F.when(k == 0, _put(_CORE, F.col("shown"))), _put('<div id="SalesRank">#%s in %s (See Top 100)</div>', F.format_number("p_partkey", 0), F.col("p_type")), '<div id="availability"><span>In Stock.</span></div><div id="feature-bullets"><ul><li>a</li><li>b</li></ul></div>')
-    rows = _parts(spark, sf).select(_item().alias("lookup_key"), F.col("p_partkey").alias("seq"), html.alias("html"))
+    html = _page(_put('<span id="productTitle">%s</span>', F.col("p_name")), F.when(k == 0, _put(_CORE, F.col("shown"))), _put('<div id="SalesRank">Best Sellers Rank: #%s in %s (See Top 100)</div>', F.format_number("p_partkey", 0), F.col("p_type")), '<div id="availability"><span>In Stock.</span></div><div id="feature-bullets"><ul><li><span class="a-list-item">one</span></li><li><span class="a-list-item">two</span></li><li><span class="a-list-item">x</span></li></ul></div>')
+    # small rows become large pages, so they are dealt out before the page function
+    rows = _parts(spark, sf).repartition("p_partkey").select(_item().alias("lookup_key"), F.col("p_partkey").alias("seq"), html.alias("html"))
     return listing.full_records(_captures(rows, label=F.lit("PRODUCT"), market=F.lit("US"), ok=F.lit(True), received_at=F.timestamp_seconds(F.lit(86400))), plan.check_options({"profile": profile}), ("big store",))
 
 

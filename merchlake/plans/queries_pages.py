@@ -29,13 +29,14 @@ def classified(spark, sf):
     pages = table(spark, sf, "pages")
     marks = extract.page_marks(F.col("html"), ("enter the characters you see below",), ("page not found",))
     found = extract.extract_fields(pages.select("page_id", marks.alias("marks"), "html"), {"heading": (("h1",), None)})
-    kind = extract.page_class(F.col("marks"), F.lit(200), F.col("heading").isNotNull(), stub=STUB)
-    status = F.when(F.col("kind") == "STANDARD", "SUCCESS").when(F.col("kind") == "NOT_FOUND", "PRODUCT_NOT_FOUND").when(F.col("kind") == "CHALLENGE", "BLOCKED").otherwise("PARSER_ERROR")
-    return found.withColumn("kind", kind).withColumn("status", status).select("page_id", "kind", "status")
+    kind = extract.page_class(F.col("marks"), F.lit(200), F.lit("PRODUCT"), {"anchor": F.col("heading").isNotNull()}, least=STUB)
+    found = found.withColumn("told", kind)
+    status = F.when(F.col("told.not_found"), "PRODUCT_NOT_FOUND").when(F.col("told.blocked"), "BLOCKED").otherwise("SUCCESS")
+    return found.select("page_id", F.coalesce("told.reason", "told.type").alias("kind"), status.alias("status"))
 
 
-_KIND = f"""CASE WHEN contains(lower(html), 'enter the characters you see below') THEN 'CHALLENGE' WHEN contains(lower(html), 'page not found') THEN 'NOT_FOUND'
-  WHEN length(html) < {STUB} THEN 'EMPTY_TEMPLATE' WHEN regexp_matches(html, '<h1>[^<]*[^<\\s][^<]*</h1>') THEN 'STANDARD' ELSE 'UNAVAILABLE' END"""
+_KIND = f"""CASE WHEN contains(lower(html), 'enter the characters you see below') THEN 'CHALLENGE_PAGE' WHEN contains(lower(html), 'page not found') THEN 'DOG_PAGE'
+  WHEN length(html) < {STUB} THEN 'EMPTY_TEMPLATE' WHEN regexp_matches(html, '<h1>[^<]*[^<\\s][^<]*</h1>') THEN 'STANDARD_PRODUCT' ELSE 'EMPTY_TEMPLATE' END"""
 
 
 @query("html_page_class", f"SELECT {_KIND} AS kind, count(*) AS pages FROM pages GROUP BY 1")
@@ -43,7 +44,7 @@ def html_page_class(spark, sf):
     return classified(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("pages"))
 
 
-@query("page_status_ledger", f"""WITH s AS (SELECT CASE {_KIND} WHEN 'STANDARD' THEN 'SUCCESS' WHEN 'NOT_FOUND' THEN 'PRODUCT_NOT_FOUND' WHEN 'CHALLENGE' THEN 'BLOCKED' ELSE 'PARSER_ERROR' END AS status FROM pages)
+@query("page_status_ledger", f"""WITH s AS (SELECT CASE {_KIND} WHEN 'STANDARD_PRODUCT' THEN 'SUCCESS' WHEN 'DOG_PAGE' THEN 'PRODUCT_NOT_FOUND' ELSE 'BLOCKED' END AS status FROM pages)
   SELECT status, count(*) AS items, (SELECT count(*) FROM s) = (SELECT count(*) FROM pages) AS settled FROM s GROUP BY status""")
 def page_status_ledger(spark, sf):
     counts = ledger.status_counts(classified(spark, sf))
@@ -70,3 +71,43 @@ def page_language_counts(spark, sf):
     pages = table(spark, sf, "pages").withColumn("chars", F.length("html"))
     found = extract.extract_fields(pages.select("chars", "html"), {"language": (("html",), "lang")})
     return found.groupBy(clean_text(F.col("language")).alias("language")).agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").cast("long").alias("chars"))
+
+
+#: What page k of each order line holds (beside padding), the status it came with, what was asked for; and the class that follows from the rules.
+_KINDS = [
+    ("<form action='/errors/validateCaptcha'>", 200, "PRODUCT", "CHALLENGE", True, False, "CHALLENGE_PAGE"),
+    ("<p>The dogs of Amazon</p>", 503, "PRODUCT", "NOT_FOUND", False, True, "DOG_PAGE"),
+    ("<p>plain</p>", 404, "PRODUCT", "NOT_FOUND", False, True, "HTTP_STATUS"),
+    ("<p>plain</p>", 429, "SEARCH", "CHALLENGE", True, False, "HTTP_STATUS"),
+    ("<p>plain</p>", 410, "PRODUCT", "UNKNOWN", False, False, "HTTP_STATUS"),
+    ("<p>an offer</p>", 200, "AUXILIARY", "UNKNOWN", False, False, None),
+    ('<div data-component-type="s-search-result"></div>', 200, "SEARCH", "SEARCH", False, False, None),
+    ("<p>No results for x</p>", 200, "SEARCH", "SEARCH", False, True, "URL_NO_ASIN"),
+    ("<p>plain</p>", 200, "SEARCH", "UNKNOWN", True, False, "EMPTY_TEMPLATE"),
+    ("<p>no anchor</p>", 200, "PRODUCT", "UNKNOWN", True, False, "EMPTY_TEMPLATE"),
+    ('<div id="dp"></div><div id="outOfStock"></div>', 200, "PRODUCT", "UNAVAILABLE", False, False, None),
+    ('<div id="ppd"></div><div id="outOfStock"></div><div id="buybox"></div>', 200, "PRODUCT", "STANDARD_PRODUCT", False, False, None),
+    ('<span id="productTitle"></span><div id="variation_size"></div>', 200, "PRODUCT", "VARIATION_PARENT", False, False, None),
+    ('<input id="ASIN"><div id="mediaTabs_tabSet"></div>', 200, "PRODUCT", "BOOK_OR_MEDIA", False, False, None),
+]
+
+
+def _each(column: int) -> str:
+    """SQL: the expected value of page k."""
+    told = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"'{v}'"
+    return "CASE o_orderkey % 14 " + " ".join(f"WHEN {k} THEN {told(row[column])}" for k, row in enumerate(_KINDS)) + " END"
+
+
+@query("page_types", f"""SELECT type, blocked, not_found, reason, count(*) AS pages FROM (
+  SELECT CASE WHEN short AND k IN (5) THEN 'UNKNOWN' WHEN short AND k >= 9 THEN 'UNKNOWN' ELSE {_each(3)} END AS type, CASE WHEN short AND (k = 5 OR k >= 9) THEN TRUE ELSE {_each(4)} END AS blocked,
+         CASE WHEN short AND (k = 5 OR k >= 9) THEN FALSE ELSE {_each(5)} END AS not_found, CASE WHEN short AND (k = 5 OR k >= 9) THEN 'EMPTY_TEMPLATE' ELSE {_each(6)} END AS reason
+  FROM (SELECT *, o_orderkey % 14 AS k, o_custkey % 4 = 0 AS short FROM orders)) GROUP BY ALL""")
+def page_types(spark, sf):
+    k = (F.col("o_orderkey") % 14).cast("int")
+    pick = lambda column: F.get(F.array(*[F.lit(row[column]) for row in _KINDS]), k)
+    padding = F.repeat(F.lit(" pad"), F.when(F.col("o_custkey") % 4 == 0, 5).otherwise(500))
+    pages = table(spark, sf, "orders").select("o_orderkey", pick(1).alias("status"), pick(2).alias("expected"), F.concat(F.lit("<body>"), pick(0), F.lit("<p>x"), padding, F.lit("</p></body>")).alias("html"))
+    marks = extract.page_marks(F.col("html"), no_results=("no results for",))
+    found = extract.extract_fields(pages.withColumn("marks", marks), extract.PAGE_ANCHORS)
+    told = extract.page_class(F.col("marks"), F.col("status"), F.col("expected"), {c: F.col(c).isNotNull() for c in extract.PAGE_ANCHORS}, least=1000)
+    return found.select(told.alias("t")).select("t.*").groupBy("type", "blocked", "not_found", "reason").agg(F.count(F.lit(1)).alias("pages"))

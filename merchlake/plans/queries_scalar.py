@@ -178,9 +178,9 @@ def stable_index(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", numbers.stable_index(F.col("c_name"), 97).alias("slot"))
 
 
-@query("offer_condition", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'NEW' WHEN 1 THEN 'USED' WHEN 2 THEN 'REFURBISHED' WHEN 3 THEN 'COLLECTIBLE' END AS condition FROM part")
+@query("offer_condition", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'NEW' WHEN 1 THEN 'USED' WHEN 2 THEN 'REFURBISHED' WHEN 3 THEN 'COLLECTIBLE' ELSE 'UNKNOWN' END AS condition FROM part")
 def offer_condition(spark, sf):
-    shown = F.element_at(F.array(*[F.lit(s) for s in ("Neu", "Gebraucht - Gut", "Renewed (used)", "Collectible - New", "other")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    shown = F.element_at(F.array(*[F.lit(s) for s in ("Neu", "Usato - Buono", "Renewed (used)", "Collectible - New", "other")]), (F.col("p_partkey") % 5 + 1).cast("int"))
     return table(spark, sf, "part").select("p_partkey", text.condition(shown).alias("condition"))
 
 

@@ -66,3 +66,36 @@ def test_media(spark):
     got = {r.k: r for r in details.media(pages(spark, html, sizes, "<p>"), "k").select("*", F.size("images").alias("n")).collect()}
     assert got[0].images == ["https://i/a.jpg", "https://i/b.jpg"] and got[0].videos == ["https://v/1"]
     assert got[1].images == ["https://i/l.jpg", "https://i/s.jpg", "https://i/z.jpg"] and got[2].status == "PARSER_MISS"
+
+
+def test_deep_and_large_pages(spark):
+    """Thousands of nested elements are answered, and a page of 170 KB takes its many selectors in a fraction of a second."""
+    import time
+
+    from merchlake.functions import dom
+    from merchlake.operators import extract
+
+    deep = dom.parse("<div>" * 5000 + '<p id="title">deep</p>')
+    assert deep.first_text("div #title") == "deep" and len(deep.markup()) > 5000
+    block = '<div class="a-row x%d" id="r%d"><span class="a-price"><span class="a-offscreen">$%d.99</span></span><ul><li>one</li><li>two <b>bold</b></li></ul><a href="/dp/B0%08d">item</a></div>'
+    root = dom.parse("<html><body>" + "".join(block % (i, i, i, i) for i in range(900)) + "</body></html>")
+    began = time.process_time()
+    found = {k: extract._field(root, *v) for k, v in extract.PRODUCT_FIELDS.items()}
+    assert time.process_time() - began < 0.5 and found["price"] is None
+    assert [n.text() for n in root.select("li:last-child b")][:2] == ["bold", "bold"] and len(root.select(".a-row a[href^=\"/dp/\"], .a-offscreen")) == 1800
+    assert [n.order for n in root.select("ul + a")] == sorted(n.order for n in root.select("a"))
+
+
+def test_pages_are_parsed_once(spark):
+    """Plans of offers, listing pages and swatches hold one page function each."""
+    from pyspark.sql import functions as F
+
+    from merchlake.functions.markets import MARKETS
+    from merchlake.operators import details
+    from merchlake.operators.plan import check_options
+    from merchlake.plans import listing
+    from merchlake.sources.tables import CAPTURES
+
+    page = spark.range(3).select("id", F.lit("<p>").alias("html"))
+    frames = [details.offers(page, MARKETS["US"], "id", 3, ["store"]), details.swatch_variants(page, "id"), listing.discover_items(spark.createDataFrame([], CAPTURES), check_options({}))]
+    assert [f._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for f in frames] == [1, 1, 1]

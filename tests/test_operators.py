@@ -11,7 +11,7 @@ PAD = "<p>" + "x" * 9000 + "</p>"
 
 def product(title="Thing", price="$24.99", stock="In Stock."):
     parts = [f'<span id="productTitle"> {title} </span>' if title else "", f'<div id="corePrice_feature_div"><span class="a-offscreen">{price}</span></div>' if price else "", f'<div id="availability"><span>{stock}</span></div>' if stock else ""]
-    return "<html><body>" + "".join(parts) + '<div id="feature-bullets"><ul><li>a</li><li class="aok-hidden">h</li><li>a</li><li>b</li></ul></div>' + PAD + "</body></html>"
+    return "<html><body>" + "".join(parts) + '<div id="feature-bullets"><ul><li><span class="a-list-item">one</span></li><li class="aok-hidden"><span class="a-list-item">hidden</span></li><li><span class="a-list-item">one</span></li><li><span class="a-list-item">two</span></li><li><span class="a-list-item">x</span></li></ul></div>' + PAD + "</body></html>"
 
 
 def captures(spark, rows):
@@ -33,7 +33,7 @@ def test_listing_settles_every_input(spark):
     got = {r.item: r for r in records.collect()}
     assert {k: r.status for k, r in got.items()} == {"B000000001": "SUCCESS", "B000000002": "BLOCKED", "B000000003": "PRODUCT_NOT_FOUND", "B000000004": "SUCCESS", "B000000005": "RUN_ABORTED"}
     first = got["B000000001"]
-    assert (first.pricing.currentPrice, first.stock.state, first.bullets, first.title) == (2499, "IN_STOCK", ["a", "b"], "Thing")
+    assert (first.pricing.currentPrice, first.stock.state, first.bullets, first.title) == (2499, "IN_STOCK", ["one", "two", "x"], "Thing")
     assert got["B000000004"].pricing.status == "OUT_OF_STOCK"
     assert sum(r["items"] for r in listing.settle(work, records).collect()) == 5
     with pytest.raises(AssertionError):
@@ -42,20 +42,40 @@ def test_listing_settles_every_input(spark):
 
 
 def test_full_records(spark):
-    html = product().replace("</body>", '<div id="buybox"></div><div id="merchant-info"><a href="/x?seller=ABCDEFGHIJ">Sold by Shop</a></div><div id="SalesRank">#12 in Toys (See Top 100)</div>'
+    html = product().replace("</body>", '<div id="buybox"></div><div id="merchant-info"><a href="/x?seller=ABCDEFGHIJ">Sold by Shop</a></div><div id="SalesRank">Best Sellers Rank: #12 in Toys (See Top 100)</div>'
                              '<script>x = {"dimensionValuesDisplayData": {"B000000002": ["Red"]}, "dimensionsDisplay": ["Color"], "colorImages": {"initial": [{"hiRes": "https://i/a.jpg"}]}};</script></body>')
     caps = captures(spark, [{"seq": 1, "lookup_key": "B000000001", "html": html}])
     out = listing.full_records(caps, plan.check_options({"profile": "catalog"}), ("store",))
     assert len(out.columns) == 27
     r = out.first()
     assert (str(r.pricing.currentPrice.amount), r.availability.state, r.rankings.mainBSR, r.rankings.mainBSRCategory, r.buyBox.seller, r.buyBox.fulfillment) == ("24.99", "IN_STOCK", 12, "Toys", "Shop", "FBM")
-    assert r.variants["items"][0].options == {"Color": "Red"} and r.media.mainImage == "https://i/a.jpg" and r.product.bullets == ["a", "b"] and r.offers.status == "NOT_APPLICABLE"
+    assert r.variants["items"][0].options == {"Color": "Red"} and r.media.mainImage == "https://i/a.jpg" and r.product.bullets == ["one", "two"] and r.offers.status == "NOT_APPLICABLE"
     short = listing.full_records(caps, plan.check_options({"profile": "essential"})).first()
     assert short.media.status == short.variants.status == "NOT_APPLICABLE" and short.pricing.status == "EXTRACTED" and short.retrieval.billingEvent == "product-essential"
 
 
+def test_offers_and_sellers_of_a_record(spark):
+    """The page of offers, or the buy box in its place; profiles of all sellers named, each once."""
+    box = '<div id="buybox"><span id="price_inside_buybox">$24.99</span></div><div id="merchant-info"><a href="/x?seller=ABCDEFGHIJ">Sold by Shop</a></div></body>'
+    offer = '<div id="aod-container"><div id="aod-offer"><div id="aod-offer-heading">Used - Good</div><span class="a-price"><span class="a-offscreen">$20.00</span></span><div id="aod-offer-soldBy"><a href="/sp?seller=KLMNOPQRST">Other</a></div></div></div>'
+    seller = '<h1 id="sellerName">Shop</h1><div id="seller-feedback-summary">97% positive (1,234 ratings) (1,234)</div>'
+    caps = captures(spark, [
+        {"seq": 1, "lookup_key": "B000000001", "html": product().replace("</body>", box)}, {"seq": 2, "lookup_key": "B000000001", "label": "OFFERS", "html": offer},
+        {"seq": 3, "lookup_key": "B000000002", "html": product().replace("</body>", box)}, {"seq": 4, "lookup_key": "ABCDEFGHIJ", "label": "SELLER", "html": seller}, {"seq": 5, "lookup_key": "B000000003", "html": product()},
+    ])
+    out = listing.full_records(caps, plan.check_options({"profile": "competitive"}), ("store",))
+    got = {r.item: r for r in out.collect()}
+    one, two, three = (got[f"B00000000{k}"] for k in (1, 2, 3))
+    assert len(out.columns) == 27 and one.offers.status == "EXTRACTED" and one.offers["items"][0].condition == "USED" and str(one.offers["items"][0].itemPrice.amount) == "20.00" and one.offers["items"][0].landedPrice is None
+    assert two.offers.status == "EXTRACTED" and two.offers["items"][0].sellerId == "ABCDEFGHIJ" and str(two.offers["items"][0].landedPrice.amount) == "24.99" and "OFFERS_FALLBACK_BUY_BOX" in two.quality.warnings
+    assert three.offers.status == "PARSER_MISS" and three.sellerProfiles.status == "NOT_PRESENT"
+    assert [(p.sellerId, p.sellerName, p.status) for p in one.sellerProfiles["items"]] == [("ABCDEFGHIJ", "Shop", "EXTRACTED"), ("KLMNOPQRST", None, "PARSER_MISS")] and one.sellerProfiles["items"][0].feedbackCount == 1234
+    plan_text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan_text.count("MapInArrow") <= 6
+
+
 def test_monitor(spark):
-    html = product().replace("</body>", '<div id="merchant-info"><a href="/x?seller=ABCDEFGHIJ">Shop</a></div><div id="buybox"></div><div id="SalesRank">#12 in Toys (See Top 100)</div><div id="acrPopover" title="4.5 out of 5 stars"></div><span id="acrCustomerReviewText">120 ratings</span></body>')
+    html = product().replace("</body>", '<div id="merchant-info"><a href="/x?seller=ABCDEFGHIJ">Shop</a></div><div id="buybox"></div><div id="SalesRank">Best Sellers Rank: #12 in Toys (See Top 100)</div><div id="acrPopover" title="4.5 out of 5 stars"></div><span id="acrCustomerReviewText">120 ratings</span></body>')
     later = html.replace("24.99", "25.99").replace("#12 in", "#24 in").replace("4.5 out", "4.4 out").replace("120 rat", "150 rat").replace("ABCDEFGHIJ", "KLMNOPQRST").replace("</body>", '<span id="couponTextpctch">Save $2.00</span></body>')
     options = plan.check_options({"profile": "catalog"})
     before, now = (listing.full_records(captures(spark, [{"seq": 1, "lookup_key": "B000000001", "html": h}]), options) for h in (html, later))
@@ -133,9 +153,8 @@ def test_gate_and_projection(spark):
 def test_enrich(spark):
     offers = spark.createDataFrame([("a", s, p) for s, p in (("x", 3), ("y", 1), ("z", 2))], "k string, seller string, price int")
     block = enrich.offers_block(offers, "k", ["price", "seller"], ["seller"], 2)
-    products = spark.createDataFrame([("a",), ("b",)], "k string")
-    got = {r.k: r for r in enrich.with_offers(products, block, "k").collect()}
-    assert [o.seller for o in got["a"]["items"]] == ["y", "z"] and got["a"].truncated and got["b"].offers_status == "NOT_PRESENT"
+    got = block.first()
+    assert [o.seller for o in got["items"]] == ["y", "z"] and got.truncated
 
 
 def test_sinks(spark, tmp_path):
