@@ -58,7 +58,7 @@ def stock_change(before: Column, after: Column) -> Column:
 
 
 def coupon_change(before: Column, after: Column) -> Column:
-    return F.when(before.isNull() & after.isNotNull(), "COUPON_ADDED").when(before.isNotNull() & after.isNull(), "COUPON_REMOVED").when(before != after, "DISCOUNT_CHANGED")
+    return F.when(before.isNull() & after.isNotNull(), "COUPON_ADDED").when(before.isNotNull() & after.isNull(), "COUPON_REMOVED").when(~before.eqNullSafe(after), "DISCOUNT_CHANGED")
 
 
 def product_changes(now, before, compared: Column) -> tuple[Column, Column]:
@@ -81,7 +81,8 @@ def product_changes(now, before, compared: Column) -> tuple[Column, Column]:
         out = value_change(kind, field, old, new, fair[block] if allowed is None else fair[block] & allowed)
         return out if numeric else F.when(out.isNotNull(), out.withField("percent", F.lit(None).cast("double")))
 
-    coupons = [F.to_json(side("pricing.coupon")) for side in (before, now)]
+    coupons = [side("pricing.coupon") for side in (before, now)]
+    shown = [F.to_json(c, {"ignoreNullFields": "false"}) for c in coupons]
     states = [side("availability.state") for side in (before, now)]
     sellers = [F.coalesce(side("buyBox.sellerId"), side("buyBox.seller")) for side in (before, now)]
     counts = [F.coalesce(side("offers.totalCount"), F.size(side("offers.items")).cast("long")) for side in (before, now)]
@@ -90,7 +91,7 @@ def product_changes(now, before, compared: Column) -> tuple[Column, Column]:
     found = changes(
         moved("PRICE_CHANGED", "pricing.currentPrice.amount", "pricing", ~mismatch),
         moved("DISCOUNT_CHANGED", "pricing.discountPercent", "pricing"),
-        F.when(fair["pricing"], as_change(coupon, "pricing.coupon", *coupons)),
+        F.when(fair["pricing"], as_change(coupon, "pricing.coupon", *shown)),
         F.when(fair["availability"], as_change(stock, "availability.state", *states)),
         moved("BUY_BOX_CHANGED", "buyBox.seller", "buyBox", numeric=False, sides=sellers),
         moved("SELLER_COUNT_CHANGED", "offers.totalCount", "offers", sides=counts),
@@ -102,6 +103,31 @@ def product_changes(now, before, compared: Column) -> tuple[Column, Column]:
     return F.when(compared, found).otherwise(F.array()), F.when(compared, warned).otherwise(F.array(F.lit("COMPARISON_NOT_AVAILABLE:NO_MATCHING_PREVIOUS_OBSERVATION")))
 
 
+#: Types under which product_changes reads the fields of a record; what isn't named is text.
+FIELD_TYPES = {
+    "pricing.currentPrice.amount": "decimal(18,2)", "pricing.discountPercent": "double", "offers.requested": "boolean", "offers.totalCount": "bigint", "offers.items": "array<variant>",
+    "rankings.mainBSR": "bigint", "ratings.rating": "double", "ratings.reviewCount": "bigint",
+    "pricing.coupon": "struct<text:string,type:string,percent:int,amount:struct<amount:decimal(18,2),currency:string,raw:string>>",
+}
+
+
+def untyped(record: Column):
+    """Access to the fields of a record held as VARIANT, for product_changes: what its schema lacks, or has under another type, is null."""
+
+    def field(path: str) -> Column:
+        kind = FIELD_TYPES.get(path, "string")
+        if not kind.startswith("struct"):
+            return F.try_variant_get(record, f"$.{path}", kind)
+        # field by field, as a record of an older schema may lack some of them
+        there = F.try_variant_get(record, f"$.{path}", "map<string,variant>").isNotNull()
+        parts = [F.try_variant_get(record, f"$.{path}.{n}", k).alias(n) for n, k in (("text", "string"), ("type", "string"), ("percent", "int"))]
+        amount = [F.try_variant_get(record, f"$.{path}.amount.{n}", k).alias(n) for n, k in (("amount", "decimal(18,2)"), ("currency", "string"), ("raw", "string"))]
+        held = F.try_variant_get(record, f"$.{path}.amount", "map<string,variant>").isNotNull()
+        return F.when(there, F.struct(*parts, F.when(held, F.struct(*amount)).alias("amount")))
+
+    return field
+
+
 def changes(*found: Column) -> Column:
     """The changes that there are, in the order given."""
     return F.array_compact(F.array(*found))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from merchlake.sources.tables import settled
+
 
 def offers_block(offers: DataFrame, key: str, order: list[str], fields: list[str], most: int) -> DataFrame:
     """For each key the first `most` offers in order, their total, and whether some were left out.
@@ -94,6 +96,30 @@ def promote_variants(products: DataFrame, children: DataFrame, key: str, child:
     return children.select(F.col(child).alias(key)).distinct().join(products.select(key), key, "left_anti")
 
 
+def promote_all(products: DataFrame, children: DataFrame, key: str, parent: str, child: str, ceiling: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Children of products become products, and theirs in turn, until no new key comes up.
+
+    Returns known(key, round) with round 0 for the products given, and sources(key, source): every product that names a key, each once, a product that
+    names itself too. A round joins only the keys of the round before with children(parent, child) and leaves out all known ones, and is written to the shared
+    folder, so the rounds are as many as the graph is deep and a lost executor costs a reread. With a ceiling no more than that many products are known:
+    of a round that would go beyond it, the smallest keys.
+    """
+    edges = settled(children.select(F.col(parent).alias("__parent"), F.col(child).alias(key)).where(F.col("__parent").isNotNull() & F.col(key).isNotNull()).distinct())
+    known = settled(products.select(key).where(F.col(key).isNotNull()).distinct().withColumn("round", F.lit(0)))
+    frontier, number = known, 0
+    while True:
+        number += 1
+        found = edges.join(frontier.select(F.col(key).alias("__parent")), "__parent", "left_semi").select(key).distinct().join(known.select(key), key, "left_anti")
+        if ceiling is not None:
+            found = found.orderBy(key).limit(max(0, ceiling - known.count()))
+        frontier = settled(found.withColumn("round", F.lit(number)))
+        if frontier.isEmpty():
+            break
+        known = settled(known.unionByName(frontier))
+    sources = edges.join(known.select(F.col(key).alias("__parent")), "__parent", "left_semi").join(known.select(key), key, "left_semi").withColumnRenamed("__parent", "source")
+    return known, sources
+
+
 def buybox_offer(present: Column, seller: Column, price: Column, shipping: Column) -> Column:
     """One NEW offer made from the buy box; unknown shipping counts as nothing. Null where there is no buy box."""
     landed = price + F.coalesce(shipping, F.lit(0).cast("decimal(18,2)"))

@@ -89,6 +89,33 @@ def charge_with_cap(charges: DataFrame, run: str, order: str, units: str, cap: i
     return rows.withColumn("outcome", F.when(~billable, "NOT_BILLABLE_STATUS").when(~sound, "BACKEND_ERROR").when(F.col("charged") == F.col(units), "CHARGED").when(F.col("charged") > 0, "PARTIAL").otherwise("CAP_REACHED"))
 
 
+#: Events of one record at most.
+PARTS = 16
+
+
+def commit_records(charges: DataFrame, run: str, order: str, part: str, units: str, cap: int, failed: Column) -> DataFrame:
+    """charges with the status and reason of their record, the units charged and their outcome.
+
+    Records of a run commit in order, each with its base charge (part 0) and then the others. The record whose charges reach the cap is the last: it stays, its
+    charges are cut at the cap. A base charge that fails lets its record stay, uncharged in all parts, and is the last too. Later records are RUN_ABORTED
+    with CHARGE_CAP_REACHED or BILLING_FAILED, and charge nothing. Until a run's stop all that is asked is charged, so a prefix sum finds the stop, over
+    ranges of a run; then what follows is voided.
+    """
+    of_record = Window.partitionBy(run, order)  # a few rows each
+    base_failed = F.coalesce(F.max(F.when(F.col(part) == 0, F.coalesce(failed, F.lit(False)))).over(of_record), F.lit(False))
+    rows = charges.withColumns({"__failed": base_failed, "__place": F.col(order).cast("long") * PARTS + F.col(part)})
+    rows = rows.withColumn("__asked", F.when(F.col("__failed"), 0).otherwise(F.col(units)).cast("long"))
+    rows = running_before(rows, run, "__place", {"__before": F.col("__asked")})
+    stops = F.when(F.col("__failed") & (F.col(part) == 0), "BILLING_FAILED").when(F.col("__before") + F.col("__asked") >= cap, "CHARGE_CAP_REACHED")
+    stop = rows.where(stops.isNotNull()).groupBy(F.col(run).alias("__run")).agg(F.min(F.struct(F.col("__place").alias("place"), F.col(order).alias("order"), stops.alias("reason"))).alias("__stop"))
+    joined = rows.join(stop, rows[run].eqNullSafe(stop["__run"]), "left")
+    late = F.coalesce(F.col(order) > F.col("__stop.order"), F.lit(False))
+    charged = F.when(late, 0).otherwise(F.greatest(F.lit(0), F.least(F.col("__asked"), F.lit(cap) - F.col("__before")))).cast("long")
+    outcome = F.when(late, "VOID").when(F.col("__failed") & (F.col(part) == 0), "BACKEND_ERROR").when(F.col("__failed"), "NOT_ASKED").when(F.col("charged") == F.col(units), "CHARGED").when(F.col("charged") > 0, "PARTIAL").otherwise("CAP_REACHED")
+    out = joined.withColumns({"status": F.when(late, "RUN_ABORTED").otherwise("SUCCESS"), "reason": F.when(late, F.col("__stop.reason")), "charged": charged})
+    return out.withColumn("outcome", outcome).drop("__failed", "__place", "__asked", "__before", "__run", "__stop")
+
+
 #: The metered events.
 EVENTS = ("product-basic", "product-essential", "product-detail", "variant-detail", "offer", "seller-detail", "product-check")
 
@@ -132,7 +159,57 @@ def fetch_outcome(attempts: DataFrame, key: str, order: str) -> DataFrame:
 
 def transport_reason(message: Column) -> Column:
     low = F.lower(message)
-    return F.when(low.rlike("timeout|timed out|etimedout"), "TIMEOUT").when(low.rlike("redirect"), "REDIRECT_LOOP").otherwise("HTTP_STATUS")
+    return F.when(low.rlike("timeout|etimedout|esockettimedout"), "TIMEOUT").when(low.rlike("redirect"), "REDIRECT_LOOP").otherwise("HTTP_STATUS")
+
+
+#: Groups in which the rows of a key are cut first, so that a key of very many rows is no single task.
+SALTS = 64
+
+
+def first_of_key(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
+    """The first `most` rows of each key in order (unique within a key), cut in two levels."""
+    near = rows.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)))
+    near = near.withColumn("__n", F.row_number().over(Window.partitionBy(key, "__salt").orderBy(order))).where(F.col("__n") <= most)
+    near = near.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("__n") <= most)
+    return near.drop("__salt", "__n")
+
+
+def fold_attempts(attempts: DataFrame, key: str, order: str, most: int, allowed: Column | None = None, configured: Column | None = None, budget: Column | None = None) -> DataFrame:
+    """One row a key from its attempts in order: status, reason, attempts used, tier, blocked, status_code.
+
+    attempts hold error (text of a transport failure, else null), status_code, blocked, not_found and reason (of the page's class). At most `most` of them are
+    made; a page, a not-found page or a client error ends them. A block on the datacenter tier moves to the residential one where the fallback is
+    allowed, configured and within its budget, and else names what stood against it; a block on the residential tier is BLOCKED_AFTER_FALLBACK. A
+    block is remembered to the end. The fold runs over an array of at most `most` attempts a key, whatever the key's rows are.
+    """
+    yes = F.lit(True)
+    told = F.struct(
+        F.col(order).alias("at"), "error", F.coalesce(F.col("status_code"), F.lit(200)).cast("int").alias("code"), F.coalesce("blocked", F.lit(False)).alias("blocked"), F.coalesce("not_found", F.lit(False)).alias("not_found"), F.col("reason").cast("string").alias("reason"),
+        *[F.coalesce(c if c is not None else yes, yes).alias(n) for n, c in (("allowed", allowed), ("configured", configured), ("budget", budget))],
+    )
+    listed = first_of_key(attempts.withColumn("__a", told).select(key, order, "__a"), key, order, most).groupBy(key).agg(F.sort_array(F.collect_list("__a")).alias("__all"))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit("").alias("done"), F.lit("DATACENTER").alias("tier"), F.lit("DATACENTER").alias("used"), none.alias("reason"), F.lit(False).alias("blocked"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("code"))
+
+    def step(s: Column, a: Column) -> Column:
+        failed, refused = a["error"].isNotNull(), a["blocked"]
+        fallback = (s["tier"] == "DATACENTER") & a["allowed"] & a["configured"] & a["budget"]
+        against = (
+            F.when(s["tier"] != "DATACENTER", "BLOCKED_AFTER_FALLBACK").when(~a["allowed"], "RESIDENTIAL_FALLBACK_DISABLED").when(~a["configured"], "BLOCKED_AFTER_FALLBACK")
+            .when(~a["budget"], "ESCALATION_BUDGET_EXHAUSTED").otherwise(F.coalesce(a["reason"], F.lit("CHALLENGE_PAGE")))
+        )
+        done = F.when(failed, "").when(a["not_found"], "PRODUCT_NOT_FOUND").when(refused, "").when(a["code"] >= 400, "FETCH_FAILED").otherwise("SUCCESS")
+        reason = F.when(failed, transport_reason(a["error"])).when(a["not_found"], F.coalesce(a["reason"], F.lit("DOG_PAGE"))).when(refused, against).when(a["code"] >= 400, "HTTP_STATUS")
+        next_ = F.struct(
+            done.alias("done"), F.when(~failed & ~a["not_found"] & refused & fallback, "RESIDENTIAL").otherwise(s["tier"]).alias("tier"), s["tier"].alias("used"), reason.alias("reason"),
+            F.when(failed, s["blocked"]).when(a["not_found"], False).when(refused, True).when(a["code"] >= 400, False).otherwise(s["blocked"]).alias("blocked"), (s["n"] + 1).alias("n"), F.when(failed, s["code"]).otherwise(a["code"]).alias("code"),
+        )
+        return F.when(s["done"] != "", s).otherwise(next_)
+
+    folded = listed.withColumn("__s", F.aggregate("__all", start, step))
+    s = F.col("__s")
+    status = F.when(s["done"] != "", s["done"]).when(s["blocked"], "BLOCKED").otherwise("FETCH_FAILED")
+    return folded.select(key, status.alias("status"), s["reason"].alias("reason"), s["n"].alias("attempts"), s["used"].alias("tier"), s["blocked"].alias("blocked"), s["code"].alias("status_code"))
 
 
 def search_outcome(pages: Column, cards: Column, reason: Column) -> Column:

@@ -183,6 +183,23 @@ def monitor(records: DataFrame, baseline: DataFrame, dataset: str, keys: tuple[s
     return joined.withColumn("monitoring", block).select(*[c for c in records.columns if c != "monitoring"], "monitoring")
 
 
+def monitor_untyped(records: DataFrame, baseline: DataFrame, dataset: str, keys: tuple[str, ...] = ("marketplace", "item")) -> DataFrame:
+    """records with their monitoring block against a baseline(keys, record VARIANT) whose records may be of any schema (see sources.tables.read_untyped_baseline).
+
+    A status that an older schema lacks suppresses its block's comparison as PREVIOUS_STATUS_MISSING.
+    """
+    old = baseline.select(*keys, F.col("record").alias("__old"))
+    joined = records.drop("monitoring").join(old, [*keys], "left").withColumn("compared", F.col("__old").isNotNull())
+    found, warned = compare.product_changes(lambda f: F.col(f), compare.untyped(F.col("__old")), F.col("compared"))
+    joined = joined.withColumns({"__found": found, "__warned": warned})
+    block = F.struct(
+        F.lit(True).alias("requested"), "compared", (F.size("__found") > 0).alias("changed"), F.lit(dataset).alias("previousDatasetId"), F.try_variant_get("__old", "$.scrapedAt", "string").alias("previousScrapedAt"),
+        F.when(F.col("compared"), "EXTRACTED").otherwise("NOT_PRESENT").alias("status"),
+        F.transform("__found", lambda c: F.struct(c["type"].alias("type"), c["field"].alias("field"), c["before"].alias("before"), c["after"].alias("after"), c["percent"].alias("percentChange"))).alias("changes"), F.col("__warned").alias("warnings"),
+    )
+    return joined.withColumn("monitoring", block).select(*[c for c in records.columns if c != "monitoring"], "monitoring")
+
+
 def monitoring_counts(monitored: DataFrame) -> DataFrame:
     """One row: checked, compared, changed."""
     return monitored.agg(*[F.count_if(F.coalesce(F.col(f"monitoring.{c}"), F.lit(False))).alias(n) for n, c in (("checked", "requested"), ("compared", "compared"), ("changed", "changed"))])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,30 @@ CAPTURES = T.StructType([
 ])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only on a single machine where that is unset."""
+    context = spark.sparkContext
+    if not (folder := context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="merchlake-"))
+        folder = context.getCheckpointDir()
+    elif context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, its lineage cut."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_captures(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """Captured pages under the fixed schema; missing columns are null, so older captures still read."""
     return spark.read.schema(CAPTURES).format(form).load(path)
@@ -39,6 +66,19 @@ def read_baseline(spark: SparkSession, path: str, schema: T.StructType, keys: li
     return latest(known, keys, order)
 
 
+def read_untyped_baseline(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
+    """keys and `record` (VARIANT): the last successful record of each key of stored JSON lines, whatever schema each of them was written under.
+
+    Lines that are no JSON, and records without one of the keys, are left out.
+    """
+    rows = spark.read.text(path).select(F.try_parse_json("value").alias("record")).where(F.try_variant_get("record", "$.status", "string") == "SUCCESS")
+    rows = rows.select(*[F.try_variant_get("record", f"$.{k}", "string").alias(k) for k in keys], F.try_variant_get("record", f"$.{order}", "string").alias("__order"), F.to_json("record").alias("__text"))
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
+    last = rows.groupBy(*keys).agg(F.max_by("__text", F.struct("__order", "__text")).alias("__text"))
+    return last.select(*keys, F.parse_json("__text").alias("record"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

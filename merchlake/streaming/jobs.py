@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from merchlake.operators import compare
 from merchlake.operators.ledger import ABORT_RATE, DEGRADED_RATE, LEAST_OUTCOMES, WINDOW
+from merchlake.sources.tables import delete
 
 
 def first_rows(stream: DataFrame, keys: list[str], time: str, late: str = "1 hour") -> DataFrame:
@@ -73,6 +75,45 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, form: str = "pa
     return stream.writeStream.format(form).outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def compare_batches(stream: DataFrame, compare: Callable[[DataFrame, int], None], checkpoint: str):
-    """Each micro-batch through a batch function (snapshot join, append of the changes); batches may repeat after a failure."""
-    return stream.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class RecordComparison:
+    """Records of a stream against the last one of their key, in micro-batches that may be repeated.
+
+    Batch n reads the last records that stood after the batch before it (folder/state/batch=<number>), writes its changes to folder/changes/batch=n and the
+    last records to folder/state/batch=n, each as a whole in place of what a failed or repeated run of the batch left there. So a batch has one outcome however
+    often it runs. Records of one key within a batch follow each other by `order`. States before the last two are deleted.
+    """
+
+    def __init__(self, folder: str, keys: tuple[str, ...], order: str):
+        self.folder, self.keys, self.order = folder.rstrip("/"), keys, order
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        states = self._states(spark)
+        before = max((n for n in states if n < number), default=None)
+        rows = batch.withColumn("__new", F.lit(True))
+        if before is not None:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{self.folder}/state/batch={before}").withColumn("__new", F.lit(False)))
+        along = Window.partitionBy(*self.keys).orderBy("__new", self.order)
+        rows = rows.withColumn("__old", F.lag(F.struct(*batch.columns)).over(along)).where("__new")
+        found, warned = compare.product_changes(lambda f: F.col(f), lambda f: F.col(f"__old.{f}"), F.col("__old").isNotNull())
+        told = rows.select(*self.keys, self.order, F.col("__old").isNotNull().alias("compared"), found.alias("changes"), warned.alias("warnings"))
+        told.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={number}")
+        both = batch if before is None else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{self.folder}/state/batch={before}").join(batch.select(*self.keys).distinct(), [*self.keys], "left_anti"))
+        compare.latest(both, [*self.keys], [self.order]).select(*batch.columns).write.mode("overwrite").parquet(f"{self.folder}/state/batch={number}")
+        for n in states:
+            if before is not None and n < before:
+                delete(spark, f"{self.folder}/state/batch={n}")
+
+    def _states(self, spark) -> list[int]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state")
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # a state counts once its writer has finished
+        return [int(s.getPath().getName().removeprefix("batch=")) for s in files.listStatus(place) if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if files.exists(place) else []
+
+    def changes(self, spark) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/changes")
+
+
+def compare_records(stream: DataFrame, comparison: RecordComparison, checkpoint: str):
+    """Start the comparison of a stream of records; it processes what there is and stops."""
+    return stream.writeStream.foreachBatch(comparison).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
