@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEYWORDS = frozenset("type enum const pattern minLength maxLength minimum maximum required properties additionalProperties items uniqueItems oneOf $ref definitions".split())
 NOTES = frozenset("$schema $id title description default examples $comment".split())
@@ -126,3 +127,23 @@ def schema_gate(rows: DataFrame, text: str, schema: dict) -> tuple[DataFrame, Da
     judged = rows.withColumn("violations", schema_violations(F.try_parse_json(text), schema))
     bad = judged.where(F.size("violations") > 0).withColumns({"status": F.lit("PARSER_ERROR"), "reason": F.lit("OUTPUT_SCHEMA_VIOLATION")})
     return judged.where(F.size("violations") == 0).drop("violations"), bad
+
+
+def schema_of(kind: T.DataType, rules: dict[str, dict], name: str = "", path: str = "", required: frozenset[str] = frozenset()) -> dict:
+    """A JSON schema for the values of a Spark type: structs are objects of all their fields and no others, and null is allowed except where `required` names the path.
+
+    rules (by path, else by field name) are laid over what the type gives.
+    """
+    if isinstance(kind, T.StructType):
+        parts = {f.name: schema_of(f.dataType, rules, f.name, f"{path}.{f.name}".lstrip("."), required) for f in kind.fields}
+        out = {"type": "object", "additionalProperties": False, "required": kind.names, "properties": parts}
+    elif isinstance(kind, T.ArrayType):
+        out = {"type": "array", "items": schema_of(kind.elementType, rules, name, f"{path}[]", required)}
+    elif isinstance(kind, T.MapType):
+        out = {"type": "object", "additionalProperties": schema_of(kind.valueType, rules, "", f"{path}{{}}", required)}
+    else:
+        out = {"type": "boolean" if isinstance(kind, T.BooleanType) else "integer" if isinstance(kind, T.IntegralType) else "number" if isinstance(kind, T.NumericType) else "string"}
+    rule = rules.get(path, rules.get(name, {}))
+    if path and path not in required and not ({"enum", "const"} & rule.keys()):
+        out["type"] = [out["type"], "null"]
+    return out | rule

@@ -77,6 +77,39 @@ def record_gate(rows: DataFrame, blocks, markets) -> tuple[DataFrame, DataFrame]
     return judged.where(F.size("violations") == 0).drop("violations"), bad
 
 
+#: What the fields of a record may hold beyond their types.
+_STATUS = {"enum": list(BLOCK_STATUSES)}
+_SHARE = {"minimum": 0, "maximum": 100}
+RECORD_RULES = {
+    "schemaVersion": {"const": "1.5"}, "scrapedAt": {"pattern": "^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.000)?Z$"}, "canonicalUrl": {"pattern": "^https://"}, "item": {"pattern": "^[A-Z0-9]{10}$"}, "currency": {"minLength": 3, "maxLength": 3},
+    "rating": {"minimum": 0, "maximum": 100}, "ratings.rating": {"minimum": 0, "maximum": 5}, "reviewCount": {"minimum": 0}, "mainBSR": {"minimum": 1}, "rank": {"minimum": 1}, "discountPercent": _SHARE, "positivePercent": _SHARE, "neutralPercent": _SHARE,
+    "negativePercent": _SHARE, "sellerRating": _SHARE, "sellerFeedbackCount": {"minimum": 0}, "feedbackCount": {"minimum": 0}, "completenessScore": _SHARE, "fetchAttempts": {"minimum": 0}, "percent": _SHARE,
+}
+RECORD_NEEDS = frozenset(("schemaVersion", "scrapedAt", "input", "marketplace", "item", "canonicalUrl", "retrieval", "quality", "discoveredFrom", "retrieval.requestedBlocks"))
+
+
+def golden_schema() -> dict:
+    """The schema of a whole record: a product record or a failure, made from their columns' types and RECORD_RULES."""
+    from merchlake.functions.json_schema import schema_of
+    from merchlake.functions.markets import MARKETS
+    from merchlake.operators.records import BLOCKS, failure_schema, product_schema
+
+    rules = RECORD_RULES | {f"{b}.status": _STATUS for b in BLOCKS} | {"marketplace": {"enum": list(MARKETS)}}
+    product = schema_of(product_schema(), rules | {"status": {"const": "SUCCESS"}} | {p: _STATUS for p in ("offers.items[].status", "sellerProfiles.items[].status", "variants.items[].status")}, required=RECORD_NEEDS | frozenset(BLOCKS))
+    failure = schema_of(failure_schema(), rules | {"status": {"enum": list(FAILURES)}, "chargedProductEvent": {"const": False}, "item": {}}, required=frozenset(("schemaVersion", "input", "marketplace", "reason")))
+    return {"oneOf": [product, failure]}
+
+
+def golden_gate(rows: DataFrame, schema: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records whose JSON keeps the golden schema, as they were, and the others as failures with their violations. A null in a failure's optional fields counts as null."""
+    from merchlake.functions.json_schema import schema_violations
+
+    record = F.try_parse_json(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"}))
+    judged = rows.withColumn("violations", schema_violations(record, schema or golden_schema()))
+    bad = judged.where(F.size("violations") > 0).withColumns({"status": F.lit("PARSER_ERROR"), "reason": F.lit("OUTPUT_SCHEMA_VIOLATION")})
+    return judged.where(F.size("violations") == 0).drop("violations"), bad
+
+
 def location_block(country: Column, postal: Column, resolved: Column, applied: Column, method: Column) -> Column:
     return F.struct(country.alias("requestedCountry"), postal.alias("requestedPostalCode"), resolved.alias("resolvedPostalCode"), applied.alias("applied"), method.alias("method"), location_status(postal, applied).alias("status"))
 

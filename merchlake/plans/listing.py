@@ -171,7 +171,8 @@ def monitor(records: DataFrame, baseline: DataFrame, dataset: str, keys: tuple[s
     """
     blocks = [*compare.TRUSTED]
     place = lambda: F.coalesce(F.nullif(F.trim("location.resolvedPostalCode"), F.lit("")), F.lit("default")).alias("__place")
-    old = baseline.where("status = 'SUCCESS'").select(*keys, place(), F.col("scrapedAt").cast("string").alias("scrapedAt"), *blocks)
+    kept = F.col("place").alias("__place") if "place" in baseline.columns else place()  # a bucketed baseline has it as a column, and is joined where it lies
+    old = baseline.where("status = 'SUCCESS'").select(*keys, kept, F.col("scrapedAt").cast("string").alias("scrapedAt"), *blocks)
     joined = compare.snapshot_join(records.drop("monitoring").withColumn("__place", place()), old, [*keys, "__place"])
     found, warned = compare.product_changes(lambda f: F.col(f), lambda f: F.col(f"prev_{f}"), F.col("compared"))
     joined = joined.withColumns({"__found": found, "__warned": warned})

@@ -18,9 +18,8 @@ US = MARKETS["US"]
 
 
 def _folder(spark) -> str:
-    """A new folder in the shared place of the session (on one machine without one, in its warehouse)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/queries-{uuid.uuid4().hex}"
+    """A new folder in the place that driver and executors share."""
+    return f"{tables.shared_folder(spark)}/queries-{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------- records
@@ -83,7 +82,7 @@ def quality_blocks(spark, sf):
 
 @query("warning_union", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS warnings FROM events GROUP BY user_id")
 def warning_union(spark, sf):
-    kinds = lambda odd: F.array_distinct(F.collect_list(F.when(F.col("event_id") % 2 == odd, F.col("event_type"))))  # noqa: E731  five event types
+    kinds = lambda odd: F.collect_set(F.when(F.col("event_id") % 2 == odd, F.col("event_type")))  # noqa: E731  five event types
     both = table(spark, sf, "events").groupBy("user_id").agg(kinds(0).alias("a"), kinds(1).alias("b"))
     return both.select("user_id", F.array_join(F.array_sort(quality.merge_warnings(F.col("a"), F.col("b"))), ",").alias("warnings"))
 
@@ -162,7 +161,7 @@ def direct_cards(spark, sf):
 @query("truncation_notice", "SELECT CASE WHEN count(*) > 100 THEN 'only the first 100 rows are read' END AS small, CASE WHEN count(*) > 1000000000 THEN 'x' END AS large FROM orders")
 def truncation_notice(spark, sf):
     orders = table(spark, sf, "orders")
-    return spark.range(1).select(F.lit(tables.over_limit(orders, 100)).alias("small"), F.lit(tables.over_limit(orders, 1_000_000_000)).cast("string").alias("large"))
+    return orders.agg(F.lit(tables.over_limit(orders, 100)).alias("small"), F.lit(tables.over_limit(orders, 1_000_000_000)).cast("string").alias("large"))
 
 
 @query("market_rows", "SELECT code, host, c.n AS customers FROM (SELECT unnest(['US','UK','CA','DE','FR','IT','ES']) AS code, unnest([" + ",".join(f"'{MARKETS[c].host}'" for c in ("US", "UK", "CA", "DE", "FR", "IT", "ES")) + "]) AS host, unnest(range(7)) AS i) m JOIN (SELECT c_nationkey % 7 AS i, count(*) AS n FROM customer GROUP BY 1) c USING (i)")
@@ -370,11 +369,10 @@ def whole_summary(spark, sf):
 @query("append_twice", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_totalprice > 1000 GROUP BY o_custkey")
 def append_twice(spark, sf):
     path, orders = _folder(spark), table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    firsts = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first")).select("o_custkey", (F.col("first") + 0).alias("first"))
+    firsts = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
     for part in (orders.join(firsts, "o_custkey").where("o_orderkey % 2 = 0 OR first % 2 = 1").drop("first"), orders):  # the second append meets what the first one wrote
         tables.append_records(part.where("o_custkey IS NOT NULL"), path, {"price": F.col("o_totalprice") > 1000}, ["o_custkey"], ["o_orderkey"])
-    return spark.read.parquet(path).groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"), F.count(F.lit(1)).alias("n")).where("n = 1").join(
-        orders.where("o_totalprice > 1000").groupBy("o_custkey").agg(F.min("o_orderkey").alias("least")), "o_custkey").select("o_custkey", F.col("least").alias("o_orderkey"))
+    return spark.read.parquet(path).select("o_custkey", "o_orderkey")
 
 
 @query("export_round_trip", "SELECT form, c_custkey, c_name AS name, c_mktsegment AS segment FROM customer, (SELECT unnest(['json', 'csv', 'parquet']) AS form)")
@@ -417,3 +415,38 @@ def stream_changes(spark, sf):
     rows = table(spark, sf, "events").select("user_id", "event_id", "event_type")
     found = _streamed(spark, sf, rows, lambda s: jobs.changes_by_key(s, "user_id", "event_id", "event_type"))
     return found.agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("key").alias("users"))
+
+
+@query("late_sessions", """WITH e AS (SELECT *, CAST(ts AS TIMESTAMP) AS t FROM events), d AS (SELECT min(t) AS first FROM e),
+  k AS (SELECT e.* FROM e, d WHERE NOT (event_id % 10 = 7 AND t < first + INTERVAL 8 DAY)),
+  s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM k),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS n FROM s)
+  SELECT user_id, count(*) AS outcomes, epoch_us(max(t)) - epoch_us(min(t)) AS micros FROM g GROUP BY user_id, n""")
+def late_sessions(spark, sf):
+    """Sessions over batches out of order: rows a day late still join their session, rows ten days late are dropped."""
+    rows = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    day = F.floor((F.unix_timestamp("ts") - rows.agg(F.unix_timestamp(F.min("ts"))).scalar()) / 86400)
+    batch = F.when((F.col("event_id") % 10 == 7) & (day < 8), 2).when((F.col("event_id") % 10 == 3) & (day == 9), 1).otherwise(F.least(F.floor(day / 10), F.lit(2)))
+    dealt = tables.settled(rows.withColumn("batch", batch))
+    source, sink = _folder(spark), _folder(spark)
+    for n in (0, 1, 2, 3):
+        part = dealt.where(F.col("batch") == n) if n < 3 else dealt.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), "ts")  # a row far ahead closes all sessions
+        part.select("user_id", "event_id", "ts").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("user_id long, event_id long, ts timestamp").parquet(source)
+        jobs.run_available(jobs.session_outcomes(stream, "user_id", "ts", "12 hours", "2 days"), f"{sink}/out", f"{sink}/state").awaitTermination()
+    found = spark.read.parquet(f"{sink}/out")
+    return found.select("user_id", "outcomes", (F.unix_micros("end") - F.unix_micros("start") - 43_200_000_000).alias("micros"))
+
+
+@query("capture_source", "SELECT page, lookup_key, seq FROM (SELECT 'B' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS lookup_key, CAST(p_partkey AS BIGINT) AS seq, CAST(p_size AS INTEGER) AS page FROM part WHERE p_partkey % 3 = 1 AND p_size % 2 = 0)")
+def capture_source(spark, sf):
+    """Captures of one market and label through the data source, which reads no other folder."""
+    from merchlake.sources import captures
+
+    captures.register(spark)
+    part = table(spark, sf, "part")
+    market = F.get(F.array(F.lit("US"), F.lit("DE"), F.lit("FR")), (F.col("p_partkey") % 3).cast("int"))
+    rows = part.select(market.alias("market"), F.when(F.col("p_size") % 2 == 0, "PRODUCT").otherwise("OFFERS").alias("label"), F.col("p_partkey").alias("seq"), F.concat(F.lit("B"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("lookup_key"), F.col("p_size").cast("int").alias("page"), F.lit(True).alias("ok"))
+    path = _folder(spark)
+    rows.write.partitionBy("market", "label").json(path)
+    return spark.read.format("captures").option("pushdown", "true").load(path).where((F.col("market") == "DE") & (F.col("label") == "PRODUCT")).select("page", "lookup_key", "seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from merchlake.functions.markets import MARKETS
+from merchlake.functions.markets import MARKETS, market_table
 from merchlake.functions.numbers import percent_change
 from merchlake.functions.text import fulfillment
 from merchlake.operators import compare, discover, enrich, ledger, plan, quality
@@ -356,6 +356,8 @@ def windowed_health_batch(spark, sf):
     return windows.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "outcomes", "blocked")
 
 
-@query("market_dimension", "SELECT unnest(['US','UK','CA','DE','FR','IT','ES']) AS code, unnest(['USD','GBP','CAD','EUR','EUR','EUR','EUR']) AS currency, unnest(['.','.','.',',',',',',',',']) AS decimal")
+@query("market_dimension", "SELECT code, currency, decimal, count(*) AS suppliers FROM (SELECT unnest(['US','UK','CA','DE','FR','IT','ES']) AS code, unnest(['USD','GBP','CAD','EUR','EUR','EUR','EUR']) AS currency, unnest(['.','.','.',',',',',',',',']) AS decimal, unnest(range(7)) AS i) JOIN supplier ON s_nationkey % 7 = i GROUP BY 1, 2, 3")
 def market_dimension(spark, sf):
-    return spark.createDataFrame([(m.code, m.currency, m.decimal) for m in MARKETS.values()], "code string, currency string, decimal string")
+    codes = F.array(*[F.lit(c) for c in ("US", "UK", "CA", "DE", "FR", "IT", "ES")])
+    suppliers = table(spark, sf, "supplier").select(F.get(codes, (F.col("s_nationkey") % 7).cast("int")).alias("code"))
+    return suppliers.join(market_table(spark), "code").groupBy("code", "currency", "decimal").agg(F.count(F.lit(1)).alias("suppliers"))

@@ -66,6 +66,12 @@ def read_baseline(spark: SparkSession, path: str, schema: T.StructType, keys: li
     return latest(known, keys, order)
 
 
+def write_bucketed_baseline(records: DataFrame, name: str, keys: tuple[str, ...] = ("marketplace", "item"), buckets: int = 64) -> None:
+    """Keep records as a table bucketed and sorted by keys and place (the postal code, or "default"), which monitoring joins without moving it."""
+    placed = records.withColumn("place", F.coalesce(F.nullif(F.trim("location.resolvedPostalCode"), F.lit("")), F.lit("default")))
+    placed.write.mode("overwrite").bucketBy(buckets, keys[0], *keys[1:], "place").sortBy(keys[0], *keys[1:], "place").saveAsTable(name)
+
+
 def read_untyped_baseline(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
     """keys and `record` (VARIANT): the last successful record of each key of stored JSON lines, whatever schema each of them was written under.
 
