@@ -4,9 +4,10 @@ Each window of k words is an edge between its first and its last k-1 words. Cons
 least hash of their GRAM-word strings) are cut out as a piece, a path of edges that is sent as one row. Anchors that only one document has
 hold no repeated edge and go. Equal pieces are one; where an anchor has several different pieces their edges are told apart.
 Then Spark builds the graph of the repeated edges: degrees of the nodes by aggregation, runs of edges that follow each other in their source
-over nodes that do not branch, and the runs joined over such nodes by pointer doubling, which gives every edge its path. Where a document holds edges of
-smaller documents in sequence, that is a span; every span is held against its source's coordinates, word by word, in the join with the texts; windows of a span
-that differs from its source (two windows share a 64-bit hash) are looked up by their words in all texts.
+over nodes that do not branch, and the runs joined over such nodes by pointer doubling, which gives every edge its place on a path. Where a document holds
+edges of one path in sequence, it repeats a stretch of the path; the path's rows say where the words of that stretch stand first. Every span is held
+against those coordinates, word by word, in the join with the texts; windows of a span that differs from its source (two windows share a 64-bit
+hash) are looked up by their words in all texts.
 """
 
 from __future__ import annotations
@@ -161,11 +162,13 @@ def _find(shared, k: int, bits: int):
     return run
 
 
-def _compacted(edges: DataFrame) -> DataFrame:
-    """edges(edge, n, head, tail, row, at) with path: nonbranching paths of the graph, named by their first edge's source (row, at).
+def _compacted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nonbranching paths of the graph of edges(edge, n, ord, head, tail, row, at): placed(edge, ord, path, pos) and runs(path, off, windows, ord, src, at).
 
     Edges that follow each other in their source over a node of one edge in and one out are a run (a window over the
-    edges of one document). Runs that meet in such a node are joined by doubling pointers to the run before, in as many rounds as the logarithm of a path's runs.
+    edges of one document). Runs that meet in such a node are one path: pointers to the run before are doubled, with the windows that lie between, in as many
+    rounds as the logarithm of a path's runs. So an edge stands at a position of its path, counted in windows, and a path's rows tell
+    which stretch of it has its words at which place of which document. A path is named by its first run.
     """
     ends = edges.select(F.col("tail").alias("node"), F.lit(1).alias("into"), F.lit(0).alias("out")).unionByName(edges.select(F.col("head").alias("node"), F.lit(0).alias("into"), F.lit(1).alias("out")))
     plain = ends.groupBy("node").agg(F.sum("into").alias("into"), F.sum("out").alias("out")).where("into = 1 AND out = 1").select(F.col("node").alias("head"), F.lit(True).alias("plain"))
@@ -174,25 +177,31 @@ def _compacted(edges: DataFrame) -> DataFrame:
     marked = edges.join(plain, "head", "left").withColumn("__new", ~follows)
     begun = marked.withColumn("run", F.last(F.when(F.col("__new"), F.col("at")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
     begun = materialize(begun.drop("__new"), "path-runs")
-    runs = begun.groupBy("row", "run").agg(F.min_by("head", "at").alias("head"), F.min_by("plain", "at").alias("plain"), F.max_by("tail", "at").alias("tail"))
     name = F.struct("row", "run")
-    befores = runs.select(F.col("tail").alias("head"), name.alias("before"))
-    left = materialize(runs.where("plain").select(name.alias("id"), "head").join(befores, "head").where("id <> before").select("id", "before"), "path-pointers")
+    runs = begun.groupBy("row", "run").agg(F.min_by("head", "at").alias("head"), F.min_by("plain", "at").alias("plain"), F.max_by("tail", "at").alias("tail"), F.sum("n").alias("windows"), F.min("ord").alias("ord"))
+    runs = materialize(runs, "path-stretches")
+    befores = runs.select(F.col("tail").alias("head"), name.alias("before"), F.col("windows").alias("dist"))
+    left = materialize(runs.where("plain").select(name.alias("id"), "head").join(befores, "head").where("id <> before").select("id", "before", "dist"), "path-pointers")
     rounds, open_ = 0, left.count()
-    while open_ and rounds < 40:  # what still moves then stands in a ring, which has no first run
-        jump = left.select(F.col("id").alias("before"), F.col("before").alias("further"))
-        left, old = materialize(left.join(jump, "before", "left").select("id", F.coalesce("further", "before").alias("before"), F.col("further").isNotNull().alias("moved")), "path-pointers"), left
+    while open_ and rounds < 40:  # what still moves then stands in a ring, which has no first run; each of its runs then is a path of its own
+        jump = left.select(F.col("id").alias("before"), F.col("before").alias("further"), F.col("dist").alias("more"))
+        step = left.join(jump, "before", "left").select("id", F.coalesce("further", "before").alias("before"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("further").isNotNull().alias("moved"))
+        left, old = materialize(step, "path-pointers"), left
         discard(old)
         still = left.where("moved").count()
         left, rounds, open_ = left.drop("moved"), rounds + 1, still if still != open_ else 0
-    roots = left.select(F.col("id.row").alias("row"), F.col("id.run").alias("run"), F.col("before").alias("root"))
-    return begun.join(roots, ["row", "run"], "left").withColumn("path", F.coalesce("root", name)).drop("root", "run", "plain")
+    roots = left.select(F.col("id.row").alias("row"), F.col("id.run").alias("run"), F.col("before").alias("root"), "dist")
+    named = materialize(runs.join(roots, ["row", "run"], "left").select("row", "run", F.coalesce("root", name).alias("path"), F.coalesce("dist", F.lit(0)).alias("off"), "windows", "ord"), "path-named")
+    discard(runs)
+    placed = begun.select("edge", "row", "run", "at").join(named, ["row", "run"]).select("edge", "ord", "path", (F.col("off") + F.col("at") - F.col("run")).alias("pos"))
+    return placed, named.select("path", "off", "windows", "ord", F.col("row").alias("src"), F.col("run").alias("at"))
 
 
 def repeated_paths(rows: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
     """Spans of rows(__row, __ord, text): row, start, n edges, src row, at (the position there), path.
 
-    Every edge of a span also starts, by its hash, in src, a row of smaller __ord; path names the nonbranching path of its first edge.
+    Where a row holds edges of one path at positions that follow each other, that is a stretch of the path; the path's own rows, joined to it by path and
+    position, tell in which row src of smaller __ord, and where there, the words of it stand. Every edge of a span also starts, by its hash, in src.
     """
     schema = "anchor long, piece long, row long, ord long, start int, n int"
     pieces = materialize(in_arrow(rows.select("__row", "__ord", "text"), _pieces(k), schema), "path-pieces")
@@ -210,19 +219,24 @@ def repeated_paths(rows: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
     known = parts.join(distinct.select("piece", F.col("src.ord").alias("ord"), "hi"), "piece")
     edges = known.groupBy("edge").agg(F.min(F.struct("ord", "row", "at", "n", "head", "tail")).alias("e"), F.max("hi").alias("hi")).where("e.ord < hi")
     edges = materialize(edges.select("edge", "e.*"), "path-edges")
-    placed = materialize(_compacted(edges).select("edge", F.struct("ord", "row", "at").alias("src"), "path"), "path-placed")
+    placed, runs = _compacted(edges)
+    placed = materialize(placed, "path-placed")
     # what each piece holds, a row for each of its few edges
-    within = parts.select("piece", "off", "n", "edge").join(placed, "edge").groupBy("piece").agg(F.collect_list(F.struct("off", "n", "src", "path")).alias("parts"))
+    within = parts.select("piece", "off", "n", "edge").join(placed, "edge").groupBy("piece").agg(F.collect_list(F.struct("off", "n", "ord", "path", "pos")).alias("parts"))
     within = materialize(within, "path-within")  # a plain shuffle for the join, whose skewed partitions Spark can split
-    found = held.select("piece", "row", "ord", "start").join(within, "piece").withColumn("p", F.explode(F.filter("parts", lambda p: p["src"]["ord"] < F.col("ord"))))
-    steps = found.select("row", (F.col("start") + F.col("p.off")).alias("start"), F.col("p.n").alias("n"), F.col("p.src.row").alias("src"), F.col("p.src.at").alias("at"), F.col("p.path").alias("path"))
+    found = held.select("piece", "row", "ord", "start").join(within, "piece").withColumn("p", F.explode(F.filter("parts", lambda p: p["ord"] < F.col("ord"))))
+    steps = found.select("row", (F.col("start") + F.col("p.off")).alias("start"), F.col("p.n").alias("n"), F.col("p.path").alias("path"), F.col("p.pos").alias("pos"))
     own = Window.partitionBy("row").orderBy("start")
-    goes_on = (F.lag(F.col("start") + F.col("n")).over(own) == F.col("start")) & (F.lag("src").over(own) == F.col("src")) & (F.lag(F.col("at") + F.col("n")).over(own) == F.col("at"))
+    goes_on = (F.lag(F.col("start") + F.col("n")).over(own) == F.col("start")) & (F.lag("path").over(own) == F.col("path")) & (F.lag(F.col("pos") + F.col("n")).over(own) == F.col("pos"))
     cut = steps.withColumn("__new", ~F.coalesce(goes_on, F.lit(False)))
     cut = cut.withColumn("__span", F.last(F.when(F.col("__new"), F.col("start")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = cut.groupBy("row", "__span").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.min("src").alias("src"), F.min("at").alias("at"), F.min_by("path", "start").alias("path"))
-    spans = materialize(spans.drop("__span"), "paths")
-    discard(held, distinct, parts, edges, placed, within)
+    stretches = cut.groupBy("row", "__span").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min_by("path", "start").alias("path"), F.min("pos").alias("pos"))
+    stretches = materialize(stretches.drop("__span"), "path-found")
+    first, last = F.greatest("pos", "off"), F.least(F.col("pos") + F.col("n"), F.col("off") + F.col("windows"))
+    joined = stretches.join(runs.drop("ord"), "path").where((F.col("off") < F.col("pos") + F.col("n")) & (F.col("pos") < F.col("off") + F.col("windows")))
+    spans = joined.select("row", (F.col("start") + first - F.col("pos")).cast("int").alias("start"), (last - first).cast("int").alias("n"), "src", (F.col("at") + first - F.col("off")).cast("int").alias("at"), "path")
+    spans = materialize(spans, "paths")
+    discard(held, distinct, parts, edges, placed, within, stretches)
     return spans
 
 

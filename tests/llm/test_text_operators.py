@@ -29,6 +29,26 @@ def test_substrings_repeated_rows_and_nulls(spark, odd_rows):
     assert got == [(False, 1, 0), (False, 1, 0), (False, 2, 0), (True, 0, n)]
 
 
+def test_substrings_come_from_the_paths(spark, documents, monkeypatch):
+    """Stretches of several documents make one path, spans are read off its rows, and without the compaction the result is wrong."""
+    a, b, c = ([f"{n}{i}" for i in range(40)] for n in "abc")
+    rows = [(1, " ".join(a + b)), (2, " ".join(b[5:] + c)), (3, " ".join(a + b + c)), (4, " ".join(c + a)), (5, " ".join(b[10:] + c[:30]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.substrings(rows)
+    run = lambda d: {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup_substrings(d).collect()}
+    assert run(docs) == want
+    paths = substrings.repeated_paths(docs.select(F.col("doc_id").alias("__row"), F.col("doc_id").alias("__ord"), "text")).collect()
+    assert {(p.row, p.src) for p in paths} >= {(2, 1), (3, 1), (3, 2), (5, 1), (5, 2)} and len({p.path for p in paths if p.row == 3}) < sum(p.row == 3 for p in paths)
+    kept = substrings._compacted
+
+    def flat(edges):
+        placed, runs = kept(edges)
+        return placed.withColumns({"path": F.struct(F.lit(0).cast("long").alias("row"), F.lit(0).alias("run")), "pos": F.lit(0).cast("long")}), runs
+
+    monkeypatch.setattr(substrings, "_compacted", flat)
+    assert run(docs) != want
+
+
 def test_strip_repeats_keeps_columns(odd):
     got = {r.doc_id: r for r in substrings.strip_repeats(odd).collect()}
     assert 5 not in got and got[4].text == [t for i, t in pairs(odd) if i == 4][0] and got[9].text == "other begin other end" and got[9].size == "clash" and got[9].n_chars == len(got[9].text)
