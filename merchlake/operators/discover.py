@@ -108,14 +108,3 @@ def direct_cards(cards: DataFrame, wanted: DataFrame, source: str, item: str) ->
 
 def card_discount(price: Column, listed: Column, currency: Column, list_currency: Column) -> Column:
     return F.when(currency == list_currency, discount_percent(price, listed))
-
-
-def card_records(cards: DataFrame) -> DataFrame:
-    """Records made from cards alone: price, rating, demand; discount fields stay null, the badge is the deal type."""
-    return cards.select(
-        "market", "item", "title", F.lit("SUCCESS").alias("status"),
-        F.struct(F.col("price").alias("currentPrice"), F.lit(None).cast("double").alias("discountPercent"), F.col("badge").alias("dealType"),
-                 F.when(F.col("price").isNotNull(), "EXTRACTED").otherwise("PARSER_MISS").alias("status")).alias("pricing"),
-        F.struct("rating", F.col("reviews").alias("reviewCount"), F.when(F.col("rating").isNotNull(), "EXTRACTED").otherwise("NOT_PRESENT").alias("status")).alias("ratings"),
-        F.array(F.lit("FROM_SEARCH_CARD")).alias("warnings"),
-    )

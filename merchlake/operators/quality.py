@@ -25,6 +25,15 @@ def completeness(fields: dict[str, Column]) -> tuple[Column, Column]:
     return score.cast("int"), missing
 
 
+def scored(records: DataFrame, mode: str) -> DataFrame:
+    """records (of the record schema) with the completeness of their mode in the quality block: fast, intelligence, or detail for all others."""
+    weights = WEIGHTS.get(mode, WEIGHTS["detail"])
+    blocks = {"price": "pricing", "availability": "availability", "rank": "rankings", "ratings": "ratings", "buyBox": "buyBox", "variants": "variants"}
+    there = {"id": F.col("item").isNotNull(), "title": F.col("title").isNotNull(), "url": F.col("canonicalUrl").isNotNull()} | {k: present(F.col(f"{b}.status")) for k, b in blocks.items()}
+    score, missing = completeness({k: (w, there[k]) for k, w in weights.items()})
+    return records.withColumn("quality", F.col("quality").withField("completenessScore", score).withField("criticalFieldsMissing", missing))
+
+
 def project_blocks(rows: DataFrame, wanted, blocks) -> DataFrame:
     """Blocks that aren't wanted keep their shape, all null but for the status NOT_APPLICABLE.
 

@@ -128,7 +128,7 @@ def full_records(captures: DataFrame, options: Options, own_names: tuple[str, ..
         out = enrich.join_sellers(out, details.seller_profiles(pages, market, "lookup_key"), f"https://{market.host}/sp?seller=")
     if wanted & {"offers", "sellerProfiles"} and "buyBox" not in wanted:
         out = out.withColumn("buyBox", records.empty_block("buyBox", "NOT_APPLICABLE"))
-    return out
+    return quality.scored(out, options.mode)
 
 
 def _offers(captures: DataFrame, market: Market, options: Options, own_names) -> DataFrame:
@@ -156,7 +156,7 @@ def discover_items(captures: DataFrame, options: Options) -> DataFrame:
     placed = discover.place_cards(read, "lookup_key", "page", "cards", lambda c: c["sponsored"].isNotNull())
     price, listed = first_money(F.col("price"), market), first_money(F.col("list_price"), market)
     typed = placed.select(
-        "lookup_key", "page", "place", "item", "title", (price / 100).alias("price"), F.col("sponsored").isNotNull().alias("sponsored"), "badge", "thumbnail", "delivery",
+        "lookup_key", "page", "place", "item", "title", (price / 100).alias("price"), (listed / 100).alias("list_price"), F.col("demand").alias("demand_text"), F.col("sponsored").isNotNull().alias("sponsored"), "badge", "thumbnail", "delivery",
         rating(F.col("rating"), market).alias("rating"), count(F.col("reviews"), market).alias("reviews"), demand(F.col("demand"), market).alias("demand"),
         discover.card_discount(price, listed, F.lit(market.currency), F.lit(market.currency)).alias("discount"), F.col("prime").isNotNull().alias("prime"),
         "page_position", "position", "sponsored_position", "organic_position",
@@ -164,6 +164,35 @@ def discover_items(captures: DataFrame, options: Options) -> DataFrame:
     return discover.filter_cards(typed, options.filters)
 
 
+def card_records(cards: DataFrame, options: Options) -> DataFrame:
+    """Records of 27 columns made from the cards of discover_items alone, for runs that read no product page.
+
+    A card's prices, ratings, demand, thumbnail, delivery and prime mark fill their blocks; discounts stay null, the badge is the deal type, and what only a product
+    page tells is NOT_PRESENT or NOT_APPLICABLE. Columns that cards lack are null. Completeness is that of the mode.
+    """
+    market = MARKETS[options.market]
+    own = lambda c, kind="string": F.col(c).cast(kind) if c in cards.columns else F.lit(None).cast(kind)
+    money = lambda c: F.when(own(c, "double").isNotNull(), F.struct(own(c, "decimal(18,2)").alias("amount"), F.lit(market.currency).alias("currency"), F.lit(None).cast("string").alias("raw")))
+    priced, rated, shown = own("price").isNotNull(), own("rating").isNotNull() | own("reviews").isNotNull(), own("thumbnail").isNotNull()
+    extracted = lambda there: F.when(there, "EXTRACTED").otherwise("NOT_PRESENT").alias("status")
+    rows = cards.select(
+        F.lit(options.market).alias("marketplace"), own("item").alias("item"), F.concat(F.lit(f"https://{market.host}/dp/"), own("item")).alias("canonicalUrl"), own("title").alias("title"), own("received_at", "timestamp").alias("scrapedAt"),
+        F.struct(F.lit("keyword").alias("type"), own("lookup_key").alias("value")).alias("input"),
+        F.struct(F.lit(options.profile).alias("profile"), F.array(*[F.lit(b) for b in options.blocks]).cast("array<string>").alias("requestedBlocks"), F.lit(ledger.select_event(options.mode, options.blocks)).alias("billingEvent")).alias("retrieval"),
+        F.struct(money("price").alias("currentPrice"), money("list_price").alias("listPrice"), own("badge").alias("dealType"), F.when(priced, "SEARCH_CARD").alias("priceSource"), extracted(priced)).alias("pricing"),
+        F.struct(F.lit("UNKNOWN").alias("state"), own("delivery").alias("deliveryText"), own("prime", "boolean").alias("primeEligible"), F.lit("NOT_PRESENT").alias("status")).alias("availability"),
+        F.struct(own("demand_text").alias("boughtInPastMonthRaw"), own("demand", "bigint").alias("boughtInPastMonthMin"), F.lit("NOT_APPLICABLE").alias("status")).alias("rankings"),
+        F.struct(own("rating", "double").alias("rating"), own("reviews", "bigint").alias("reviewCount"), extracted(rated)).alias("ratings"),
+        F.struct(own("thumbnail").alias("mainImage"), F.array_compact(F.array(own("thumbnail"))).alias("images"), F.array().cast("array<string>").alias("videos"), extracted(shown)).alias("media"),
+        *[records.empty_block(b, "NOT_APPLICABLE").alias(b) for b in ("buyBox", "variants", "product")],
+        F.struct(F.lit("SEARCH").alias("pageType"), F.array(F.lit("FROM_SEARCH_CARD")).alias("warnings"), F.lit("1").alias("parserVersion")).alias("quality"),
+        F.create_map(F.lit("priceStrategy"), F.when(priced, "SEARCH_CARD")).alias("sources"),
+        F.array(F.struct(F.lit("keyword").alias("type"), own("lookup_key").alias("value"), *[own(c, "int").alias(n) for n, c in (("page", "page"), ("position", "position"), ("pagePosition", "page_position"))], own("sponsored", "boolean").alias("sponsored"),
+                         own("organic_position", "int").alias("organicPosition"), own("sponsored_position", "int").alias("sponsoredPosition"))).alias("discoveredFrom"),
+    )
+    return quality.scored(records.product_records(rows, options.blocks), options.mode)
+
+
 def monitor(records: DataFrame, baseline: DataFrame, dataset: str, keys: tuple[str, ...] = ("marketplace", "item")) -> DataFrame:
     """records (of the record schema) with their monitoring block: the changes of every block against the baseline's record, and why one was not compared.
 

@@ -279,10 +279,10 @@ def _full(spark, sf, profile="catalog"):
 
 
 @query("full_records", f"""SELECT {ITEM_SQL} AS item, p_name AS title, CASE WHEN p_size % 2 = 0 THEN CAST({CENTS_SQL} / 100 AS DOUBLE) END AS amount, CASE WHEN p_size % 2 = 0 THEN 'EXTRACTED' ELSE 'PARSER_MISS' END AS pricing, 'IN_STOCK' AS state, p_partkey AS rank, p_type AS category, 2 AS bullets,
-  'PARSER_MISS' AS media, 'NOT_PRESENT' AS variants, 'NOT_APPLICABLE' AS offers, 'https://{US.host}/dp/' || {ITEM_SQL} AS url, 'product-detail' AS event, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'PRICE_PARSER_MISS' END AS warnings FROM part""")
+  'PARSER_MISS' AS media, 'NOT_PRESENT' AS variants, 'NOT_APPLICABLE' AS offers, 'https://{US.host}/dp/' || {ITEM_SQL} AS url, 'product-detail' AS event, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'PRICE_PARSER_MISS' END AS warnings, CASE WHEN p_size % 2 = 0 THEN 100 ELSE 75 END AS score, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'price' END AS lacking FROM part""")
 def full_records(spark, sf):
     return _full(spark, sf).select("item", "title", F.col("pricing.currentPrice.amount").cast("double").alias("amount"), F.col("pricing.status").alias("pricing"), F.col("availability.state").alias("state"), F.col("rankings.mainBSR").alias("rank"), F.col("rankings.mainBSRCategory").alias("category"),
-                                   F.size("product.bullets").alias("bullets"), F.col("media.status").alias("media"), F.col("variants.status").alias("variants"), F.col("offers.status").alias("offers"), F.col("canonicalUrl").alias("url"), F.col("retrieval.billingEvent").alias("event"), F.array_join("quality.warnings", ",").alias("warnings"))
+                                   F.size("product.bullets").alias("bullets"), F.col("media.status").alias("media"), F.col("variants.status").alias("variants"), F.col("offers.status").alias("offers"), F.col("canonicalUrl").alias("url"), F.col("retrieval.billingEvent").alias("event"), F.array_join("quality.warnings", ",").alias("warnings"), F.col("quality.completenessScore").alias("score"), F.array_join("quality.criticalFieldsMissing", ",").alias("lacking"))
 
 
 @query("profile_projection", "SELECT CASE WHEN p_size % 2 = 0 THEN 'EXTRACTED' ELSE 'PARSER_MISS' END AS pricing, 'NOT_APPLICABLE' AS media, 'NOT_APPLICABLE' AS rankings, count(*) AS items FROM part GROUP BY 1")

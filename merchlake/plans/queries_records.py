@@ -32,10 +32,20 @@ def failure_rows(spark, sf):
     return made.select(F.col("message").cast("long").alias("o_orderkey"), "status", "reason", F.col("schemaVersion").alias("version"), F.col("chargedProductEvent").alias("charged"), F.lit(len(made.columns)).alias("columns"))
 
 
-@query("card_rows", "SELECT p_partkey, p_name AS title, p_retailprice AS price, CASE WHEN p_size % 2 = 0 THEN 'EXTRACTED' ELSE 'NOT_PRESENT' END AS ratings, p_type AS deal, 'FROM_SEARCH_CARD' AS warning, 'SUCCESS' AS status FROM part")
+@query("card_rows", f"""SELECT p_partkey, p_name AS title, CASE WHEN p_size % 3 > 0 THEN p_retailprice END AS price, CASE WHEN p_size % 3 > 0 THEN 'SEARCH_CARD' END AS source, CASE WHEN p_size % 3 > 0 THEN 'EXTRACTED' ELSE 'NOT_PRESENT' END AS pricing,
+  CASE WHEN p_size % 2 = 0 THEN 'EXTRACTED' ELSE 'NOT_PRESENT' END AS ratings, p_type AS deal, CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS images, p_size % 7 = 0 AS prime, CAST(p_size * 100 AS BIGINT) AS bought, 'NOT_APPLICABLE' AS variants, 'FROM_SEARCH_CARD' AS warning,
+  'https://{US.host}/dp/' || p_partkey AS url, p_size % 4 AS page, 'product-basic' AS event, 100 AS score, 27 AS columns FROM part""")
 def card_rows(spark, sf):
-    cards = table(spark, sf, "part").select(F.lit("US").alias("market"), F.col("p_partkey").alias("item"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), F.col("p_type").alias("badge"), F.when(F.col("p_size") % 2 == 0, 4.5).alias("rating"), F.lit(1).alias("reviews"))
-    return discover.card_records(cards).select(F.col("item").alias("p_partkey"), "title", F.col("pricing.currentPrice").alias("price"), F.col("ratings.status").alias("ratings"), F.col("pricing.dealType").alias("deal"), F.get("warnings", 0).alias("warning"), "status")
+    part = table(spark, sf, "part")
+    cards = part.select(
+        F.col("p_partkey").alias("item"), F.col("p_brand").alias("lookup_key"), (F.col("p_size") % 4).alias("page"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 3 > 0, F.col("p_retailprice")).alias("price"), F.col("p_type").alias("badge"),
+        F.when(F.col("p_size") % 2 == 0, 4.5).alias("rating"), F.when(F.col("p_size") % 5 == 0, F.lit("https://i.example/1.jpg")).alias("thumbnail"), (F.col("p_size") % 7 == 0).alias("prime"), (F.col("p_size") * 100).alias("demand"),
+    )
+    made = listing.card_records(cards, plan.check_options({"mode": "fast", "profile": "custom", "blocks": ["pricing", "availability", "ratings", "rankings", "media"]}))
+    return made.select(
+        F.col("item").cast("long").alias("p_partkey"), "title", F.col("pricing.currentPrice.amount").cast("double").alias("price"), F.col("pricing.priceSource").alias("source"), F.col("pricing.status").alias("pricing"), F.col("ratings.status").alias("ratings"),
+        F.col("pricing.dealType").alias("deal"), F.size("media.images").alias("images"), F.col("availability.primeEligible").alias("prime"), F.col("rankings.boughtInPastMonthMin").alias("bought"), F.col("variants.status").alias("variants"), F.get("quality.warnings", 0).alias("warning"),
+        F.col("canonicalUrl").alias("url"), F.get("discoveredFrom", 0)["page"].alias("page"), F.col("retrieval.billingEvent").alias("event"), F.col("quality.completenessScore").alias("score"), F.lit(len(made.columns)).alias("columns"))
 
 
 @query("empty_blocks", "SELECT c_custkey, 'PARSER_MISS' AS pricing, 'NOT_PRESENT' AS rankings, 'NOT_APPLICABLE' AS offers, CAST(NULL AS VARCHAR) AS seller, 0 AS items, 27 AS columns FROM customer")
