@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from merchlake.functions.markets import MARKETS
 from merchlake.functions.urls import item_id, product_url, search_url
@@ -151,16 +152,24 @@ def object_items(rows: DataFrame, field: str, market: str) -> DataFrame:
 def ingest(rows: DataFrame, field: str, seq: str, dataset: str, limit: int | None = None) -> DataFrame:
     """Items of a stored dataset: value, kind (url or asin; null: rejected), reason, ref, row index by seq.
 
-    The first `limit` rows by seq count. Values that are neither a URL nor an identifier are ASIN_MALFORMED, missing ones
-    DATASET_FIELD_MISSING.
+    The first `limit` rows by seq count. A field that is a list gives an item for each of its values that isn't blank. Values that are neither a
+    URL nor an identifier are ASIN_MALFORMED; a row without any value is DATASET_FIELD_MISSING, a dataset without rows one row DATASET_EMPTY.
     """
-    value = F.trim(F.col(field).cast("string"))
     numbered = rows.orderBy(seq).limit(limit) if limit else rows
     index = F.row_number().over(Window.orderBy(seq)) - 1 if limit else F.col(seq)
+    if isinstance(rows.schema[field].dataType, T.ArrayType):
+        some = F.filter(F.transform(field, lambda v: F.trim(v.cast("string"))), lambda v: v != "")
+        numbered = numbered.withColumn("__row", index.cast("long")).select("__row", F.explode_outer(some).alias("__value"))
+    else:
+        numbered = numbered.select(index.cast("long").alias("__row"), F.trim(F.col(field).cast("string")).alias("__value"))
+    value = F.col("__value")
     is_url = F.lower(value).rlike("^https?://")
     kind = F.when(is_url, "url").when(item_id(value).isNotNull(), "asin")
     reason = F.when(F.coalesce(value, F.lit("")) == "", "DATASET_FIELD_MISSING").when(kind.isNull(), "ASIN_MALFORMED")
-    return numbered.select(index.cast("long").alias("row"), value.alias("value"), kind.alias("kind"), reason.alias("reason")).withColumn("ref", F.concat(F.lit(f"{dataset}#"), F.col("row").cast("string"), F.lit(f":{field}")))
+    items = numbered.select(F.col("__row").alias("row"), value.alias("value"), kind.alias("kind"), reason.alias("reason")).withColumn("ref", F.concat(F.lit(f"{dataset}#"), F.col("row").cast("string"), F.lit(f":{field}")))
+    nothing = rows.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
+        F.lit(None).cast("long").alias("row"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("kind"), F.lit("DATASET_EMPTY").alias("reason"), F.lit(dataset).alias("ref"))
+    return items.unionByName(nothing)
 
 
 def union_sources(sources: list[DataFrame], key: str, order: str, dedupe: bool = True) -> DataFrame:

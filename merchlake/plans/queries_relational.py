@@ -36,6 +36,17 @@ def dataset_ingest(spark, sf):
     return plan.ingest(table(spark, sf, "customer").select("c_custkey", value.alias("asin")), "asin", "c_custkey", "ds")
 
 
+@query("dataset_lists", """WITH l AS (SELECT l_orderkey, list(CASE l_partkey % 4 WHEN 0 THEN 'https://shop.example.org/' || l_partkey WHEN 1 THEN ' b' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') WHEN 2 THEN 'bad' ELSE ' ' END) AS v FROM lineitem GROUP BY 1),
+  e AS (SELECT o_orderkey, unnest(CASE WHEN len(list_filter(coalesce(v, []), lambda x: trim(x) <> '')) = 0 THEN [NULL] ELSE list_transform(list_filter(v, lambda x: trim(x) <> ''), lambda x: trim(x)) END) AS value FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+  SELECT o_orderkey AS row, value, CASE WHEN value LIKE 'https%' THEN 'url' WHEN value <> 'bad' THEN 'asin' END AS kind, CASE WHEN value IS NULL THEN 'DATASET_FIELD_MISSING' WHEN value = 'bad' THEN 'ASIN_MALFORMED' END AS reason, 'ds#' || o_orderkey || ':items' AS ref, count(*) AS n FROM e GROUP BY ALL""")
+def dataset_lists(spark, sf):
+    k, key = F.col("l_partkey") % 4, F.col("l_partkey").cast("string")
+    value = F.when(k == 0, F.concat(F.lit("https://shop.example.org/"), key)).when(k == 1, F.concat(F.lit(" b"), F.lpad(key, 9, "0"))).when(k == 2, "bad").otherwise(" ")
+    lists = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(value).alias("items"))
+    rows = table(spark, sf, "orders").select("o_orderkey").join(lists, "o_orderkey", "left")
+    return plan.ingest(rows, "items", "o_orderkey", "ds").groupBy("row", "value", "kind", "reason", "ref").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("dataset_limit", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row, c_name AS value FROM customer ORDER BY c_custkey LIMIT 100")
 def dataset_limit(spark, sf):
     """The row limit of a stored dataset is the feature here."""

@@ -150,6 +150,13 @@ def test_gate_and_projection(spark):
     assert quality.project_blocks(shaped, set(), ["b"]).first().b.asDict() == {"v": None, "status": "NOT_APPLICABLE"}
 
 
+def test_a_dataset_without_rows(spark):
+    rows = spark.createDataFrame([], "n long, items array<string>")
+    assert [tuple(r) for r in plan.ingest(rows, "items", "n", "ds").collect()] == [(None, None, None, "DATASET_EMPTY", "ds")]
+    rows = spark.createDataFrame([(1, ["B000000001", "", None, "https://x"]), (2, []), (3, None), (4, ["nope"])], "n long, items array<string>")
+    assert [(r.row, r.kind, r.reason) for r in plan.ingest(rows, "items", "n", "ds").orderBy("row", "kind").collect()] == [(1, "asin", None), (1, "url", None), (2, None, "DATASET_FIELD_MISSING"), (3, None, "DATASET_FIELD_MISSING"), (4, None, "ASIN_MALFORMED")]
+
+
 def test_enrich(spark):
     offers = spark.createDataFrame([("a", s, p) for s, p in (("x", 3), ("y", 1), ("z", 2))], "k string, seller string, price int")
     block = enrich.offers_block(offers, "k", ["price", "seller"], ["seller"], 2)
