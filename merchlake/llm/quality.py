@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from merchlake.llm import common
 from merchlake.llm.common import discard, materialize
 
-ORDER = 4
+ORDER = 5
 #: Bytes of text in a slice, and that a worker looks at at once.
 SLICE_TEXT, STEP_TEXT = 16 << 20, 1 << 20
 #: Borders of a language's band: this many spreads (half of the range between quartiles) below and above its median.
