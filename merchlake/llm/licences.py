@@ -100,7 +100,7 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
 
     n_base counts all places of the base phrases; first_word and last_word are their smallest and largest start
     (null without any). base_labels and labels are distinct, sorted, joined by commas (empty string: none).
-    score is the largest share of a template's IDF found at one alignment, 0 without a candidate; a label needs a share of
+    score is the largest share of a template's IDF found at one alignment, of the templates that get a label, 0 without any; a label needs a share of
     min_share, min_agree words at that alignment and the whole key phrase, whatever else the text holds. Of alignments that tie
     any gives the same share. Null and empty texts
     have no words; texts of any length are read whole. An empty table gives no rows. Rows are kept apart even if doc_ids repeat or are null; other columns are ignored.
