@@ -19,10 +19,10 @@ def _cents(column):
 # ---------------------------------------------------------------- planning
 
 
-@query("plan_union", """WITH u AS (SELECT o_custkey AS key, o_orderkey AS seq, 0 AS source_rank FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT c_custkey, c_custkey, 1 FROM customer)
+@query("plan_union", """WITH u AS (SELECT o_custkey AS key, o_orderkey AS seq, 0 AS source_rank FROM orders UNION ALL SELECT c_custkey, c_custkey, 1 FROM customer)
   SELECT key, source_rank, seq, merged FROM (SELECT *, count(*) OVER (PARTITION BY key) AS merged, row_number() OVER (PARTITION BY key ORDER BY source_rank, seq) AS n FROM u) WHERE n = 1""")
 def plan_union(spark, sf):
-    asked = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"))
+    asked = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"))
     known = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("seq"))
     return plan.union_sources([asked, known], "key", "seq")
 
@@ -86,7 +86,7 @@ def capacity_cutoff(spark, sf):
 
 FILTERS = {"min_price": 950, "max_price": 1800, "min_rating": 2, "min_reviews": 3, "prime_only": True, "sponsored": "exclude", "min_demand": 60, "min_discount": 5}
 _CARDS = """cards AS (SELECT p.p_partkey, p.p_retailprice AS price, CAST(p.p_size % 6 AS DOUBLE) AS rating, e.reviews, p.p_size % 2 = 0 AS prime, p.p_size % 5 = 0 AS sponsored, e.demand, e.discount
-  FROM part p LEFT JOIN (SELECT l_partkey, count(*) AS reviews, sum(l_quantity) AS demand, max(l_discount) * 100 AS discount FROM lineitem WHERE year(l_shipdate) = 1996 GROUP BY 1) e ON p.p_partkey = e.l_partkey),
+  FROM part p LEFT JOIN (SELECT l_partkey, nullif(count(*) FILTER (year(l_shipdate) = 1996), 0) AS reviews, sum(l_quantity) FILTER (year(l_shipdate) = 1996) AS demand, max(l_discount) FILTER (year(l_shipdate) = 1996) * 100 AS discount FROM lineitem GROUP BY 1) e ON p.p_partkey = e.l_partkey),
 judged AS (SELECT p_partkey, concat_ws(',', CASE WHEN price IS NULL THEN 'PRICE_MISSING' WHEN price < 950 THEN 'PRICE_BELOW_MIN' END, CASE WHEN price > 1800 THEN 'PRICE_ABOVE_MAX' END,
   CASE WHEN rating IS NULL THEN 'RATING_MISSING' WHEN rating < 2 THEN 'RATING_BELOW_MIN' END, CASE WHEN reviews IS NULL THEN 'REVIEW_COUNT_MISSING' WHEN reviews < 3 THEN 'REVIEW_COUNT_BELOW_MIN' END,
   CASE WHEN NOT prime THEN 'NOT_PRIME' END, CASE WHEN sponsored THEN 'SPONSORED_EXCLUDED' END, CASE WHEN demand IS NULL THEN 'DEMAND_MISSING' WHEN demand < 60 THEN 'DEMAND_BELOW_MIN' END,
@@ -94,8 +94,8 @@ judged AS (SELECT p_partkey, concat_ws(',', CASE WHEN price IS NULL THEN 'PRICE_
 
 
 def _judged(spark, sf):
-    lines = table(spark, sf, "lineitem").where(F.year("l_shipdate") == 1996)
-    evidence = lines.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("reviews"), F.sum("l_quantity").alias("demand"), (F.max("l_discount") * 100).alias("discount"))
+    lines, then = table(spark, sf, "lineitem"), F.year("l_shipdate") == 1996  # parts without a line of that year have no evidence
+    evidence = lines.groupBy("l_partkey").agg(F.nullif(F.count_if(then), F.lit(0)).alias("reviews"), F.sum(F.when(then, F.col("l_quantity"))).alias("demand"), (F.max(F.when(then, F.col("l_discount"))) * 100).alias("discount"))
     part = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("price"), (F.col("p_size") % 6).cast("double").alias("rating"), (F.col("p_size") % 2 == 0).alias("prime"), (F.col("p_size") % 5 == 0).alias("sponsored"))
     return discover.filter_cards(part.join(evidence, part["p_partkey"] == evidence["l_partkey"], "left"), FILTERS)
 
@@ -223,17 +223,17 @@ def variant_promotion(spark, sf):
 
 
 @query("variant_prices", """SELECT p_partkey, CASE WHEN price IS NULL THEN 'PARSER_MISS' ELSE 'EXTRACTED' END AS status, coalesce(availability, 'UNKNOWN') AS availability, price FROM part
-  LEFT JOIN (SELECT l_partkey, max(l_extendedprice) AS price, 'IN_STOCK' AS availability FROM lineitem WHERE year(l_shipdate) = 1998 GROUP BY 1) ON p_partkey = l_partkey""")
+  LEFT JOIN (SELECT *, CASE WHEN price IS NOT NULL THEN 'IN_STOCK' END AS availability FROM (SELECT l_partkey, max(l_extendedprice) FILTER (year(l_shipdate) = 1998) AS price FROM lineitem GROUP BY 1)) ON p_partkey = l_partkey""")
 def variant_prices(spark, sf):
-    captures = table(spark, sf, "lineitem").where(F.year("l_shipdate") == 1998).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_extendedprice").alias("price")).withColumn("availability", F.lit("IN_STOCK"))
+    captures = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max(F.when(F.year("l_shipdate") == 1998, F.col("l_extendedprice"))).alias("price")).withColumn("availability", F.when(F.col("price").isNotNull(), "IN_STOCK"))
     return enrich.variant_prices(table(spark, sf, "part").select("p_partkey"), captures, "p_partkey").select("p_partkey", "status", "availability", "price")
 
 
-@query("buybox_fallback", """WITH o AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE year(l_shipdate) = 1999 GROUP BY 1)
+@query("buybox_fallback", """WITH o AS (SELECT l_partkey, nullif(count(*) FILTER (year(l_shipdate) = 1998 AND l_returnflag = 'N' AND l_linenumber = 7), 0) AS n FROM lineitem GROUP BY 1)
   SELECT p_partkey, CASE WHEN n IS NOT NULL THEN 'EXTRACTED' WHEN p_size % 4 <> 0 THEN 'BUYBOX' END AS source,
   CAST(CASE WHEN n IS NULL AND p_size % 4 <> 0 THEN round(p_retailprice * 100) + CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END END AS BIGINT) AS landed FROM part LEFT JOIN o ON p_partkey = l_partkey""")
 def buybox_fallback(spark, sf):
-    offers = table(spark, sf, "lineitem").where(F.year("l_shipdate") == 1999).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    offers = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.nullif(F.count_if((F.year("l_shipdate") == 1998) & (F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 7)), F.lit(0)).alias("n"))
     joined = table(spark, sf, "part").join(offers, F.col("p_partkey") == F.col("l_partkey"), "left")
     price = (_cents("p_retailprice") / 100).cast("decimal(18,2)")
     shipping = F.when(F.col("p_size") % 3 != 0, (F.col("p_size") / 100).cast("decimal(18,2)"))
