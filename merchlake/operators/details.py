@@ -55,6 +55,7 @@ SWATCH = 'li[data-defaultasin], li[data-dp-url]'
 SWATCH_FIELDS = {"child": (None, "data-defaultasin"), "link": (None, "data-dp-url"), "value": ((".a-button-text", ".swatch-title-text"), None), "hint": (None, "title")}
 TWISTER = '#twister .a-row, #twister-plus-inline-twister .a-row, [id^="variation_"]'
 TWISTER_FIELDS = {"ident": (None, "id"), "label": ((".a-form-label", ".twisterTextDiv", ".inline-twister-dim-title-value"), None)}
+VARIANT_CARDS = {"twister_rows": (TWISTER, TWISTER_FIELDS, {"swatches": (SWATCH, SWATCH_FIELDS)})}
 VARIANT_FIELDS = {"variant_parent": (("#twister", "#twister-plus-inline-twister", '[id^="variation_"]'), "id")}
 MEDIA_FIELDS = {"sizes": (MAIN_IMAGE, "data-a-dynamic-image"), "src": (MAIN_IMAGE, "src")}
 MEDIA_LISTS = {"thumbs": (("#altImages li img", "#imageBlockThumbs img"), "src")}
@@ -146,15 +147,11 @@ def variants(pages: DataFrame, key: str, mode: str = "discover", most: int = 50)
 
 
 def all_variants(pages: DataFrame, key: str, mode: str = "discover", most: int = 50) -> DataFrame:
-    """As variants; pages without a usable matrix are read once more for swatches, and a twister of swatches is EXTRACTED."""
-    found = variants(pages, key, mode, most)
+    """As variants; a page without a usable matrix that draws its items as swatches is EXTRACTED too."""
     if mode == "none":
-        return found
-    left = pages.join(found.where("status <> 'EXTRACTED'").select(key), key, "left_semi")
-    drawn = swatch_variants(left, key, most).select(key, *[F.col(c).alias(f"__{c}") for c in ("dimensions", "items", "truncated")])
-    joined, has = found.join(drawn, key, "left"), F.col("__items").isNotNull()
-    own = {c: F.when(has, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("dimensions", "items", "truncated")}
-    return joined.select(key, *[v.alias(c) for c, v in own.items()], F.when(has, "EXTRACTED").otherwise(F.col("status")).alias("status"))
+        return variants(pages, key, mode, most)
+    found = extract.extract_fields(pages.select(key, "html"), VARIANT_FIELDS, blobs=VARIANT_BLOBS, cards=VARIANT_CARDS)
+    return variants_block(found, most).select(key, "variants.*")
 
 
 def variants_block(found: DataFrame, most: int = 50) -> DataFrame:
@@ -169,9 +166,42 @@ def variants_block(found: DataFrame, most: int = 50) -> DataFrame:
     found = found.withColumn("__dims", F.when(F.col("__width").isNull(), F.array().cast("array<string>")).when(F.size("__named") == F.col("__width"), F.col("__named")).otherwise(label))
     items = F.transform(F.slice("__rows", 1, most), lambda e: F.struct(e["key"].alias("item"), F.map_from_arrays(F.slice(F.col("__dims"), F.lit(1), F.size(e["value"])), e["value"]).alias("options")))
     some = F.coalesce(F.size("__rows"), F.lit(0)) > 0
+    dims, count = F.col("__dims"), F.coalesce(F.size("__rows"), F.lit(0))
+    if "twister_rows" in found.columns:  # a layout without the matrix may draw its items as swatches
+        found = found.withColumn("__drawn", _drawn_items(F.col("twister_rows")))
+        drawn = ~some & (F.size("__drawn.items") > 0)
+        items, dims, count = F.when(drawn, F.slice("__drawn.items", 1, most)).otherwise(items), F.when(drawn, F.col("__drawn.dimensions")).otherwise(dims), F.when(drawn, F.size("__drawn.items")).otherwise(count)
+        some = some | drawn
     status = F.when(some, "EXTRACTED").when(F.col("variant_parent").isNotNull(), "PARSER_MISS").otherwise("NOT_PRESENT")
-    block = F.struct(F.col("__dims").alias("dimensions"), F.when(some, items).otherwise(F.array()).alias("items"), (some & (F.size("__rows") > most)).alias("truncated"), status.alias("status"))
-    return found.withColumn("variants", block).drop("__rows", "__named", "__width", "__dims")
+    block = F.struct(dims.alias("dimensions"), F.when(some, items).otherwise(F.array()).alias("items"), (some & (count > most)).alias("truncated"), status.alias("status"))
+    return found.withColumn("variants", block).drop("__rows", "__named", "__width", "__dims", "__drawn")
+
+
+def _swatch_name(row: Column) -> Column:
+    """The dimension of a row of a twister: its label without the colon, else what its identifier says."""
+    return F.coalesce(F.regexp_replace(row["label"], "[:\\uff1a]\\s*$", ""), F.when(F.startswith(row["ident"], F.lit("variation_")), humanize_dimension(F.regexp_replace(row["ident"], "^variation_", ""))))
+
+
+def _swatch(card: Column) -> Column:
+    item = F.coalesce(item_id(card["child"]), item_id(F.regexp_extract(card["link"], "/dp/([A-Za-z0-9]{10})", 1)))
+    return F.struct(item.alias("item"), F.regexp_replace(F.coalesce(card["value"], card["hint"]), "^(?i)Click to select\\s*", "").alias("value"))
+
+
+def _drawn_items(rows: Column) -> Column:
+    """struct(dimensions, items) of the rows of a twister; of several values of an item's dimension the last holds."""
+    named = F.filter(F.transform(rows, lambda r: F.struct(_swatch_name(r).alias("dimension"), F.filter(F.transform(r["swatches"], _swatch), lambda s: s["item"].isNotNull() & s["value"].isNotNull()).alias("swatches"))), lambda r: r["dimension"].isNotNull() & (F.size(r["swatches"]) > 0))
+    flat = F.flatten(F.transform(named, lambda r: F.transform(r["swatches"], lambda s: F.struct(s["item"].alias("item"), r["dimension"].alias("dimension"), s["value"].alias("value")))))
+
+    def listed(all_: Column) -> Column:
+        def one(item: Column) -> Column:
+            own = F.filter(all_, lambda s: s["item"] == item)
+            names = F.array_distinct(F.transform(own, lambda s: s["dimension"]))
+            return F.struct(item.alias("item"), F.map_from_arrays(names, F.transform(names, lambda d: F.element_at(F.filter(own, lambda s: s["dimension"] == d), -1)["value"])).alias("options"))
+
+        items = F.transform(F.array_sort(F.array_distinct(F.transform(all_, lambda s: s["item"]))), one)
+        return F.struct(F.array_distinct(F.transform(all_, lambda s: s["dimension"])).alias("dimensions"), items.alias("items"))
+
+    return F.get(F.transform(F.array(flat), listed), 0)
 
 
 def swatch_variants(pages: DataFrame, key: str, most: int = 50) -> DataFrame:
@@ -180,11 +210,9 @@ def swatch_variants(pages: DataFrame, key: str, most: int = 50) -> DataFrame:
     A row of the twister is a dimension; its label stands before the swatches, else its identifier names it.
     """
     rows = extract.extract_cards(pages.select(key, "html"), TWISTER, TWISTER_FIELDS, unique=None, nested={"swatches": (SWATCH, SWATCH_FIELDS)})
-    named = F.coalesce(F.regexp_replace("label", "[:\\uff1a]\\s*$", ""), F.when(F.startswith("ident", F.lit("variation_")), humanize_dimension(F.regexp_replace("ident", "^variation_", ""))))
-    swatches = rows.withColumn("dimension", named).where("dimension IS NOT NULL").select(key, F.col("place").alias("row"), "dimension", F.inline("swatches"))
-    item = F.coalesce(item_id(F.col("child")), item_id(F.regexp_extract("link", "/dp/([A-Za-z0-9]{10})", 1)))
-    value = F.regexp_replace(F.coalesce("value", "hint"), "^(?i)Click to select\\s*", "")
-    found = swatches.select(key, "row", "dimension", item.alias("item"), value.alias("value")).where("item IS NOT NULL AND value IS NOT NULL")
+    named = _swatch_name(F.struct("label", "ident"))
+    swatches = rows.withColumn("dimension", named).where("dimension IS NOT NULL").select(key, F.col("place").alias("row"), "dimension", F.explode("swatches").alias("s"))
+    found = swatches.select(key, "row", "dimension", _swatch(F.col("s")).alias("s")).select(key, "row", "dimension", "s.*").where("item IS NOT NULL AND value IS NOT NULL")
     # of several values of a dimension the last holds, as for its swatches in page order
     each = found.groupBy(key, "item", "dimension").agg(F.max_by("value", "row").alias("value"), F.min("row").alias("row"))
     items = each.groupBy(key, "item").agg(F.sort_array(F.collect_list(F.struct("row", "dimension", "value"))).alias("o"))

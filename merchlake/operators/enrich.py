@@ -84,11 +84,18 @@ def top_variants(items: DataFrame, parent: str, item: str, most: int) -> DataFra
     return listed.withColumn("truncated", F.col("total") > most)
 
 
-def variant_prices(items: DataFrame, captures: DataFrame, key: str) -> DataFrame:
-    """items with the price and state of their own page; a page that failed gives UNKNOWN and PARSER_MISS."""
+def variant_prices(items: DataFrame, captures: DataFrame, key: str, stopped: str | None = None) -> DataFrame:
+    """items with the price and state of their own page; a page that failed gives UNKNOWN and PARSER_MISS.
+
+    stopped names a column that tells the items whose turn came after the charge cap was reached: they are not looked up, and NOT_APPLICABLE.
+    """
     joined = items.join(captures.select(key, "price", "availability"), key, "left")
+    late = F.coalesce(F.col(stopped), F.lit(False)) if stopped else F.lit(False)
     miss = F.col("price").isNull() & F.col("availability").isNull()
-    return joined.withColumns({"status": F.when(miss, "PARSER_MISS").otherwise("EXTRACTED"), "availability": F.coalesce("availability", F.lit("UNKNOWN"))})
+    return joined.withColumns({
+        "status": F.when(late, "NOT_APPLICABLE").when(miss, "PARSER_MISS").otherwise("EXTRACTED"), "price": F.when(~late, F.col("price")),
+        "availability": F.when(late, F.lit(None).cast("string")).otherwise(F.coalesce("availability", F.lit("UNKNOWN"))),
+    })
 
 
 def promote_variants(products: DataFrame, children: DataFrame, key: str, child: str) -> DataFrame:

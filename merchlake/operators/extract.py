@@ -150,15 +150,16 @@ def _list(root, selectors, attribute):
 PAGES_AT_ONCE = 64
 
 
-def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | None = None, maps: dict | None = None, blobs: dict | None = None, html: str = "html", strings: dict | None = None, linked: str | None = None, boxes: dict | None = None) -> DataFrame:
+def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | None = None, maps: dict | None = None, blobs: dict | None = None, html: str = "html", strings: dict | None = None, linked: str | None = None, boxes: dict | None = None, cards: dict | None = None) -> DataFrame:
     """pages without html, with a string column a field, an array column a list, and parse_error (null: parsed).
 
     maps (name -> selectors) gives key and value tables as map columns; blobs (name -> key) the JSON text behind a key of
     an inline script, strings (name -> key) the quoted text behind one; linked names a column for the page's linked-data
     objects, as the text of a JSON array; boxes (name -> selectors) gives the whole text of each selector's matches, null without any.
-    Unwanted fields are simply not asked for, so they cost nothing.
+    cards (name -> (selector, fields, nested)) gives an array of cards as in card_lists. Unwanted fields are simply not asked for, so they cost nothing.
     """
-    lists, maps, blobs, strings, boxes = lists or {}, maps or {}, blobs or {}, strings or {}, boxes or {}
+    lists, maps, blobs, strings, boxes, cards = lists or {}, maps or {}, blobs or {}, strings or {}, boxes or {}, cards or {}
+    card_types = {c: _card_type(within, nested) for c, (_, within, nested) in cards.items()}
     kept = [c for c in pages.columns if c != html]
     texts = [*fields, *blobs, *strings, *([linked] if linked else [])]
 
@@ -167,6 +168,7 @@ def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | N
         values = {k: _field(root, *v) for k, v in fields.items()} | {k: _list(root, *v) for k, v in lists.items()}
         values |= {k: list(dom.key_values(root, *v).items()) for k, v in maps.items()} | {k: dom.json_slice(page, v) for k, v in blobs.items()}
         values |= {k: dom.js_string(page, v) for k, v in strings.items()}
+        values |= {k: _cards(root, selector, within, None, nested) for k, (selector, within, nested) in cards.items()}
         values |= {k: [dom.squeeze("".join(n.text() for n in root.select(s))) for s in v] for k, v in boxes.items()}
         return values | ({linked: json.dumps(dom.json_ld(root))} if linked else {})
 
@@ -174,7 +176,7 @@ def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | N
         for whole in batches:
             for at in range(0, whole.num_rows, PAGES_AT_ONCE):
                 batch = whole.slice(at, PAGES_AT_ONCE)
-                made = {c: [] for c in [*texts, *lists, *boxes, *maps, "parse_error"]}
+                made = {c: [] for c in [*texts, *lists, *boxes, *cards, *maps, "parse_error"]}
                 for page in batch.column(batch.schema.get_field_index(html)):
                     error, values = None, {}
                     try:
@@ -184,11 +186,11 @@ def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | N
                     for c in made:
                         made[c].append(error if c == "parse_error" else values.get(c))
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-                kinds = {c: pa.list_(pa.string()) for c in [*lists, *boxes]} | {c: pa.map_(pa.string(), pa.string()) for c in maps}
+                kinds = {c: pa.list_(pa.string()) for c in [*lists, *boxes]} | {c: pa.map_(pa.string(), pa.string()) for c in maps} | {c: pa.list_(t) for c, (_, t) in card_types.items()}
                 columns += [pa.array(v, kinds.get(c, pa.string())) for c, v in made.items()]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + [f"`{c}` string" for c in texts] + [f"`{c}` array<string>" for c in [*lists, *boxes]] + [f"`{c}` map<string,string>" for c in maps] + ["parse_error string"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + [f"`{c}` string" for c in texts] + [f"`{c}` array<string>" for c in [*lists, *boxes]] + [f"`{c}` array<{d}>" for c, (d, _) in card_types.items()] + [f"`{c}` map<string,string>" for c in maps] + ["parse_error string"])
     return pages.mapInArrow(run, schema)
 
 

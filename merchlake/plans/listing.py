@@ -77,13 +77,14 @@ def full_records(captures: DataFrame, options: Options, own_names: tuple[str, ..
         fields, lists, maps = fields | extract.CONTENT_FIELDS, lists | extract.CONTENT_LISTS, extract.CONTENT_TABLES
     if wanted & {"buyBox", "offers", "sellerProfiles"}:
         fields = fields | details.BUYBOX_FIELDS
+    cards = {}
     if "variants" in wanted:
-        fields, blobs = fields | details.VARIANT_FIELDS, blobs | details.VARIANT_BLOBS
+        fields, blobs, cards = fields | details.VARIANT_FIELDS, blobs | details.VARIANT_BLOBS, details.VARIANT_CARDS
     if "media" in wanted:
         fields, lists, blobs = fields | details.MEDIA_FIELDS, lists | details.MEDIA_LISTS, blobs | details.MEDIA_BLOBS
     own = captures.where((F.col("market") == options.market) & F.col("ok"))
     last = compare.latest(own.where(F.col("label") == "PRODUCT").select("lookup_key", "seq", "received_at", "html"), ["lookup_key"], ["seq"])
-    found = extract.extract_fields(last, fields, lists, maps, blobs, strings=extract.IDENTITY_STRINGS, linked="linked" if "pricing" in wanted else None, boxes=boxes)
+    found = extract.extract_fields(last, fields, lists, maps, blobs, strings=extract.IDENTITY_STRINGS, linked="linked" if "pricing" in wanted else None, boxes=boxes, cards=cards)
     rows = extract.product_blocks(extract.identity(found), market)
     rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("deal_price", "buybox_price", "price", "list_price", "subscribe") if c not in rows.columns})
     now, listed = F.col("pricing.currentPrice"), F.col("pricing.listPrice")

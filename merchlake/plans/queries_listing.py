@@ -212,6 +212,22 @@ def variant_swatches(spark, sf):
     return found.select("p_partkey", F.array_join(F.transform("dimensions", lambda d: F.regexp_replace(d, " X$", "")), ",").alias("dimensions"), F.size("items").alias("items"), first["item"].alias("first_item"), first["options"]["Color"].alias("color"), first["options"]["Size Name X"].alias("size"))
 
 
+@query("drawn_variants", """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Color,Size Name' WHEN 1 THEN 'Color' ELSE '' END AS dimensions, CASE p_size % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS items, CASE WHEN p_size % 3 < 2 THEN 'V' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS first_item,
+  CASE WHEN p_size % 3 < 2 THEN p_type END AS color, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS VARCHAR) END AS size, CASE p_size % 3 WHEN 2 THEN 'PARSER_MISS' ELSE 'EXTRACTED' END AS status FROM part""")
+def drawn_variants(spark, sf):
+    """Variants of both layouts through one page function: swatches, the matrix, and a twister without either."""
+    one, two, k = _variant_item(F.col("p_partkey")), _variant_item(F.col("p_partkey") + 1), F.col("p_size") % 3
+    html = _page(
+        F.when(k == 0, _put('<div id="variation_color_name"><label class="a-form-label">Color:</label><ul><li data-defaultasin="%s"><span class="a-button-text">old</span></li><li data-defaultasin="%s"><span class="a-button-text">%s</span></li><li data-defaultasin="%s" title="Click to select other"></li></ul></div>'
+                            '<div id="variation_size_name"><ul><li data-dp-url="/dp/%s/x" title="Click to select %s"></li><li data-defaultasin="bad" title="z"></li></ul></div>', one, one, F.col("p_type"), two, one, F.col("p_size"))),
+        F.when(k == 1, _put('<script>d = {"dimensionValuesDisplayData": {"%s": ["%s"]}, "dimensionsDisplay": ["Color"]};</script><div id="variation_color"><ul><li data-defaultasin="%s" title="drawn"></li></ul></div>', one, F.col("p_type"), two)),
+        F.when(k == 2, F.lit('<div id="twister"><div class="a-row"></div></div>')),
+    )
+    found = details.all_variants(table(spark, sf, "part").select("p_partkey", html.alias("html")), "p_partkey")
+    first = F.get("items", 0)
+    return found.select("p_partkey", F.array_join(F.transform("dimensions", lambda d: F.when(d == "Size", "Size Name").otherwise(d)), ",").alias("dimensions"), F.size("items").alias("items"), first["item"].alias("first_item"), F.try_element_at(first["options"], F.lit("Color")).alias("color"), F.try_element_at(first["options"], F.lit("Size")).alias("size"), "status")
+
+
 @query("media_pages", """SELECT p_partkey, CASE p_size % 4 WHEN 3 THEN NULL ELSE 'https://i.example/' || p_partkey || '.jpg' END AS main, CASE p_size % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END AS images, CASE WHEN p_size % 4 = 0 THEN 1 ELSE 0 END AS videos, CASE WHEN p_size % 4 < 3 THEN 'EXTRACTED' ELSE 'PARSER_MISS' END AS status FROM part""")
 def media_pages(spark, sf):
     k, n = F.col("p_size") % 4, F.col("p_partkey")
