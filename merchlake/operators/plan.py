@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from merchlake.functions.markets import MARKETS
 from merchlake.functions.urls import item_id, product_url, search_url
+from merchlake.operators.records import SCHEMA_VERSION
 
 #: Blocks in canonical order, profiles, blocks of the fast mode, bounds of the numeric options.
 BLOCKS = ("pricing", "availability", "ratings", "rankings", "buyBox", "variants", "product", "media", "offers", "sellerProfiles")
@@ -103,13 +104,25 @@ def check_options(raw: dict) -> Options:
         numbers[name] = min(max(int(value), low), high)
         if numbers[name] != int(value):
             warnings.append(f"{name} clamped to {numbers[name]}")
+    if (version := raw.get("schema_version", SCHEMA_VERSION)) != SCHEMA_VERSION:
+        warnings.append(f"schema version {version} is asked for, {SCHEMA_VERSION} is written")
+    if raw.get("require_location") and not raw.get("postal"):
+        warnings.append("a place is required but no postal code is given, so none is applied")
     profile = raw.get("profile", "essential" if mode == "fast" else "catalog")
+    if profile == "custom" and not raw.get("blocks"):
+        raise ValueError("the custom profile needs blocks")
     blocks = resolve_blocks(profile, raw.get("blocks", ()), raw.get("offers", False), raw.get("sellers", False))
     if mode == "fast" and (extra := set(blocks) - FAST_BLOCKS):
         raise ValueError(f"fast mode has no {sorted(extra)}")
     return Options(mode, market, profile, blocks, raw.get("variants", "discover"), raw.get("dedupe", True), numbers, check_filters(raw.get("filters", {})), raw.get("baseline"), tuple(warnings))
 
 
+def check_inputs(raw: dict) -> None:
+    """At least one of items, urls, keywords and dataset is given, and not empty."""
+    if not any(raw.get(k) for k in ("items", "urls", "keywords", "dataset")):
+        raise ValueError("no inputs: give at least one of items, urls, keywords, dataset")
+
+
 def inline_items(text: Column, keywords: bool = False) -> Column:
     """array of the items of one delimited text; keywords part only at ; and line ends."""
     parts = F.split(text, "[;\\n]+" if keywords else "[\\s,;]+")

@@ -319,3 +319,13 @@ def sanitized_pages(spark, sf):
     from merchlake.functions.text import sanitize_html
 
     return table(spark, sf, "pages").select("page_id", sanitize_html(F.col("html"), [("[0-9]{5,}", "N"), ('href="[^"]*"', 'href="#"')]).alias("html"))
+
+
+@query("redacted_pages", """SELECT page_id, '<script>/* ue telemetry removed */</script><p>page ' || page_id || '</p>{"sessionId": "REDACTED", "keep": "k' || page_id || '"}<input name="csrfToken" type="hidden" value="REDACTED"><div data-csa-c-item-id="REDACTED" id="d' || page_id || '">REDACTED-SESSION-ID</div><span id="glow-ingress-line2">REDACTED LOCATION</span><a href="/dp/x?qid=REDACTED&tag=REDACTED&keep=' || page_id || '">' || url || '</a>' AS html FROM pages""")
+def redacted_pages(spark, sf):
+    from merchlake.functions.text import sanitize_html
+
+    n = F.col("page_id")
+    html = _put('<script type="x">var a = 1; ue_id = "X%s";</script><p>page %s</p>{"sessionId": "S%s", "keep": "k%s"}<input name="csrfToken" type="hidden" value="T%s"><div data-csa-c-item-id="I%s" id="d%s">123-1234567-%s</div><span id="glow-ingress-line2">Town %s</span><a href="/dp/x?qid=%s&tag=t%s&keep=%s">%s</a>',
+                n, n, n, n, n, n, n, F.lpad(n.cast("string"), 7, "0"), n, n, n, n, F.col("url"))
+    return table(spark, sf, "pages").select("page_id", sanitize_html(html).alias("html"))

@@ -460,3 +460,20 @@ def capture_source(spark, sf):
     path = _folder(spark)
     rows.write.partitionBy("market", "label").json(path)
     return spark.read.format("captures").option("pushdown", "true").load(path).where((F.col("market") == "DE") & (F.col("label") == "PRODUCT")).select("page", "lookup_key", "seq")
+
+
+@query("stream_health", """WITH e AS (SELECT CAST(user_id % 5 AS VARCHAR) AS run, event_type = 'error' AS blocked, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id DESC) AS back, count(*) OVER (PARTITION BY user_id % 5) AS outcomes FROM events),
+  r AS (SELECT run, any_value(outcomes) AS outcomes, count(*) FILTER (blocked) AS bad, count(*) AS seen FROM e WHERE back <= 50 GROUP BY run)
+  SELECT run, outcomes, bad / seen AS block_rate, CASE WHEN outcomes < 10 THEN 'HEALTHY' WHEN bad / seen >= 0.6 THEN 'ABORT' WHEN bad / seen >= 0.35 THEN 'DEGRADED' ELSE 'HEALTHY' END AS state FROM r""")
+def stream_health(spark, sf):
+    """The breaker's state of each run after a stream of two batches."""
+    rows = tables.settled(table(spark, sf, "events").select((F.col("user_id") % 5).alias("run"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("blocked")))
+    half = rows.agg(F.percentile_approx("seq", 0.5)).scalar()
+    source, sink = _folder(spark), _folder(spark)
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        rows.where(part).write.mode("append").parquet(source)
+        stream = jobs.health(spark.readStream.schema(rows.schema).parquet(source))
+        put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/out/batch={n}")
+        stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{sink}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{sink}/out").groupBy("run").agg(F.max_by(F.struct("outcomes", "block_rate", "state"), "outcomes").alias("s"))
+    return found.select("run", "s.outcomes", "s.block_rate", "s.state")

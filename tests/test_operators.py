@@ -150,6 +150,16 @@ def test_gate_and_projection(spark):
     assert quality.project_blocks(shaped, set(), ["b"]).first().b.asDict() == {"v": None, "status": "NOT_APPLICABLE"}
 
 
+def test_warnings_of_options():
+    found = plan.check_options({"schema_version": "1.4", "require_location": True}).warnings
+    assert len(found) == 2 and "1.4" in found[0] and "postal" in found[1] and not plan.check_options({"require_location": True, "postal": "10001"}).warnings
+    with pytest.raises(ValueError, match="needs blocks"):
+        plan.check_options({"profile": "custom"})
+    with pytest.raises(ValueError, match="no inputs"):
+        plan.check_inputs({"items": [], "keywords": None})
+    plan.check_inputs({"dataset": "d"})
+
+
 def test_a_dataset_without_rows(spark):
     rows = spark.createDataFrame([], "n long, items array<string>")
     assert [tuple(r) for r in plan.ingest(rows, "items", "n", "ds").collect()] == [(None, None, None, "DATASET_EMPTY", "ds")]
