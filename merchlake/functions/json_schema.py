@@ -122,9 +122,14 @@ def schema_violations(record: Column, schema: dict) -> Column:
     return F.when(record.isNull(), F.array(F.lit("/ must be JSON"))).otherwise(_Compiler(schema).check(record, schema, F.lit("")))
 
 
+def schema_judged(rows: DataFrame, text: str, schema: dict) -> DataFrame:
+    """rows and `violations` of the JSON column `text` (empty: it keeps the schema), computed once a row."""
+    return rows.withColumn("violations", schema_violations(F.try_parse_json(text), schema))
+
+
 def schema_gate(rows: DataFrame, text: str, schema: dict) -> tuple[DataFrame, DataFrame]:
     """Rows whose JSON column `text` keeps the schema, and the others as failures of PARSER_ERROR with their violations."""
-    judged = rows.withColumn("violations", schema_violations(F.try_parse_json(text), schema))
+    judged = schema_judged(rows, text, schema)
     bad = judged.where(F.size("violations") > 0).withColumns({"status": F.lit("PARSER_ERROR"), "reason": F.lit("OUTPUT_SCHEMA_VIOLATION")})
     return judged.where(F.size("violations") == 0).drop("violations"), bad
 

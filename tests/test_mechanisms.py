@@ -29,6 +29,16 @@ def test_schema_keywords(spark):
         json_schema.schema_violations(F.lit(None).cast("variant"), {"properties": {"a": {"$ref": "#"}}} | {"definitions": {"a": {"properties": {"b": {"$ref": "#/definitions/a"}}}}, "properties": {"a": {"$ref": "#/definitions/a"}}})
 
 
+def test_gate_splits_rows(spark):
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": ["integer", "null"]}}}
+    rows = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a": null}'), (3, "{}"), (4, '{"a": "x"}'), (5, None), (6, "")], "k int, j string")
+    good, bad = json_schema.schema_gate(rows, "j", schema)
+    assert good.columns == ["k", "j"] and sorted(r.k for r in good.collect()) == [1, 2]
+    said = {r.k: (r.violations, r.status, r.reason) for r in bad.collect()}
+    assert {k: v[0] for k, v in said.items()} == {3: ["/ must have required property 'a'"], 4: ["/a must be integer,null"], 5: ["/ must be JSON"], 6: ["/ must be JSON"]}
+    assert {v[1:] for v in said.values()} == {("PARSER_ERROR", "OUTPUT_SCHEMA_VIOLATION")}
+
+
 def test_golden_gate(spark):
     plain = spark.range(8).select(
         F.col("id").cast("string").alias("title"), F.concat(F.lit("B00000000"), F.col("id").cast("string")).alias("item"), F.lit("US").alias("marketplace"), F.lit("https://x.example/dp/1").alias("canonicalUrl"), F.timestamp_seconds(F.lit(86400)).alias("scrapedAt"),
