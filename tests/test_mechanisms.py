@@ -175,3 +175,13 @@ def test_bucketed_baseline_is_not_moved(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_stream_health_parts_its_rows_once(spark, tmp_path, monkeypatch):
+    from merchlake.plans import catalogue, queries_records
+
+    spark.range(400).selectExpr("id AS event_id", "id % 10 AS user_id", "CASE WHEN id % 3 = 0 THEN 'error' ELSE 'view' END AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    # a middle that no two evaluations agree on, as that of large tables
+    monkeypatch.setattr(queries_records.F, "percentile_approx", lambda c, share: F.max(c) * 0 + F.java_method(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long") % 400)
+    got = {r.run: r.outcomes for r in catalogue.QUERIES["stream_health"](spark, str(tmp_path)).collect()}
+    assert got == {str(k): 80 for k in range(5)}
