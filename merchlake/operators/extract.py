@@ -150,13 +150,14 @@ def _list(root, selectors, attribute):
 PAGES_AT_ONCE = 64
 
 
-def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | None = None, maps: dict | None = None, blobs: dict | None = None, html: str = "html", strings: dict | None = None, linked: str | None = None, boxes: dict | None = None, cards: dict | None = None) -> DataFrame:
+def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | None = None, maps: dict | None = None, blobs: dict | None = None, html: str = "html", strings: dict | None = None, linked: str | None = None, boxes: dict | None = None, cards: dict | None = None, closed: bool = False) -> DataFrame:
     """pages without html, with a string column a field, an array column a list, and parse_error (null: parsed).
 
     maps (name -> selectors) gives key and value tables as map columns; blobs (name -> key) the JSON text behind a key of
     an inline script, strings (name -> key) the quoted text behind one; linked names a column for the page's linked-data
     objects, as the text of a JSON array; boxes (name -> selectors) gives the whole text of each selector's matches, null without any.
-    cards (name -> (selector, fields, nested)) gives an array of cards as in card_lists. Unwanted fields are simply not asked for, so they cost nothing.
+    cards (name -> (selector, fields, nested)) gives an array of cards as in card_lists. closed: only character references that end in a semicolon
+    are read, so that one cut short stays as it is written. Unwanted fields are simply not asked for, so they cost nothing.
     """
     lists, maps, blobs, strings, boxes, cards = lists or {}, maps or {}, blobs or {}, strings or {}, boxes or {}, cards or {}
     card_types = {c: _card_type(within, nested) for c, (_, within, nested) in cards.items()}
@@ -164,7 +165,7 @@ def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | N
     texts = [*fields, *blobs, *strings, *([linked] if linked else [])]
 
     def read(page: str) -> dict:
-        root = dom.parse(page)
+        root = dom.parse(page, closed)
         values = {k: _field(root, *v) for k, v in fields.items()} | {k: _list(root, *v) for k, v in lists.items()}
         values |= {k: list(dom.key_values(root, *v).items()) for k, v in maps.items()} | {k: dom.json_slice(page, v) for k, v in blobs.items()}
         values |= {k: dom.js_string(page, v) for k, v in strings.items()}

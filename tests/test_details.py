@@ -99,3 +99,10 @@ def test_pages_are_parsed_once(spark):
     page = spark.range(3).select("id", F.lit("<p>").alias("html"))
     frames = [details.offers(page, MARKETS["US"], "id", 3, ["store"]), details.swatch_variants(page, "id"), listing.discover_items(spark.createDataFrame([], CAPTURES), check_options({}))]
     assert [f._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for f in frames] == [1, 1, 1]
+
+
+def test_identity_of_titles_cut_within_a_reference(spark, tmp_path):
+    from merchlake.plans import catalogue
+
+    spark.createDataFrame([(1, "u", '<html lang="en"><title>a &amp; b&amp</title><h1>c&quot;&am</h1>')], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in catalogue.QUERIES["html_identity"](spark, str(tmp_path)).collect()] == [(1, "a & b&amp", 'c"&am', "en")]

@@ -84,3 +84,10 @@ def test_dom():
     assert [n.tag for n in root.select("li:last-child, p:first-child")] == ["p", "li"]
     assert dom.json_blob('a = {"k": {"b": [1, "}"]}};', "k") == {"b": [1, "}"]} and dom.json_blob("k: {", "k") is None
     assert dom.json_ld(dom.parse('<script type="application/ld+json">[{"a": 1}]</script><script type="application/ld+json">{</script>')) == [{"a": 1}]
+
+
+def test_references_without_semicolon():
+    page = '<html lang="a&amp"><title>x &amp; y&amp</title><script>a &amp b</script><h1>&lt;&lt &#65;&#65 &&&amp;</h1></html>'
+    read = lambda closed: (lambda r: (r.first_text("title"), r.first_text("h1"), r.first_attr("lang", "html"), r.first("script").script()))(dom.parse(page, closed))
+    assert read(True) == ("x & y&amp", "<&lt A&#65 &&&", "a&amp", "a &amp b")
+    assert read(False) == ("x & y&", "<< AA &&&", "a&", "a &amp b")
