@@ -39,9 +39,9 @@ def mix_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their piece ids."""
+    """Documents with the ids and scores of their best segmentation and of the next one, held against the text."""
     release(spark)
-    return pieces.encode_pieces(docs, n_best=1)
+    return pieces.encode_pieces(docs, n_best=2, verify=True)
 
 
 STAGES = [

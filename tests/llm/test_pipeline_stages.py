@@ -33,3 +33,12 @@ def test_near_copies_of_five_words(spark, documents):
     assert got == kept_by_five_words(rows + planted)
     gone = [k for k in range(8) if 10**6 + 2 * k + 1 not in got]
     assert gone == [0, 1, 2, 4, 5]
+
+
+def test_encoding_finds_the_next_segmentation_too(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(1, "a few words of a text"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in p.encode(spark, docs, "").collect()}
+    assert len(got[1].next_ids) == len(got[1].next_scores) == 1 and got[1].next_scores[0] <= got[1].score and got[1].next_ids[0] != got[1].ids
+    assert got[1].decodes and (got[2].n_pieces, got[2].next_ids) == (0, [])
