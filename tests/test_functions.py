@@ -91,3 +91,21 @@ def test_references_without_semicolon():
     read = lambda closed: (lambda r: (r.first_text("title"), r.first_text("h1"), r.first_attr("lang", "html"), r.first("script").script()))(dom.parse(page, closed))
     assert read(True) == ("x & y&amp", "<&lt A&#65 &&&", "a&amp", "a &amp b")
     assert read(False) == ("x & y&", "<< AA &&&", "a&", "a &amp b")
+
+
+_BITS = ["<div>", "</div>", '<p class="a  b">', "</p>", "<br>", "<br/>", "<li title='x &amp; y' id=\"i\">", "<td hidden>", "<tr>", "<table>", "</table>", "text", " a &lt; b &copy c", "<", "&", "<!-- c -->", "<script>if (a < b) {x = '&amp;'}</script>", "<script>a</b></script>", "<script/>", "<title>t &amp; u</title>", "<title><b>", "<A HREF=x>", '<a href="?a=1&amp;b">', "</a >", "<x-y>", "<i a>", '<b a="1"c="2">', "<style>p > b {}</style>", "</span", "<textarea> q"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(_BITS), max_size=12))
+def test_plain_pages_are_read_as_by_htmlparser(bits):
+    def tree(root):
+        return [(n.tag, n.attrs, n.order, n.end, n.text(), n.place, "".join(c for c in n.children if isinstance(c, str))) for n in root.page.nodes]
+
+    page, slow = "".join(bits), dom._Builder()
+    slow.feed(page)
+    slow.close()
+    slow.page.close()
+    assert tree(dom.parse(page)) == tree(slow.root)
+    for selector in ("p.a", "div p, .b", "#i", "li[title]", "table td", "[hidden]", ".a.b", "nothing p", "p, p", ":first-child"):
+        assert [n.order for n in dom.parse(page).select(selector)] == [n.order for n in slow.page.nodes[1:] if any(dom._matches(n, steps, len(steps) - 1) for steps, _ in dom._compile(selector))]
