@@ -36,9 +36,17 @@ def _put(pattern: str, *values: Column) -> Column:
     return F.concat(*filled)
 
 
+def _dealt(spark, sf, name, key):
+    """Rows of a table dealt out by key: small rows become large pages, and a small file is one split, so that one task would read all pages.
+
+    The number of parts is given, as adaptive execution would join parts by the size of the rows, not of the pages.
+    """
+    return table(spark, sf, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _parts(spark, sf):
     cents = _cents(F.col("p_retailprice"))
-    return table(spark, sf, "part").withColumns({"cents": cents, "kind": F.col("p_size") % 6, "shown": _shown(cents, US), "list_shown": _shown(cents + F.col("p_size") * 7 - 100, US)})
+    return _dealt(spark, sf, "part", "p_partkey").withColumns({"cents": cents, "kind": F.col("p_size") % 6, "shown": _shown(cents, US), "list_shown": _shown(cents + F.col("p_size") * 7 - 100, US)})
 
 
 _CORE = '<div id="corePriceDisplay_desktop_feature_div"><span class="priceToPay"><span class="a-offscreen">%s</span></span></div>'
@@ -80,7 +88,7 @@ def product_ratings(spark, sf):
         F.when(k.isin(0, 2), _put('<span id="acrCustomerReviewText">%s ratings</span>', F.format_number(F.col("p_partkey") * 7, 0))),
         F.when(k == 0, _put('<table id="histogramTable"><tr><td>5 star</td><td>%s%%</td></tr><tr><td>1 star</td><td>%s%%</td></tr></table>'.replace("%%", "%"), five, 100 - five)), F.when(k == 3, F.lit('<div id="averageCustomerReviews">none yet</div>')),
     )
-    found = extract.extract_fields(table(spark, sf, "part").select("p_partkey", html.alias("html")), extract.product_fields(["ratings"]), extract.STARS)
+    found = extract.extract_fields(_dealt(spark, sf, "part", "p_partkey").select("p_partkey", html.alias("html")), extract.product_fields(["ratings"]), extract.STARS)
     r = F.col("ratings")
     return extract.product_blocks(found, US).select("p_partkey", r["rating"].alias("rating"), r["reviewCount"].alias("reviews"), r["starDistribution"]["5"].alias("five"), r["starDistribution"]["1"].alias("one"), r["status"].alias("status"))
 
@@ -93,7 +101,7 @@ def product_identity(spark, sf):
         _put('<span id="productTitle">  Part %s </span>', F.col("p_name")), F.when(k == 0, _put('<a id="bylineInfo">Visit the %s Store</a>', brand)).when(k == 1, _put('<a id="bylineInfo">Brand: %s</a>', brand)).otherwise(_put('<span id="brand">%s</span>', brand)),
         F.when(k == 0, _put('<input id="ASIN" value="%s"><script>var x = {"parentAsin": "%s"};</script>', F.lower(_item()), parent)).when(k == 1, _put("<script>currentAsin = '%s'; parentAsin = '%s';</script>", _item(), _item())).otherwise(_put('<div id="averageCustomerReviews" data-asin="%s"></div>', _item())),
     )
-    found = extract.extract_fields(table(spark, sf, "part").select("p_partkey", html.alias("html")), extract.IDENTITY_FIELDS, strings=extract.IDENTITY_STRINGS)
+    found = extract.extract_fields(_dealt(spark, sf, "part", "p_partkey").select("p_partkey", html.alias("html")), extract.IDENTITY_FIELDS, strings=extract.IDENTITY_STRINGS)
     return extract.identity(found).select("p_partkey", F.col("item_id").alias("item"), F.col("parent_item").alias("parent"), "brand", "title")
 
 
@@ -145,7 +153,7 @@ def product_rankings(spark, sf):
         F.when(k == 2, F.lit('<div id="SalesRank">Best Sellers Rank: soon</div>')), F.when(k == 3, F.lit('<div id="SalesRank">#12 in Toys</div>')),
         F.when(F.col("p_partkey") % 2 == 0, _put('<span class="social-proofing-faceout-title-text">%sK+ bought in past month</span>', F.col("p_size"))).otherwise(F.lit('<span class="social-proofing-faceout-title-text">5K+ views</span>')),
     )
-    found = extract.extract_fields(table(spark, sf, "part").select("p_partkey", html.alias("html")), extract.RANK_FIELDS, boxes=extract.RANK_BOXES)
+    found = extract.extract_fields(_dealt(spark, sf, "part", "p_partkey").select("p_partkey", html.alias("html")), extract.RANK_FIELDS, boxes=extract.RANK_BOXES)
     r = F.col("r")
     return found.withColumn("r", extract.rankings_block(US)).select("p_partkey", r["mainBSR"].alias("rank"), r["mainBSRCategory"].alias("category"), F.size(r["all"]).alias("ranks"), r["source"].alias("source"), r["status"].alias("status"), r["boughtInPastMonthMin"].cast("int").alias("bought"))
 
@@ -163,7 +171,7 @@ def product_content(spark, sf):
         F.when(k == 0, _put('<div id="productDescription"><p> </p><p>%s</p></div><div id="aplus"></div><div class="badge-wrapper"><i class="a-badge-text">Best</i></div><div id="climatePledgeFriendlyBadge">Climate</div>', F.col("p_name"))),
         F.when(k == 2, F.lit('<div id="wayfinding-breadcrumbs_feature_div"><ul><li><a>Home</a></li></ul></div>')),
     )
-    found = extract.extract_fields(table(spark, sf, "part").select("p_partkey", html.alias("html")), extract.CONTENT_FIELDS, extract.CONTENT_LISTS, extract.CONTENT_TABLES)
+    found = extract.extract_fields(_dealt(spark, sf, "part", "p_partkey").select("p_partkey", html.alias("html")), extract.CONTENT_FIELDS, extract.CONTENT_LISTS, extract.CONTENT_TABLES)
     c = F.col("c")
     named = {"description": "description", "manufacturer": "manufacturer", "model": "model", "part_number": "partNumber", "product_type": "productType", "dimensions": "dimensions", "package": "packageDimensions", "weight": "weight", "first_available": "dateFirstAvailable", "rich": "richContent", "status": "status"}
     return found.withColumn("c", extract.content_block()).select("p_partkey", F.size(c["bullets"]).alias("bullets"), F.size(c["technicalDetails"]).alias("technical"), F.array_join(c["badges"], ",").alias("badges"), *[c[v].alias(n) for n, v in named.items()])
@@ -196,7 +204,7 @@ def variant_pages(spark, sf):
         F.when(k == 0, _put('<script>var d = {"dimensionValuesDisplayData": %s, "dimensionsDisplay": ["Color", "Size"]};</script>', matrix)),
         F.when(k == 1, _put('<script>d = {"dimensionValuesDisplayData": %s, "dimensions": ["color_name"]};</script>', matrix)), F.when(k == 2, F.lit('<div id="twister"></div>')),
     )
-    found = details.variants(table(spark, sf, "part").select("p_partkey", html.alias("html")), "p_partkey", most=1)
+    found = details.variants(_dealt(spark, sf, "part", "p_partkey").select("p_partkey", html.alias("html")), "p_partkey", most=1)
     first = F.get("items", 0)
     return found.select("p_partkey", F.array_join("dimensions", "|").alias("dimensions"), first["item"].alias("first_item"), F.get(F.map_values(first["options"]), 0).alias("first_value"), F.size("items").alias("items"), "truncated", "status")
 
@@ -207,7 +215,7 @@ def variant_swatches(spark, sf):
     html = _page(F.when(F.col("p_size") % 2 == 0, _put(
         '<div id="variation_color_name"><label class="a-form-label">Color:</label><ul><li data-defaultasin="%s"><span class="a-button-text">%s</span></li><li data-defaultasin="%s" title="Click to select other"></li></ul></div>'
         '<div id="variation_size_name_x"><ul><li data-dp-url="/dp/%s/x" title="Click to select %s"></li><li data-defaultasin="bad" title="z"></li></ul></div>', one, F.col("p_type"), two, one, F.col("p_size"))))
-    found = details.swatch_variants(table(spark, sf, "part").select("p_partkey", html.alias("html")), "p_partkey")
+    found = details.swatch_variants(_dealt(spark, sf, "part", "p_partkey").select("p_partkey", html.alias("html")), "p_partkey")
     first = F.get("items", 0)
     return found.select("p_partkey", F.array_join(F.transform("dimensions", lambda d: F.regexp_replace(d, " X$", "")), ",").alias("dimensions"), F.size("items").alias("items"), first["item"].alias("first_item"), first["options"]["Color"].alias("color"), first["options"]["Size Name X"].alias("size"))
 
@@ -223,7 +231,7 @@ def drawn_variants(spark, sf):
         F.when(k == 1, _put('<script>d = {"dimensionValuesDisplayData": {"%s": ["%s"]}, "dimensionsDisplay": ["Color"]};</script><div id="variation_color"><ul><li data-defaultasin="%s" title="drawn"></li></ul></div>', one, F.col("p_type"), two)),
         F.when(k == 2, F.lit('<div id="twister"><div class="a-row"></div></div>')),
     )
-    found = details.all_variants(table(spark, sf, "part").select("p_partkey", html.alias("html")), "p_partkey")
+    found = details.all_variants(_dealt(spark, sf, "part", "p_partkey").select("p_partkey", html.alias("html")), "p_partkey")
     first = F.get("items", 0)
     return found.select("p_partkey", F.array_join(F.transform("dimensions", lambda d: F.when(d == "Size", "Size Name").otherwise(d)), ",").alias("dimensions"), F.size("items").alias("items"), first["item"].alias("first_item"), F.try_element_at(first["options"], F.lit("Color")).alias("color"), F.try_element_at(first["options"], F.lit("Size")).alias("size"), "status")
 
@@ -236,7 +244,7 @@ def media_pages(spark, sf):
         F.when(k == 1, _put("<img id=\"landingImage\" src=\"https://i.example/z%s.jpg\" data-a-dynamic-image='{\"https://i.example/s%s.jpg\": [10, 10], \"https://i.example/%s.jpg\": [90, 90]}'>", n, n, n)),
         F.when(k == 2, _put('<div id="altImages"><ul><li><img src="https://i.example/%s._AC_US40_.jpg"></li><li><img src="data:none"></li></ul></div>', n)),
     )
-    return details.media(table(spark, sf, "part").select("p_partkey", html.alias("html")), "p_partkey").select("p_partkey", F.col("mainImage").alias("main"), F.size("images").alias("images"), F.size("videos").alias("videos"), "status")
+    return details.media(_dealt(spark, sf, "part", "p_partkey").select("p_partkey", html.alias("html")), "p_partkey").select("p_partkey", F.col("mainImage").alias("main"), F.size("images").alias("images"), F.size("videos").alias("videos"), "status")
 
 
 _OFFERS_SQL = """o AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS minor, l_suppkey % 3 AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, round(l_extendedprice * 100), l_partkey) AS place FROM lineitem),
@@ -263,7 +271,7 @@ def seller_pages(spark, sf):
         '<h1 id="sellerName"> %s </h1><div id="seller-feedback-summary">%s% positive in the last 12 months (%s ratings) (%s)</div><div data-feedback-window="30">90% positive 4% neutral %s% negative (50)</div>'
         '<div id="page-section-detail-seller-info"><ul><li><b>Business Name:</b> %s Ltd</li><li><b>VAT number:</b> V%s</li></ul></div>',
         F.col("s_name"), s % 101, s, F.format_number(s * 11, 0), s % 7, F.col("s_name"), F.col("s_nationkey"))))
-    found = details.seller_profiles(table(spark, sf, "supplier").select("s_suppkey", html.alias("html")), US, "s_suppkey")
+    found = details.seller_profiles(_dealt(spark, sf, "supplier", "s_suppkey").select("s_suppkey", html.alias("html")), US, "s_suppkey")
     return found.select("s_suppkey", F.col("sellerName").alias("name"), F.col("businessName").alias("business"), "rating", F.col("feedbackCount").alias("feedback"), F.col("feedback30Days.negativePercent").alias("negative"), F.get(F.map_values("legalIdentifiers"), 0).alias("vat"), "status")
 
 
@@ -289,8 +297,7 @@ def search_pages(spark, sf):
 def _full(spark, sf, profile="catalog"):
     k = F.col("p_size") % 2
     html = _page(_put('<span id="productTitle">%s</span>', F.col("p_name")), F.when(k == 0, _put(_CORE, F.col("shown"))), _put('<div id="SalesRank">Best Sellers Rank: #%s in %s (See Top 100)</div>', F.format_number("p_partkey", 0), F.col("p_type")), '<div id="availability"><span>In Stock.</span></div><div id="feature-bullets"><ul><li><span class="a-list-item">one</span></li><li><span class="a-list-item">two</span></li><li><span class="a-list-item">x</span></li></ul></div>')
-    # small rows become large pages, so they are dealt out before the page function
-    rows = _parts(spark, sf).repartition("p_partkey").select(_item().alias("lookup_key"), F.col("p_partkey").alias("seq"), html.alias("html"))
+    rows = _parts(spark, sf).select(_item().alias("lookup_key"), F.col("p_partkey").alias("seq"), html.alias("html"))
     return listing.full_records(_captures(rows, label=F.lit("PRODUCT"), market=F.lit("US"), ok=F.lit(True), received_at=F.timestamp_seconds(F.lit(86400))), plan.check_options({"profile": profile}), ("big store",))
 
 
@@ -310,7 +317,7 @@ def profile_projection(spark, sf):
 def script_values(spark, sf):
     html = _page(_put("<script>var state = {data: %s, kind: '%s'};</script>", F.col("props"), F.col("event_type")), F.lit('<script type="application/ld+json">{broken</script>'),
                  F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i < F.col("user_id") % 3, F.lit('<script type="application/ld+json">{"a": 1}</script>')).otherwise("")), ""))
-    found = extract.extract_fields(table(spark, sf, "events").select("event_id", html.alias("html")), {}, blobs={"data": "data"}, strings={"kind": "kind"}, linked="ld")
+    found = extract.extract_fields(_dealt(spark, sf, "events", "event_id").select("event_id", html.alias("html")), {}, blobs={"data": "data"}, strings={"kind": "kind"}, linked="ld")
     return found.select("event_id", F.get_json_object("data", "$.k").cast("long").alias("k"), "kind", F.size(F.from_json("ld", "array<map<string,string>>")).cast("long").alias("linked"))
 
 

@@ -106,3 +106,12 @@ def test_identity_of_titles_cut_within_a_reference(spark, tmp_path):
 
     spark.createDataFrame([(1, "u", '<html lang="en"><title>a &amp; b&amp</title><h1>c&quot;&am</h1>')], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in catalogue.QUERIES["html_identity"](spark, str(tmp_path)).collect()] == [(1, "a & b&amp", 'c"&am', "en")]
+
+
+def test_pages_of_a_small_table_are_many_tasks(spark, tmp_path):
+    from merchlake.plans import catalogue
+
+    spark.range(40).selectExpr("id AS p_partkey", "'n' AS p_name", "'Brand#1' AS p_brand", "'t' AS p_type", "CAST(id % 50 AS INT) AS p_size", "900.0D AS p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("product_content", "product_pricing", "product_stock", "product_identity", "product_ratings", "drawn_variants", "media_pages", "buybox_pages", "variant_pages"):
+        assert catalogue.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == wanted, name
