@@ -61,15 +61,18 @@ def coupon_change(before: Column, after: Column) -> Column:
     return F.when(before.isNull() & after.isNotNull(), "COUPON_ADDED").when(before.isNotNull() & after.isNull(), "COUPON_REMOVED").when(~before.eqNullSafe(after), "DISCOUNT_CHANGED")
 
 
-def product_changes(now, before, compared: Column) -> tuple[Column, Column]:
-    """(changes, warnings) of a record against the one before it. now and before give the column of a block's field, as in now("pricing.status").
+def product_changes(rows: DataFrame, now, before, compared: Column) -> DataFrame:
+    """rows with the changes (__found) and warnings (__warned) of a record against the one before it. now and before give the column of a block's field, as in now("pricing.status").
 
     A block counts if both of its statuses may be trusted. Prices in unequal currencies are not compared; the buy box is known by its
     seller's identifier, else by its name; seller counts only where both runs asked for offers.
     """
-    why = {b: suppression(b, now(f"{b}.status"), before(f"{b}.status")) for b in TRUSTED}
+    # each part is a column first: within one expression it would be found again wherever it is named
     asked = F.coalesce(now("offers.requested") & before("offers.requested"), F.lit(False))
-    why["offers"] = F.when(asked, why["offers"])
+    judged = {b: suppression(b, now(f"{b}.status"), before(f"{b}.status")) for b in TRUSTED}
+    judged["offers"] = F.when(asked, judged["offers"])
+    staged = rows.withColumns({f"__why_{b}": w for b, w in judged.items()})
+    why = {b: F.col(f"__why_{b}") for b in TRUSTED}
     fair = {b: compared & w.isNull() for b, w in why.items()}
     fair["offers"] = fair["offers"] & asked
     amounts = [side("pricing.currentPrice.amount") for side in (before, now)]
@@ -88,7 +91,7 @@ def product_changes(now, before, compared: Column) -> tuple[Column, Column]:
     counts = [F.coalesce(side("offers.totalCount"), F.size(side("offers.items")).cast("long")) for side in (before, now)]
     coupon, stock = coupon_change(*coupons), stock_change(*states)
     as_change = lambda kind, field, old, new: F.when(kind.isNotNull(), F.struct(kind.alias("type"), F.lit(field).alias("field"), old.alias("before"), new.alias("after"), F.lit(None).cast("double").alias("percent")))
-    found = changes(
+    parts = [
         moved("PRICE_CHANGED", "pricing.currentPrice.amount", "pricing", ~mismatch),
         moved("DISCOUNT_CHANGED", "pricing.discountPercent", "pricing"),
         F.when(fair["pricing"], as_change(coupon, "pricing.coupon", *shown)),
@@ -98,11 +101,19 @@ def product_changes(now, before, compared: Column) -> tuple[Column, Column]:
         moved("BSR_CHANGED", "rankings.mainBSR", "rankings"),
         moved("RATING_CHANGED", "ratings.rating", "ratings"),
         moved("REVIEW_COUNT_CHANGED", "ratings.reviewCount", "ratings"),
-    )
-    warned = F.array_compact(F.array(why["pricing"], F.when(mismatch, "COMPARISON_SUPPRESSED:pricing.currentPrice:CURRENCY_MISMATCH"), *[w for b, w in why.items() if b != "pricing"]))
-    return F.when(compared, found).otherwise(F.array()), F.when(compared, warned).otherwise(F.array(F.lit("COMPARISON_NOT_AVAILABLE:NO_MATCHING_PREVIOUS_OBSERVATION")))
-
-
+    ]
+    staged = staged.withColumns({f"__part_{k}": part for k, part in enumerate(parts)} | {"__mismatch": F.when(mismatch, "COMPARISON_SUPPRESSED:pricing.currentPrice:CURRENCY_MISMATCH")})
+    found = changes(*[F.col(f"__part_{k}") for k in range(len(parts))])
+    warned = changes(why["pricing"], F.col("__mismatch"), *[w for b, w in why.items() if b != "pricing"])
+    made = {"__found": F.when(compared, found).otherwise(F.array()), "__warned": F.when(compared, warned).otherwise(F.array(F.lit("COMPARISON_NOT_AVAILABLE:NO_MATCHING_PREVIOUS_OBSERVATION")))}
+    return staged.withColumns(made).drop(*[f"__why_{b}" for b in TRUSTED], *[f"__part_{k}" for k in range(len(parts))], "__mismatch")
+
+
+#: The fields of a record that product_changes reads.
+COMPARED = (
+    "pricing.status", "pricing.currentPrice.amount", "pricing.currentPrice.currency", "pricing.discountPercent", "pricing.coupon", "availability.status", "availability.state", "buyBox.status", "buyBox.sellerId", "buyBox.seller",
+    "offers.status", "offers.requested", "offers.totalCount", "offers.items", "rankings.status", "rankings.mainBSR", "ratings.status", "ratings.rating", "ratings.reviewCount",
+)
 #: Types under which product_changes reads the fields of a record; what isn't named is text.
 FIELD_TYPES = {
     "pricing.currentPrice.amount": "decimal(18,2)", "pricing.discountPercent": "double", "offers.requested": "boolean", "offers.totalCount": "bigint", "offers.items": "array<variant>",
@@ -129,5 +140,5 @@ def untyped(record: Column):
 
 
 def changes(*found: Column) -> Column:
-    """The changes that there are, in the order given."""
-    return F.array_compact(F.array(*found))
+    """The changes that there are, in the order given. Without a lambda, so that Spark compiles the whole."""
+    return F.concat(*[F.when(c.isNotNull(), F.array(c)).otherwise(F.array()) for c in found])

@@ -204,8 +204,7 @@ def monitor(records: DataFrame, baseline: DataFrame, dataset: str, keys: tuple[s
     kept = F.col("place").alias("__place") if "place" in baseline.columns else place()  # a bucketed baseline has it as a column, and is joined where it lies
     old = baseline.where("status = 'SUCCESS'").select(*keys, kept, F.col("scrapedAt").cast("string").alias("scrapedAt"), *blocks)
     joined = compare.snapshot_join(records.drop("monitoring").withColumn("__place", place()), old, [*keys, "__place"])
-    found, warned = compare.product_changes(lambda f: F.col(f), lambda f: F.col(f"prev_{f}"), F.col("compared"))
-    joined = joined.withColumns({"__found": found, "__warned": warned})
+    joined = compare.product_changes(joined, lambda f: F.col(f), lambda f: F.col(f"prev_{f}"), F.col("compared"))
     block = F.struct(
         F.lit(True).alias("requested"), "compared", (F.size("__found") > 0).alias("changed"), F.lit(dataset).alias("previousDatasetId"), F.when(F.col("compared"), F.col("prev_scrapedAt")).alias("previousScrapedAt"),
         F.when(F.col("compared"), "EXTRACTED").otherwise("NOT_PRESENT").alias("status"),
@@ -221,8 +220,7 @@ def monitor_untyped(records: DataFrame, baseline: DataFrame, dataset: str, keys:
     """
     old = baseline.select(*keys, F.col("record").alias("__old"))
     joined = records.drop("monitoring").join(old, [*keys], "left").withColumn("compared", F.col("__old").isNotNull())
-    found, warned = compare.product_changes(lambda f: F.col(f), compare.untyped(F.col("__old")), F.col("compared"))
-    joined = joined.withColumns({"__found": found, "__warned": warned})
+    joined = compare.product_changes(joined, lambda f: F.col(f), compare.untyped(F.col("__old")), F.col("compared"))
     block = F.struct(
         F.lit(True).alias("requested"), "compared", (F.size("__found") > 0).alias("changed"), F.lit(dataset).alias("previousDatasetId"), F.try_variant_get("__old", "$.scrapedAt", "string").alias("previousScrapedAt"),
         F.when(F.col("compared"), "EXTRACTED").otherwise("NOT_PRESENT").alias("status"),

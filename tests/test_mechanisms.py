@@ -122,6 +122,18 @@ def test_a_repeated_batch_has_one_outcome(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["batch=1", "batch=2"]
 
 
+def test_state_keeps_only_what_is_compared(spark, tmp_path):
+    """The state of a comparison holds no column that no comparison reads; a state of whole records is read as well."""
+    compared = jobs.RecordComparison(str(tmp_path), ("marketplace", "item"), "seq")
+    first = record(spark, ("a", 1, 1.0), ("b", 1, 5.0))
+    first.write.parquet(str(tmp_path / "state" / "batch=0"))
+    compared(record(spark, ("a", 2, 2.0), ("a", 3, 2.5)), 1)
+    kept = spark.read.parquet(str(tmp_path / "state" / "batch=1"))
+    assert kept.columns == ["marketplace", "item", "seq", "seen"] and sorted((r.item, r.seq) for r in kept.collect()) == [("a", 3), ("b", 1)]
+    assert sorted((r.item, r.seq, r.compared, len(r.changes)) for r in compared.changes(spark).collect()) == [("a", 2, True, 1), ("a", 3, True, 1)]
+    assert spark.conf.get(jobs.METHOD_LIMIT) != "8000"
+
+
 def test_baseline_of_mixed_schemas(spark, tmp_path):
     old = ['{"status": "SUCCESS", "marketplace": "US", "item": "a", "scrapedAt": "1", "pricing": {"currentPrice": {"amount": 1, "currency": "USD"}, "status": "EXTRACTED"}}', '{"status": "SUCCESS", "marketplace": "US", "item": "a", "scrapedAt": "2", "pricing": {"currentPrice": {"amount": 2.5, "currency": "USD"}, "status": "EXTRACTED"}}',
            '{"status": "SUCCESS", "marketplace": "US", "item": "b", "scrapedAt": "1", "pricing": {"price": 3}}', '{"status": "BLOCKED", "marketplace": "US", "item": "c"}', "no json", '{"status": "SUCCESS", "marketplace": "US"}']
