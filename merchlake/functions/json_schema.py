@@ -19,12 +19,29 @@ NOTES = frozenset("$schema $id title description default examples $comment".spli
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
+    """body(value), an array of violations, with value computed once.
+
+    By aggregate, which holds its types; get(transform(...), 0) works out the type of the whole body again with every row.
+    """
+    return F.aggregate(F.array(value), F.array().cast("array<string>"), lambda _, v: body(v))
+
+
+def _said(broken: Column, path: Column, message: str) -> list[Column]:
+    """A violation, null where there is none; in a list, which tells it from arrays of violations."""
+    return [F.when(broken, F.concat(path, F.lit(f" {message}")))]
 
 
-def _said(broken: Column, path: Column, message: str) -> Column:
-    return F.when(broken, F.array(F.concat(path, F.lit(f" {message}")))).otherwise(F.array().cast("array<string>"))
+def _joined(parts: list[Column | list[Column]]) -> Column:
+    """Violations in order as one array, which may hold nulls: single ones that follow each other stand in one array, as joining many arrays is slow."""
+    arrays, run = [], []
+    for part in [*parts, None]:
+        if isinstance(part, list):
+            run += part
+            continue
+        arrays += [F.array(*run)] if run else []
+        run = []
+        arrays += [part] if part is not None else []
+    return F.concat(*arrays) if len(arrays) > 1 else arrays[0] if arrays else F.array().cast("array<string>")
 
 
 class _Compiler:
@@ -43,24 +60,63 @@ class _Compiler:
             out = out[part]
         return self.resolve(out, (*seen, place))
 
-    def check(self, value: Column, schema: dict | bool, path: Column, depth: int = 0) -> Column:
-        """Violations of a variant that is there."""
+    def check(self, value: Column, schema: dict | bool, path: Column, depth: int = 0, held: bool = False) -> Column:
+        """Violations of a variant that is there; held: it is a variable or column, so that naming it again costs nothing."""
         if isinstance(schema, bool):
-            return _said(F.lit(not schema), path, "boolean schema is false")
+            return _joined([_said(F.lit(not schema), path, "boolean schema is false")])
         schema = self.resolve(schema)
         if unknown := schema.keys() - KEYWORDS - NOTES:
             raise ValueError(f"keywords not compiled: {sorted(unknown)}")
         if depth > 32:
             raise ValueError("the schema refers to itself without end")
         shown = F.when(path == "", F.lit("/")).otherwise(path)
-        return _let(F.struct(value.alias("v"), F.schema_of_variant(value).alias("kind")), lambda x: F.concat(*self._parts(x["v"], x["kind"], schema, path, shown, depth)))
-
-    def _parts(self, value: Column, kind: Column, schema: dict, path: Column, shown: Column, depth: int) -> list[Column]:
-        is_text, is_object, is_list = kind == "STRING", F.startswith(kind, F.lit("OBJECT")), F.startswith(kind, F.lit("ARRAY"))
-        is_number = (kind == "BIGINT") | F.startswith(kind, F.lit("DECIMAL")) | kind.isin("DOUBLE", "FLOAT")
-        number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
-        is_kind = {"string": is_text, "object": is_object, "array": is_list, "number": is_number, "integer": is_number & (number == F.floor(number)), "boolean": kind == "BOOLEAN", "null": kind == "VOID"}
-        out = [F.array().cast("array<string>")]
+        judged = lambda v: self._opened(v, schema, path, shown, depth)
+        return judged(value) if held else _let(value, judged)
+
+    def _opened(self, value: Column, schema: dict, path: Column, shown: Column, depth: int) -> Column:
+        """Violations of a value that is at hand: its members or elements are taken out once, if the schema asks for them, and tell its kind as well.
+
+        schema_of_variant reads all that is below a value, so it is asked only about values that are neither.
+        """
+        names = [schema["type"]] if isinstance(schema.get("type"), str) else schema.get("type", [])
+        parts, held = [], set()
+        if "object" in names or schema.keys() & {"required", "properties", "additionalProperties"}:
+            parts.append(F.try_variant_get(value, "$", "map<string,variant>").alias("members"))
+            held.add("members")
+        if "array" in names or "items" in schema or schema.get("uniqueItems"):
+            parts.append(F.try_variant_get(value, "$", "array<variant>").alias("elements"))
+            held.add("elements")
+        opened = {f: None for f in ("members", "elements")}
+        # what is neither is a scalar, or of no interest to this schema as object or array
+        plain = {"string", "number", "integer", "boolean", "null"} & {*names} or schema.keys() & {"pattern", "minLength", "maxLength", "minimum", "maximum"}
+        if not parts:
+            if not plain:
+                return _joined(self._parts(value, None, opened, schema, path, shown, depth))
+            return _let(F.schema_of_variant(value), lambda kind: _joined(self._parts(value, kind, opened, schema, path, shown, depth)))
+
+        def judged(x: Column) -> Column:
+            there = {f: x[f] if f in held else None for f in opened}
+            if not plain:
+                return _joined(self._parts(value, None, there, schema, path, shown, depth))
+            other = F.lit(True)
+            for f in there.values():
+                other = other & f.isNull() if f is not None else other
+            return _let(F.when(other, F.schema_of_variant(value)).otherwise(""), lambda kind: _joined(self._parts(value, kind, there, schema, path, shown, depth)))
+
+        return _let(F.struct(*parts), judged)
+
+    def _parts(self, value: Column, kind: Column | None, opened: dict[str, Column | None], schema: dict, path: Column, shown: Column, depth: int) -> list[Column | list[Column]]:
+        members, elements = opened["members"], opened["elements"]
+        is_kind = {}
+        if members is not None:
+            is_kind["object"] = members.isNotNull()
+        if elements is not None:
+            is_kind["array"] = elements.isNotNull()
+        if kind is not None:
+            number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+            is_text, is_number = kind == "STRING", (kind == "BIGINT") | F.startswith(kind, F.lit("DECIMAL")) | kind.isin("DOUBLE", "FLOAT")
+            is_kind |= {"string": is_text, "number": is_number, "integer": (kind == "BIGINT") | is_number & (number == F.floor(number)), "boolean": kind == "BOOLEAN", "null": kind == "VOID"}
+        out = []
         if "type" in schema:
             names = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
             fits = is_kind[names[0]]
@@ -77,27 +133,28 @@ class _Compiler:
             if key in schema:
                 out.append(_said(broken(schema[key]), shown, message.format(schema[key])))
         if schema.keys() & {"required", "properties", "additionalProperties"}:
-            out.append(F.when(is_object, _let(F.try_variant_get(value, "$", "map<string,variant>"), lambda m: F.concat(*self._members(m, schema, path, shown, depth)))).otherwise(F.array().cast("array<string>")))
+            out.append(F.when(is_kind["object"], _joined(self._members(members, schema, path, shown, depth))).otherwise(F.array().cast("array<string>")))
         if "items" in schema or schema.get("uniqueItems"):
-            out.append(F.when(is_list, _let(F.try_variant_get(value, "$", "array<variant>"), lambda a: F.concat(*self._elements(a, schema, path, shown, depth)))).otherwise(F.array().cast("array<string>")))
+            out.append(F.when(is_kind["array"], _joined(self._elements(elements, schema, path, shown, depth))).otherwise(F.array().cast("array<string>")))
         if "oneOf" in schema:
-            branches = F.array(*[self.check(value, s, path, depth + 1) for s in schema["oneOf"]])
+            branches = F.array(*[F.array_compact(self.check(value, s, path, depth + 1, held=True)) for s in schema["oneOf"]])
 
             def judged(found: Column) -> Column:
                 fitting = F.size(F.filter(found, lambda b: F.size(b) == 0))
                 missed = _said(fitting != 1, shown, "must match exactly one schema in oneOf")
-                return F.concat(F.when(fitting == 0, F.flatten(found)).otherwise(F.array().cast("array<string>")), missed)
+                return _joined([F.when(fitting == 0, F.flatten(found)).otherwise(F.array().cast("array<string>")), missed])
 
             out.append(_let(branches, judged))
         return out
 
-    def _members(self, members: Column, schema: dict, path: Column, shown: Column, depth: int) -> list[Column]:
-        out, known = [F.array().cast("array<string>")], schema.get("properties", {})
+    def _members(self, members: Column, schema: dict, path: Column, shown: Column, depth: int) -> list[Column | list[Column]]:
+        out, known = [], schema.get("properties", {})
         for name in schema.get("required", ()):
-            out.append(_said(~F.map_contains_key(members, F.lit(name)), shown, f"must have required property '{name}'"))
+            out.append(_said(F.try_element_at(members, F.lit(name)).isNull(), shown, f"must have required property '{name}'"))
         for name, part in known.items():
-            inside = self.check(F.try_element_at(members, F.lit(name)), part, F.concat(path, F.lit(f"/{name}")), depth + 1)
-            out.append(F.when(F.map_contains_key(members, F.lit(name)), inside).otherwise(F.array().cast("array<string>")))
+            # null in JSON is a variant too, so what is null here isn't there
+            inside = F.concat(path, F.lit(f"/{name}"))
+            out.append(_let(F.try_element_at(members, F.lit(name)), lambda v, part=part, inside=inside: F.when(v.isNull(), F.array().cast("array<string>")).otherwise(self.check(v, part, inside, depth + 1, held=True))))
         more = schema.get("additionalProperties", True)
         if more is not True:
             others = F.filter(F.map_entries(members), lambda e: ~e["key"].isin(*known)) if known else F.map_entries(members)
@@ -107,10 +164,10 @@ class _Compiler:
                 out.append(F.flatten(F.transform(others, lambda e: self.check(e["value"], more, F.concat(path, F.lit("/"), e["key"]), depth + 1))))
         return out
 
-    def _elements(self, elements: Column, schema: dict, path: Column, shown: Column, depth: int) -> list[Column]:
-        out = [F.array().cast("array<string>")]
+    def _elements(self, elements: Column, schema: dict, path: Column, shown: Column, depth: int) -> list[Column | list[Column]]:
+        out = []
         if "items" in schema:
-            out.append(F.flatten(F.transform(elements, lambda v, i: self.check(v, schema["items"], F.concat(path, F.lit("/"), i.cast("string")), depth + 1))))
+            out.append(F.flatten(F.transform(elements, lambda v, i: self.check(v, schema["items"], F.concat(path, F.lit("/"), i.cast("string")), depth + 1, held=True))))
         if schema.get("uniqueItems"):
             texts = F.transform(elements, lambda v: F.to_json(v))
             out.append(_said(F.size(F.array_distinct(texts)) < F.size(elements), shown, "must NOT have duplicate items"))
@@ -119,12 +176,14 @@ class _Compiler:
 
 def schema_violations(record: Column, schema: dict) -> Column:
     """array<string>: what a VARIANT breaks of a schema, each as "path message"; a record that is null (no JSON) breaks it as such."""
-    return F.when(record.isNull(), F.array(F.lit("/ must be JSON"))).otherwise(_Compiler(schema).check(record, schema, F.lit("")))
+    return F.when(record.isNull(), F.array(F.lit("/ must be JSON"))).otherwise(F.array_compact(_Compiler(schema).check(record, schema, F.lit(""))))
 
 
 def schema_judged(rows: DataFrame, text: str, schema: dict) -> DataFrame:
     """rows and `violations` of the JSON column `text` (empty: it keeps the schema), computed once a row."""
-    return rows.withColumn("violations", schema_violations(F.try_parse_json(text), schema))
+    # parsed as a column first: what stands within a lambda is evaluated wherever it is named
+    parsed = rows.withColumn("__parsed", F.try_parse_json(text))
+    return parsed.withColumn("violations", schema_violations(F.col("__parsed"), schema)).drop("__parsed")
 
 
 def schema_gate(rows: DataFrame, text: str, schema: dict) -> tuple[DataFrame, DataFrame]:

@@ -39,6 +39,15 @@ def test_gate_splits_rows(spark):
     assert {v[1:] for v in said.values()} == {("PARSER_ERROR", "OUTPUT_SCHEMA_VIOLATION")}
 
 
+def test_a_record_is_parsed_once(spark):
+    """One parse a record in the plan, no type of a whole object asked for, and a null member is a value of a wrong type, not one that is missing."""
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "string"}, "b": {"type": "array", "items": {"type": ["object", "null"]}}}}
+    rows = spark.createDataFrame([('{"a": null, "b": [null, {}, 1]}',), ('{"b": {}}',), ("[]",), ("{",)], "j string").repartition(1)
+    judged = json_schema.schema_judged(rows, "j", schema)
+    assert judged._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    assert sorted(r.violations for r in judged.collect()) == [["/ must be JSON"], ["/ must be object"], ["/ must have required property 'a'", "/b must be array"], ["/a must be string", "/b/2 must be object,null"]]
+
+
 def test_golden_gate(spark):
     plain = spark.range(8).select(
         F.col("id").cast("string").alias("title"), F.concat(F.lit("B00000000"), F.col("id").cast("string")).alias("item"), F.lit("US").alias("marketplace"), F.lit("https://x.example/dp/1").alias("canonicalUrl"), F.timestamp_seconds(F.lit(86400)).alias("scrapedAt"),
