@@ -191,8 +191,10 @@ def measured(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", place.alias("slice"))
     held = materialize(rows.select("text", "slice").groupBy("slice").applyInArrow(_count, "slice long, gram string, n long"), "quality-grams")
     counts = materialize(held.groupBy("gram").agg(F.sum("n").alias("n")), "quality-counts")
-    answers = materialize(held.select("slice", "gram").join(kneser_ney(counts), "gram"), "quality-answers")
-    discard(held, counts)
+    model = kneser_ney(counts)
+    discard(counts)
+    answers = materialize(held.select("slice", "gram").join(model, "gram"), "quality-answers")
+    discard(held, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score, f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in LONGS)}, log_perplexity double")
     scored = materialize(scored, "quality-scores")
