@@ -12,6 +12,7 @@ import json
 import re
 import tempfile
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +55,12 @@ class Aligner:
     def __init__(self, ranks: dict[bytes, int], model: bytes):
         self.a = tiktoken.Encoding("a", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.a_bytes = {i: t for t, i in ranks.items()}
         piece = self.b.id_to_piece
+        self.a_bytes = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
         self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
+        self.a_said, self.b_said = _said(len(self.a_bytes), ",|"), _said(len(self.b_bytes), ",;")
         self.clear()
 
     def clear(self) -> None:
@@ -67,29 +71,30 @@ class Aligner:
         self.chars = 0
 
     def learn(self, units: list[str]) -> None:
-        for unit, b in zip(units, self.b.encode(units, num_threads=1)):
-            self._add(unit, self.a.encode_ordinary(f" {unit}"), b)
-
-    def _add(self, unit: str, a: list[int], b: list[int]) -> None:
-        spelt, whole = [self.b_bytes[i] for i in b], f" {unit}".encode()
-        same = b"".join(spelt) == whole and b"".join(self.a_bytes[i] for i in a) == whole
-        told, at_b, at = [], {}, 0
-        if same:
-            for j, piece in enumerate(spelt):
-                at += len(piece)
-                at_b[at] = j
-            at = from_a = from_b = 0
-            for i, x in enumerate(a):
-                at += len(self.a_bytes[x])
-                if (j := at_b.get(at)) is not None:
-                    told.append(f"{','.join(map(str, a[from_a : i + 1]))}|{','.join(map(str, b[from_b : j + 1]))}")
-                    self.keys.append(pack(x, b[j]))
-                    from_a, from_b = i + 1, j + 1
-        self.place[unit] = len(self.groups)
-        self.chars += len(unit)
-        self.groups.append(";".join(told))
-        self.sums.extend((len(a), len(b), len(told), same))
-        self.offsets.append(len(self.keys))
+        """Encode units, each of which holds a character at least, and keep what they link; all of them at once."""
+        whole = [f" {unit}" for unit in units]
+        a, b = _Tokens([self.a.encode_ordinary(w) for w in whole], self.a_bytes), _Tokens(self.b.encode(units, num_threads=1), self.b_bytes)
+        told = [w.encode() for w in whole]
+        same = np.array([x == w == y for x, w, y in zip(a.spelt, told, b.spelt)], bool)
+        first = np.cumsum([0, *map(len, told)])[:-1]
+        ids_a, end_a, unit_a = a.of(same, first)
+        ids_b, end_b, _ = b.of(same, first)
+        # a unit that is spelt alike ends with a token of both, so no group reaches into the next
+        last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        tail_a, tail_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        count = np.bincount(unit_a[tail_a], minlength=len(units))
+        # a group's tokens of A stand behind those of B of the groups before it, its tokens of B behind those of A of its own
+        said = np.empty(len(ids_a) + len(ids_b), object)
+        said[np.arange(len(ids_a)) + np.append(0, tail_b + 1)[np.cumsum(last_a) - last_a]] = self.a_said[last_a.astype(np.int8), ids_a]
+        said[np.arange(len(ids_b)) + (tail_a + 1)[np.cumsum(last_b) - last_b]] = self.b_said[last_b.astype(np.int8), ids_b]
+        ends = np.cumsum(np.where(same, a.number + b.number, 0))
+        said = said.tolist()
+        self.place.update(zip(units, range(len(self.groups), len(self.groups) + len(units))))
+        self.groups.extend("".join(said[x:y])[:-1] for x, y in zip([0, *ends.tolist()], ends.tolist()))
+        self.chars += sum(map(len, units))
+        self.sums.frombytes(np.stack([a.number, b.number, count, same], 1).astype(np.int64).tobytes())
+        self.offsets.frombytes((len(self.keys) + np.cumsum(count)).astype(np.int64).tobytes())
+        self.keys.frombytes(pack(ids_a[tail_a], ids_b[tail_b]).tobytes())
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: sums (A, B, groups) and digest of its groups; then text, key and occurrences of the links, by text and key."""
@@ -114,6 +119,32 @@ class Aligner:
         return totals, said, owner, keys, n
 
 
+def _said(size: int, marks: str) -> np.ndarray:
+    """Each id below size with each of the marks behind it, a row a mark."""
+    return np.array([[f"{i}{mark}" for i in range(size)] for mark in marks], object).reshape(len(marks), size)
+
+
+class _Tokens:
+    """Tokens of units, end to end: how many a unit has, and the bytes that they spell."""
+
+    def __init__(self, ids: list[list[int]], spelling: list[bytes]):
+        self.number = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids = np.fromiter(chain.from_iterable(ids), np.int64, int(self.number.sum()))
+        spelt = [spelling[i] for i in self.ids.tolist()]
+        self.sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        ends = np.append(0, np.cumsum(self.number)).tolist()
+        self.spelt = [b"".join(spelt[x:y]) for x, y in zip(ends, ends[1:])]
+
+    def of(self, kept: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the tokens of the units kept, the byte at which each ends, where its unit begins at first[unit], and their units."""
+        unit = np.repeat(np.arange(len(kept)), self.number)
+        at, begin = np.cumsum(self.sizes), np.cumsum(self.number) - self.number
+        base = np.append(0, at)[begin]
+        keep = kept[unit]
+        unit = unit[keep]
+        return self.ids[keep], at[keep] - base[unit] + first[unit], unit
+
+
 def _summed(owner: np.ndarray, keys: np.ndarray, n: np.ndarray):
     """Sums of n over equal (owner, key), in their order."""
     if not len(keys):

@@ -1,5 +1,6 @@
 """Cross-tokenizer alignment against a plain version that encodes whole texts."""
 
+import cProfile
 import hashlib
 from collections import Counter
 from itertools import accumulate
@@ -85,3 +86,18 @@ def test_store_of_units_may_be_small(spark, rows, monkeypatch):
 
 def test_no_documents(spark, empty):
     assert alignment.align_tokenizers(empty).collect() == [] and alignment.count_pairs(empty).collect() == []
+
+
+def test_units_are_learnt_together():
+    """Each unit as if it were learnt alone, those that its tokens don't spell too, and few calls a unit: its tokens are not gone through one by one."""
+    with open(alignment.A_FILE, encoding="utf-8") as a, open(alignment.B_FILE, "rb") as b:
+        vocabularies = alignment.byte_level_ranks(a.read()), b.read()
+    together, alone = alignment.Aligner(*vocabularies), alignment.Aligner(*vocabularies)
+    units = [f"word{i} unlikelihood" if i % 3 else f"{i}▁x" for i in range(999)]
+    calls = cProfile.Profile()
+    calls.runcall(together.learn, units)
+    for unit in units:
+        alone.learn([unit])
+    assert (together.place, together.groups, together.sums, together.keys, together.offsets) == (alone.place, alone.groups, alone.sums, alone.keys, alone.offsets)
+    assert {together.sums[4 * k + 3] for k in range(999)} == {0, 1}
+    assert sum(x.callcount for x in calls.getstats()) < 25 * len(units)
