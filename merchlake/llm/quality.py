@@ -10,6 +10,8 @@ log perplexity around its documents' median, in units of their spread; documents
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,8 @@ from merchlake.llm.common import discard, materialize
 ORDER = 5
 #: Bytes of text in a slice, and that a worker looks at at once.
 SLICE_TEXT, STEP_TEXT = 16 << 20, 1 << 20
+#: Rounds in which the slices are scored, so that only a part of the texts and answers is moved, and on disk, at a time.
+ROUNDS = 2
 #: Borders of a language's band: this many spreads (half of the range between quartiles) below and above its median.
 BELOW, ABOVE = 8.0, 8.0
 #: Documents of fewer symbols say too little to be rejected by perplexity.
@@ -196,10 +200,13 @@ def measured(docs: DataFrame) -> DataFrame:
     answers = materialize(held.select("slice", "gram").join(model, "gram"), "quality-answers")
     discard(held, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score, f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in LONGS)}, log_perplexity double")
-    scored = materialize(scored, "quality-scores")
+    schema = f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in LONGS)}, log_perplexity double"
+    parts = []
+    for k in range(ROUNDS):
+        texts, told = (t.where(F.col("slice") % ROUNDS == k).groupBy("slice") for t in (rows, answers))
+        parts.append(materialize(texts.cogroup(told).applyInArrow(_score, schema), f"quality-scores-{k}"))
     discard(answers)
-    return scored
+    return reduce(DataFrame.unionByName, parts)
 
 
 def score_quality(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:

@@ -181,6 +181,25 @@ def test_sharding_keeps_equal_texts_together(spark):
     assert max(sizes) - min(sizes) < 0.35 * sum(sizes) / 24
 
 
+def test_quality_scores_in_rounds(spark, monkeypatch):
+    """No round of scoring moves all texts, every text is scored in one, and the rounds don't show in the scores."""
+    docs = spark.createDataFrame([(i, f"text {i} says {i * 7919 % 1000} things of w{i % 13}. " * 3, "en") for i in range(300)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(quality, "SLICE_TEXT", 500)
+    written, write = [], quality.materialize
+
+    def seen(df, name):
+        made = write(df, name)
+        written.extend([{r.doc_id for r in made.collect()}] if name.startswith("quality-scores") else [])
+        return made
+
+    monkeypatch.setattr(quality, "materialize", seen)
+    scores = {r.doc_id: r for r in quality.measured(docs).collect()}
+    assert len(written) > 1 and max(map(len, written)) < 200
+    assert sum(map(len, written)) == len(scores) == 300
+    monkeypatch.setattr(quality, "ROUNDS", 1)
+    assert {r.doc_id: r for r in quality.measured(docs).collect()} == scores
+
+
 @pytest.mark.parametrize("which", ["documents", "odd"])
 def test_quality_base(request, which):
     docs = request.getfixturevalue(which)
