@@ -34,6 +34,14 @@ def _status(product: Column) -> Column:
     )
 
 
+def _spread(pages: DataFrame, *keys: str) -> DataFrame:
+    """pages dealt out by keys over all parts before they are parsed: adaptive execution joins parts by the size of rows, and small pages cost much.
+
+    keys must differ from those that the pages are grouped or joined by, or Spark would take that exchange for this one and join its parts.
+    """
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def product_records(work: DataFrame, captures: DataFrame, options: Options, stub: int = 8000) -> DataFrame:
     """A row for each work key: its status and, for products, the typed blocks asked for and their completeness.
 
@@ -44,7 +52,7 @@ def product_records(work: DataFrame, captures: DataFrame, options: Options, stub
     last = compare.latest(pages.select("lookup_key", "seq", "ok", "html", "status_code", "blocked", "not_found"), ["lookup_key"], ["seq"]).drop("seq")
     joined = work.join(last, work["item"] == last["lookup_key"], "left").drop("lookup_key")
     fields = {k: v for k, v in extract.product_fields(options.blocks).items() if k != "item"}
-    found = extract.extract_fields(joined.withColumn("chars", F.length("html")), fields, {"bullets": extract.CONTENT_LISTS["bullets"]}, linked="linked")
+    found = extract.extract_fields(_spread(joined, "key", "item").withColumn("chars", F.length("html")), fields, {"bullets": extract.CONTENT_LISTS["bullets"]}, linked="linked")
     typed = extract.product_blocks(found.withColumn("brand", brand_name(F.col("brand"))), market)
     blocks = {"pricing": "pricing", "availability": "stock", "ratings": "ratings"}
     typed = quality.project_blocks(typed, {blocks[b] for b in options.blocks if b in blocks}, list(blocks.values()))
@@ -84,7 +92,7 @@ def full_records(captures: DataFrame, options: Options, own_names: tuple[str, ..
         fields, lists, blobs = fields | details.MEDIA_FIELDS, lists | details.MEDIA_LISTS, blobs | details.MEDIA_BLOBS
     own = captures.where((F.col("market") == options.market) & F.col("ok"))
     last = compare.latest(own.where(F.col("label") == "PRODUCT").select("lookup_key", "seq", "received_at", "html"), ["lookup_key"], ["seq"])
-    found = extract.extract_fields(last, fields, lists, maps, blobs, strings=extract.IDENTITY_STRINGS, linked="linked" if "pricing" in wanted else None, boxes=boxes, cards=cards)
+    found = extract.extract_fields(_spread(last, "lookup_key", "seq"), fields, lists, maps, blobs, strings=extract.IDENTITY_STRINGS, linked="linked" if "pricing" in wanted else None, boxes=boxes, cards=cards)
     rows = extract.product_blocks(extract.identity(found), market)
     rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("deal_price", "buybox_price", "price", "list_price", "subscribe") if c not in rows.columns})
     now, listed = F.col("pricing.currentPrice"), F.col("pricing.listPrice")
@@ -126,7 +134,7 @@ def full_records(captures: DataFrame, options: Options, own_names: tuple[str, ..
         out = enrich.join_offers(out, _offers(own, market, options, own_names))
     if "sellerProfiles" in wanted:
         pages = compare.latest(own.where(F.col("label") == "SELLER").select("lookup_key", "seq", "html"), ["lookup_key"], ["seq"])
-        out = enrich.join_sellers(out, details.seller_profiles(pages, market, "lookup_key"), f"https://{market.host}/sp?seller=")
+        out = enrich.join_sellers(out, details.seller_profiles(_spread(pages, "lookup_key", "seq"), market, "lookup_key"), f"https://{market.host}/sp?seller=")
     if wanted & {"offers", "sellerProfiles"} and "buyBox" not in wanted:
         out = out.withColumn("buyBox", records.empty_block("buyBox", "NOT_APPLICABLE"))
     return quality.scored(out, options.mode)
@@ -135,7 +143,7 @@ def full_records(captures: DataFrame, options: Options, own_names: tuple[str, ..
 def _offers(captures: DataFrame, market: Market, options: Options, own_names) -> DataFrame:
     """item and the offers block of its last captured page of offers."""
     pages = compare.latest(captures.where(F.col("label") == "OFFERS").select("lookup_key", "seq", "html"), ["lookup_key"], ["seq"])
-    found = details.offers(pages, market, "lookup_key", options.numbers.get("max_offers", 10), own_names)
+    found = details.offers(_spread(pages, "lookup_key", "seq"), market, "lookup_key", options.numbers.get("max_offers", 10), own_names)
     url = F.concat(F.lit(f"https://{market.host}/gp/product/ajax?asin="), F.col("lookup_key"))
     items = F.transform("items", lambda o: F.struct(
         o["seller_id"].alias("sellerId"), o["seller"].alias("sellerName"), o["condition"].alias("condition"), _money(o["price"], market, F.lit(None).cast("string")).alias("itemPrice"),

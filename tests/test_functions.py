@@ -109,3 +109,12 @@ def test_plain_pages_are_read_as_by_htmlparser(bits):
     assert tree(dom.parse(page)) == tree(slow.root)
     for selector in ("p.a", "div p, .b", "#i", "li[title]", "table td", "[hidden]", ".a.b", "nothing p", "p, p", ":first-child"):
         assert [n.order for n in dom.parse(page).select(selector)] == [n.order for n in slow.page.nodes[1:] if any(dom._matches(n, steps, len(steps) - 1) for steps, _ in dom._compile(selector))]
+
+
+def test_script_keys_that_are_not_on_the_page_are_not_searched_for(monkeypatch):
+    from merchlake.functions import dom
+
+    page = "<script>a = {data: [1]}; 'kind': 'x.y'</script>"
+    assert dom.json_slice(page, "data") == "[1]" and dom.js_string(page, "kind") == "x.y"
+    monkeypatch.setattr(dom.re, "search", None)
+    assert dom.json_slice(page, "dat.a") is None and dom.js_string(page, "parentAsin") is None

@@ -209,3 +209,11 @@ def test_streams(spark, tmp_path):
     last = result(jobs.health(stream()), "health", "update")[-1]
     assert (last.outcomes, last.state) == (23, "ABORT")
     assert len(result(jobs.changes_by_key(stream(), "run", "seq", "blocked"), "flips", "append")) == 1
+
+
+def test_pages_are_parsed_in_all_parts(spark):
+    """However little the rows weigh: adaptive execution joins small parts, and would have one task parse all pages."""
+    rows = [{"seq": i, "lookup_key": f"B{i:09d}", "html": product()} for i in range(60)]
+    records = listing.full_records(captures(spark, rows), plan.check_options({"profile": "essential"}))
+    parts = records.select("item", F.spark_partition_id().alias("part")).collect()
+    assert len(parts) == 60 and len({r.part for r in parts}) > 1
