@@ -64,21 +64,38 @@ def money_difference(a: Column, b: Column) -> Column:
     return F.when(a["currency"] == b["currency"], a["minor"] - b["minor"])
 
 
-def first_money(text: Column, market: Market) -> Column:
-    """minor units of the first readable price in a longer text; a token with digits or separators left over is refused."""
+def _money_shape(market: Market) -> str:
+    """Regex of the number of a price within a text."""
+    d, t = re.escape(market.decimal), re.escape(market.thousands)
+    return f"[0-9]{{1,3}}(?:{t}[0-9]{{3}})+(?:{d}[0-9]*)?|[0-9]+(?:{d}(?:[0-9]{{4,}}|[0-9]{{0,2}}))?"
+
+
+def _money_token(text: Column, market: Market) -> Column:
     plain = F.regexp_replace(F.regexp_replace(text, BIDI, ""), "[\\u00a0\\u2007\\u2009\\u202f]", " ")
     for symbol in sorted(market.symbols, key=len, reverse=True):
         plain = F.replace(plain, F.lit(symbol), F.lit("|"))
-    d, t = re.escape(market.decimal), re.escape(market.thousands)
-    grouped = f"[0-9]{{1,3}}(?:{t}[0-9]{{3}})+(?:{d}[0-9]*)?"
-    whole = f"[0-9]+(?:{d}(?:[0-9]{{4,}}|[0-9]{{0,2}}))?"
     # the first token that has the market's shape from its first digit to the last digit or separator that touches it
     edge = "0-9.,"
-    token = F.regexp_extract(plain, f"(?<![{edge}])({grouped}|{whole})(?![{edge}])", 1)
+    return F.regexp_extract(plain, f"(?<![{edge}])({_money_shape(market)})(?![{edge}])", 1)
+
+
+def _token_minor(token: Column, market: Market) -> Column:
     digits = F.translate(F.replace(token, F.lit(market.thousands), F.lit("")), market.decimal, ".").try_cast(NUMBER)
     return F.floor(digits * 100 + F.lit(0.5).cast("decimal(2,1)")).cast("long")
 
 
+def first_money(text: Column, market: Market) -> Column:
+    """minor units of the first readable price in a longer text; a token with digits or separators left over is refused."""
+    return _token_minor(_money_token(text, market), market)
+
+
+def price(text: Column, market: Market) -> Column:
+    """As first_money, for texts that are nothing but a price as a rule: a number, with or without a symbol before it, is read by one expression."""
+    symbols = "|".join(re.escape(s) for s in sorted(market.symbols, key=len, reverse=True))
+    alone = F.get(F.regexp_extract_all(text, F.lit(f"\\A(?:{symbols})?({_money_shape(market)})\\z"), F.lit(1)), 0)
+    return _token_minor(F.coalesce(alone, _money_token(text, market)), market)
+
+
 def count(text: Column, market: Market) -> Column:
     """Integer counts: with a magnitude word, a localized integer, else all digits if there is no decimal separator."""
     words = "|".join(re.escape(w) for w, _ in market.magnitudes)

@@ -96,4 +96,4 @@ def storefront_url(host: Column, seller: Column) -> Column:
 
 
 def seller_id(link: Column, least: int = 5, most: int = 30) -> Column:
-    return F.nullif(F.regexp_extract(link, f"(?i)[?&](?:seller|me)=([A-Z0-9]{{{least},{most}}})(?:[&#]|$)", 1), F.lit(""))
+    return F.get(F.regexp_extract_all(link, F.lit(f"(?i)[?&](?:seller|me)=([A-Z0-9]{{{least},{most}}})(?:[&#]|$)"), F.lit(1)), 0)

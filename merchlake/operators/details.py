@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.functions.markets import Market
-from merchlake.functions.numbers import count, first_money, landed_price, percent
+from merchlake.functions.numbers import count, first_money, landed_price, percent, price
 from merchlake.functions.text import condition, fulfillment, humanize_dimension, max_resolution, offer_fulfillment, strip_label
 from merchlake.functions.urls import item_id, seller_id
 from merchlake.operators import extract
@@ -64,26 +64,44 @@ VARIANT_BLOBS = {"matrix": "dimensionValuesDisplayData", "display": "dimensionsD
 
 
 def offers(pages: DataFrame, market: Market, key: str, most: int, own_names) -> DataFrame:
-    """key, items (the first `most` distinct offers in page order), total, truncated, status.
+    """key, items (the first `most` distinct offers in page order), total, truncated, status; a row for each page.
 
     Wrappers without a price and a seller are left out; of offers of one seller and price the first counts. An empty
-    page is NOT_PRESENT if its container is known, else PARSER_MISS.
+    page is NOT_PRESENT if its container is known, else PARSER_MISS. A page stays one row throughout, so nothing is moved.
     """
-    every = extract.extract_cards(pages.select(key, "html"), OFFER, OFFER_FIELDS, unique=None, heads=OFFER_PAGE)
-    price, shipping = first_money(F.col("price"), market), first_money(F.col("shipping"), market)
-    typed = every.select(key, "place", price.alias("price"), F.coalesce(shipping, F.when(F.col("whole").rlike(FREE) & price.isNotNull(), 0)).cast("long").alias("shipping"), "seller", seller_id(F.col("link")).alias("seller_id"),
-                         condition(F.col("heading")).alias("condition"), offer_fulfillment(F.col("shipper"), F.col("seller"), own_names).alias("fulfillment"), F.col("whole").rlike("(?i)prime").alias("prime"),
-                         percent(F.col("feedback")).alias("seller_rating"), count(F.regexp_extract("feedback", "\\(([^)]*)\\)", 1), market).alias("seller_feedback"), "delivery", F.col("whole").rlike(FREE).alias("free"), *OFFER_PAGE)
-    typed = typed.withColumns({"landed": landed_price(F.col("price"), F.col("shipping"), F.col("free")), "__good": F.col("price").isNotNull() | F.col("seller").isNotNull()})
-    fields = ["seller_id", "seller", "condition", "price", "shipping", "landed", "prime", "fulfillment", "delivery", "seller_rating", "seller_feedback"]
-    # a page stands on one row at least, so its own fields come along
-    once = typed.groupBy(key, "__good", "seller_id", "seller", "price").agg(F.min_by(F.struct("place", *[f for f in fields if f not in ("seller_id", "seller", "price")]), "place").alias("o"), *[F.max(c).alias(c) for c in OFFER_PAGE])
-    once = once.select(key, "__good", "seller_id", "seller", "price", "o.*", *OFFER_PAGE)
-    listed = once.groupBy(key).agg(F.count_if("__good").alias("__found"), F.sort_array(F.collect_list(F.when(F.col("__good"), F.struct("place", *fields)))).alias("__all"), *[F.max(c).alias(c) for c in OFFER_PAGE])
-    items = F.transform(F.slice("__all", 1, most), lambda o: F.struct(*[o[f].alias(f) for f in fields]))
-    total = F.coalesce(count(F.col("total"), market), F.when(F.col("__found") > 0, F.col("__found")))
-    status = F.when(F.col("__found") > 0, "EXTRACTED").when(F.col("container").isNotNull(), "NOT_PRESENT").otherwise("PARSER_MISS")
-    return listed.select(key, items.alias("items"), total.alias("total"), (F.coalesce(total, F.lit(0)) > F.size(items)).alias("truncated"), status.alias("status"))
+    lists = extract.card_lists(pages.select(key, "html"), OFFER, OFFER_FIELDS, unique=None, heads=OFFER_PAGE)
+    same, others = ["seller_id", "seller", "price"], ["condition", "shipping", "landed", "prime", "fulfillment", "delivery", "seller_rating", "seller_feedback"]
+    told = F.transform("cards", lambda c: F.struct(seller_id(c["link"]).alias("seller_id"), c["seller"].alias("seller"), price(c["price"], market).alias("price"), c["place"].alias("place")))
+    good = F.filter(told, lambda o: o["price"].isNotNull() | o["seller"].isNotNull())
+    # in order of what makes offers the same and then of place, the first of each kind is the one that differs from the offer before it
+    firsts = F.get(F.transform(F.array(F.sort_array(good)), lambda sorted_: F.filter(sorted_, lambda o, i: (i == 0) | ~_alike(o, F.get(sorted_, i - 1), same))), 0)
+    placed = F.sort_array(F.transform(firsts, lambda o: F.struct(o["place"].alias("place"), *[o[f].alias(f) for f in same])))
+    listed = lists.select(key, "cards", F.coalesce(placed, F.array()).alias("__all"), count(F.col("total"), market).alias("__told"), "container")
+
+    def read(o: Column) -> Column:  # the other fields, of the offers that are listed
+        c = F.get(F.col("cards"), o["place"] - 1)
+        feedback = {"seller_rating": percent(c["feedback"]), "seller_feedback": count(F.regexp_extract(c["feedback"], "\\(([^)]*)\\)", 1), market)}
+        found = {"condition": condition(c["heading"]), "shipping": price(c["shipping"], market), "prime": c["whole"].rlike("(?i)prime"), "fulfillment": offer_fulfillment(c["shipper"], c["seller"], own_names),
+                 "delivery": c["delivery"], "free": c["whole"].rlike(FREE)}
+        return F.struct(*[o[f].alias(f) for f in same], *[v.alias(f) for f, v in found.items()], *[F.when(c["feedback"].isNotNull(), v).alias(f) for f, v in feedback.items()])
+
+    def summed(o: Column) -> Column:
+        shipping = F.coalesce(o["shipping"], F.when(o["free"] & o["price"].isNotNull(), 0)).cast("long")
+        made = {"shipping": shipping, "landed": landed_price(o["price"], shipping, o["free"])}
+        return F.struct(*[(made[f] if f in made else o[f]).alias(f) for f in (*same, *others)])
+
+    found = F.size("__all")
+    total = F.coalesce("__told", F.when(found > 0, found.cast("long")))
+    items = F.transform(F.transform(F.slice("__all", 1, most), read), summed)
+    status = F.when(found > 0, "EXTRACTED").when(F.col("container").isNotNull(), "NOT_PRESENT").otherwise("PARSER_MISS")
+    return listed.select(key, items.alias("items"), total.alias("total"), (F.coalesce(total, F.lit(0)) > F.least(found, F.lit(most))).alias("truncated"), status.alias("status"))
+
+
+def _alike(one: Column, other: Column, fields) -> Column:
+    out = F.lit(True)
+    for f in fields:
+        out = out & one[f].eqNullSafe(other[f])
+    return out
 
 
 def buybox(found: DataFrame, market: Market, own_names, labels=("Sold by", "Ships from and sold by")) -> DataFrame:

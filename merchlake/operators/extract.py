@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlake.functions import dom
+from merchlake.functions import dom, plain
 from merchlake.functions.markets import LABELS, Market
 from merchlake.functions.numbers import count, demand, first_money, rating
 from merchlake.functions.text import after_label, availability_state, brand_name, clean_text, coupon, delivery_date, first_label, lookup_label, rank_lines
@@ -146,8 +148,8 @@ def _list(root, selectors, attribute):
     return []
 
 
-#: Pages whose fields a worker holds at a time.
-PAGES_AT_ONCE = 64
+#: Pages whose fields a worker holds at a time, and bytes of pages whose cards it does.
+PAGES_AT_ONCE, BYTES_AT_ONCE = 64, 1 << 21
 
 
 def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | None = None, maps: dict | None = None, blobs: dict | None = None, html: str = "html", strings: dict | None = None, linked: str | None = None, boxes: dict | None = None, cards: dict | None = None, closed: bool = False) -> DataFrame:
@@ -195,6 +197,16 @@ def extract_fields(pages: DataFrame, fields: dict = PAGE_FIELDS, lists: dict | N
     return pages.mapInArrow(run, schema)
 
 
+def _portions(whole: pa.RecordBatch, html: str):
+    """Parts of a batch whose pages have about BYTES_AT_ONCE bytes."""
+    passed = np.cumsum(pc.fill_null(pc.binary_length(whole.column(whole.schema.get_field_index(html))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < whole.num_rows:
+        end = max(at + 1, int(np.searchsorted(passed, (passed[at - 1] if at else 0) + BYTES_AT_ONCE, "right")))
+        yield whole.slice(at, end - at)
+        at = end
+
+
 def _cards(root, card: str, fields: dict, unique: str | None, nested: dict) -> list[dict]:
     found, seen = [], set()
     for node in root.select(card):
@@ -225,13 +237,23 @@ def card_lists(pages: DataFrame, card: str = CARD, fields: dict = CARD_FIELDS, h
     ddl, arrow = _card_type(fields, nested)
 
     def run(batches):
+        # plain pages are read together, the others one by one
+        reader = plain.Cards(card, fields, heads, EXISTS) if not (unique or nested) and plain.Cards.fit(card, fields, heads) else None
         for whole in batches:
-            for at in range(0, whole.num_rows, PAGES_AT_ONCE):
-                part = whole.slice(at, PAGES_AT_ONCE)
-                roots = [dom.parse(page.as_py() or "") for page in part.column(part.schema.get_field_index(html))]
-                made = [pa.array([_field(r, *v) for r in roots], pa.string()) for v in heads.values()]
-                made.append(pa.array([_cards(r, card, fields, unique, nested) for r in roots], pa.list_(arrow)))
-                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in kept], *made], names=[*kept, *heads, "cards"])
+            for part in _portions(whole, html):
+                texts, taken, made = part.column(part.schema.get_field_index(html)), [], []
+                if reader:
+                    taken, tops, sizes, values = reader.read(texts)
+                    ends = np.cumsum(sizes)
+                    places = pa.array(np.arange(1, sizes.sum() + 1) - np.repeat(ends - sizes, sizes), pa.int32())
+                    found = pa.StructArray.from_arrays([places, *values.values()], fields=[*arrow])
+                    made.append([*tops.values(), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), found, type=pa.list_(arrow))])
+                if left := np.setdiff1d(np.arange(part.num_rows), taken).tolist():
+                    rows = [([_field(root, *v) for v in heads.values()], _cards(root, card, fields, unique, nested)) for root in (dom.parse(texts[k].as_py() or "") for k in left)]
+                    made.append([*[pa.array([top[k] for top, _ in rows], pa.string()) for k in range(len(heads))], pa.array([found for _, found in rows], pa.list_(arrow))])
+                back = pa.array(np.argsort(np.concatenate((taken, left)), kind="stable"))
+                columns = [made[0][k] if len(made) == 1 else pa.concat_arrays([m[k] for m in made]).take(back) for k in range(len(heads) + 1)]
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in kept], *columns], names=[*kept, *heads, "cards"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema] + [f"`{c}` string" for c in heads] + [f"cards array<{ddl}>"])
     return pages.mapInArrow(run, schema)

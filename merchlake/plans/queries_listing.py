@@ -253,11 +253,13 @@ d AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey, minor ORD
 
 @query("offer_pages", f"WITH {_OFFERS_SQL} SELECT l_orderkey, max(total) AS total, CAST(count(*) FILTER (n <= 3) AS INTEGER) AS items, max(total) > 3 AS truncated, max(CASE WHEN n = 1 THEN 'Shop ' || l_suppkey END) AS seller, max(CASE WHEN n = 1 THEN minor END) AS minor, max(CASE WHEN n = 1 THEN CASE k WHEN 0 THEN minor WHEN 1 THEN minor + 499 END END) AS landed, 'EXTRACTED' AS status FROM r GROUP BY l_orderkey")
 def offer_pages(spark, sf):
-    lines = _dealt(spark, sf, "lineitem", "l_orderkey")
-    k, shown = F.col("l_suppkey") % 3, _shown(_cents(F.col("l_extendedprice")), US)
-    more = F.when(k == 0, F.lit("FREE Shipping")).when(k == 1, F.lit('<div id="aod-offer-shipping-price"><span class="a-offscreen">$4.99</span></div>')).otherwise("")
-    one = _put('<div id="aod-offer"><div id="aod-offer-heading">New</div><span class="a-price"><span class="a-offscreen">%s</span></span><div id="aod-offer-soldBy"><a href="/sp?seller=SHOP%s">Shop %s</a></div>%s</div>', shown, F.lpad(F.col("l_suppkey").cast("string"), 8, "0"), F.col("l_suppkey"), more)
-    listed = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", _cents(F.col("l_extendedprice")).alias("c"), "l_partkey", one.alias("o")))), lambda x: x["o"]), "").alias("all"))
+    def one(line):  # written when the lines of a page are together, so that only numbers are gathered
+        k = line["l_suppkey"] % 3
+        more = F.when(k == 0, F.lit("FREE Shipping")).when(k == 1, F.lit('<div id="aod-offer-shipping-price"><span class="a-offscreen">$4.99</span></div>')).otherwise("")
+        return _put('<div id="aod-offer"><div id="aod-offer-heading">New</div><span class="a-price"><span class="a-offscreen">%s</span></span><div id="aod-offer-soldBy"><a href="/sp?seller=SHOP%s">Shop %s</a></div>%s</div>', _shown(line["c"], US), F.lpad(line["l_suppkey"].cast("string"), 8, "0"), line["l_suppkey"], more)
+
+    lines = F.collect_list(F.struct("l_linenumber", "l_suppkey", _cents(F.col("l_extendedprice")).alias("c"), "l_partkey"))
+    listed = _dealt(spark, sf, "lineitem", "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(lines), one), "").alias("all"))
     found = details.offers(listed.select("l_orderkey", _page('<div id="aod-container">', F.col("all"), "</div>").alias("html")), US, "l_orderkey", 3, ["big store"])
     first = F.get("items", 0)
     return found.select("l_orderkey", "total", F.size("items").alias("items"), "truncated", first["seller"].alias("seller"), first["price"].alias("minor"), first["landed"].alias("landed"), "status")
